@@ -9,7 +9,6 @@ offset limit bounds that.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import timedelta
 from typing import Any
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -21,18 +20,34 @@ from seawake import config as C
 from seawake import schema as S
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_FACT = T.StructType([T.StructField("ship_name", T.StringType()), *[T.StructField(d, T.DoubleType()) for d in S.DIMS]])
-_POINT = T.StructType(
-    [T.StructField("timestamp", T.TimestampType()), *[T.StructField(c, T.DoubleType()) for c in ("latitude", "longitude", "sog", "cog")]]
-)
-_REPORT_FIELDS = ("latitude", "longitude", "sog", "cog", "heading", "timestamp")
-CURRENT = T.StructType([T.StructField("mmsi", T.LongType()), *_POINT.fields, T.StructField("n_points", T.LongType())])
+
+
+def _fields(*pairs) -> list[T.StructField]:
+    return [T.StructField(name, kind) for name, kind in pairs]
+
+
+_L, _S, _D = T.LongType(), T.StringType(), T.DoubleType()
+_MOVE = _fields(*[(c, _D) for c in ("latitude", "longitude", "sog", "cog")])
+_FACT = T.StructType(_fields(("ship_name", _S), *[(d, _D) for d in S.DIMS]))
+# times travel as epoch microseconds: exact, and the same in any worker's time zone
+_POINT = T.StructType([*_fields(("ts_us", _L)), *_MOVE])
+_REPORT = T.StructType([*_fields(("ts_us", _L)), *_MOVE, *_fields(("heading", _D))])
+_ENRICHED = T.StructType([*_fields(("mmsi", _L)), *_REPORT.fields, *_FACT.fields])
+_CURRENT = T.StructType([*_fields(("mmsi", _L)), *_POINT.fields, *_fields(("n_points", _L))])
 
 
 def use_state_store(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
 
 
+def _with_us(df: DataFrame) -> DataFrame:
+    return df.withColumn("ts_us", F.unix_micros("timestamp"))
+
+
+def _with_timestamp(df: DataFrame) -> DataFrame:
+    return df.withColumn("timestamp", F.timestamp_micros("ts_us")).drop("ts_us")
+
+
 class StaticMemory(StatefulProcessor):
     """Last static data of a ship, written by static rows and read by positions."""
 
@@ -40,15 +55,15 @@ class StaticMemory(StatefulProcessor):
         self._fact = handle.getValueState("fact", _FACT)
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        names = _FACT.fieldNames()
         fact = tuple(self._fact.get()) if self._fact.exists() else None
-        for row in sorted(rows, key=lambda r: (r.timestamp, not r.is_static)):
+        for row in sorted(rows, key=lambda r: (r.ts_us, not r.is_static)):
             if row.is_static:
-                fact = (row.ship_name, *[row[d] for d in S.DIMS])
+                fact = tuple(row[n] for n in names)
                 self._fact.update(fact)
             else:
-                name, *dims = fact or (C.UNKNOWN_NAME, None, None, None, None)
-                values = {f: row[f] for f in _REPORT_FIELDS}
-                yield Row(mmsi=key[0], ship_name=name, **values, **dict(zip(S.DIMS, dims)))
+                known = dict(zip(names, fact or (C.UNKNOWN_NAME, *[None] * len(S.DIMS))))
+                yield Row(**{n: known[n] if n in known else row[n] for n in _ENRICHED.fieldNames()})
 
     def close(self) -> None:
         pass
@@ -59,7 +74,7 @@ class RecentTrack(StatefulProcessor):
     state and point count once per micro-batch."""
 
     def __init__(self, minutes: int = C.HISTORY_MINUTES) -> None:
-        self._span = timedelta(minutes=minutes)
+        self._span_us = minutes * 60_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._points = handle.getListState("points", _POINT)
@@ -67,9 +82,8 @@ class RecentTrack(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         names = _POINT.fieldNames()
         points = [tuple(p) for p in self._points.get()] + [tuple(r[n] for n in names) for r in rows]
-        points.sort(key=lambda p: (p[0], *[v if v is not None else float("-inf") for v in p[1:]]))
-        newest = points[-1]
-        kept = [p for p in points if p[0] >= newest[0] - self._span]
+        newest = max(points, key=lambda p: [float("-inf") if v is None else v for v in p])
+        kept = [p for p in points if p[0] >= newest[0] - self._span_us]
         self._points.put(kept)
         yield Row(mmsi=key[0], **dict(zip(names, newest)), n_points=len(kept))
 
@@ -80,13 +94,18 @@ class RecentTrack(StatefulProcessor):
 def enrich_stream(positions: DataFrame, statics: DataFrame) -> DataFrame:
     """Streaming :func:`seawake.operators.enrich.enrich_asof`."""
     use_state_store(positions.sparkSession)
-    both = positions.select("mmsi", *_REPORT_FIELDS, F.lit(False).alias("is_static")).unionByName(
-        statics.select("mmsi", "ship_name", *S.DIMS, "timestamp", F.lit(True).alias("is_static")),
-        allowMissingColumns=True,
+    both = (
+        _with_us(positions)
+        .select("mmsi", *_REPORT.fieldNames(), F.lit(False).alias("is_static"))
+        .unionByName(
+            _with_us(statics).select("mmsi", "ts_us", *_FACT.fieldNames(), F.lit(True).alias("is_static")),
+            allowMissingColumns=True,
+        )
     )
-    output = T.StructType([S.MESSAGE[n] for n in ("mmsi", "ship_name", *_REPORT_FIELDS, *S.DIMS)])
-    return both.groupBy("mmsi").transformWithState(
-        statefulProcessor=StaticMemory(), outputStructType=output, outputMode="Append", timeMode="None"
+    return _with_timestamp(
+        both.groupBy("mmsi").transformWithState(
+            statefulProcessor=StaticMemory(), outputStructType=_ENRICHED, outputMode="Append", timeMode="None"
+        )
     )
 
 
@@ -94,10 +113,11 @@ def track_stream(positions: DataFrame, minutes: int = C.HISTORY_MINUTES) -> Data
     """Current state of each reporting ship with the size of its recent history; feed it
     to :func:`seawake.operators.tracks.project_track`."""
     use_state_store(positions.sparkSession)
-    return (
-        positions.select("mmsi", *_POINT.fieldNames())
+    return _with_timestamp(
+        _with_us(positions)
+        .select("mmsi", *_POINT.fieldNames())
         .groupBy("mmsi")
         .transformWithState(
-            statefulProcessor=RecentTrack(minutes), outputStructType=CURRENT, outputMode="Update", timeMode="None"
+            statefulProcessor=RecentTrack(minutes), outputStructType=_CURRENT, outputMode="Update", timeMode="None"
         )
     )
