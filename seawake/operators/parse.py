@@ -7,6 +7,7 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seawake import config as C
 from seawake import schema as S
@@ -17,9 +18,16 @@ REQUIRED = ("mmsi", "latitude", "longitude", "cog", "sog", "timestamp")
 
 
 # --- flat messages -----------------------------------------------------------
+def _json_columns(text: DataFrame, schema: T.StructType) -> DataFrame:
+    """Fields of the JSON text as columns beside it. The one-element ``inline_outer``
+    has the text parsed once per row; without it every later mention of a field, in
+    projections and filters alike, would parse the text again for that field."""
+    return text.select("_text", F.inline_outer(F.array(F.from_json("_text", schema))))
+
+
 def _read_text(messages: DataFrame, value: str) -> DataFrame:
-    text = F.col(value).cast("string")
-    return messages.withColumn("_text", text).withColumn("_m", F.from_json("_text", S.MESSAGE_TEXT))
+    raw = _json_columns(messages.select(F.col(value).cast("string").alias("_text")), S.MESSAGE_TEXT)
+    return raw.select("_text", *[F.col(k).alias(f"_m_{k}") for k in S.MESSAGE_KEYS])
 
 
 def _whole(text: Column) -> Column:
@@ -34,7 +42,7 @@ def _name_or_default(name: Column, raw: Column) -> Column:
 
 
 def _position_columns() -> list[Column]:
-    m = {key: F.col(f"_m.{key}") for key in S.MESSAGE_KEYS}
+    m = {key: F.col(f"_m_{key}") for key in S.MESSAGE_KEYS}
     return [
         _whole(m["mmsi"]).alias("mmsi"),
         _name_or_default(m["ship_name"], F.col("_text")).alias("ship_name"),
@@ -52,21 +60,25 @@ def _all_present(names) -> Column:
     return reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in names])
 
 
+def _raw_dims() -> list[str]:
+    return [f"_m_{d}" for d in S.DIMS]
+
+
 def _parsed_messages(messages: DataFrame, value: str) -> tuple[DataFrame, Column]:
     """Positions with dimensions and cell name. A dimension that is given but is
     no number rejects the row, as any failed cast but that of the heading does."""
-    dims = [F.col(f"_m.{d}").try_cast("double").alias(d) for d in S.DIMS]
-    geohash = F.coalesce(F.col("_m.geohash"), F.lit(C.NO_GEOHASH)).alias("geohash")
-    parsed = _read_text(messages, value).select("_text", "_m", *_position_columns(), *dims, geohash)
+    dims = [F.col(f"_m_{d}").try_cast("double").alias(d) for d in S.DIMS]
+    geohash = F.coalesce(F.col("_m_geohash"), F.lit(C.NO_GEOHASH)).alias("geohash")
+    parsed = _read_text(messages, value).select("_text", *_raw_dims(), *_position_columns(), *dims, geohash)
     valid = _all_present(REQUIRED)
     for d in S.DIMS:
-        valid = valid & (F.col(f"_m.{d}").isNull() | F.col(d).isNotNull())
+        valid = valid & (F.col(f"_m_{d}").isNull() | F.col(d).isNotNull())
     return parsed, valid
 
 
 def parse_message(messages: DataFrame, value: str = "value") -> DataFrame:
     parsed, valid = _parsed_messages(messages, value)
-    return _split(parsed, valid)[0].drop("_text", "_m")
+    return _split(parsed, valid)[0].drop("_text", *_raw_dims())
 
 
 def parse_message_rejects(messages: DataFrame, value: str = "value") -> DataFrame:
@@ -83,10 +95,10 @@ def parse_static(messages: DataFrame, value: str = "value") -> DataFrame:
     """Complete static rows of ships that have a name. ``timestamp`` rides along for windows."""
     parsed = _read_text(messages, value).select(
         "_text",
-        _whole(F.col("_m.mmsi")).alias("mmsi"),
-        F.col("_m.ship_name").alias("ship_name"),
-        *[F.col(f"_m.{d}").try_cast("double").alias(d) for d in S.DIMS],
-        F.col("_m.timestamp").try_cast("timestamp").alias("timestamp"),
+        _whole(F.col("_m_mmsi")).alias("mmsi"),
+        F.col("_m_ship_name").alias("ship_name"),
+        *[F.col(f"_m_{d}").try_cast("double").alias(d) for d in S.DIMS],
+        F.col("_m_timestamp").try_cast("timestamp").alias("timestamp"),
     )
     named = F.lower(F.trim("ship_name")) != C.UNKNOWN_NAME.lower()
     return _split(parsed, _all_present(S.STATIC_FIELDS) & named)[0].drop("_text")
@@ -106,11 +118,8 @@ POSITION_REPORT, SHIP_STATIC = "PositionReport", "ShipStaticData"
 
 def read_envelopes(raw: DataFrame, value: str = "value") -> DataFrame:
     """Envelope columns from JSON text; text that is no JSON object is skipped."""
-    return (
-        raw.select(F.from_json(F.col(value).cast("string"), S.ENVELOPE).alias("e"))
-        .select("e.*")
-        .where(F.col("MessageType").isNotNull())
-    )
+    envelopes = _json_columns(raw.select(F.col(value).cast("string").alias("_text")), S.ENVELOPE)
+    return envelopes.drop("_text").where(F.col("MessageType").isNotNull())
 
 
 def route_by_type(envelopes: DataFrame) -> tuple[DataFrame, DataFrame]:
