@@ -154,12 +154,12 @@ def assess_risk(spark, sf):
     )
 
 
-@query(  # J7: encounters of even ships are not assessed yet
-    "attach_risk", RISK + " SELECT id, CASE WHEN mmsi_a % 2 = 0 THEN 5e-1 ELSE round(overall_risk, 6) END AS risk FROM risk"
+@query(  # J7: encounters at their closest point are not assessed yet
+    "attach_risk", RISK + " SELECT id, CASE WHEN tcpa = 0 THEN 5e-1 ELSE round(overall_risk, 6) END AS risk FROM risk"
 )
 def attach_risk(spark, sf):
     met = live(spark, sf)
-    return V.attach_risk(met, V.assess_risk(met.where("mmsi_a % 2 <> 0"))).select("id", *r6("risk"))
+    return V.attach_risk(met, V.assess_risk(met.where("tcpa > 0"))).select("id", *r6("risk"))
 
 
 @query(  # U1
@@ -208,24 +208,24 @@ def status_summary(spark, sf):
 @query(  # J10
     "removed_vessels",
     """ SELECT DISTINCT mmsi FROM vp WHERE epoch_s < 1704067200 + 3600 AND mmsi NOT IN (
-      SELECT mmsi FROM vp WHERE epoch_s >= 1704067200 + 3600 AND mmsi % 4 <> 0)""",
+      SELECT mmsi FROM vp WHERE epoch_s >= 1704067200 + 3600 AND sog >= 5)""",
 )
 def removed_vessels(spark, sf):
     vp = positions(spark, sf)
     split = F.lit(1704067200 + 3600)
     before = K.last_per_key(vp.where(F.col("epoch_s") < split))
-    after = K.last_per_key(vp.where((F.col("epoch_s") >= split) & (F.col("mmsi") % 4 != 0)))
+    after = K.last_per_key(P.under_way(vp.where(F.col("epoch_s") >= split), 5.0))
     return V.removed_vessels(before, after).select("mmsi")
 
 
 @query(  # F23
     "pair_classes",
-    ENCOUNTERS + f""", len AS (SELECT DISTINCT mmsi, dim_a + dim_b AS l FROM vp WHERE dim_a > 0 AND dim_b > 0 AND mmsi % 2 = 0)
+    ENCOUNTERS + f""", len AS (SELECT DISTINCT mmsi, dim_a + dim_b AS l FROM vp WHERE dim_a > 0 AND dim_b > 0 AND sog < 12)
     SELECT mmsi_a, mmsi_b, epoch_s, {CLASS.format(x="coalesce(x.l, 0)")} AS class_a, {CLASS.format(x="coalesce(y.l, 0)")} AS class_b
     FROM enc LEFT JOIN len x ON mmsi_a = x.mmsi LEFT JOIN len y ON mmsi_b = y.mmsi""",
 )
 def pair_classes(spark, sf):
-    ships = latest(spark, sf).where("mmsi % 2 = 0")
+    ships = latest(spark, sf).where("sog < 12")
     return V.pair_classes(encounters(spark, sf), ships).select("mmsi_a", "mmsi_b", epoch(), "class_a", "class_b")
 
 

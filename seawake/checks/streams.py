@@ -1 +1,147 @@
+"""Queries that run a stream over the derived tables to its end and give its output
+(ST1–ST10). The input is written as files in time order; the stream reads them one
+batch at a time. The SQL states the batch meaning of each job."""
+
+from pyspark.sql import functions as F
+
+from seawake import fixtures as X
+from seawake import schema as S
+from seawake.checks.live import TRACK, _track, positions
+from seawake.checks.messages import DIMS, MESSAGES, NEWEST_STATIC, STATICS
+from seawake.checks.registry import ENCOUNTERS, LIVE, epoch, query, r6
+from seawake.operators import parse as P
+from seawake.session import work_path
+from seawake.sinks import tables as W
+from seawake.sources import files as R
+from seawake.streaming import jobs as J
+from seawake.streaming import state as T
+
+MIDDLE = 1704067200 + 4000
+
+
+def stream_of(spark, df, name, at="timestamp"):
+    """A stream over ``df`` in two time-ordered parts, and a folder for its outputs."""
+    home = work_path(spark, name)
+    early = F.unix_timestamp(at) < MIDDLE
+    for part in (df.where(early), df.where(~early)):
+        part.write.mode("append").parquet(f"{home}/in")
+    files = spark.read.parquet(f"{home}/in")
+    return spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 16).parquet(f"{home}/in"), home
+
+
+def done(query):
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise query.exception()
+
+
+def to_files(df, home, mode="append"):
+    done(
+        df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{home}/c")
+        .trigger(availableNow=True).start(f"{home}/out")
+    )
+    return df.sparkSession.read.parquet(f"{home}/out")
+
+
+@query(  # ST1, ST2: windows that have closed by the last event
+    "windowed_stream",
+    """ SELECT mmsi, w * 10 AS window_s, epoch_s FROM (
+      SELECT *, epoch_s // 10 AS w, row_number() OVER (PARTITION BY mmsi, epoch_s // 10 ORDER BY epoch_s DESC) AS rn FROM vp)
+    WHERE rn = 1 AND w * 10 + 10 <= (SELECT max(epoch_s) FROM vp)""",
+)
+def windowed_stream(spark, sf):
+    stream, home = stream_of(spark, positions(spark, sf), "windowed")
+    # files inside one part are in no order, so the watermark trails by a whole part
+    out = to_files(J.latest_per_window(stream.coalesce(4), delay="0 seconds"), home)
+    return out.select("mmsi", epoch("window_start", "window_s"), epoch())
+
+
+@query(  # ST3 (J1 on a stream)
+    "enrich_stream",
+    STATICS + f""" SELECT p.mmsi, p.epoch_s, coalesce(s.ship_name, 'Unknown') AS ship_name, {", ".join("s." + d for d in DIMS.split(", "))}
+    FROM vp p ASOF LEFT JOIN st s ON p.mmsi = s.mmsi AND p.epoch_s >= s.epoch_s""",
+)
+def enrich_stream(spark, sf):
+    statics = X.vessel_static(spark, sf).withColumn("is_static", F.lit(True))
+    bare = positions(spark, sf).drop("ship_name", *S.DIMS)
+    stream, home = stream_of(spark, bare.unionByName(statics, allowMissingColumns=True), "enrich")
+    out = to_files(T.enrich_stream(stream.where("is_static is null"), stream.where("is_static")), home)
+    return out.select("mmsi", epoch(), "ship_name", *S.DIMS)
+
+
+@query(  # ST4, ST9: tracks from the stream's own history
+    "refresh_stream", TRACK + " SELECT mmsi, step, latitude, longitude, epoch_s, r68, r95, r99 FROM trk"
+)
+def refresh_stream(spark, sf):
+    stream, home = stream_of(spark, positions(spark, sf), "refresh")
+    done(J.refresh_stream(stream, f"{home}/state", f"{home}/c", trigger=J.ONCE))
+    return _track(J.read_state(spark, f"{home}/state/tracks"))
+
+
+@query(  # ST5 (K4 on a stream)
+    "snapshot_stream", NEWEST_STATIC + f" SELECT mmsi, ship_name, {DIMS} FROM snap"
+)
+def snapshot_stream(spark, sf):
+    stream, home = stream_of(spark, X.vessel_static(spark, sf), "snapshot")
+    done(J.snapshot_stream(stream, f"{home}/snapshot", f"{home}/c", trigger=J.ONCE))
+    return R.read_static_snapshot(spark, f"{home}/snapshot")
+
+
+@query("first_per_ship_stream", " SELECT DISTINCT mmsi FROM vp")  # ST6
+def first_per_ship_stream(spark, sf):
+    stream, home = stream_of(spark, positions(spark, sf), "first")
+    return to_files(J.first_per_ship_stream(stream, forever=True), home).select("mmsi")
+
+
+@query(  # ST7 (J5 on a stream)
+    "encounters_stream",
+    ENCOUNTERS + """ SELECT mmsi_a, mmsi_b, epoch_s, round(cpa, 6) AS cpa, round(tcpa, 6) AS tcpa FROM enc
+    WHERE epoch_s // 10 * 10 + 10 <= (SELECT max(epoch_s) FROM uw WHERE dim_a + dim_b > 50)""",
+)
+def encounters_stream(spark, sf):
+    stream, home = stream_of(spark, P.under_way(positions(spark, sf)), "encounters")
+    done(J.encounters_stream(stream, f"{home}/out", f"{home}/c", trigger=J.ONCE))
+    return spark.read.parquet(f"{home}/out").select("mmsi_a", "mmsi_b", epoch(), *r6("cpa", "tcpa"))
+
+
+@query(  # ST8 (A9, J4 once per batch)
+    "latest_state_stream", LIVE + " SELECT id, round(cpa, 6) AS cpa, round(tcpa, 6) AS tcpa FROM live"
+)
+def latest_state_stream(spark, sf):
+    stream, home = stream_of(spark, positions(spark, sf), "latest")
+    done(J.latest_state_stream(stream, f"{home}/state", f"{home}/c", trigger=J.ONCE))
+    return J.read_state(spark, f"{home}/state/encounters").select("id", *r6("cpa", "tcpa"))
+
+
+@query(  # ST10: one queue, two branches; names come from the snapshot of the same queue
+    "messages_stream",
+    MESSAGES + """, named AS (SELECT DISTINCT mmsi FROM msg WHERE NOT (event_id % 17 = 0 AND (event_id // 17) % 3 = 2)
+      AND event_id % 29 <> 3 AND lower(trim(ship_name)) <> 'unknown' AND dim_a IS NOT NULL)
+    SELECT 'positions' AS branch, count(*) AS n FROM good UNION ALL SELECT 'snapshot', count(*) FROM named""",
+)
+def messages_stream(spark, sf):
+    home = work_path(spark, "messages")
+    X.messages(spark, sf).select("value").write.text(f"{home}/in")
+    stream = R.read_messages(spark, f"{home}/in")
+    done(J.messages_stream(stream, f"{home}/positions", f"{home}/snapshot", f"{home}/c", trigger=J.ONCE))
+    stored = spark.read.parquet(f"{home}/positions").select(F.lit("positions").alias("branch"))
+    ships = R.read_static_snapshot(spark, f"{home}/snapshot").select(F.lit("snapshot").alias("branch"))
+    return stored.unionAll(ships).groupBy("branch").agg(F.count("*").alias("n"))
+
+
+@query(  # S1, K5: feed files to published messages, through the keyed state
+    "feed_stream",
+    """, good AS (SELECT * FROM vp WHERE event_id % 41 <> 0 AND event_id % 47 <> 0 AND sog >= 2)
+    SELECT count(*) AS n, count(DISTINCT mmsi) AS ships FROM good""",
+)
+def feed_stream(spark, sf):
+    home = work_path(spark, "feed")
+    X.envelopes(spark, sf).write.text(f"{home}/in")
+    reports, statics = P.route_by_type(R.read_feed(spark, f"{home}/in"))
+    now = F.timestamp_seconds(F.lit(1704067140))
+    good = P.valid_coordinate(P.under_way(P.flatten_position(reports, now)))
+    out = T.enrich_stream(good, P.flatten_static(statics, now))
+    done(W.publish_messages(out, f"{home}/out", f"{home}/c", trigger=J.ONCE))
+    back = P.parse_message(spark.read.text(f"{home}/out"))
+    return back.agg(F.count("*").alias("n"), F.countDistinct("mmsi").alias("ships"))
 

@@ -1 +1,124 @@
+"""Queries that go through files: what is written comes back.
+
+Folders are taken below the session's shared folder, a new one for each run.
+"""
+
+from pyspark.sql import functions as F
+
+from seawake import fixtures as X
+from seawake import schema as S
+from seawake.checks.history import COMPONENTS, FOCUS
+from seawake.checks.live import encounters, positions
+from seawake.checks.messages import DIMS, NEWEST_STATIC, NOW, STATICS
+from seawake.checks.registry import ENCOUNTERS, epoch, query, r6
+from seawake.operators import parse as P
+from seawake.plans import history as H
+from seawake.sinks import tables as W
+from seawake.sources import files as R
+from seawake.session import work_path
+
+
+@query("write_positions", " SELECT mmsi, ship_name, latitude, longitude, cog, sog, heading, epoch_s FROM vp")  # K1
+def write_positions(spark, sf):
+    path = work_path(spark, "positions")
+    W.write_positions(positions(spark, sf), path)
+    return spark.read.parquet(path).select("mmsi", "ship_name", "latitude", "longitude", "cog", "sog", "heading", epoch())
+
+
+@query(  # K3
+    "write_encounters", ENCOUNTERS + " SELECT mmsi_a, mmsi_b, epoch_s, round(cpa, 6) AS cpa, true AS is_active FROM enc"
+)
+def write_encounters(spark, sf):
+    path = work_path(spark, "encounters")
+    W.write_encounters(encounters(spark, sf), path)
+    return spark.read.parquet(path).select("mmsi_a", "mmsi_b", epoch(), *r6("cpa"), "is_active")
+
+
+@query(  # K2
+    "write_static", STATICS + f" SELECT mmsi, ship_name, {DIMS}, 1704067140 AS updated_s FROM st"
+)
+def write_static(spark, sf):
+    path = work_path(spark, "static")
+    W.write_static(P.project_static(X.vessel_static(spark, sf), NOW), path)
+    return spark.read.parquet(path).select("mmsi", "ship_name", *DIMS.split(", "), epoch("update_time", "updated_s"))
+
+
+@query("static_snapshot", NEWEST_STATIC + f" SELECT mmsi, ship_name, {DIMS} FROM snap")  # K4, S5: two batches
+def static_snapshot(spark, sf):
+    path = work_path(spark, "snapshot")
+    statics = X.vessel_static(spark, sf)
+    split = F.col("epoch_s") < 1704070800
+    W.write_static_snapshot(statics.where(split), path, 1)
+    return W.write_static_snapshot(statics.where(~split), path, 2)
+
+
+@query(  # K5, S2: messages out and in again
+    "publish_messages",
+    " SELECT mmsi, ship_name, latitude, longitude, cog, sog, heading, epoch_s, dim_a, dim_b, dim_c, dim_d, 'none' AS geohash FROM vp",
+)
+def publish_messages(spark, sf):
+    path = work_path(spark, "messages")
+    W.publish_messages(positions(spark, sf), path)
+    back = P.parse_message(R.read_messages(spark, path, stream=False))
+    return back.withColumn("epoch_s", F.unix_timestamp("timestamp")).drop("timestamp")
+
+
+def _documents(spark, sf):
+    path = work_path(spark, "scenarios")
+    W.write_scenarios(H.scenario_documents(H.build_scenarios(encounters(spark, sf), positions(spark, sf))), path)
+    return path
+
+
+@query(  # K6, S7
+    "history_documents",
+    FOCUS + """, counted AS (SELECT h, component, count(*) AS replays FROM placed GROUP BY 1, 2)
+    , shots AS (SELECT h, component, sum(copies) AS frames FROM focus GROUP BY 1, 2)
+    SELECT scenario_id, collisions_count, n_ships, replays, frames::BIGINT AS frames FROM parent
+    JOIN counted ON parent.h = counted.h AND parent.component = counted.component
+    JOIN shots ON parent.h = shots.h AND parent.component = shots.component""",
+)
+def history_documents(spark, sf):
+    docs = R.read_history(spark, _documents(spark, sf))
+    parents = docs.where("_parent").select("scenario_id", "collisions_count", F.size("ships_involved").cast("long").alias("n_ships"))
+    children = docs.where("not _parent").groupBy("scenario_id").agg(
+        F.count("*").alias("replays"), F.sum(F.size("frames")).alias("frames")
+    )
+    return parents.join(children, "scenario_id")
+
+
+@query(  # S6: one folder per hour with at least one file
+    "list_history", COMPONENTS + " SELECT h, true AS listed FROM (SELECT DISTINCT h FROM placed)"
+)
+def list_history(spark, sf):
+    folder = _documents(spark, sf)
+    files = R.list_history(spark, folder, "*.txt").where("size > 0 and name is not null and updated is not null")
+    docs = spark.read.text(folder).select("hour").distinct()
+    hours = docs.select(F.floor(F.unix_timestamp(F.to_timestamp("hour", "yyyyMMdd_HH")) / 3600).cast("long").alias("h"))
+    return hours.join(files.agg(F.count("*").alias("n")).select((F.col("n") > 0).alias("listed")), F.col("listed"), "left")
+
+
+@query("ensure_table", " SELECT mmsi, ship_name, epoch_s FROM vp")  # K7
+def ensure_table(spark, sf):
+    path = work_path(spark, "table")
+    name = "t_" + path.rsplit("-", 1)[1]
+    assert W.ensure_table(spark, name, S.POSITIONS, path) and not W.ensure_table(spark, name, S.POSITIONS, path)
+    columns = S.POSITIONS.fieldNames()
+    rows = positions(spark, sf).select(*columns, F.to_date("timestamp").alias("event_date"))
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    rows.write.insertInto(name, overwrite=True)
+    return spark.table(name).select("mmsi", "ship_name", epoch())
+
+
+@query(  # K8: day partitions that ended before the retention limit are dropped
+    "drop_expired",
+    " SELECT mmsi, epoch_s FROM vp WHERE epoch_s // 86400 * 86400 > 1704067200 - 86400 AND event_id >= 0",
+)
+def drop_expired(spark, sf):
+    path = work_path(spark, "expiring")
+    vp = positions(spark, sf)
+    old = vp.withColumn("timestamp", F.col("timestamp") - F.expr("INTERVAL 3 DAYS"))
+    W.write_positions(vp.unionByName(old), path)
+    W.drop_expired(spark, path, 3600, F.timestamp_seconds(F.lit(1704067200)))
+    return spark.read.parquet(path).select("mmsi", epoch())
+
 

@@ -79,13 +79,15 @@ def to_message_text(messages: DataFrame) -> DataFrame:
     return messages.select(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("value"))
 
 
-def publish_messages(messages: DataFrame, path: str | None, checkpoint: str | None = None, fmt: str = "text", **options):
+def publish_messages(messages: DataFrame, path: str | None, checkpoint: str | None = None, fmt: str = "text", trigger: dict | None = None, **options):
     """Writes messages to a folder or a queue; a stream gives its running query."""
     text = to_message_text(messages)
     if not messages.isStreaming:
         writer = text.write.format(fmt).mode("append").options(**options)
         return writer.save(path) if path else writer.save()
     writer = text.writeStream.format(fmt).options(**options).option("checkpointLocation", checkpoint)
+    if trigger:
+        writer = writer.trigger(**trigger)
     return writer.start(path) if path else writer.start()
 
 
