@@ -86,15 +86,14 @@ def history_documents(spark, sf):
     return parents.join(children, "scenario_id")
 
 
-@query(  # S6: one folder per hour with at least one file
-    "list_history", COMPONENTS + " SELECT h, true AS listed FROM (SELECT DISTINCT h FROM placed)"
+@query(  # S6
+    "list_history",
+    COMPONENTS + """ SELECT DISTINCT concat('multiship_', strftime(make_timestamp(h * 3600 * 1000000), '%Y%m%d_%H')) AS name,
+      true AS filled FROM placed""",
 )
 def list_history(spark, sf):
-    folder = _documents(spark, sf)
-    files = R.list_history(spark, folder, "*.txt").where("size > 0 and name is not null and updated is not null")
-    docs = spark.read.text(folder).select("hour").distinct()
-    hours = docs.select(F.floor(F.unix_timestamp(F.to_timestamp("hour", "yyyyMMdd_HH")) / 3600).cast("long").alias("h"))
-    return hours.join(files.agg(F.count("*").alias("n")).select((F.col("n") > 0).alias("listed")), F.col("listed"), "left")
+    files = R.list_history(spark, _documents(spark, sf))
+    return files.select("name", ((F.col("size") > 0) & F.col("updated").isNotNull()).alias("filled"))
 
 
 @query("ensure_table", " SELECT mmsi, ship_name, epoch_s FROM vp")  # K7

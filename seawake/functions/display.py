@@ -48,7 +48,7 @@ def age_text(then_s: Column, now_s: Column) -> Column:
     text = F.when(age < 60, F.concat(age.cast("string"), F.lit("s ago"))).otherwise(
         F.concat(minutes.cast("string"), F.lit("m "), seconds.cast("string"), F.lit("s ago"))
     )
-    return F.coalesce(text, F.lit(""))
+    return F.when(then_s.isNull(), F.lit("")).otherwise(text)
 
 
 def pair_key(mmsi_a: Column, mmsi_b: Column) -> Column:

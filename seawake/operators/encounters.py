@@ -47,24 +47,20 @@ def _boxes(states: DataFrame, plane: str, max_cpa: float, hours: float) -> DataF
         x, y = geo.flat_xy(F.col("latitude"), F.col("longitude"))
     else:  # x is scaled per grid row, see _row_scale
         x, y = F.col("longitude"), F.col("latitude") * LOCAL_NM_PER_DEGREE
-    moving = geo.computed(states, {"_vx": vx, "_vy": vy, "_x": x, "_y": y})
-    boxes = geo.computed(
-        moving,
-        {
-            "_yc": F.col("_y") + F.col("_vy") * (hours / 2),
-            "_hx": (F.abs("_vx") * (hours / 2) + max_cpa / 2) * SLACK,
-            "_hy": (F.abs("_vy") * (hours / 2) + max_cpa / 2) * SLACK,
-        },
-    )
-    return boxes.withColumn(
-        "_tier", F.greatest(F.lit(0), F.ceil(F.log2(F.greatest("_hx", "_hy") / max_cpa))).cast("int")
-    )
+    boxes = geo.computed(states, {"_vx": vx, "_vy": vy, "_x": x, "_y": y})
+    extents = {
+        "_yc": F.col("_y") + F.col("_vy") * (hours / 2),
+        "_hx": (F.abs("_vx") * (hours / 2) + max_cpa / 2) * SLACK,
+        "_hy": (F.abs("_vy") * (hours / 2) + max_cpa / 2) * SLACK,
+    }
+    half = F.greatest(extents["_hx"], extents["_hy"])
+    tier = F.greatest(F.lit(0), F.ceil(F.log2(half / max_cpa))).cast("int")
+    return boxes.withColumns({**extents, "_tier": tier})
 
 
-def _with_bound(df: DataFrame, tier: Column, max_cpa: float) -> DataFrame:
-    """``_g`` is the tier of the cells, ``_bound`` twice the half extent no box of it
-    exceeds. Cells are two bounds wide."""
-    return geo.computed(df.withColumn("_g", tier), {"_bound": F.pow(F.lit(2.0), F.col("_g")) * (2 * max_cpa)})
+def _bound(max_cpa: float) -> Column:
+    """Twice the half extent that no box of tier ``_g`` exceeds. Cells are two bounds wide."""
+    return F.pow(F.lit(2.0), F.col("_g")) * (2 * max_cpa)
 
 
 def _cell(value: Column) -> Column:
@@ -77,7 +73,7 @@ def _span(centre: Column, half: Column) -> Column:
     return F.explode_outer(F.sequence(_cell(centre - reach), _cell(centre + reach)))
 
 
-def _row_scale(plane: str) -> Column:
+def _row_scale() -> Column:
     """Nautical miles per unit of ``_x`` in grid row ``_cy``.
 
     In the local plane a degree of longitude is scaled by the cosine of the pair's
@@ -85,8 +81,6 @@ def _row_scale(plane: str) -> Column:
     have, so distances are only ever underestimated. A row that reaches a pole has
     scale 0: all its ships share one cell.
     """
-    if plane == "flat":
-        return F.lit(1.0)
     cy, bound = F.col("_cy"), F.col("_bound")
     reach = F.greatest(F.abs((cy - 1) * 2 * bound), F.abs((cy + 2) * 2 * bound)) / LOCAL_NM_PER_DEGREE
     return F.when(reach < POLAR_LATITUDE, F.cos(F.radians(reach)) * LOCAL_NM_PER_DEGREE).otherwise(F.lit(0.0))
@@ -94,7 +88,9 @@ def _row_scale(plane: str) -> Column:
 
 def _across(df: DataFrame, plane: str, hours: float) -> DataFrame:
     """Box centre and half extent across grid row ``_cy``."""
-    scaled = geo.computed(df, {"_scale": _row_scale(plane)})
+    if plane == "flat":
+        return geo.computed(df, {"_xc": F.col("_x") + F.col("_vx") * (hours / 2), "_wx": F.col("_hx")})
+    scaled = geo.computed(df, {"_scale": _row_scale()})
     polar = F.col("_scale") == 0
     centre = F.col("_x") * F.col("_scale") + F.col("_vx") * (hours / 2)
     return geo.computed(
@@ -107,13 +103,14 @@ def _across(df: DataFrame, plane: str, hours: float) -> DataFrame:
 
 
 def _visitors(boxes: DataFrame, top_tier: Column, plane: str, max_cpa: float, hours: float) -> DataFrame:
-    tiers = F.explode_outer(F.sequence(F.col("_tier"), top_tier))
-    rows = geo.computed(_with_bound(boxes, tiers, max_cpa), {"_cy": _cell(F.col("_yc"))})
-    return geo.computed(_across(rows, plane, hours), {"_cx": _cell(F.col("_xc"))})
+    tiers = boxes.withColumn("_g", F.explode_outer(F.sequence(F.col("_tier"), top_tier)))
+    rows = geo.computed(tiers, {"_bound": _bound(max_cpa)})
+    rows = geo.computed(rows, {"_cy": _cell(F.col("_yc"))})
+    return _across(rows, plane, hours).withColumn("_cx", _cell(F.col("_xc")))
 
 
 def _hosts(boxes: DataFrame, plane: str, max_cpa: float, hours: float) -> DataFrame:
-    own = _with_bound(boxes, F.col("_tier"), max_cpa)
+    own = geo.computed(boxes.withColumn("_g", F.col("_tier")), {"_bound": _bound(max_cpa)})
     rows = own.withColumn("_cy", _span(F.col("_yc"), F.col("_hy")))
     return _across(rows, plane, hours).withColumn("_cx", _span(F.col("_xc"), F.col("_wx")))
 

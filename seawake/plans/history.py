@@ -93,51 +93,42 @@ def scenario_documents(s: Scenarios) -> DataFrame:
     iso = D.iso_time
     parents = s.parents.select(
         "hour",
-        F.struct(
-            F.lit(True).alias("_parent"),
-            "scenario_id",
-            "ships_involved",
-            "collisions_count",
-            iso(F.col("min_ts")).alias("min_ts"),
-            iso(F.col("max_ts")).alias("max_ts"),
-        ).alias("doc"),
+        F.lit(True).alias("_parent"),
+        "scenario_id",
+        "ships_involved",
+        "collisions_count",
+        iso(F.col("min_ts")).alias("min_ts"),
+        iso(F.col("max_ts")).alias("max_ts"),
     )
     ship = F.struct(
         "mmsi", "name", "ship_length", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), "sog", "cog"
     )
+    moment = iso(F.timestamp_seconds("frame_s")).alias("time")
     shots = (
         s.frames.groupBy(*S.ENCOUNTER, "frame_s", "focus_dist", "delta_minutes")
         .agg(F.sort_array(F.collect_list(ship)).alias("shipPositions"))
         .groupBy(*S.ENCOUNTER)
         .agg(
-            F.sort_array(
-                F.collect_list(
-                    F.struct(
-                        iso(F.timestamp_seconds("frame_s")).alias("time"), "focus_dist", "delta_minutes", "shipPositions"
-                    )
-                )
-            ).alias("frames")
+            F.sort_array(F.collect_list(F.struct(moment, "focus_dist", "delta_minutes", "shipPositions"))).alias("frames")
         )
     )
-    keyed = s.replays.withColumn("t_us", F.unix_micros("timestamp")).withColumn(
-        "mmsi_a", F.col("focus_mmsi")[0]
-    ).withColumn("mmsi_b", F.col("focus_mmsi")[1])
+    keyed = (
+        s.replays.withColumn("t_us", F.unix_micros("timestamp"))
+        .withColumn("mmsi_a", F.col("focus_mmsi")[0])
+        .withColumn("mmsi_b", F.col("focus_mmsi")[1])
+    )
     children = keyed.join(shots, S.ENCOUNTER, "left").select(
         "hour",
-        F.struct(
-            F.lit(False).alias("_parent"),
-            "scenario_id",
-            "collision_id",
-            "focus_mmsi",
-            "title",
-            "cpa",
-            iso(F.col("t_min")).alias("t_min"),
-            "all_involved_mmsi",
-            "icon_lat",
-            "icon_lon",
-            "frames",
-        ).alias("doc"),
-    )
-    return parents.select("hour", F.to_json("doc").alias("value")).unionByName(
-        children.select("hour", F.to_json("doc").alias("value"))
+        F.lit(False).alias("_parent"),
+        "scenario_id",
+        "collision_id",
+        "focus_mmsi",
+        "title",
+        "cpa",
+        iso(F.col("t_min")).alias("t_min"),
+        "all_involved_mmsi",
+        "icon_lat",
+        "icon_lon",
+        "frames",
     )
+    return parents.unionByName(children, allowMissingColumns=True)

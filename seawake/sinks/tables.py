@@ -92,14 +92,14 @@ def publish_messages(messages: DataFrame, path: str | None, checkpoint: str | No
 
 
 def write_scenarios(documents: DataFrame, path: str) -> None:
-    """Scenario documents (``hour``, ``value``) as JSON lines in one folder per hour,
-    ``hour=yyyyMMdd_HH``. Writing an hour again replaces that hour only."""
+    """Scenario documents as JSON lines in one folder per hour, ``hour=yyyyMMdd_HH``.
+    Writing an hour again replaces that hour only."""
     (
         documents.withColumn("hour", F.date_format("hour", "yyyyMMdd_HH"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("hour")
-        .text(path)
+        .json(path)
     )
 
 

@@ -60,7 +60,8 @@ def read_static_snapshot(spark: SparkSession, path: str, before: int | None = No
 
 
 def list_history(spark: SparkSession, folder: str, pattern: str = "*.json") -> DataFrame:
-    """Listing of history files: ``name, size, updated``. Contents are not read."""
+    """Listing of history: ``name, size, updated`` of each hour folder, or of each file
+    that lies in none. Contents are not read."""
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", pattern)
@@ -68,10 +69,10 @@ def list_history(spark: SparkSession, folder: str, pattern: str = "*.json") -> D
         .load(folder)
         .select("path", "length", "modificationTime")
     )
-    return files.select(
-        F.regexp_extract("path", r"([^/]+)$", 1).alias("name"),
-        F.col("length").alias("size"),
-        F.col("modificationTime").alias("updated"),
+    hour = F.regexp_extract("path", r"/hour=([^/]+)/", 1)
+    name = F.when(hour != "", F.concat(F.lit("multiship_"), hour)).otherwise(F.regexp_extract("path", r"([^/]+)$", 1))
+    return files.groupBy(name.alias("name")).agg(
+        F.sum("length").alias("size"), F.max("modificationTime").alias("updated")
     )
 
 
