@@ -7,7 +7,7 @@ from seawake.checks.registry import ENCOUNTERS, epoch, haversine, query, r6
 from seawake.functions import display as D
 from seawake.operators import scenarios as S
 from seawake.plans import history as H
-from seawake.session import cut_lineage
+from seawake.session import stored
 
 HISTORY = ENCOUNTERS + """, hist AS (
   SELECT *, epoch_s // 3600 AS h, concat_ws('_', mmsi_a, mmsi_b, strftime(make_timestamp(epoch_s * 1000000), '%Y%m%d%H%M%S')) AS collision_id
@@ -87,15 +87,15 @@ def chosen(spark, sf):
 
 
 def parts(spark, sf):
-    """Encounters cut from their lineage, members, moments and positions."""
-    met = cut_lineage(chosen(spark, sf))
+    """Stored encounters, members, moments and positions."""
+    met = stored(chosen(spark, sf), "chosen")
     members = S.scenario_members(met)
     moments = S.moments(S.edges_in_component(met, members))
     return met, members, moments, S.positions_for_encounters(moments, members, positions(spark, sf))
 
 
 def tracks_of(rows):
-    return cut_lineage(S.ship_tracks(S.resample(rows, [*S.MOMENT, "mmsi"])))
+    return stored(S.ship_tracks(S.resample(rows, [*S.MOMENT, "mmsi"])), "tracks")
 
 
 @query(  # S3, P21

@@ -30,6 +30,23 @@ def _interval(seconds: int) -> Column:
 
 
 # --- S3: encounters of a span of hours ---------------------------------------
+def in_span(df: DataFrame, start: Column | None, end: Column | None, before_s: int = 0, after_s: int = 0) -> DataFrame:
+    """Rows in ``[start - before, end + after)``; an open end is no bound. Plain
+    comparisons on stored columns, so they reach the Parquet scan; a table that is
+    partitioned by ``event_date`` is pruned as well."""
+    ts, day = F.col("timestamp"), F.col("event_date")
+    dated = "event_date" in df.columns
+    if start is not None:
+        first = start - _interval(before_s)
+        df = df.where(ts >= first)
+        df = df.where(day >= F.to_date(first)) if dated else df
+    if end is not None:
+        last = end + _interval(after_s)
+        df = df.where(ts < last)
+        df = df.where(day <= F.to_date(last)) if dated else df
+    return df
+
+
 def read_encounters(
     encounters: DataFrame,
     start: Column | None = None,
@@ -37,18 +54,9 @@ def read_encounters(
     max_cpa: float = C.HISTORY_MAX_CPA_NM,
     tcpa: tuple[float, float] = C.HISTORY_TCPA_MIN,
 ) -> DataFrame:
-    """Close encounters in ``[start, end)`` with ``collision_id``. All conditions are
-    plain comparisons on stored columns, so they reach the Parquet scan; a table
-    partitioned by ``event_date`` is pruned as well."""
-    kept = encounters.where((F.col("cpa") < max_cpa) & F.col("tcpa").between(*tcpa))
-    for bound, is_start in ((start, True), (end, False)):
-        if bound is None:
-            continue
-        kept = kept.where(F.col("timestamp") >= bound if is_start else F.col("timestamp") < bound)
-        if "event_date" in encounters.columns:
-            day = F.to_date(bound)
-            kept = kept.where(F.col("event_date") >= day if is_start else F.col("event_date") <= day)
-    return with_collision_id(kept)
+    """Close encounters in ``[start, end)`` with ``collision_id``."""
+    close = (F.col("cpa") < max_cpa) & F.col("tcpa").between(*tcpa)
+    return with_collision_id(in_span(encounters.where(close), start, end))
 
 
 def with_hour(encounters: DataFrame) -> DataFrame:
@@ -183,28 +191,48 @@ def positions_for_encounters(
     return windows.join(rows, ["mmsi", "bucket"]).where(F.col("ts_us").between(first, last)).drop("bucket")
 
 
+def _length(positions: DataFrame) -> Column:
+    """Ship length as the table has it: its own column, the dimensions, or none."""
+    if "ship_length" in positions.columns:
+        return F.col("ship_length")
+    if {"dim_a", "dim_b"} <= set(positions.columns):
+        return F.col("dim_a") + F.col("dim_b")
+    return F.lit(None).cast("double")
+
+
 def dedupe_positions(positions: DataFrame, keys: list[str] = ("mmsi", "timestamp")) -> DataFrame:
     """One row per ship, time, position, speed and course; greatest name and length."""
-    length = F.max("ship_length") if "ship_length" in positions.columns else F.max(F.col("dim_a") + F.col("dim_b"))
-    return positions.groupBy(*keys, "latitude", "longitude", "sog", "cog").agg(
-        F.max("ship_name").alias("ship_name"), length.alias("ship_length")
+    return (
+        positions.withColumn("ship_length", _length(positions))
+        .groupBy(*keys, "latitude", "longitude", "sog", "cog")
+        .agg(F.max("ship_name").alias("ship_name"), F.max("ship_length").alias("ship_length"))
     )
 
 
+def lengths_from_static(tracks: DataFrame, statics: DataFrame) -> DataFrame:
+    """Tracks whose unknown ship length (0) is filled from static rows, one per ship."""
+    known = statics.select("mmsi", (F.col("dim_a") + F.col("dim_b")).alias("_len"))
+    return tracks.join(known, "mmsi", "left").withColumn(
+        "ship_length", F.when(F.col("ship_length") == 0, F.coalesce("_len", F.lit(0.0))).otherwise(F.col("ship_length"))
+    ).drop("_len")
+
+
 # --- A12, W2: labels and resampling ------------------------------------------
+LABEL = ("ship_name", "ship_length")
+
+
+def _labelled(df: DataFrame) -> DataFrame:
+    """Name and length of a ship's last row with their fallbacks, as ``name`` and ``ship_length``."""
+    return df.withColumn("name", F.coalesce(D.present(F.col("ship_name")), F.col("mmsi").cast("string"))).withColumn(
+        "ship_length", F.coalesce("ship_length", F.lit(0.0))
+    )
+
+
 def ship_labels(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Name and length from the last row of each ship."""
-    last = F.max(F.struct("ts_us", "latitude", "longitude", "sog", "cog", "ship_name", "ship_length"))
-    return (
-        rows.groupBy(*keys, "mmsi")
-        .agg(last.alias("_l"))
-        .select(
-            *keys,
-            "mmsi",
-            F.coalesce(D.present(F.col("_l.ship_name")), F.col("mmsi").cast("string")).alias("name"),
-            F.coalesce("_l.ship_length", F.lit(0.0)).alias("ship_length"),
-        )
-    )
+    last = F.max(F.struct("ts_us", "latitude", "longitude", "sog", "cog", *LABEL))
+    found = rows.groupBy(*keys, "mmsi").agg(last.alias("_l")).select(*keys, "mmsi", *[f"_l.{c}" for c in LABEL])
+    return _labelled(found).select(*keys, "mmsi", "name", "ship_length")
 
 
 def resample(
@@ -213,30 +241,42 @@ def resample(
     step_s: int = C.FRAME_STEP_S,
     circular: bool = False,
     align: bool = False,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Linear resampling of each series to ``first + k * step``; one row per grid point.
 
     ``rows`` have ``keys``, ``ts_us`` and the four values. Each segment between
     consecutive records emits the grid points in its half-open span itself, so no
     join is needed. ``circular`` turns courses the short way round; ``align`` starts
-    all grids at a whole multiple of the step.
+    all grids at a whole multiple of the step; ``carry`` names columns whose last
+    value in the series goes with every point. All windows share one sort.
     """
     step = step_s * MICROS
-    ordered = Window.partitionBy(*keys).orderBy("ts_us", "latitude", "longitude", "sog", "cog")
     values = ("latitude", "longitude", "sog", "cog")
+    ordered = Window.partitionBy(*keys).orderBy("ts_us", *values, *carry)
+    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     nxt = F.lead(F.struct("ts_us", *values)).over(ordered)
-    start = F.min("ts_us").over(Window.partitionBy(*keys))
+    start = F.min("ts_us").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
     grid0 = F.ceil(F.col("_start") / step) * step if align else F.col("_start")
     segments = (
-        rows.select(*keys, "ts_us", *values, nxt.alias("_b"), start.alias("_start"), F.row_number().over(ordered).alias("_i"))
+        rows.select(
+            *keys,
+            "ts_us",
+            *values,
+            nxt.alias("_b"),
+            start.alias("_start"),
+            F.row_number().over(ordered).alias("_i"),
+            *[F.last(c).over(whole).alias(c) for c in carry],
+        )
         .withColumn("_grid0", grid0.cast("long"))
         .withColumn("_lo", F.floor((F.col("ts_us") - F.col("_grid0")) / step).cast("long") + 1)
         .withColumn("_hi", F.floor((F.col("_b.ts_us") - F.col("_grid0")) / step).cast("long"))
     )
     # the first record itself is grid point 0 when the grid starts on it
+    zero, none = F.lit(0).cast("long"), F.lit(-1).cast("long")
     own = (F.col("_i") == 1) & (F.col("_grid0") == F.col("ts_us"))
-    lo = F.when(own, F.lit(0).cast("long")).otherwise(F.greatest("_lo", F.lit(0).cast("long")))
-    hi = F.greatest(F.coalesce("_hi", F.lit(-1).cast("long")), F.when(own, F.lit(0).cast("long")).otherwise(F.lit(-1).cast("long")))
+    lo = F.when(own, zero).otherwise(F.greatest("_lo", zero))
+    hi = F.greatest(F.coalesce("_hi", none), F.when(own, zero).otherwise(none))
     points = segments.withColumn("k", F.explode(F.when(lo <= hi, F.sequence(lo, hi))))
     at = F.col("_grid0") + F.col("k") * step
     span = F.col("_b.ts_us") - F.col("ts_us")
@@ -255,20 +295,24 @@ def resample(
         F.col("k").cast("int").alias("k"),
         F.floor(F.col("frame_us") / MICROS).cast("long").alias("frame_s"),
         *[between(v).alias(v) for v in values],
+        *carry,
     )
 
 
 # --- W3: gap filling ---------------------------------------------------------
 def ship_tracks(frames: DataFrame) -> DataFrame:
-    """Frames of each moment and ship as one array in step order. Steps are
-    contiguous, so the frame of any time is an index, not a search."""
+    """Frames of each moment and ship as one array in step order, with the ship's label
+    where the frames carry it. Steps are contiguous, so the frame of any time is an
+    index, not a search; an array holds at most the frames of the wide window."""
     point = F.struct("k", "frame_s", "latitude", "longitude", "sog", "cog")
-    return (
+    label = [F.max(c).alias(c) for c in LABEL if c in frames.columns]
+    tracks = (
         frames.groupBy(*MOMENT, "mmsi")
-        .agg(F.sort_array(F.collect_list(point)).alias("track"))
+        .agg(F.sort_array(F.collect_list(point)).alias("track"), *label)
         .withColumn("first_s", F.col("track")[0]["frame_s"])
         .withColumn("steps", F.size("track"))
     )
+    return _labelled(tracks).drop("ship_name") if label else tracks
 
 
 def _at_time(prefix: str, time_s: Column, step_s: int, look_ahead: bool) -> Column:
@@ -292,7 +336,7 @@ def fill_gaps(times: DataFrame, tracks: DataFrame, look_ahead: bool = False, ste
         times.join(tracks, MOMENT)
         .withColumn("_p", _at_time("", F.col("frame_s"), step_s, look_ahead))
         .where(F.col("_p").isNotNull())
-        .select(*MOMENT, "frame_s", "mmsi", *[F.col(f"_p.{c}").alias(c) for c in ("latitude", "longitude", "sog", "cog")])
+        .select(*MOMENT, "frame_s", "mmsi", *[c for c in ("name", "ship_length") if c in tracks.columns], *[F.col(f"_p.{c}").alias(c) for c in ("latitude", "longitude", "sog", "cog")])
     )
 
 

@@ -11,7 +11,6 @@ from seawake.functions import geo
 from seawake.functions import risk as R
 from seawake.operators.enrich import derive_size
 from seawake.operators.tracks import most_recent
-from seawake.session import broadcast_if_small
 
 
 def ship_state(positions: DataFrame) -> DataFrame:
@@ -147,7 +146,7 @@ def removed_vessels(previous: DataFrame, current: DataFrame) -> DataFrame:
 def pair_classes(encounters: DataFrame, ships: DataFrame, fallback: float = 0.0) -> DataFrame:
     """Length class of both ships of each encounter."""
     length = F.when((F.col("dim_a") > 0) & (F.col("dim_b") > 0), F.col("dim_a") + F.col("dim_b"))
-    lengths = broadcast_if_small(ships.select("mmsi", length.alias("_len")).where("_len is not null"))
+    lengths = ships.select("mmsi", length.alias("_len")).where("_len is not null")
     out = encounters
     for side in "ab":
         named = lengths.select(F.col("mmsi").alias(f"mmsi_{side}"), F.col("_len").alias(f"_len_{side}"))

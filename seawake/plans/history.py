@@ -7,9 +7,10 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seawake import config as C
 from seawake.functions import display as D
 from seawake.operators import scenarios as S
-from seawake.session import cut_lineage
+from seawake.session import stored
 
 
 class Scenarios(NamedTuple):
@@ -22,6 +23,7 @@ class Scenarios(NamedTuple):
 def build_scenarios(
     encounters: DataFrame,
     positions: DataFrame,
+    statics: DataFrame | None = None,
     start: Column | None = None,
     end: Column | None = None,
     look_ahead: bool = False,
@@ -30,21 +32,27 @@ def build_scenarios(
 ) -> Scenarios:
     """Scenarios of every hour in ``[start, end)``; without bounds of all hours.
 
+    ``statics`` (one row per ship) gives the ship lengths that the positions lack.
+
     ``look_ahead=True`` fills times before a ship's first frame with its last one, as
     older output files do; by default the ship is left out of those frames.
     """
     # Read by every branch below. The table is small next to the positions, and
     # cutting it here keeps the branches from repeating encounter detection.
-    chosen = cut_lineage(S.with_hour(S.read_encounters(encounters, start, end)))
-    members = S.scenario_members(chosen)
+    chosen = stored(S.with_hour(S.read_encounters(encounters, start, end)), "chosen")
+    members = stored(S.scenario_members(chosen), "members")
     placed = S.edges_in_component(chosen, members)
     summary = S.scenario_summary(placed, members)
 
     moments = S.moments(placed)
-    rows = S.positions_for_encounters(moments, members, positions)
-    labels = S.ship_labels(rows, S.MOMENT)
-    tracks = S.ship_tracks(S.resample(rows, [*S.MOMENT, "mmsi"], circular=circular, align=align))
-    tracks = cut_lineage(tracks)  # the resampled tracks feed times, pairs and fill
+    # one second more at the end, as the replay windows include their ends
+    near = S.in_span(positions, start, end, C.WIDE_BEFORE_S, C.WIDE_AFTER_S + 1)
+    rows = S.positions_for_encounters(moments, members, near)
+    frames = S.resample(rows, [*S.MOMENT, "mmsi"], circular=circular, align=align, carry=S.LABEL)
+    tracks = S.ship_tracks(frames)
+    if statics is not None:
+        tracks = S.lengths_from_static(tracks, statics)
+    tracks = stored(tracks, "tracks")  # feeds times, pairs, fill and names
     times = S.frame_times(tracks)
 
     pairs = S.pair_frames(moments, tracks, times, look_ahead)
@@ -55,7 +63,7 @@ def build_scenarios(
     ids = summary.select(*S.SCENARIO, "scenario_id", "ships_involved")
     replays = closest.join(icon, S.ENCOUNTER, "left")
     for side in "ab":
-        name = labels.select(*S.MOMENT, F.col("mmsi").alias(f"mmsi_{side}"), F.col("name").alias(f"name_{side}"))
+        name = tracks.select(*S.MOMENT, F.col("mmsi").alias(f"mmsi_{side}"), F.col("name").alias(f"name_{side}"))
         replays = replays.join(name, [*S.MOMENT, f"mmsi_{side}"], "left").withColumn(
             f"name_{side}", F.coalesce(f"name_{side}", F.col(f"mmsi_{side}").cast("string"))
         )
@@ -79,7 +87,7 @@ def build_scenarios(
         )
     )
     needed = focus.select(*S.MOMENT, "frame_s").distinct()
-    filled = S.fill_gaps(needed, tracks, look_ahead).join(labels, [*S.MOMENT, "mmsi"])
+    filled = S.fill_gaps(needed, tracks, look_ahead)
     frames = focus.drop("mid_lat", "mid_lon", "real_min_us").join(filled, [*S.MOMENT, "frame_s"])
     parents = summary.select(*S.SCENARIO, "scenario_id", "ships_involved", "collisions_count", "min_ts", "max_ts")
     return Scenarios(parents, replays, frames, focus)

@@ -60,9 +60,18 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows written as a table below the shared folder and read back: cuts the
+    lineage, survives lost executors, and later readers take only their columns."""
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = C.BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a dimension after counting it; beyond ``max_rows`` it is left to
-    a shuffled join, where AQE may split a hot key on the other side."""
+    """Broadcast a stored dimension after counting it; beyond ``max_rows`` it is left to
+    a shuffled join, where AQE may split a hot key on the other side. Derived tables,
+    which a count would compute, are left to AQE and its measured sizes instead."""
     if df.isStreaming:
         return df
     small = df.limit(max_rows + 1).count() <= max_rows

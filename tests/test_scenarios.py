@@ -212,6 +212,25 @@ def test_parent_ids_and_counts(spark, positions):
         assert p.ships_involved == sorted(p.ships_involved)
 
 
+def test_hour_by_hour_equals_all_at_once(spark, positions, tmp_path):
+    from seawake.sinks import tables as W
+
+    W.write_encounters(E.detect_encounters_windowed(P.under_way(positions)), f"{tmp_path}/e")
+    W.write_positions(positions, f"{tmp_path}/p")
+    met, stored = spark.read.parquet(f"{tmp_path}/e"), spark.read.parquet(f"{tmp_path}/p")
+    start, end = F.lit("2024-01-01 00:00:00").cast("timestamp"), F.lit("2024-01-01 01:00:00").cast("timestamp")
+    cols = ["scenario_id", "collision_id", "cpa", "t_min", "title"]
+    ships = positions.select("mmsi", "dim_a", "dim_b").distinct()
+    part = H.build_scenarios(met, stored, ships, start, end)
+    lengths = {(r.mmsi, r.ship_length) for r in part.frames.select("mmsi", "ship_length").distinct().collect()}
+    assert lengths <= {(r.mmsi, r.dim_a + r.dim_b) for r in ships.where("dim_a is not null").collect()}
+    whole = H.build_scenarios(met, stored)
+    assert part.replays.count() > 0
+    assert sorted(map(tuple, part.replays.select(cols).collect())) == sorted(
+        map(tuple, whole.replays.where(F.col("timestamp") < end).select(cols).collect())
+    )
+
+
 def test_hour_bounds(spark):
     met = spark.createDataFrame(
         [(1, 2, T0 + timedelta(minutes=m), c, t) for m, c, t in [(0, 0.29, 0.0), (59, 0.1, 10.0), (60, 0.1, 1.0), (30, 0.3, 1.0), (31, 0.1, 10.1)]],
