@@ -126,7 +126,13 @@ def overall_risk(spark, sf):
     return _scored(spark, sf).select(*KEY, F.round(R.overall_risk(F.col("f")), 6).alias("risk"))
 
 
-@query("risk_explanation")  # two-decimal texts, whose ties engines round differently
+@query(  # F11
+    "risk_explanation",
+    FACTORS + f""" SELECT mmsi_a, mmsi_b, epoch_s, printf('CPA of %.2f nm contributes %.2f to risk', cpa, cpa_risk) AS cpa_factor,
+      printf('TCPA of %.2f min contributes %.2f to risk', tcpa, tcpa_risk) AS tcpa_factor,
+      printf('Combined speed of %.2f knots contributes %.2f to risk', sog_a + sog_b, speed_risk) AS speed_factor,
+      printf('Approach angle of %.2f° contributes %.2f to risk', {TURN}, angle_risk) AS angle_factor FROM k""",
+)
 def risk_explanation(spark, sf):
     speed, angle = A.sog + B.sog, geo.approach_angle(A.cog, B.cog)
     out = _scored(spark, sf)

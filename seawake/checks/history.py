@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from seawake.checks.live import encounters, positions
 from seawake.checks.registry import ENCOUNTERS, epoch, haversine, query, r6
-from seawake.functions import display as D
 from seawake.operators import scenarios as S
 from seawake.plans import history as H
 from seawake.session import stored
@@ -289,9 +288,14 @@ def replay_frames(spark, sf):
     )
 
 
-@query("replay_titles")  # a three-decimal text
+@query(  # F25
+    "replay_titles",
+    FOCUS + LABELS + """ SELECT best.h, best.component, best.t, best.mmsi_a, best.mmsi_b,
+      printf('%s – %s, realMinDist=%.3f nm', x.name, y.name, real_min_dist) AS title FROM best
+    JOIN lab x ON x.h = best.h AND x.component = best.component AND x.t = best.t AND x.mmsi = best.mmsi_a
+    JOIN lab y ON y.h = best.h AND y.component = best.component AND y.t = best.t AND y.mmsi = best.mmsi_b""",
+)
 def replay_titles(spark, sf):
-    pairs = chosen(spark, sf)
-    return pairs.select("collision_id", D.replay_title(F.col("ship_name_a"), F.col("ship_name_b"), F.col("cpa")).alias("title"))
-
-
+    out = H.build_scenarios(encounters(spark, sf), positions(spark, sf)).replays
+    keyed = out.withColumn("t_us", F.unix_micros("timestamp"))
+    return keyed.select(*KEY, F.col("focus_mmsi")[0].alias("mmsi_a"), F.col("focus_mmsi")[1].alias("mmsi_b"), "title")

@@ -10,7 +10,7 @@ from seawake.checks.live import TRACK, _track, positions
 from seawake.checks.messages import DIMS, MESSAGES, NEWEST_STATIC, STATICS
 from seawake.checks.registry import ENCOUNTERS, LIVE, epoch, query, r6
 from seawake.operators import parse as P
-from seawake.session import work_path
+from seawake.session import child_names, work_path
 from seawake.sinks import tables as W
 from seawake.sources import files as R
 from seawake.streaming import jobs as J
@@ -20,13 +20,16 @@ MIDDLE = 1704067200 + 4000
 
 
 def stream_of(spark, df, name, at="timestamp"):
-    """A stream over ``df`` in two time-ordered parts, and a folder for its outputs."""
+    """A stream over ``df`` that reads two time-ordered parts in two batches, and a
+    folder for its outputs."""
     home = work_path(spark, name)
     early = F.unix_timestamp(at) < MIDDLE
-    for part in (df.where(early), df.where(~early)):
-        part.write.mode("append").parquet(f"{home}/in")
-    files = spark.read.parquet(f"{home}/in")
-    return spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 16).parquet(f"{home}/in"), home
+    df.where(early).write.parquet(f"{home}/in")
+    files = [n for n in child_names(spark, f"{home}/in") if n.endswith(".parquet")]
+    df.where(~early).write.mode("append").parquet(f"{home}/in")
+    schema = spark.read.parquet(f"{home}/in").schema
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max(1, len(files)))
+    return reader.parquet(f"{home}/in"), home
 
 
 def done(query):
@@ -51,8 +54,7 @@ def to_files(df, home, mode="append"):
 )
 def windowed_stream(spark, sf):
     stream, home = stream_of(spark, positions(spark, sf), "windowed")
-    # files inside one part are in no order, so the watermark trails by a whole part
-    out = to_files(J.latest_per_window(stream.coalesce(4), delay="0 seconds"), home)
+    out = to_files(J.latest_per_window(stream, delay="0 seconds"), home)
     return out.select("mmsi", epoch("window_start", "window_s"), epoch())
 
 

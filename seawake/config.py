@@ -49,6 +49,15 @@ RISK_UNCERTAINTY = 0.2
 DEFAULT_RISK = 0.5
 SHIP_HEAT = 0.3
 
+# --- texts (fixed values) ----------------------------------------------------
+RISK_SENTENCES = {
+    "cpa_factor": "CPA of %.2f nm contributes %.2f to risk",
+    "tcpa_factor": "TCPA of %.2f min contributes %.2f to risk",
+    "speed_factor": "Combined speed of %.2f knots contributes %.2f to risk",
+    "angle_factor": "Approach angle of %.2f° contributes %.2f to risk",
+}
+REPLAY_TITLE = "%s – %s, realMinDist=%.3f nm"
+
 # --- tracks (fixed values) ---------------------------------------------------
 PREDICTION_HORIZON_MIN = 30
 PREDICTION_STEPS = 10

@@ -64,7 +64,7 @@ def collision_id(mmsi_a: Column, mmsi_b: Column, ts: Column) -> Column:
 
 
 def replay_title(name_a: Column, name_b: Column, distance: Column) -> Column:
-    return F.format_string("%s – %s, realMinDist=%.3f nm", name_a, name_b, distance)
+    return F.format_string(C.REPLAY_TITLE, name_a, name_b, distance)
 
 
 def iso_time(ts: Column) -> Column:

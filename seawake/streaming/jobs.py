@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from seawake import config as C
+from seawake import schema as S
 from seawake.operators import encounters as E
 from seawake.operators import enrich as N
 from seawake.operators import parse as P
@@ -19,12 +20,29 @@ from seawake.operators.series import newest
 from seawake.sinks import tables as W
 from seawake.sources.files import read_static_snapshot, snapshot_versions
 from seawake.session import child_names, delete_path, path_exists
+from seawake.streaming.state import track_stream
 
 ONCE = {"availableNow": True}
 
 
-def _start(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], trigger: dict | None, mode: str = "append") -> StreamingQuery:
-    writer = stream.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", checkpoint)
+def _start(
+    stream: DataFrame,
+    checkpoint: str,
+    each: Callable[[DataFrame, int], None],
+    trigger: dict | None,
+    mode: str = "append",
+) -> StreamingQuery:
+    """Runs ``each`` per batch. It reads the batch more than once, so the batch is kept
+    meanwhile: keyed state is then worked through once per batch."""
+
+    def kept(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        try:
+            each(batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    writer = stream.writeStream.foreachBatch(kept).outputMode(mode).option("checkpointLocation", checkpoint)
     if trigger:
         writer = writer.trigger(**trigger)
     return writer.start()
@@ -50,12 +68,10 @@ def latest_per_window(stream: DataFrame, seconds: int = C.ENCOUNTER_WINDOW_S, de
 
 def latest_static_stream(stream: DataFrame, seconds: int = C.STATIC_WINDOW_S, delay: str = "0 seconds") -> DataFrame:
     """Newest static row of each ship in each closed window."""
-    from seawake.schema import DIMS
-
     return (
         with_lateness(P.has_dimensions(stream), delay)
         .groupBy(F.window("timestamp", f"{seconds} seconds").alias("_w"), "mmsi")
-        .agg(F.max(F.struct("timestamp", "ship_name", *DIMS)).alias("_row"))
+        .agg(F.max(F.struct("timestamp", "ship_name", *S.DIMS)).alias("_row"))
         .select(F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), "mmsi", "_row.*")
     )
 
@@ -110,20 +126,16 @@ def messages_stream(
 ) -> StreamingQuery:
     """One queue, two branches: the snapshot merge and the named positions table.
 
-    The batch is kept for both branches. Names come from the newest snapshot at each
+    Names come from the newest snapshot at each
     batch; with ``refresh_names=False`` from the one that was there at the start.
     """
     spark = messages.sparkSession
     fixed = None if refresh_names else max(snapshot_versions(spark, snapshot_path), default=-1) + 1
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        try:
-            W.write_static_snapshot(P.parse_static(batch), snapshot_path, batch_id)
-            names = read_static_snapshot(spark, snapshot_path, before=fixed)
-            W.write_positions(N.fill_names(P.parse_positions(batch), names), positions_path, batch_id)
-        finally:
-            batch.unpersist()
+        W.write_static_snapshot(P.parse_static(batch), snapshot_path, batch_id)
+        names = read_static_snapshot(spark, snapshot_path, before=fixed)
+        W.write_positions(N.fill_names(P.parse_positions(batch), names), positions_path, batch_id)
 
     return _start(messages, checkpoint, each, trigger)
 
@@ -174,8 +186,6 @@ def latest_state_stream(
 def refresh_stream(positions: DataFrame, folder: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Rebuilds predicted tracks and risks every fifteen seconds: from the stream's own
     recent history and from the encounters that latest_state_stream keeps in ``folder``."""
-    from seawake.streaming.state import track_stream
-
     spark = positions.sparkSession
 
     def each(batch: DataFrame, batch_id: int) -> None:
