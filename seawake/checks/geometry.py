@@ -145,7 +145,7 @@ def risk_explanation(spark, sf):
     "midpoint_and_bounds",
     named("""SELECT mmsi_a, mmsi_b, epoch_s, round((latitude_a + latitude_b) / 2, 6) AS lat, round((longitude_a + longitude_b) / 2, 6) AS lon,
       least(latitude_a, latitude_b) AS south, least(longitude_a, longitude_b) AS west,
-      greatest(latitude_a, latitude_b) AS north, greatest(longitude_a, longitude_b) AS east FROM p"""),
+      greatest(latitude_a, latitude_b) AS north, greatest(longitude_a, longitude_b) AS east FROM p"""), rounded=("south", "west", "north", "east"),
 )
 def midpoint_and_bounds(spark, sf):
     corners = (A.lat, A.lon, B.lat, B.lon)

@@ -141,16 +141,14 @@ def scenario_summary(spark, sf):
 
 
 @query(  # J6
-    "positions_for_encounters", ROWS + " SELECT h, component, t, mmsi, epoch_s, latitude, longitude FROM pos"
-)
+    "positions_for_encounters", ROWS + " SELECT h, component, t, mmsi, epoch_s, latitude, longitude FROM pos", rounded=("latitude", "longitude"))
 def positions_for_encounters(spark, sf):
     rows = parts(spark, sf)[3]
     return rows.select(*KEY, "mmsi", (F.col("ts_us") / 1_000_000).cast("long").alias("epoch_s"), "latitude", "longitude")
 
 
 @query(  # A5: every position three times under two names
-    "dedupe_positions", " SELECT mmsi, epoch_s, latitude, longitude, sog, cog, concat(ship_name, '_B') AS ship_name, dim_a + dim_b AS ship_length FROM vp"
-)
+    "dedupe_positions", " SELECT mmsi, epoch_s, latitude, longitude, sog, cog, concat(ship_name, '_B') AS ship_name, dim_a + dim_b AS ship_length FROM vp", rounded=("latitude", "longitude"))
 def dedupe_positions(spark, sf):
     vp = positions(spark, sf)
     again = vp.withColumn("ship_name", F.concat("ship_name", F.lit("_B")))

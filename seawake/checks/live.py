@@ -36,7 +36,7 @@ def live(spark, sf, unit="minutes"):
 @query(  # J5 with W1, P8, P14, F2–F4: the flagship query
     "encounters_windowed",
     ENCOUNTERS + """ SELECT mmsi_a, ship_name_a, mmsi_b, ship_name_b, epoch_s, round(cpa, 6) AS cpa, round(tcpa, 6) AS tcpa,
-      round(distance, 6) AS distance, true AS is_active, latitude_a, longitude_a, latitude_b, longitude_b FROM enc""",
+      round(distance, 6) AS distance, true AS is_active, latitude_a, longitude_a, latitude_b, longitude_b FROM enc""", rounded=("latitude_a", "longitude_a", "latitude_b", "longitude_b"),
 )
 def encounters_windowed(spark, sf):
     return encounters(spark, sf).select(
@@ -121,7 +121,7 @@ def tumbling(spark, sf):
     "vessel_view",
     LATEST + """ SELECT mmsi, ship_name AS name, latitude AS lat, longitude AS lon, sog, cog, coalesce(heading, cog) AS heading,
       coalesce(dim_a, 0) + dim_b AS length, dim_c + dim_d AS width, epoch_s
-    FROM latest ORDER BY epoch_s DESC, mmsi LIMIT 100""",
+    FROM latest ORDER BY epoch_s DESC, mmsi LIMIT 100""", rounded=("lat", "lon"),
 )
 def vessel_view(spark, sf):
     return serving.vessels(positions(spark, sf)).withColumn("epoch_s", F.unix_timestamp("timestamp")).drop("timestamp")

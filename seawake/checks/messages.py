@@ -44,7 +44,7 @@ def _position_columns():
 
 @query(  # P1
     "parse_message",
-    MESSAGES + f" SELECT mmsi, ship_name, latitude, longitude, cog, sog, heading, epoch_s, {DIMS}, 'none' AS geohash FROM good",
+    MESSAGES + f" SELECT mmsi, ship_name, latitude, longitude, cog, sog, heading, epoch_s, {DIMS}, 'none' AS geohash FROM good", rounded=("latitude", "longitude"),
 )
 def parse_message(spark, sf):
     parsed = P.parse_message(X.messages(spark, sf))
@@ -52,8 +52,7 @@ def parse_message(spark, sf):
 
 
 @query(  # P2
-    "parse_positions", MESSAGES + " SELECT mmsi, ship_name, latitude, longitude, cog, sog, heading, epoch_s FROM good"
-)
+    "parse_positions", MESSAGES + " SELECT mmsi, ship_name, latitude, longitude, cog, sog, heading, epoch_s FROM good", rounded=("latitude", "longitude"))
 def parse_positions(spark, sf):
     return P.parse_positions(X.messages(spark, sf)).select(*_position_columns())
 
@@ -89,7 +88,7 @@ def route_by_type(spark, sf):
     return both.groupBy("branch").agg(F.count("*").alias("n"))
 
 
-@query("flatten_position", REPORTS + " SELECT * FROM rep")  # P4, P9, P10
+@query("flatten_position", REPORTS + " SELECT * FROM rep", rounded=("latitude", "longitude"))  # P4, P9, P10
 def flatten_position(spark, sf):
     return P.flatten_position(_envelopes(spark, sf).where(F.col("MessageType") == "PositionReport"), NOW).select(
         "mmsi", "latitude", "longitude", "sog", "cog", "heading", epoch()
@@ -108,7 +107,7 @@ def flatten_static(spark, sf):
     , facts AS (SELECT * EXCLUDE (rn) FROM (
         SELECT *, row_number() OVER (PARTITION BY mmsi, epoch_s ORDER BY ship_name DESC, dim_a DESC) AS rn FROM sta) WHERE rn = 1)
     SELECT p.*, coalesce(s.ship_name, 'Unknown') AS ship_name, {", ".join("s." + d for d in DIMS.split(", "))}
-    FROM good p ASOF LEFT JOIN facts s ON p.mmsi = s.mmsi AND p.epoch_s >= s.epoch_s""",
+    FROM good p ASOF LEFT JOIN facts s ON p.mmsi = s.mmsi AND p.epoch_s >= s.epoch_s""", rounded=("latitude", "longitude"),
 )
 def ingest(spark, sf):
     return live.ingest(_envelopes(spark, sf), NOW).select(
@@ -122,8 +121,7 @@ def drop_rejects(spark, sf):
 
 
 @query(  # P7
-    "valid_coordinate", REPORTS + " SELECT mmsi, latitude, longitude, epoch_s FROM rep WHERE latitude <= 180"
-)
+    "valid_coordinate", REPORTS + " SELECT mmsi, latitude, longitude, epoch_s FROM rep WHERE latitude <= 180", rounded=("latitude", "longitude"))
 def valid_coordinate(spark, sf):
     flat = P.flatten_position(_envelopes(spark, sf).where(F.col("MessageType") == "PositionReport"), NOW)
     return P.valid_coordinate(flat).select("mmsi", "latitude", "longitude", epoch())
@@ -157,8 +155,7 @@ def normalise_time(spark, sf):
 
 
 @query(  # P11
-    "project_positions", MESSAGES + " SELECT mmsi, ship_name, latitude, longitude, cog, sog, heading, epoch_s FROM good"
-)
+    "project_positions", MESSAGES + " SELECT mmsi, ship_name, latitude, longitude, cog, sog, heading, epoch_s FROM good", rounded=("latitude", "longitude"))
 def project_positions(spark, sf):
     out = P.project_positions(P.parse_message(X.messages(spark, sf)))
     return out.withColumn("epoch_s", F.unix_timestamp("timestamp")).drop("timestamp")

@@ -13,15 +13,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
-    """Registers a query; ``sql`` starts after the shared ``vp`` table."""
+def query(name: str, sql: str | None = None, rounded: tuple[str, ...] = ()):
+    """Registers a query; ``sql`` starts after the shared ``vp`` table.
+
+    ``rounded`` columns are compared to six decimals: sines and cosines may differ
+    between the engines in the last bit, and so do positions derived with them.
+    """
 
     def add(fn: Callable[[SparkSession, str], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = fn
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            df = fn(spark, sf_dir)
+            return df.withColumns({c: F.round(c, 6) for c in rounded}) if rounded else df
+
+        QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = f"WITH RECURSIVE vp AS ({VESSEL_POSITIONS_SQL}){sql}"
+            text = f"WITH RECURSIVE vp AS ({VESSEL_POSITIONS_SQL}){sql}"
+            if rounded:
+                text = f"SELECT * REPLACE ({', '.join(f'round({c}, 6) AS {c}' for c in rounded)}) FROM ({text})"
+            ORACLES[name] = text
         return fn
 
     return add

@@ -18,7 +18,7 @@ from seawake.sources import files as R
 from seawake.session import work_path
 
 
-@query("write_positions", " SELECT mmsi, ship_name, latitude, longitude, cog, sog, heading, epoch_s FROM vp")  # K1
+@query("write_positions", " SELECT mmsi, ship_name, latitude, longitude, cog, sog, heading, epoch_s FROM vp", rounded=("latitude", "longitude"))  # K1
 def write_positions(spark, sf):
     path = work_path(spark, "positions")
     W.write_positions(positions(spark, sf), path)
@@ -54,7 +54,7 @@ def static_snapshot(spark, sf):
 
 @query(  # K5, S2: messages out and in again
     "publish_messages",
-    " SELECT mmsi, ship_name, latitude, longitude, cog, sog, heading, epoch_s, dim_a, dim_b, dim_c, dim_d, 'none' AS geohash FROM vp",
+    " SELECT mmsi, ship_name, latitude, longitude, cog, sog, heading, epoch_s, dim_a, dim_b, dim_c, dim_d, 'none' AS geohash FROM vp", rounded=("latitude", "longitude"),
 )
 def publish_messages(spark, sf):
     path = work_path(spark, "messages")
