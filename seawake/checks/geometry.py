@@ -7,7 +7,7 @@ ship: consecutive events, joined on ``event_id + 1``.
 from pyspark.sql import functions as F
 
 from seawake import fixtures as X
-from seawake.checks.registry import flat_relative, haversine, local_relative, query, r6, TIMED, TURN
+from seawake.checks.registry import TIMED, TURN, flat_relative, haversine, local_relative, query
 from seawake.functions import display as D
 from seawake.functions import geo
 from seawake.functions import risk as R

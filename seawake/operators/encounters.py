@@ -281,8 +281,7 @@ def dedupe_pairs(encounters: DataFrame) -> DataFrame:
 
 
 def rank_encounters(encounters: DataFrame) -> DataFrame:
-    """Most urgent first. ``urgency`` numbers the rows of a report of bounded size only
-    when the caller has limited it; the order itself is a distributed sort."""
+    """Most urgent first, by a distributed sort."""
     return encounters.orderBy("tcpa", "cpa", "mmsi_a", "mmsi_b", "timestamp")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from seawake import config as C
 from seawake import schema as S
-from seawake.functions.display import is_unknown_name, present
+from seawake.functions.display import present
 from seawake.session import broadcast_if_small
 
 REQUIRED = ("mmsi", "latitude", "longitude", "cog", "sog", "timestamp")
@@ -229,6 +229,3 @@ def in_boxes(df: DataFrame, boxes=None) -> DataFrame:
     )
     return df.join(cells, inside, "left_semi")
 
-
-def known_name(df: DataFrame) -> DataFrame:
-    return df.where(~is_unknown_name(F.col("ship_name")))
