@@ -12,7 +12,10 @@ from seawake.functions import display as D
 from seawake.functions import geo
 from seawake.functions import risk as R
 
-A, B = geo.motion("_a"), geo.motion("_b")
+def ship(side):
+    return geo.motion(f"_{side}")
+
+
 NEXT = "a.event_id + 1 = b.event_id"
 
 
@@ -32,7 +35,8 @@ def named(sql_body: str) -> str:
     return f", p AS ({local_relative('vp', 'vp', NEXT)}), f AS ({flat_relative('vp', 'vp', NEXT)}) {sql_body}"
 
 
-KEY = ("mmsi_a", "mmsi_b", F.greatest("epoch_s_a", "epoch_s_b").alias("epoch_s"))
+def key():
+    return "mmsi_a", "mmsi_b", F.greatest("epoch_s_a", "epoch_s_b").alias("epoch_s")
 
 
 @query(  # F1
@@ -40,17 +44,17 @@ KEY = ("mmsi_a", "mmsi_b", F.greatest("epoch_s_a", "epoch_s_b").alias("epoch_s")
     named(f"SELECT mmsi_a, mmsi_b, epoch_s, round({haversine('latitude_a', 'longitude_a', 'latitude_b', 'longitude_b')}, 6) AS nm FROM p"),
 )
 def haversine_nm(spark, sf):
-    return pairs(spark, sf).select(*KEY, F.round(geo.haversine_nm(A.lat, A.lon, B.lat, B.lon), 6).alias("nm"))
+    return pairs(spark, sf).select(*key(), F.round(geo.haversine_nm(ship("a").lat, ship("a").lon, ship("b").lat, ship("b").lon), 6).alias("nm"))
 
 
 @query("planar_distance_nm", named("SELECT mmsi_a, mmsi_b, epoch_s, round(sqrt(dx * dx + dy * dy) / 1852e0, 6) AS nm FROM p"))  # F2
 def planar_distance_nm(spark, sf):
-    return pairs(spark, sf).select(*KEY, F.round(geo.planar_distance_nm(A, B), 6).alias("nm"))
+    return pairs(spark, sf).select(*key(), F.round(geo.planar_distance_nm(ship("a"), ship("b")), 6).alias("nm"))
 
 
 @query("is_approaching", named("SELECT mmsi_a, mmsi_b, epoch_s, dx * ux + dy * uy < 0 AS approaching FROM p"))  # F3
 def is_approaching(spark, sf):
-    return pairs(spark, sf).select(*KEY, geo.is_approaching(A, B).alias("approaching"))
+    return pairs(spark, sf).select(*key(), geo.is_approaching(ship("a"), ship("b")).alias("approaching"))
 
 
 SEPARATION = "sqrt((dx + ux * t) * (dx + ux * t) + (dy + uy * t) * (dy + uy * t))"
@@ -62,8 +66,8 @@ SEPARATION = "sqrt((dx + ux * t) * (dx + ux * t) + (dy + uy * t) * (dy + uy * t)
       round(CASE WHEN t >= 0 THEN t ELSE -1e0 END, 6) AS tcpa FROM (SELECT *, {TIMED} AS t FROM p)"""),
 )
 def cpa_tcpa_local(spark, sf):
-    out = pairs(spark, sf).withColumn("c", geo.cpa_tcpa_local(A, B))
-    return out.select(*KEY, F.round("c.cpa", 6).alias("cpa"), F.round("c.tcpa", 6).alias("tcpa"))
+    out = pairs(spark, sf).withColumn("c", geo.cpa_tcpa_local(ship("a"), ship("b")))
+    return out.select(*key(), F.round("c.cpa", 6).alias("cpa"), F.round("c.tcpa", 6).alias("tcpa"))
 
 
 def _flat(factor: str) -> str:
@@ -73,14 +77,14 @@ def _flat(factor: str) -> str:
 
 @query("cpa_tcpa_flat", _flat("1e0"))  # F5
 def cpa_tcpa_flat(spark, sf):
-    out = pairs(spark, sf).withColumn("c", geo.cpa_tcpa_flat(A, B))
-    return out.select(*KEY, F.round("c.cpa", 6).alias("cpa"), F.round("c.tcpa", 6).alias("tcpa"))
+    out = pairs(spark, sf).withColumn("c", geo.cpa_tcpa_flat(ship("a"), ship("b")))
+    return out.select(*key(), F.round("c.cpa", 6).alias("cpa"), F.round("c.tcpa", 6).alias("tcpa"))
 
 
 @query("cpa_tcpa_flat_min", _flat("6e1"))  # F6
 def cpa_tcpa_flat_min(spark, sf):
-    out = pairs(spark, sf).withColumn("c", geo.cpa_tcpa_flat_min(A, B))
-    return out.select(*KEY, F.round("c.cpa", 6).alias("cpa"), F.round("c.tcpa", 6).alias("tcpa"))
+    out = pairs(spark, sf).withColumn("c", geo.cpa_tcpa_flat_min(ship("a"), ship("b")))
+    return out.select(*key(), F.round("c.cpa", 6).alias("cpa"), F.round("c.tcpa", 6).alias("tcpa"))
 
 
 @query(  # F7
@@ -95,7 +99,7 @@ def velocity(spark, sf):
 
 @query("approach_angle", named(f"SELECT mmsi_a, mmsi_b, epoch_s, {TURN} AS angle FROM p"))  # F8
 def approach_angle(spark, sf):
-    return pairs(spark, sf).select(*KEY, geo.approach_angle(A.cog, B.cog).alias("angle"))
+    return pairs(spark, sf).select(*key(), geo.approach_angle(ship("a").cog, ship("b").cog).alias("angle"))
 
 
 FACTORS = named(f""", t AS (SELECT *, {SEPARATION} AS cpa, t * 6e1 AS tcpa FROM (SELECT *, greatest({TIMED}, 0e0) AS t FROM f))
@@ -104,8 +108,8 @@ FACTORS = named(f""", t AS (SELECT *, {SEPARATION} AS cpa, t * 6e1 AS tcpa FROM
 
 
 def _scored(spark, sf):
-    out = geo.computed(pairs(spark, sf), {"c": geo.cpa_tcpa_flat_min(A, B)})
-    return geo.computed(out, {"f": R.risk_factors(F.col("c.cpa"), F.col("c.tcpa"), A.sog, B.sog, A.cog, B.cog)})
+    out = geo.computed(pairs(spark, sf), {"c": geo.cpa_tcpa_flat_min(ship("a"), ship("b"))})
+    return geo.computed(out, {"f": R.risk_factors(F.col("c.cpa"), F.col("c.tcpa"), ship("a").sog, ship("b").sog, ship("a").cog, ship("b").cog)})
 
 
 @query(  # F9
@@ -115,7 +119,7 @@ def _scored(spark, sf):
 )
 def risk_factors(spark, sf):
     names = {"cpa_risk": "cpa_risk", "tcpa_risk": "tcpa_risk", "speed_risk": "speed_risk", "approach_angle_risk": "angle_risk"}
-    return _scored(spark, sf).select(*KEY, *[F.round(f"f.{n}", 6).alias(a) for n, a in names.items()])
+    return _scored(spark, sf).select(*key(), *[F.round(f"f.{n}", 6).alias(a) for n, a in names.items()])
 
 
 @query(  # F10
@@ -123,7 +127,7 @@ def risk_factors(spark, sf):
     FACTORS + " SELECT mmsi_a, mmsi_b, epoch_s, round(4e-1 * cpa_risk + 3e-1 * tcpa_risk + 2e-1 * speed_risk + 1e-1 * angle_risk, 6) AS risk FROM k",
 )
 def overall_risk(spark, sf):
-    return _scored(spark, sf).select(*KEY, F.round(R.overall_risk(F.col("f")), 6).alias("risk"))
+    return _scored(spark, sf).select(*key(), F.round(R.overall_risk(F.col("f")), 6).alias("risk"))
 
 
 @query(  # F11
@@ -134,9 +138,9 @@ def overall_risk(spark, sf):
       printf('Approach angle of %.2f° contributes %.2f to risk', {TURN}, angle_risk) AS angle_factor FROM k""",
 )
 def risk_explanation(spark, sf):
-    speed, angle = A.sog + B.sog, geo.approach_angle(A.cog, B.cog)
+    speed, angle = ship("a").sog + ship("b").sog, geo.approach_angle(ship("a").cog, ship("b").cog)
     out = _scored(spark, sf)
-    return out.select(*KEY, R.risk_explanation(F.col("f"), F.col("c.cpa"), F.col("c.tcpa"), speed, angle).alias("e")).select(
+    return out.select(*key(), R.risk_explanation(F.col("f"), F.col("c.cpa"), F.col("c.tcpa"), speed, angle).alias("e")).select(
         "mmsi_a", "mmsi_b", "epoch_s", "e.*"
     )
 
@@ -148,8 +152,8 @@ def risk_explanation(spark, sf):
       greatest(latitude_a, latitude_b) AS north, greatest(longitude_a, longitude_b) AS east FROM p"""), rounded=("south", "west", "north", "east"),
 )
 def midpoint_and_bounds(spark, sf):
-    corners = (A.lat, A.lon, B.lat, B.lon)
-    out = pairs(spark, sf).select(*KEY, geo.midpoint(*corners).alias("m"), geo.pair_bounds(*corners).alias("b"))
+    corners = (ship("a").lat, ship("a").lon, ship("b").lat, ship("b").lon)
+    out = pairs(spark, sf).select(*key(), geo.midpoint(*corners).alias("m"), geo.pair_bounds(*corners).alias("b"))
     return out.select("mmsi_a", "mmsi_b", "epoch_s", F.round("m.lat", 6).alias("lat"), F.round("m.lon", 6).alias("lon"), "b.*")
 
 
@@ -159,8 +163,8 @@ def midpoint_and_bounds(spark, sf):
       * CASE WHEN tcpa > 0 THEN 1 - tcpa / 3e1 * 5e-1 ELSE 1e0 END), 5) AS weight FROM k WHERE cpa < 5e-1 AND tcpa < 30""",
 )
 def heat_weight(spark, sf):
-    out = geo.computed(pairs(spark, sf), {"c": geo.cpa_tcpa_flat_min(A, B)}).where("c.cpa < 0.5 and c.tcpa < 30")
-    return out.select(*KEY, F.round(R.heat_weight(F.col("c.cpa"), F.col("c.tcpa")), 5).alias("weight"))
+    out = geo.computed(pairs(spark, sf), {"c": geo.cpa_tcpa_flat_min(ship("a"), ship("b"))}).where("c.cpa < 0.5 and c.tcpa < 30")
+    return out.select(*key(), F.round(R.heat_weight(F.col("c.cpa"), F.col("c.tcpa")), 5).alias("weight"))
 
 
 @query(  # F16

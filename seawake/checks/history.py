@@ -76,9 +76,14 @@ def _focus(fill: str) -> str:
 FOCUS, FOCUS_AHEAD = FRAMES + _focus("fill"), FRAMES + _focus("fill_ahead")
 LABELS = """, lab AS (SELECT h, component, t, mmsi, arg_max(ship_name, epoch_s) AS name, coalesce(arg_max(ship_length, epoch_s), 0e0) AS ship_length
   FROM pos GROUP BY ALL)"""
-HOUR = F.floor(F.unix_timestamp("hour") / 3600).cast("long").alias("h")
-T_S = F.floor(F.col("t_us") / 1_000_000).cast("long").alias("t")
-KEY = [HOUR, "component", T_S]
+
+
+def hour():
+    return F.floor(F.unix_timestamp("hour") / 3600).cast("long").alias("h")
+
+
+def key():
+    return hour(), "component", F.floor(F.col("t_us") / 1_000_000).cast("long").alias("t")
 
 
 def chosen(spark, sf):
@@ -119,13 +124,13 @@ def read_positions(spark, sf):
 
 @query("connected_components", COMPONENTS + " SELECT h, mmsi, component FROM comp")  # A6
 def connected_components(spark, sf):
-    return S.scenario_members(chosen(spark, sf)).select(HOUR, "mmsi", "component")
+    return S.scenario_members(chosen(spark, sf)).select(hour(), "mmsi", "component")
 
 
 @query("edges_in_component", COMPONENTS + " SELECT h, component, collision_id FROM placed")  # J8
 def edges_in_component(spark, sf):
     met = chosen(spark, sf)
-    return S.edges_in_component(met, S.scenario_members(met)).select(HOUR, "component", "collision_id")
+    return S.edges_in_component(met, S.scenario_members(met)).select(hour(), "component", "collision_id")
 
 
 @query(  # A7
@@ -144,7 +149,7 @@ def scenario_summary(spark, sf):
     "positions_for_encounters", ROWS + " SELECT h, component, t, mmsi, epoch_s, latitude, longitude FROM pos", rounded=("latitude", "longitude"))
 def positions_for_encounters(spark, sf):
     rows = parts(spark, sf)[3]
-    return rows.select(*KEY, "mmsi", (F.col("ts_us") / 1_000_000).cast("long").alias("epoch_s"), "latitude", "longitude")
+    return rows.select(*key(), "mmsi", (F.col("ts_us") / 1_000_000).cast("long").alias("epoch_s"), "latitude", "longitude")
 
 
 @query(  # A5: every position three times under two names
@@ -158,7 +163,7 @@ def dedupe_positions(spark, sf):
 
 @query("ship_labels", ROWS + LABELS + " SELECT h, component, t, mmsi, name, ship_length FROM lab")  # A12
 def ship_labels(spark, sf):
-    return S.ship_labels(parts(spark, sf)[3], S.MOMENT).select(*KEY, "mmsi", "name", "ship_length")
+    return S.ship_labels(parts(spark, sf)[3], S.MOMENT).select(*key(), "mmsi", "name", "ship_length")
 
 
 @query(  # W2 on the whole positions table
@@ -182,13 +187,13 @@ def resample(spark, sf):
 )
 def resample_windows(spark, sf):
     out = S.resample(parts(spark, sf)[3], [*S.MOMENT, "mmsi"])
-    return out.select(*KEY, "mmsi", F.col("k").cast("long").alias("k"), "frame_s", *r6("latitude", "longitude", "sog", "cog"))
+    return out.select(*key(), "mmsi", F.col("k").cast("long").alias("k"), "frame_s", *r6("latitude", "longitude", "sog", "cog"))
 
 
 def _fill(spark, sf, look_ahead):
     tracks = tracks_of(parts(spark, sf)[3])
     out = S.fill_gaps(S.frame_times(tracks), tracks, look_ahead)
-    return out.select(*KEY, "frame_s", "mmsi", *r6("latitude", "longitude"))
+    return out.select(*key(), "frame_s", "mmsi", *r6("latitude", "longitude"))
 
 
 FILLED = " SELECT h, component, t, frame_s, mmsi, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude FROM "
@@ -214,7 +219,7 @@ def _pair_frames(spark, sf):
     "pair_frames", FOCUS + " SELECT h, component, t, mmsi_a, mmsi_b, frame_s, round(focus_dist, 6) AS focus_dist FROM pf"
 )
 def pair_frames(spark, sf):
-    return _pair_frames(spark, sf)[1].select(*KEY, "mmsi_a", "mmsi_b", "frame_s", *r6("focus_dist"))
+    return _pair_frames(spark, sf)[1].select(*key(), "mmsi_a", "mmsi_b", "frame_s", *r6("focus_dist"))
 
 
 @query(  # A8
@@ -223,7 +228,7 @@ def pair_frames(spark, sf):
 )
 def closest_approach(spark, sf):
     out = S.closest_approach(*_pair_frames(spark, sf))
-    return out.select(*KEY, "mmsi_a", "mmsi_b", *r6("real_min_dist"), (F.col("real_min_us") / 1_000_000).cast("long").alias("real_min_s"))
+    return out.select(*key(), "mmsi_a", "mmsi_b", *r6("real_min_dist"), (F.col("real_min_us") / 1_000_000).cast("long").alias("real_min_s"))
 
 
 @query(  # W6
@@ -233,7 +238,7 @@ def closest_approach(spark, sf):
 def focus_window(spark, sf):
     moments, frames = _pair_frames(spark, sf)
     out = S.focus_window(frames, S.closest_approach(moments, frames))
-    return out.select(*KEY, "mmsi_a", "mmsi_b", "frame_s", "delta_minutes", *r6("focus_dist"))
+    return out.select(*key(), "mmsi_a", "mmsi_b", "frame_s", "delta_minutes", *r6("focus_dist"))
 
 
 @query(  # W7
@@ -243,7 +248,7 @@ def focus_window(spark, sf):
 def encounter_icon(spark, sf):
     moments, frames = _pair_frames(spark, sf)
     out = S.encounter_icon(S.focus_window(frames, S.closest_approach(moments, frames)))
-    return out.select(*KEY, "mmsi_a", "mmsi_b", *r6("icon_lat", "icon_lon"))
+    return out.select(*key(), "mmsi_a", "mmsi_b", *r6("icon_lat", "icon_lon"))
 
 
 def _replays(focus: str) -> str:
@@ -281,7 +286,7 @@ def replays_look_ahead(spark, sf):
 def replay_frames(spark, sf):
     out = H.build_scenarios(encounters(spark, sf), positions(spark, sf)).frames
     return out.select(
-        *KEY, "mmsi_a", "mmsi_b", "frame_s", "delta_minutes", *r6("focus_dist"), "mmsi", "name", "ship_length",
+        *key(), "mmsi_a", "mmsi_b", "frame_s", "delta_minutes", *r6("focus_dist"), "mmsi", "name", "ship_length",
         F.round("latitude", 6).alias("lat"), F.round("longitude", 6).alias("lon"), *r6("sog", "cog"),
     )
 
@@ -296,4 +301,4 @@ def replay_frames(spark, sf):
 def replay_titles(spark, sf):
     out = H.build_scenarios(encounters(spark, sf), positions(spark, sf)).replays
     keyed = out.withColumn("t_us", F.unix_micros("timestamp"))
-    return keyed.select(*KEY, F.col("focus_mmsi")[0].alias("mmsi_a"), F.col("focus_mmsi")[1].alias("mmsi_b"), "title")
+    return keyed.select(*key(), F.col("focus_mmsi")[0].alias("mmsi_a"), F.col("focus_mmsi")[1].alias("mmsi_b"), "title")

@@ -14,7 +14,10 @@ from seawake.operators import views as V
 from seawake.plans import serving
 
 NOW_S = 1704067200 + 2_000_000
-NOW = F.timestamp_seconds(F.lit(NOW_S))
+
+
+def now():
+    return F.timestamp_seconds(F.lit(NOW_S))
 
 
 def positions(spark, sf):
@@ -201,7 +204,7 @@ def replace_region(spark, sf):
       max(epoch_s) AS last_ship_s, {NOW_S} - max(epoch_s) + 0e0 AS seconds_since_last_ship FROM latest""",
 )
 def status_summary(spark, sf):
-    out = V.status_summary(latest(spark, sf), live(spark, sf), NOW)
+    out = V.status_summary(latest(spark, sf), live(spark, sf), now())
     return out.withColumn("last_ship_s", F.unix_timestamp("last_ship")).drop("last_ship")
 
 

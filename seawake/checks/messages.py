@@ -12,7 +12,12 @@ from seawake.operators import series as Q
 from seawake.operators import views as V
 from seawake.plans import live
 
-NOW = F.timestamp_seconds(F.lit(1704067200 - 60))
+
+
+def now():
+    return F.timestamp_seconds(F.lit(1704067200 - 60))
+
+
 DIMS = "dim_a, dim_b, dim_c, dim_d"
 NAME = """CASE WHEN event_id % 29 = 3 THEN 'Unknown' WHEN event_id % 31 = 4 THEN NULL
   WHEN event_id % 37 = 5 THEN ' UNKNOWN ' ELSE ship_name END"""
@@ -90,7 +95,7 @@ def route_by_type(spark, sf):
 
 @query("flatten_position", REPORTS + " SELECT * FROM rep", rounded=("latitude", "longitude"))  # P4, P9, P10
 def flatten_position(spark, sf):
-    return P.flatten_position(_envelopes(spark, sf).where(F.col("MessageType") == "PositionReport"), NOW).select(
+    return P.flatten_position(_envelopes(spark, sf).where(F.col("MessageType") == "PositionReport"), now()).select(
         "mmsi", "latitude", "longitude", "sog", "cog", "heading", epoch()
     )
 
@@ -98,7 +103,7 @@ def flatten_position(spark, sf):
 @query("flatten_static", ENVELOPE_STATICS + " SELECT * FROM sta")  # P5
 def flatten_static(spark, sf):
     _, statics = P.route_by_type(_envelopes(spark, sf))
-    return P.flatten_static(statics, NOW).select("mmsi", "ship_name", *DIMS.split(", "), epoch())
+    return P.flatten_static(statics, now()).select("mmsi", "ship_name", *DIMS.split(", "), epoch())
 
 
 @query(  # the whole ingest: S1, P4, P5, P7–P10, P20, J1
@@ -110,7 +115,7 @@ def flatten_static(spark, sf):
     FROM good p ASOF LEFT JOIN facts s ON p.mmsi = s.mmsi AND p.epoch_s >= s.epoch_s""", rounded=("latitude", "longitude"),
 )
 def ingest(spark, sf):
-    return live.ingest(_envelopes(spark, sf), NOW).select(
+    return live.ingest(_envelopes(spark, sf), now()).select(
         "mmsi", "latitude", "longitude", "sog", "cog", "heading", epoch(), "ship_name", *DIMS.split(", ")
     )
 
@@ -123,7 +128,7 @@ def drop_rejects(spark, sf):
 @query(  # P7
     "valid_coordinate", REPORTS + " SELECT mmsi, latitude, longitude, epoch_s FROM rep WHERE latitude <= 180", rounded=("latitude", "longitude"))
 def valid_coordinate(spark, sf):
-    flat = P.flatten_position(_envelopes(spark, sf).where(F.col("MessageType") == "PositionReport"), NOW)
+    flat = P.flatten_position(_envelopes(spark, sf).where(F.col("MessageType") == "PositionReport"), now())
     return P.valid_coordinate(flat).select("mmsi", "latitude", "longitude", epoch())
 
 
@@ -151,7 +156,7 @@ def normalise_time(spark, sf):
         .when(n == 1, F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'+00:00'"))
         .otherwise(F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
     )
-    return vp.select("event_id", F.unix_timestamp(P.normalise_time(text, NOW)).alias("epoch_s"))
+    return vp.select("event_id", F.unix_timestamp(P.normalise_time(text, now())).alias("epoch_s"))
 
 
 @query(  # P11
@@ -163,7 +168,7 @@ def project_positions(spark, sf):
 
 @query("project_static", f" SELECT mmsi, ship_name, {DIMS}, 1704067140 AS updated_s FROM vp")  # P12
 def project_static(spark, sf):
-    out = P.project_static(X.vessel_positions(spark, sf), NOW)
+    out = P.project_static(X.vessel_positions(spark, sf), now())
     return out.withColumn("updated_s", F.unix_timestamp("update_time")).drop("update_time")
 
 
@@ -339,4 +344,4 @@ def last_per_key(spark, sf):
     """ SELECT mmsi, dim_a, dim_b FROM (SELECT *, row_number() OVER (PARTITION BY mmsi ORDER BY epoch_s) AS rn FROM vp) WHERE rn = 1""",
 )
 def static_table(spark, sf):
-    return live.static_table(X.vessel_positions(spark, sf), NOW).select("mmsi", "dim_a", "dim_b")
+    return live.static_table(X.vessel_positions(spark, sf), now()).select("mmsi", "dim_a", "dim_b")

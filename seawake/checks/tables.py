@@ -9,7 +9,7 @@ from seawake import fixtures as X
 from seawake import schema as S
 from seawake.checks.history import COMPONENTS, FOCUS
 from seawake.checks.live import encounters, positions
-from seawake.checks.messages import DIMS, NEWEST_STATIC, NOW, STATICS
+from seawake.checks.messages import DIMS, NEWEST_STATIC, STATICS, now
 from seawake.checks.registry import ENCOUNTERS, epoch, query, r6
 from seawake.operators import parse as P
 from seawake.plans import history as H
@@ -39,7 +39,7 @@ def write_encounters(spark, sf):
 )
 def write_static(spark, sf):
     path = work_path(spark, "static")
-    W.write_static(P.project_static(X.vessel_static(spark, sf), NOW), path)
+    W.write_static(P.project_static(X.vessel_static(spark, sf), now()), path)
     return spark.read.parquet(path).select("mmsi", "ship_name", *DIMS.split(", "), epoch("update_time", "updated_s"))
 
 
