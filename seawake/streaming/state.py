@@ -8,9 +8,11 @@ offset limit bounds that.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from typing import Any
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +36,10 @@ _POINT = T.StructType([*_fields(("ts_us", _L)), *_MOVE])
 _REPORT = T.StructType([*_fields(("ts_us", _L)), *_MOVE, *_fields(("heading", _D))])
 _ENRICHED = T.StructType([*_fields(("mmsi", _L)), *_REPORT.fields, *_FACT.fields])
 _CURRENT = T.StructType([*_fields(("mmsi", _L)), *_POINT.fields, *_fields(("n_points", _L))])
+_NO_FACT = (C.UNKNOWN_NAME, *[None] * len(S.DIMS))
+
+# The processors travel to the Python workers whole, so workers need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def use_state_store(spark: SparkSession) -> None:
@@ -62,7 +68,7 @@ class StaticMemory(StatefulProcessor):
                 fact = tuple(row[n] for n in names)
                 self._fact.update(fact)
             else:
-                known = dict(zip(names, fact or (C.UNKNOWN_NAME, *[None] * len(S.DIMS))))
+                known = dict(zip(names, fact or _NO_FACT))
                 yield Row(**{n: known[n] if n in known else row[n] for n in _ENRICHED.fieldNames()})
 
     def close(self) -> None:
