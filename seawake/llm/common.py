@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import types
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,19 @@ def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     )
 
 
+@contextmanager
+def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within this, the shuffle files of a query go when it has ended, not when the driver
+    next collects garbage. What later steps read is a table by then."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def process_cache(name: str) -> dict:
     """A dictionary that lives as long as the worker process, whatever task runs in it."""
     holder = sys.modules.setdefault("_worker_cache", types.ModuleType("_worker_cache"))

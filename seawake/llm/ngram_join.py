@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seawake.llm.common import batch, group_count, map_arrow, mix, slices, windows, word_hashes
+from seawake.llm.common import batch, group_count, map_arrow, mix, slices, tidy_shuffles, windows, word_hashes
 from seawake.operators.scenarios import connected_components
 from seawake.session import stored
 
@@ -309,6 +309,11 @@ def similar_groups(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFr
     returned. A row without doc_id is returned with a null component. An empty table
     gives no rows.
     """
+    with tidy_shuffles(docs.sparkSession):
+        return _similar_groups(docs, percent, width)
+
+
+def _similar_groups(docs: DataFrame, percent: int, width: int) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     buckets = group_count(docs, 200_000, 25)
