@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seawake.llm import ngram_join
+from seawake.llm import chat, ngram_join, pii
 from seawake.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +26,37 @@ def query(name: str, sql: str | None = None):
 @query("op6_ngram_join")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_groups(read(spark, sf_dir, "documents"), percent=75, width=5)
+
+
+@query("op1_personal_data")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(read(spark, sf_dir, "documents"))
+
+
+_CONTROL = r"\[/?INST\*?\]|\[ANS\*?\]|\[/?ROLE\]|\[TEXT\*?\]|</?s>"
+
+
+@query(
+    "op3_chat_format",
+    rf"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), sized AS (
+  SELECT *, CASE WHEN regexp_matches(text, '{_CONTROL}')
+      THEN 1 + length(text) + length(regexp_replace(text, '[^\\]', '', 'g')) + len(regexp_extract_all(text, '{_CONTROL}')) ELSE length(text) END
+    + CASE role WHEN 'user' THEN 13 WHEN 'assistant' THEN 9 ELSE 19 + length(role) + length(regexp_replace(role, '[^\\]', '', 'g'))
+      + len(regexp_extract_all(role, '{_CONTROL}')) END AS chars
+  FROM turns
+), whole AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY turn NULLS FIRST, role, text) AS all_text,
+    coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '') AS loss, sum(chars) AS chars
+  FROM sized GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(all_text) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+  CAST(3 + chars AS BIGINT) AS formatted_chars
+FROM whole""",
+)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.conversation_digests(chat.with_probe(read(spark, sf_dir, "conversations")))
