@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seawake.llm import chat, ngram_join, pii
+from seawake.llm import chat, compression, html_extract, ngram_join, packing, pii, token_files
 from seawake.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +61,33 @@ FROM whole""",
 )
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(chat.with_probe(read(spark, sf_dir, "conversations")))
+
+
+def tokenizer_file(name: str) -> str:
+    """A public tokenizer's file; the folder can be set by ``SEAWAKE_TOKENIZERS``."""
+    folder = os.environ.get("SEAWAKE_TOKENIZERS")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op4_best_fit_packing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=0, capacity=2048)
+
+
+@query("op10_token_files")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_table(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=1, vocabulary=49_408)
+
+
+@query("op8_html_consensus")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_texts(read(spark, sf_dir, "pages"))
+
+
+@query("op9_compression_rules")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression.quality_rules(read(spark, sf_dir, "documents"))
