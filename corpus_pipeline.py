@@ -7,22 +7,50 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seawake.llm import ngram_join
+from seawake.llm import decontamination, ngram_join, packing, pii, toxicity
+from seawake.llm.common import read
+from seawake.llm.queries import tokenizer_file
 from seawake.session import stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain does not reject; the chain is fitted on those of
+    ``docs`` that ``labels`` covers. All columns stay, and repeated rows."""
+    return toxicity.keep_clean(docs, read(spark, sf_dir, "labels"))
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the smallest doc_id.
-    Documents without doc_id stay."""
+    Documents without doc_id stay, and all rows of a doc_id that stays."""
     groups = ngram_join.similar_groups(docs, percent=75, width=5)
     drop = groups.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
 
 
+def without_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no copy of a test item. Documents without doc_id stay."""
+    drop = decontamination.contaminated(docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data masked."""
+    return pii.mask_personal_data(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in training sequences."""
+    return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"), end_id=0, capacity=2048)
+
+
 STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", without_toxic),
     ("n-gram Jaccard join", one_of_each_group),
+    ("benchmark decontamination", without_test_items),
+    ("PII", without_personal_data),
+    ("best-fit packing", packed),
 ]
 
 #: SQL cannot express the stages; tests hold them against plain versions.
@@ -31,7 +59,7 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages applied to ``documents``, each written as a table and read by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

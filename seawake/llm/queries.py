@@ -7,7 +7,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seawake.llm import chat, compression, html_extract, ngram_join, packing, pii, token_files
+from seawake.llm import (
+    chat,
+    compression,
+    decontamination,
+    html_extract,
+    importance,
+    ngram_join,
+    packing,
+    pii,
+    token_files,
+    toxicity,
+)
 from seawake.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +102,18 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_compression_rules")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.quality_rules(read(spark, sf_dir, "documents"))
+
+
+@query("op2_toxicity_chain")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query("op5_decontamination")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query("op7_importance_resampling")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
