@@ -14,6 +14,7 @@ import sys
 import unicodedata
 from bisect import bisect_right
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -263,7 +264,7 @@ def mask_personal_data(docs: DataFrame) -> DataFrame:
     there; all other columns and all rows stay. A null text stays null."""
 
     @F.pandas_udf("string")
-    def mask(texts: "pd.Series") -> "pd.Series":  # noqa: F821
+    def mask(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else masked(t))
 
     out = docs.withColumn("text", mask("text"))
