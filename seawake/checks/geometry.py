@@ -176,8 +176,8 @@ def heat_weight(spark, sf):
       SELECT event_id, 3, dim_a - (dim_c + dim_d), dim_d, latitude, longitude, hdg FROM c UNION ALL
       SELECT event_id, 4, dim_a, 0, latitude, longitude, hdg FROM c UNION ALL
       SELECT event_id, 5, dim_a - (dim_c + dim_d), -dim_c, latitude, longitude, hdg FROM c)
-    SELECT event_id, corner, round(latitude + (x * cos(radians(hdg)) - y * sin(radians(hdg))) / 11132e1, 6) AS lat,
-      round(longitude + (x * sin(radians(hdg)) + y * cos(radians(hdg))) / (11132e1 * cos(radians(latitude))), 6) AS lon FROM k""",
+    SELECT event_id, corner, round(latitude + (x * cos(radians(hdg)) - y * sin(radians(hdg))) / 111320e0, 6) AS lat,
+      round(longitude + (x * sin(radians(hdg)) + y * cos(radians(hdg))) / (111320e0 * cos(radians(latitude))), 6) AS lon FROM k""",
 )
 def hull_polygon(spark, sf):
     dims = tuple(F.col(d) for d in ("dim_a", "dim_b", "dim_c", "dim_d"))
@@ -190,7 +190,7 @@ def hull_polygon(spark, sf):
 
 @query(  # F17
     "metres_to_deg",
-    """ SELECT event_id, round(dim_b / 11132e1, 9) AS lat_deg, round(dim_b / (11132e1 * cos(radians(latitude))), 9) AS lon_deg FROM vp""",
+    """ SELECT event_id, round(dim_b / 111320e0, 9) AS lat_deg, round(dim_b / (111320e0 * cos(radians(latitude))), 9) AS lon_deg FROM vp""",
 )
 def metres_to_deg(spark, sf):
     return X.vessel_positions(spark, sf).select(
@@ -205,7 +205,7 @@ CLASS = "CASE WHEN {x} IS NULL THEN 'gray' WHEN {x} < 50 THEN 'green' WHEN {x} <
 
 @query(  # F18, F19
     "length_class",
-    f""" SELECT event_id, by_dims, by_length, CASE by_dims WHEN 'green' THEN 8e-1 WHEN 'orange' THEN 12e-1 WHEN 'red' THEN 14e-1 ELSE 1e0 END AS scale
+    f""" SELECT event_id, by_dims, by_length, CASE by_dims WHEN 'green' THEN 8e-1 WHEN 'orange' THEN 1.2e0 WHEN 'red' THEN 14e-1 ELSE 1e0 END AS scale
     FROM (SELECT event_id, {CLASS.format(x="(CASE WHEN dim_a <> 0 AND dim_c <> 0 THEN dim_a + dim_c END)")} AS by_dims,
       {CLASS.format(x="(dim_a + dim_b + dim_c * 4)")} AS by_length FROM vp)""",
 )

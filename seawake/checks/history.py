@@ -8,42 +8,42 @@ from seawake.operators import scenarios as S
 from seawake.plans import history as H
 from seawake.session import stored
 
-HISTORY = ENCOUNTERS + """, hist AS (
+HISTORY = ENCOUNTERS + """, hist AS MATERIALIZED (
   SELECT *, epoch_s // 3600 AS h, concat_ws('_', mmsi_a, mmsi_b, strftime(make_timestamp(epoch_s * 1000000), '%Y%m%d%H%M%S')) AS collision_id
   FROM enc WHERE cpa < 3e-1 AND tcpa BETWEEN 0 AND 10)"""
-COMPONENTS = HISTORY + """, sym AS (SELECT h, mmsi_a AS u, mmsi_b AS v FROM hist UNION SELECT h, mmsi_b, mmsi_a FROM hist)
+COMPONENTS = HISTORY + """, sym AS MATERIALIZED (SELECT h, mmsi_a AS u, mmsi_b AS v FROM hist UNION SELECT h, mmsi_b, mmsi_a FROM hist)
 , reach(h, node, root) AS (
   SELECT h, u, u FROM sym UNION SELECT r.h, s.v, r.root FROM reach r JOIN sym s ON r.h = s.h AND r.node = s.u)
-, comp AS (SELECT h, node AS mmsi, min(root) AS component FROM reach GROUP BY 1, 2)
-, placed AS (SELECT hist.*, component FROM hist JOIN comp ON hist.h = comp.h AND hist.mmsi_a = comp.mmsi)
-, scen AS (
+, comp AS MATERIALIZED (SELECT h, node AS mmsi, min(root) AS component FROM reach GROUP BY 1, 2)
+, placed AS MATERIALIZED (SELECT hist.*, component FROM hist JOIN comp ON hist.h = comp.h AND hist.mmsi_a = comp.mmsi)
+, scen AS MATERIALIZED (
   SELECT h, component, min(epoch_s) AS min_s, max(epoch_s) AS max_s, count(*) AS collisions_count FROM placed GROUP BY 1, 2)
-, fleet AS (SELECT h, component, string_agg(mmsi, '_' ORDER BY mmsi) AS ships, count(*) AS n_ships FROM comp GROUP BY 1, 2)
-, parent AS (SELECT scen.*, ships, n_ships, concat('scenario_', min_s, '_', ships) AS scenario_id
+, fleet AS MATERIALIZED (SELECT h, component, string_agg(mmsi, '_' ORDER BY mmsi) AS ships, count(*) AS n_ships FROM comp GROUP BY 1, 2)
+, parent AS MATERIALIZED (SELECT scen.*, ships, n_ships, concat('scenario_', min_s, '_', ships) AS scenario_id
   FROM scen JOIN fleet ON scen.h = fleet.h AND scen.component = fleet.component)"""
-ROWS = COMPONENTS + """, mom AS (
+ROWS = COMPONENTS + """, mom AS MATERIALIZED (
   SELECT h, component, epoch_s AS t, mmsi_a, mmsi_b, count(*) AS copies FROM placed GROUP BY ALL)
-, ws AS (SELECT DISTINCT m.h, m.component, m.t, c.mmsi FROM mom m JOIN comp c ON m.h = c.h AND m.component = c.component)
-, pos AS (
+, ws AS MATERIALIZED (SELECT DISTINCT m.h, m.component, m.t, c.mmsi FROM mom m JOIN comp c ON m.h = c.h AND m.component = c.component)
+, pos AS MATERIALIZED (
   SELECT ws.h, ws.component, ws.t, ws.mmsi, v.epoch_s, v.latitude, v.longitude, v.sog, v.cog, v.ship_name, v.dim_a + v.dim_b AS ship_length
   FROM ws JOIN vp v ON v.mmsi = ws.mmsi AND v.epoch_s BETWEEN ws.t - 1200 AND ws.t + 600)"""
-FRAMES = ROWS + """, seg AS (
+FRAMES = ROWS + """, seg AS MATERIALIZED (
   SELECT *, lead(epoch_s) OVER g AS s2, lead(latitude) OVER g AS lat2, lead(longitude) OVER g AS lon2, lead(sog) OVER g AS sog2,
     lead(cog) OVER g AS cog2, min(epoch_s) OVER (PARTITION BY h, component, t, mmsi) AS s0
   FROM pos WINDOW g AS (PARTITION BY h, component, t, mmsi ORDER BY epoch_s))
-, pnt AS (SELECT seg.*, k, s0 + 60 * k AS frame_s,
+, pnt AS MATERIALIZED (SELECT seg.*, k, s0 + 60 * k AS frame_s,
     CASE WHEN s0 + 60 * k = epoch_s THEN 0e0 ELSE (s0 + 60 * k - epoch_s) / (s2 - epoch_s)::DOUBLE END AS q
   FROM seg, range(0, 31) AS grid(k) WHERE (k = 0 AND epoch_s = s0) OR (s0 + 60 * k > epoch_s AND s0 + 60 * k <= s2))
-, fr AS (SELECT h, component, t, mmsi, k, frame_s, latitude + (coalesce(lat2, latitude) - latitude) * q AS latitude,
+, fr AS MATERIALIZED (SELECT h, component, t, mmsi, k, frame_s, latitude + (coalesce(lat2, latitude) - latitude) * q AS latitude,
     longitude + (coalesce(lon2, longitude) - longitude) * q AS longitude, sog + (coalesce(sog2, sog) - sog) * q AS sog,
     cog + (coalesce(cog2, cog) - cog) * q AS cog FROM pnt)
-, times AS (SELECT DISTINCT h, component, t, frame_s FROM fr)
-, fill AS (
+, times AS MATERIALIZED (SELECT DISTINCT h, component, t, frame_s FROM fr)
+, fill AS MATERIALIZED (
   SELECT tm.h, tm.component, tm.t, tm.frame_s, f.mmsi, arg_max(f.latitude, f.frame_s) AS latitude, arg_max(f.longitude, f.frame_s) AS longitude,
     arg_max(f.sog, f.frame_s) AS sog, arg_max(f.cog, f.frame_s) AS cog
   FROM times tm JOIN fr f ON tm.h = f.h AND tm.component = f.component AND tm.t = f.t AND f.frame_s <= tm.frame_s
   GROUP BY 1, 2, 3, 4, 5)
-, fill_ahead AS (
+, fill_ahead AS MATERIALIZED (
   SELECT * FROM fill UNION ALL
   SELECT tm.h, tm.component, tm.t, tm.frame_s, f.mmsi, arg_max(f.latitude, f.frame_s), arg_max(f.longitude, f.frame_s),
     arg_max(f.sog, f.frame_s), arg_max(f.cog, f.frame_s)
@@ -52,7 +52,7 @@ FRAMES = ROWS + """, seg AS (
 
 
 def _focus(fill: str) -> str:
-    return f""", pf AS (
+    return f""", pf AS MATERIALIZED (
   SELECT m.h, m.component, m.t, m.mmsi_a, m.mmsi_b, m.copies, tm.frame_s,
     {haversine('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude')} AS focus_dist,
     (a.latitude + b.latitude) / 2 AS mid_lat, (a.longitude + b.longitude) / 2 AS mid_lon
@@ -60,21 +60,21 @@ def _focus(fill: str) -> str:
   LEFT JOIN {fill} a ON a.h = m.h AND a.component = m.component AND a.t = m.t AND a.mmsi = m.mmsi_a AND a.frame_s = tm.frame_s
   LEFT JOIN {fill} b ON b.h = m.h AND b.component = m.component AND b.t = m.t AND b.mmsi = m.mmsi_b AND b.frame_s = tm.frame_s
   WHERE tm.frame_s BETWEEN m.t - 1200 AND m.t + 600)
-, best AS (
+, best AS MATERIALIZED (
   SELECT h, component, t, mmsi_a, mmsi_b, copies, coalesce(focus_dist, 999999e0) AS real_min_dist,
     CASE WHEN focus_dist IS NULL THEN t ELSE frame_s END AS real_min_s
   FROM (SELECT *, row_number() OVER (PARTITION BY h, component, t, mmsi_a, mmsi_b ORDER BY focus_dist NULLS LAST, frame_s) AS rn FROM pf) WHERE rn = 1)
-, focus AS (
+, focus AS MATERIALIZED (
   SELECT pf.*, real_min_s, real_min_dist, round((frame_s - real_min_s) / 6e1, 2) AS delta_minutes
   FROM pf JOIN best ON pf.h = best.h AND pf.component = best.component AND pf.t = best.t AND pf.mmsi_a = best.mmsi_a AND pf.mmsi_b = best.mmsi_b
   WHERE frame_s BETWEEN real_min_s - 900 AND real_min_s + 300)
-, icon AS (
+, icon AS MATERIALIZED (
   SELECT h, component, t, mmsi_a, mmsi_b, mid_lat, mid_lon FROM (
     SELECT *, row_number() OVER (PARTITION BY h, component, t, mmsi_a, mmsi_b ORDER BY abs(frame_s - real_min_s), frame_s) AS rn FROM focus) WHERE rn = 1)"""
 
 
 FOCUS, FOCUS_AHEAD = FRAMES + _focus("fill"), FRAMES + _focus("fill_ahead")
-LABELS = """, lab AS (SELECT h, component, t, mmsi, arg_max(ship_name, epoch_s) AS name, coalesce(arg_max(ship_length, epoch_s), 0e0) AS ship_length
+LABELS = """, lab AS MATERIALIZED (SELECT h, component, t, mmsi, arg_max(ship_name, epoch_s) AS name, coalesce(arg_max(ship_length, epoch_s), 0e0) AS ship_length
   FROM pos GROUP BY ALL)"""
 
 
@@ -93,8 +93,8 @@ def chosen(spark, sf):
 def parts(spark, sf):
     """Stored encounters, members, moments and positions."""
     met = stored(chosen(spark, sf), "chosen")
-    members = S.scenario_members(met)
-    moments = S.moments(S.edges_in_component(met, members))
+    members = stored(S.scenario_members(met), "members")
+    moments = stored(S.moments(S.edges_in_component(met, members)), "moments")
     return met, members, moments, S.positions_for_encounters(moments, members, positions(spark, sf))
 
 
@@ -168,9 +168,9 @@ def ship_labels(spark, sf):
 
 @query(  # W2 on the whole positions table
     "resample",
-    """, seg AS (SELECT *, lead(epoch_s) OVER g AS s2, lead(latitude) OVER g AS lat2, lead(longitude) OVER g AS lon2,
+    """, seg AS MATERIALIZED (SELECT *, lead(epoch_s) OVER g AS s2, lead(latitude) OVER g AS lat2, lead(longitude) OVER g AS lon2,
       min(epoch_s) OVER (PARTITION BY mmsi, epoch_s // 3600) AS s0 FROM vp WINDOW g AS (PARTITION BY mmsi, epoch_s // 3600 ORDER BY epoch_s))
-    , pt AS (SELECT seg.*, k, CASE WHEN s0 + 60 * k = epoch_s THEN 0e0 ELSE (s0 + 60 * k - epoch_s) / (s2 - epoch_s)::DOUBLE END AS q
+    , pt AS MATERIALIZED (SELECT seg.*, k, CASE WHEN s0 + 60 * k = epoch_s THEN 0e0 ELSE (s0 + 60 * k - epoch_s) / (s2 - epoch_s)::DOUBLE END AS q
       FROM seg, range(0, 61) AS grid(k) WHERE (k = 0 AND epoch_s = s0) OR (s0 + 60 * k > epoch_s AND s0 + 60 * k <= s2))
     SELECT mmsi, s0 + 60 * k AS frame_s, round(latitude + (coalesce(lat2, latitude) - latitude) * q, 6) AS latitude,
       round(longitude + (coalesce(lon2, longitude) - longitude) * q, 6) AS longitude FROM pt""",
@@ -252,7 +252,7 @@ def encounter_icon(spark, sf):
 
 
 def _replays(focus: str) -> str:
-    return focus + """, rep AS (
+    return focus + """, rep AS MATERIALIZED (
     SELECT scenario_id, concat_ws('_', best.mmsi_a, best.mmsi_b, strftime(make_timestamp(best.t * 1000000), '%Y%m%d%H%M%S')) AS collision_id,
       round(real_min_dist, 6) AS cpa, real_min_s AS t_min_s, round(mid_lat, 6) AS icon_lat, round(mid_lon, 6) AS icon_lon
     FROM best JOIN parent ON best.h = parent.h AND best.component = parent.component

@@ -84,12 +84,17 @@ def dedupe_pairs(spark, sf):
     return E.dedupe_pairs(encounters(spark, sf)).select("mmsi_a", "mmsi_b", epoch(), *r6("tcpa"))
 
 
-@query(  # T3
-    "rank_encounters",
-    ENCOUNTERS + """ SELECT mmsi_a, mmsi_b, epoch_s, urgency FROM (
-      SELECT *, row_number() OVER (ORDER BY tcpa, cpa, mmsi_a, mmsi_b, epoch_s) AS urgency FROM enc) WHERE urgency <= 50""",
-)
+RANKED = ENCOUNTERS + """ SELECT mmsi_a, mmsi_b, epoch_s, urgency FROM (
+      SELECT *, row_number() OVER (ORDER BY tcpa, cpa, mmsi_a, mmsi_b, epoch_s) AS urgency FROM enc)"""
+
+
+@query("rank_encounters", RANKED)  # T3
 def rank_encounters(spark, sf):
+    return E.rank_encounters(E.with_urgency(encounters(spark, sf))).select("mmsi_a", "mmsi_b", epoch(), "urgency")
+
+
+@query("most_urgent", RANKED + " WHERE urgency <= 50")  # T3, as a report
+def most_urgent(spark, sf):
     return E.most_urgent(encounters(spark, sf), 50).select("mmsi_a", "mmsi_b", epoch(), "urgency")
 
 
@@ -124,7 +129,7 @@ def tumbling(spark, sf):
     "vessel_view",
     LATEST + """ SELECT mmsi, ship_name AS name, latitude AS lat, longitude AS lon, sog, cog, coalesce(heading, cog) AS heading,
       coalesce(dim_a, 0) + dim_b AS length, dim_c + dim_d AS width, epoch_s
-    FROM latest ORDER BY epoch_s DESC, mmsi LIMIT 100""", rounded=("lat", "lon"),
+    FROM latest""", rounded=("lat", "lon"),
 )
 def vessel_view(spark, sf):
     return serving.vessels(positions(spark, sf)).withColumn("epoch_s", F.unix_timestamp("timestamp")).drop("timestamp")
@@ -316,8 +321,8 @@ def recent_as_of(spark, sf):
 TRACK = """, hist AS (SELECT * FROM (SELECT *, max(epoch_s) OVER (PARTITION BY mmsi) AS top FROM vp) WHERE epoch_s >= top - 3600)
 , cur AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY mmsi) AS n FROM hist) WHERE n >= 2 AND epoch_s = top)
 , trk AS (
-  SELECT mmsi, step, round(latitude + sog * 166e-4 / 60 * cos(radians(cog)) * step * 3, 6) AS latitude,
-    round(longitude + sog * 166e-4 / 60 / cos(radians(latitude)) * sin(radians(cog)) * step * 3, 6) AS longitude, epoch_s + step * 180 AS epoch_s,
+  SELECT mmsi, step, round(latitude + sog * 0.0166e0 / 60 * cos(radians(cog)) * step * 3, 6) AS latitude,
+    round(longitude + sog * 0.0166e0 / 60 / cos(radians(latitude)) * sin(radians(cog)) * step * 3, 6) AS longitude, epoch_s + step * 180 AS epoch_s,
     round(1e-1 * step * sog * 2e-2, 6) AS r68, round(3e-1 * step * sog * 2e-2, 6) AS r95, round(5e-1 * step * sog * 2e-2, 6) AS r99
   FROM cur, range(1, 11) AS s(step))"""
 

@@ -29,7 +29,7 @@ MESSAGES = f""", msg AS (
 STATICS = f", st AS ({VESSEL_STATIC_SQL.replace('FROM positions', 'FROM vp')})"
 # envelopes
 REPORTS = """, rep AS (
-  SELECT mmsi, CASE WHEN event_id % 47 = 0 THEN 1805e-1 ELSE latitude END AS latitude, longitude, sog, cog,
+  SELECT mmsi, CASE WHEN event_id % 47 = 0 THEN 180.5e0 ELSE latitude END AS latitude, longitude, sog, cog,
     CASE WHEN event_id % 19 = 1 THEN NULL WHEN heading = 511 THEN cog ELSE heading END AS heading,
     CASE WHEN event_id % 43 = 0 THEN 1704067140 ELSE epoch_s END AS epoch_s
   FROM vp WHERE event_id % 41 <> 0)"""

@@ -30,7 +30,7 @@ def query(name: str, sql: str | None = None, rounded: tuple[str, ...] = ()):
 
         QUERIES[name] = run
         if sql is not None:
-            text = f"WITH RECURSIVE vp AS ({VESSEL_POSITIONS_SQL}){sql}"
+            text = f"WITH RECURSIVE vp AS MATERIALIZED ({VESSEL_POSITIONS_SQL}){sql}"
             if rounded:
                 text = f"SELECT * REPLACE ({', '.join(f'round({c}, 6) AS {c}' for c in rounded)}) FROM ({text})"
             ORACLES[name] = text
@@ -48,10 +48,10 @@ def epoch(name: str = "timestamp", alias: str = "epoch_s") -> Column:
 
 
 # Table expressions of the oracles, each opening with a comma.
-UNDER_WAY = ", uw AS (SELECT * FROM vp WHERE sog >= 2)"
-LATEST = """, latest AS (
+UNDER_WAY = ", uw AS MATERIALIZED (SELECT * FROM vp WHERE sog >= 2)"
+LATEST = """, latest AS MATERIALIZED (
   SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY mmsi ORDER BY epoch_s DESC) AS rn FROM vp) WHERE rn = 1)"""
-IN_WINDOW = UNDER_WAY + """, win AS (
+IN_WINDOW = UNDER_WAY + """, win AS MATERIALIZED (
   SELECT * EXCLUDE (rn) FROM (
     SELECT *, epoch_s // 10 AS w, row_number() OVER (PARTITION BY epoch_s // 10, mmsi ORDER BY epoch_s DESC) AS rn
     FROM uw WHERE dim_a + dim_b > 50) WHERE rn = 1)"""
@@ -86,30 +86,30 @@ def flat_relative(left: str, right: str, on: str) -> str:
 
 
 TIMED = "CASE WHEN ux * ux + uy * uy = 0 THEN 0e0 ELSE -(dx * ux + dy * uy) / (ux * ux + uy * uy) END"
-ENCOUNTERS = IN_WINDOW + f""", pw AS ({local_relative("win", "win", "a.w = b.w AND a.mmsi < b.mmsi")})
-, pt AS (SELECT *, {TIMED} AS tcpa FROM pw WHERE dx * ux + dy * uy < 0)
-, enc AS (
+ENCOUNTERS = IN_WINDOW + f""", pw AS MATERIALIZED ({local_relative("win", "win", "a.w = b.w AND a.mmsi < b.mmsi")})
+, pt AS MATERIALIZED (SELECT *, {TIMED} AS tcpa FROM pw WHERE dx * ux + dy * uy < 0)
+, enc AS MATERIALIZED (
   SELECT * FROM (
     SELECT *, sqrt((dx + ux * tcpa) * (dx + ux * tcpa) + (dy + uy * tcpa) * (dy + uy * tcpa)) / 1852e0 AS cpa,
       sqrt(dx * dx + dy * dy) / 1852e0 AS distance
     FROM pt WHERE tcpa BETWEEN 0 AND 10)
   WHERE cpa < 5e-1)"""
-LIVE = LATEST + f""", pl AS ({flat_relative("latest", "latest", "a.mmsi < b.mmsi")})
-, pl2 AS (SELECT *, greatest({TIMED}, 0e0) AS hours FROM pl)
-, pl3 AS (SELECT *, sqrt((dx + ux * hours) * (dx + ux * hours) + (dy + uy * hours) * (dy + uy * hours)) AS cpa FROM pl2)
-, live AS (
+LIVE = LATEST + f""", pl AS MATERIALIZED ({flat_relative("latest", "latest", "a.mmsi < b.mmsi")})
+, pl2 AS MATERIALIZED (SELECT *, greatest({TIMED}, 0e0) AS hours FROM pl)
+, pl3 AS MATERIALIZED (SELECT *, sqrt((dx + ux * hours) * (dx + ux * hours) + (dy + uy * hours) * (dy + uy * hours)) AS cpa FROM pl2)
+, live AS MATERIALIZED (
   SELECT *, concat('coll-', mmsi_a, '-', mmsi_b) AS id, hours * 6e1 AS tcpa FROM pl3 WHERE cpa < 5e-1 AND hours * 6e1 < 30)"""
-LIVE_HOURS = LIVE + """, live_h AS (
+LIVE_HOURS = LIVE + """, live_h AS MATERIALIZED (
   SELECT *, concat('coll-', mmsi_a, '-', mmsi_b) AS id, hours AS tcpa FROM pl3 WHERE cpa < 5e-1 AND hours < 30)"""
 TURN = "CASE WHEN abs(cog_a - cog_b) > 180 THEN 360 - abs(cog_a - cog_b) ELSE abs(cog_a - cog_b) END"
-RISK = LIVE + f""", risk AS (
+RISK = LIVE + f""", risk AS MATERIALIZED (
   SELECT *, 4e-1 * cpa_risk + 3e-1 * tcpa_risk + 2e-1 * speed_risk + 1e-1 * angle_risk AS overall_risk FROM (
     SELECT *, 1 - least(cpa / 5e-1, 1e0) AS cpa_risk,
       CASE WHEN tcpa > 0 THEN 1 - least(tcpa / 3e1, 1e0) ELSE 1e0 END AS tcpa_risk,
       least((sog_a + sog_b) / 3e1, 1e0) AS speed_risk, sin(radians({TURN})) AS angle_risk,
       least(1e0, (1 - cpa / 5e-1 * 5e-1) * CASE WHEN tcpa > 0 THEN 1 - tcpa / 3e1 * 5e-1 ELSE 1e0 END) AS heat
     FROM live))"""
-HAVERSINE = """2 * 3440065e-3 * atan2(sqrt({a}), sqrt(1 - ({a})))"""
+HAVERSINE = """2 * 3440.065e0 * atan2(sqrt({a}), sqrt(1 - ({a})))"""
 
 
 def haversine(lat1: str, lon1: str, lat2: str, lon2: str) -> str:

@@ -84,6 +84,5 @@ REFRESH_S = 15
 SLICE_S = 3600            # a ship's series is cut into slices of this length
 JOIN_BUCKET_S = 300       # time bucket of the position range join
 HOT_CELL_SHIPS = 2000     # ships per grid cell beyond which the cell is salted
-HOT_CELLS_BROADCAST = 10_000
 BROADCAST_ROWS = 200_000  # rows up to which a dimension is broadcast
 COMPONENT_SALTS = 16

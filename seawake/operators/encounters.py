@@ -5,13 +5,12 @@ pairs. Over the look-ahead time T a ship sweeps a box; two ships can only come
 within ``max_cpa`` of each other when their boxes, grown by half of ``max_cpa``,
 overlap. Boxes differ in size with speed, so ships fall into tiers of doubling box
 size. A ship *visits* one cell (that of its box centre) in its own tier and in each
-coarser one, and *hosts* the few cells of its own tier that a visitor's centre could
+coarser one that a ship of the same group is of, and *hosts* the few cells of its own tier that a visitor's centre could
 lie in. Slow, dense traffic therefore meets in small cells, and one fast ship or one
 bad speed value does not widen the cells of the others. Each pair meets exactly once.
 
-A cell that holds more ships than ``hot_cell_ships`` is salted: its visitors are
-spread over several tasks and its hosts repeated to each. Salting changes only where
-the work runs, so the number of salted cells may be capped and their list broadcast.
+A cell that holds more ships than ``hot_cell_ships`` is salted, however many such cells
+there are: its visitors are spread over several tasks and its hosts repeated to each.
 """
 
 from __future__ import annotations
@@ -102,9 +101,21 @@ def _across(df: DataFrame, plane: str, hours: float) -> DataFrame:
     )
 
 
-def _visitors(boxes: DataFrame, top_tier: Column, plane: str, max_cpa: float, hours: float) -> DataFrame:
-    tiers = boxes.withColumn("_g", F.explode_outer(F.sequence(F.col("_tier"), top_tier)))
-    rows = geo.computed(tiers, {"_bound": _bound(max_cpa)})
+def _visited(boxes: DataFrame, by: list[str]) -> DataFrame:
+    """Each ship with the tiers ``_g`` it visits: those of ships of its own group that are not
+    finer than its own. There are few tiers, as each doubles the box size."""
+    hosted = boxes.groupBy(*by).agg(F.collect_set("_tier").alias("_hosted"))
+    if by:
+        same = [F.col(f"b.{c}").eqNullSafe(F.col(f"t.{c}")) for c in by]
+        both = boxes.alias("b").join(hosted.alias("t"), same).select("b.*", "t._hosted")
+    else:
+        both = boxes.withColumn("_hosted", hosted.scalar())
+    coarser = F.filter("_hosted", lambda t: t >= F.col("_tier"))
+    return both.withColumn("_g", F.explode(coarser)).drop("_hosted")
+
+
+def _visitors(boxes: DataFrame, by: list[str], plane: str, max_cpa: float, hours: float) -> DataFrame:
+    rows = geo.computed(_visited(boxes, by), {"_bound": _bound(max_cpa)})
     rows = geo.computed(rows, {"_cy": _cell(F.col("_yc"))})
     return _across(rows, plane, hours).withColumn("_cx", _cell(F.col("_xc")))
 
@@ -127,9 +138,8 @@ def candidate_pairs(
     of the state columns with ``a.mmsi < b.mmsi``. ``states`` has one row per ship and group."""
     hours = max_tcpa_min / 60
     boxes = _boxes(_usable(states.select(*by, *STATE)), plane, max_cpa, hours)
-    top_tier = boxes.agg(F.coalesce(F.max("_tier"), F.lit(0)).alias("top")).scalar()
     cell = [*by, "_g", "_cy", "_cx"]
-    visitors = _visitors(boxes, F.greatest(top_tier, F.col("_tier")), plane, max_cpa, hours)
+    visitors = _visitors(boxes, by, plane, max_cpa, hours)
     hosts = _hosts(boxes, plane, max_cpa, hours)
     keys = cell
     if hot_cell_ships:
@@ -137,11 +147,8 @@ def candidate_pairs(
             visitors.groupBy(*cell)
             .agg(F.count("*").alias("_n"))
             .where(F.col("_n") > hot_cell_ships)
-            .orderBy(F.desc("_n"), *cell)
-            .limit(C.HOT_CELLS_BROADCAST)
             .select(*cell, F.ceil(F.col("_n") / hot_cell_ships).cast("int").alias("_salts"))
         )
-        hot = F.broadcast(hot)  # at most HOT_CELLS_BROADCAST rows, see the module notes
         salts = F.coalesce("_salts", F.lit(1))
         visitors = visitors.join(hot, cell, "left").withColumn("_salt", F.pmod(F.xxhash64("mmsi"), salts).cast("int"))
         hosts = hosts.join(hot, cell, "left").withColumn("_salt", F.explode_outer(F.sequence(F.lit(0), salts - 1)))
@@ -245,7 +252,9 @@ def detect_encounters_live(
 ) -> DataFrame:
     """Encounters among the latest ship states, one row per ship, in the flat plane.
 
-    ``tcpa_unit="hours"`` applies the threshold to hours, as older clients expect.
+    ``tcpa_unit="hours"`` applies the threshold to hours, as older clients expect. It is for
+    compatibility alone: with hours of look-ahead cells are hundreds of miles wide, and
+    candidates come near to all pairs.
     """
     minutes = max_tcpa * 60 if tcpa_unit == "hours" else max_tcpa
     pairs = _sides(candidate_pairs(ships, [], "flat", max_cpa, minutes, hot_cell_ships), [])
@@ -285,6 +294,22 @@ def rank_encounters(encounters: DataFrame) -> DataFrame:
     return encounters.orderBy("tcpa", "cpa", "mmsi_a", "mmsi_b", "timestamp")
 
 
+def with_urgency(encounters: DataFrame) -> DataFrame:
+    """Rank ``urgency`` of every encounter in the order of ``rank_encounters``.
+
+    Ranks are taken within millisecond steps of TCPA and shifted by the counts of the steps
+    before, so no task sees more than one step and the small table of counts.
+    """
+    step = F.floor(F.col("tcpa") * 60_000).cast("long")
+    rows = encounters.withColumn("_step", step)
+    counts = rows.groupBy("_step").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("_step", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    in_step = Window.partitionBy("_step").orderBy("tcpa", "cpa", "mmsi_a", "mmsi_b", "timestamp")
+    ranked = rows.join(counts, "_step").withColumn("urgency", F.row_number().over(in_step) + F.col("_before"))
+    return ranked.drop("_step", "_before")
+
+
 def most_urgent(encounters: DataFrame, n: int) -> DataFrame:
     """Top ``n`` by TCPA with their rank; a top-n, so only ``n`` rows reach the window."""
     order = ["tcpa", "cpa", "mmsi_a", "mmsi_b", "timestamp"]

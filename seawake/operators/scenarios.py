@@ -10,14 +10,14 @@ that instant.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from seawake import config as C
 from seawake.functions import display as D
 from seawake.functions import geo
 from seawake.operators.encounters import with_collision_id
-from seawake.session import cut_lineage
+from seawake.session import broadcast_if_small, cut_lineage
 
 SCENARIO = ["hour", "component"]
 MOMENT = [*SCENARIO, "t_us"]
@@ -76,11 +76,10 @@ def connected_components(edges: DataFrame, by: list[str] = (), max_rounds: int =
     """
     by = list(by)
     u, v = F.col("u"), F.col("v")
-    current = cut_lineage(
-        edges.select(*by, F.least("mmsi_a", "mmsi_b").alias("v"), F.greatest("mmsi_a", "mmsi_b").alias("u")).distinct()
+    current, mark = _settled(
+        edges.select(*by, F.least("mmsi_a", "mmsi_b").alias("v"), F.greatest("mmsi_a", "mmsi_b").alias("u")).distinct(), by
     )
     nodes = current.select(*by, u.alias("mmsi")).union(current.select(*by, v.alias("mmsi"))).distinct()
-    mark = _fingerprint(current, by)
     for _ in range(max_rounds):
         both = current.where("u <> v").select(*by, "u", "v")
         both = both.union(both.select(*by, v.alias("u"), u.alias("v")))
@@ -95,8 +94,8 @@ def connected_components(edges: DataFrame, by: list[str] = (), max_rounds: int =
             .where("u <> v")
             .distinct()
         )
-        current = cut_lineage(small)
-        before, mark = mark, _fingerprint(current, by)
+        before = mark
+        current, mark = _settled(small, by)
         if mark == before:
             break
     else:
@@ -105,10 +104,13 @@ def connected_components(edges: DataFrame, by: list[str] = (), max_rounds: int =
     return nodes.join(roots, [*by, "mmsi"], "left").withColumn("component", F.coalesce("component", "mmsi"))
 
 
-def _fingerprint(edges: DataFrame, by: list[str]) -> tuple:
+def _settled(edges: DataFrame, by: list[str]) -> tuple[DataFrame, tuple]:
+    """The checkpointed edges and a mark of them, observed while they are written."""
     h = F.xxhash64(*by, "u", "v")
-    row = edges.agg(F.count("*"), F.sum(F.shiftright(h, 40)), F.bit_xor(h)).first()
-    return tuple(row)
+    seen = Observation()
+    watched = edges.observe(seen, F.count("*").alias("n"), F.sum(F.shiftright(h, 40)).alias("total"), F.bit_xor(h).alias("bits"))
+    done = cut_lineage(watched)
+    return done, tuple(seen.get[c] for c in ("n", "total", "bits"))
 
 
 def scenario_members(encounters: DataFrame) -> DataFrame:
@@ -180,8 +182,17 @@ def positions_for_encounters(
     One range join for all encounters. Windows are cut into five-minute buckets and
     joined on ``(mmsi, bucket)``, which also spreads a ship that sends very much. The
     positions are shuffled once, on those keys: restricting them to needed buckets,
-    removing repeats and the join itself share that partitioning.
+    removing repeats and the join itself share that partitioning. Before that the scan is
+    bounded by the first and last moment, and rows of other ships are dropped.
     """
+    span = moment_rows.agg(F.min("t_us"), F.max("t_us")).first()
+    if span[0] is None:
+        positions = positions.limit(0)
+    else:
+        low, high = (F.timestamp_micros(F.lit(us)) for us in (span[0] - before_s * MICROS, span[1] + after_s * MICROS + 1))
+        positions = in_span(positions, low, high)
+    ships = broadcast_if_small(members.select("mmsi").distinct())
+    positions = positions.join(ships, "mmsi", "left_semi")
     windows = _scenario_ships(moment_rows.select(*MOMENT).distinct(), members)
     first, last = F.col("t_us") - before_s * MICROS, F.col("t_us") + after_s * MICROS
     windows = windows.withColumn("bucket", F.explode(F.sequence(_bucket(first), _bucket(last))))

@@ -44,7 +44,7 @@ def build_scenarios(
     placed = S.edges_in_component(chosen, members)
     summary = S.scenario_summary(placed, members)
 
-    moments = S.moments(placed)
+    moments = stored(S.moments(placed), "moments")
     # one second more at the end, as the replay windows include their ends
     near = S.in_span(positions, start, end, C.WIDE_BEFORE_S, C.WIDE_AFTER_S + 1)
     rows = S.positions_for_encounters(moments, members, near)
@@ -55,7 +55,7 @@ def build_scenarios(
     tracks = stored(tracks, "tracks")  # feeds times, pairs, fill and names
     times = S.frame_times(tracks)
 
-    pairs = S.pair_frames(moments, tracks, times, look_ahead)
+    pairs = stored(S.pair_frames(moments, tracks, times, look_ahead), "pairs")  # feeds closest, focus and icon
     closest = S.closest_approach(moments, pairs)
     focus = S.focus_window(pairs, closest)
     icon = S.encounter_icon(focus)

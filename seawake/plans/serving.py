@@ -10,8 +10,8 @@ from seawake.operators import tracks as K
 from seawake.operators import views as V
 
 
-def vessels(positions: DataFrame, n: int | None = C.SHIPS_HELD) -> DataFrame:
-    """The ``n`` ships that reported last; ``None`` for all."""
+def vessels(positions: DataFrame, n: int | None = None) -> DataFrame:
+    """All ships, or the ``n`` that reported last."""
     ships = V.ship_state(K.last_per_key(positions))
     return V.vessel_view(ships if n is None else K.most_recent(ships, n))
 
