@@ -1,8 +1,9 @@
 """Token ids of whole texts, by a tokenizer file of the ``tokenizers`` library.
 
-Both kinds of file used here never let a token reach across a blank (see ``units``), so a
-text's ids are those of its units, one after the other. Units repeat, so each
-worker process keeps the ids of those it has met, up to ``MEMO_UNITS``.
+Both kinds of file used here look at a word and the blank before it, or at a run of white
+space, at a time, so a text's ids are those of its units (see ``units``), one after the
+other. Units repeat, so each worker process keeps the ids of those it has met, up to
+``MEMO_UNITS``; beyond, the later half goes, as common units come early.
 """
 
 from __future__ import annotations
@@ -15,25 +16,19 @@ import numpy as np
 
 from seawake.llm.common import process_cache
 
-MEMO_UNITS = 500_000
+MEMO_UNITS = 1_000_000
 LONG_UNIT = 64
-_WHITE_AROUND_BLANK = re.compile(r"\s \s")
+_UNIT = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+#: Separators that Python counts as white space and the tokenizers do not.
+_DOUBTFUL = "\x1c\x1d\x1e\x1f"
 
 
 def units(text: str, keeps_blanks: bool) -> list[str]:
-    """Parts of a text that are tokenized apart.
-
-    Where blanks are part of tokens, a blank opens a token, unless it stands between
-    white space or at an edge; a text with such a blank stays whole.
-    Otherwise blanks and line ends are dropped by the tokenizer itself.
-    """
-    if not keeps_blanks:
-        return [u for u in text.replace("\n", " ").split(" ") if u]
-    if not text:
-        return []
-    if text[0] == " " or text[-1] == " " or "\0" in text or _WHITE_AROUND_BLANK.search(text):
+    """Parts of a text that are tokenized apart. ``keeps_blanks``: white space gives tokens
+    too, and a blank belongs to the word after it."""
+    if any(c in text for c in _DOUBTFUL):
         return [text]
-    return text.replace(" ", "\0 ").split("\0")
+    return _UNIT.findall(text) if keeps_blanks else text.split()
 
 
 def _loaded(path: str):
@@ -48,10 +43,19 @@ def _loaded(path: str):
         special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         held.update(tokenizer=tokenizer, plain=plain, special=special, mark_id=tokenizer.token_to_id(special[0]), memo={})
         held["keeps_blanks"] = probe[-1] not in ("b", "b</w>")
+        held["visible"] = visible_bytes()
     return held
 
 
-def _encode_apart(some: list[str], held: dict):
+def visible_bytes() -> dict[int, str]:
+    """Byte-level vocabularies write a byte as a visible character: itself where it is one in
+    Latin-1, else the next free one from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+def _encode_apart(some: list[str], held: dict) -> dict[str, bytes]:
     """Ids of each unit. All are encoded in one call, parted by a special token, which the
     library takes out before it looks at the rest."""
     whole = held["special"][0].join(some)
@@ -60,7 +64,33 @@ def _encode_apart(some: list[str], held: dict):
     ids = np.array(held["tokenizer"].encode_batch_fast([whole], add_special_tokens=False)[0].ids, np.uint32)
     ends = np.append(np.flatnonzero(ids == held["mark_id"]), len(ids)).tolist()
     data = ids.tobytes()
-    return zip(some, [data[4 * lo : 4 * hi] for lo, hi in zip([0, *[e + 1 for e in ends[:-1]]], ends, strict=True)], strict=True)
+    return {u: data[4 * lo : 4 * hi] for u, lo, hi in zip(some, [0, *[e + 1 for e in ends[:-1]]], ends, strict=True)}
+
+
+def _encode_new(new: list[str], held: dict) -> dict[str, bytes]:
+    """Ids of units. A unit of letters is one word to either tokenizer, and so is a sign
+    after it; these go to the library's merging model itself, which is most of the work
+    less its general preparation. All others take the usual way."""
+    merge, visible, keeps_blanks = held["tokenizer"].model.tokenize, held["visible"], held["keeps_blanks"]
+    out, others = {}, []
+    signs = {c: array("I", [t.id for t in merge(c)]) for c in ".,;:!?"}
+    for u in new:
+        sign = u[-1] if u[-1] in signs else ""
+        word = u[:-1] if sign else u
+        if not keeps_blanks:
+            word = word.lower() if word.isascii() else held["tokenizer"].normalizer.normalize_str(word)
+        if len(u) > LONG_UNIT or not (word[1:] if keeps_blanks and word[:1] == " " else word).isalpha():
+            others.append(u)
+            continue
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(visible)
+        elif keeps_blanks:
+            word = word.replace(" ", visible[32])
+        ids = array("I", [t.id for t in merge(word)])
+        out[u] = (ids + signs[sign] if sign else ids).tobytes()
+    for at in range(0, len(others), 2048):
+        out |= _encode_apart(others[at : at + 2048], held)
+    return out
 
 
 def encode(texts: list[str], path: str) -> list[bytes]:
@@ -69,10 +99,10 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     memo, keeps_blanks = held["memo"], held["keeps_blanks"]
     parts = [units(t, keeps_blanks) for t in texts]
     if len(memo) > MEMO_UNITS:
-        memo.clear()
+        for u in list(memo)[MEMO_UNITS // 2 :]:
+            del memo[u]
     new = list(set().union(*parts).difference(memo))
-    for at in range(0, len(new), 2048):
-        memo.update(_encode_apart(new[at : at + 2048], held))
+    memo.update(_encode_new(new, held))
     out = [b"".join(map(memo.__getitem__, p)) for p in parts]
     for u in new:
         if len(u) > LONG_UNIT:
