@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seawake.llm.common import batch, map_arrow, slices
+from seawake.session import broadcast_if_small, stored
 
 # --- fixed values ------------------------------------------------------------
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -242,5 +243,6 @@ def main_texts(pages: DataFrame) -> DataFrame:
             texts = [Page(s).extract(p) for s, p in zip(sources, paths, strict=True)]
             yield batch(TEXTS, part.column(0), part.column(1), texts, [len(t) for t in texts])
 
-    both = with_host(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")).join(host_paths(pages), "host", "left")
+    paths = broadcast_if_small(stored(host_paths(pages), "host-paths"))  # else a join in which a large host is split
+    both = with_host(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")).join(paths, "host", "left")
     return map_arrow(both.select("page_id", "url", "html", "path"), extract, TEXTS)
