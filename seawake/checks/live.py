@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from seawake import fixtures as X
 from seawake.checks.geometry import CLASS
+from seawake.checks.messages import SKEWED, skewed
 from seawake.checks.registry import ENCOUNTERS, LATEST, LIVE, LIVE_HOURS, RISK, epoch, haversine, query, r6, TIMED, flat_relative
 from seawake.functions import geo
 from seawake.operators import encounters as E
@@ -303,6 +304,15 @@ def current_and_history(spark, sf):
     return K.current_and_history(positions(spark, sf)).select("mmsi", "epoch_s", "recency", "n_points")
 
 
+@query(  # W4, a hot ship cut into small slices
+    "current_and_history_skewed",
+    SKEWED + """ SELECT mmsi, epoch_s, row_number() OVER (PARTITION BY mmsi ORDER BY epoch_s DESC) AS recency,
+      count(*) OVER (PARTITION BY mmsi) AS n_points FROM hot QUALIFY n_points >= 2""",
+)
+def current_and_history_skewed(spark, sf):
+    return K.current_and_history(skewed(X.vessel_positions(spark, sf)), slice_rows=100).select("mmsi", "epoch_s", "recency", "n_points")
+
+
 @query(  # W5, counted back from each ship's newest report
     "recent",
     """ SELECT mmsi, epoch_s FROM (SELECT *, max(epoch_s) OVER (PARTITION BY mmsi) AS top FROM vp) WHERE epoch_s >= top - 3600""",

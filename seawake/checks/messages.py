@@ -106,14 +106,16 @@ def flatten_static(spark, sf):
     return P.flatten_static(statics, now()).select("mmsi", "ship_name", *DIMS.split(", "), epoch())
 
 
-@query(  # the whole ingest: S1, P4, P5, P7–P10, P20, J1
-    "ingest",
+INGESTED = (
     REPORTS + ENVELOPE_STATICS + f""", good AS (SELECT * FROM rep WHERE sog >= 2 AND latitude BETWEEN -180 AND 180)
     , facts AS (SELECT * EXCLUDE (rn) FROM (
         SELECT *, row_number() OVER (PARTITION BY mmsi, epoch_s ORDER BY ship_name DESC, dim_a DESC) AS rn FROM sta) WHERE rn = 1)
     SELECT p.*, coalesce(s.ship_name, 'Unknown') AS ship_name, {", ".join("s." + d for d in DIMS.split(", "))}
-    FROM good p ASOF LEFT JOIN facts s ON p.mmsi = s.mmsi AND p.epoch_s >= s.epoch_s""", rounded=("latitude", "longitude"),
+    FROM good p ASOF LEFT JOIN facts s ON p.mmsi = s.mmsi AND p.epoch_s >= s.epoch_s"""
 )
+
+
+@query("ingest", INGESTED, rounded=("latitude", "longitude"))  # the whole ingest: S1, P4, P5, P7–P10, P20, J1
 def ingest(spark, sf):
     return live.ingest(_envelopes(spark, sf), now()).select(
         "mmsi", "latitude", "longitude", "sog", "cog", "heading", epoch(), "ship_name", *DIMS.split(", ")
@@ -263,6 +265,25 @@ def enrich_asof(spark, sf):
     return out.select("event_id", "mmsi", "ship_name", *DIMS.split(", "))
 
 
+#: One ship sends more than a third of all rows.
+SKEWED = ", hot AS (SELECT * REPLACE (CASE WHEN event_id % 3 = 0 THEN 200000001 ELSE mmsi END AS mmsi) FROM vp)"
+
+
+def skewed(df):
+    return df.withColumn("mmsi", F.when(F.col("event_id") % 3 == 0, F.lit(200000001)).otherwise(F.col("mmsi")))
+
+
+@query(  # J1, a hot ship cut into small slices
+    "enrich_asof_skewed",
+    STATICS + SKEWED + f""" SELECT p.event_id, p.mmsi, coalesce(s.ship_name, 'Unknown') AS ship_name,
+      {", ".join("s." + d for d in DIMS.split(", "))}
+    FROM hot p ASOF LEFT JOIN st s ON p.mmsi = s.mmsi AND p.epoch_s >= s.epoch_s""",
+)
+def enrich_asof_skewed(spark, sf):
+    out = N.enrich_asof(skewed(X.vessel_positions(spark, sf)), X.vessel_static(spark, sf), slice_rows=100)
+    return out.select("event_id", "mmsi", "ship_name", *DIMS.split(", "))
+
+
 NEWEST_STATIC = STATICS + """, snap AS (SELECT * EXCLUDE (rn) FROM (
   SELECT *, row_number() OVER (PARTITION BY mmsi ORDER BY epoch_s DESC) AS rn FROM st) WHERE rn = 1)"""
 

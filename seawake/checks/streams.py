@@ -4,10 +4,11 @@ batch at a time. The SQL states the batch meaning of each job."""
 
 from pyspark.sql import functions as F
 
+from seawake import config as C
 from seawake import fixtures as X
 from seawake import schema as S
 from seawake.checks.live import TRACK, _track, positions
-from seawake.checks.messages import DIMS, MESSAGES, NEWEST_STATIC, STATICS
+from seawake.checks.messages import DIMS, INGESTED, MESSAGES, NEWEST_STATIC, STATICS
 from seawake.checks.registry import ENCOUNTERS, LIVE, epoch, query, r6
 from seawake.operators import parse as P
 from seawake.session import child_names, work_path
@@ -16,14 +17,12 @@ from seawake.sources import files as R
 from seawake.streaming import jobs as J
 from seawake.streaming import state as T
 
-MIDDLE = 1704067200 + 4000
-
-
 def stream_of(spark, df, name, at="timestamp"):
     """A stream over ``df`` that reads two time-ordered parts in two batches, and a
     folder for its outputs."""
     home = work_path(spark, name)
-    early = F.unix_timestamp(at) < MIDDLE
+    first, last = df.agg(F.min(F.unix_timestamp(at)), F.max(F.unix_timestamp(at))).first()
+    early = F.unix_timestamp(at) < (first + last) // 2
     df.where(early).write.parquet(f"{home}/in")
     files = [n for n in child_names(spark, f"{home}/in") if n.endswith(".parquet")]
     df.where(~early).write.mode("append").parquet(f"{home}/in")
@@ -106,6 +105,35 @@ def encounters_stream(spark, sf):
     return spark.read.parquet(f"{home}/out").select("mmsi_a", "mmsi_b", epoch(), *r6("cpa", "tcpa"))
 
 
+@query(  # ST7 with its static side
+    "encounters_stream_named",
+    ENCOUNTERS + """ SELECT mmsi_a, mmsi_b, epoch_s,
+      CASE WHEN ship_name_a = 'Unknown' THEN concat('N_', mmsi_a) ELSE ship_name_a END AS ship_name_a,
+      CASE WHEN ship_name_b = 'Unknown' THEN concat('N_', mmsi_b) ELSE ship_name_b END AS ship_name_b FROM enc
+    WHERE epoch_s // 10 * 10 + 10 <= (SELECT max(epoch_s) FROM uw WHERE dim_a + dim_b > 50)""",
+)
+def encounters_stream_named(spark, sf):
+    rows = positions(spark, sf)
+    stream, home = stream_of(spark, P.under_way(rows), "named")
+    known = rows.groupBy("mmsi").agg(*[F.max(d).alias(d) for d in S.DIMS], F.max("timestamp").alias("update_time"))
+    W.write_static(known.withColumn("ship_name", F.concat(F.lit("N_"), F.col("mmsi").cast("string"))), f"{home}/static")
+    done(J.encounters_stream(stream, f"{home}/out", f"{home}/c", trigger=J.ONCE, statics_path=f"{home}/static"))
+    return spark.read.parquet(f"{home}/out").select("mmsi_a", "mmsi_b", epoch(), "ship_name_a", "ship_name_b")
+
+
+@query(  # K2, ST6: newest per window, first per ship, appended
+    "static_table_stream",
+    f""", closed AS (SELECT *, epoch_s // {C.STATIC_WINDOW_S} AS w FROM vp)
+    SELECT mmsi, ship_name, {DIMS}, epoch_s FROM (
+      SELECT *, row_number() OVER (PARTITION BY mmsi ORDER BY w, epoch_s DESC) AS rn FROM closed
+      WHERE (w + 1) * {C.STATIC_WINDOW_S} <= (SELECT max(epoch_s) FROM vp)) WHERE rn = 1""",
+)
+def static_table_stream(spark, sf):
+    stream, home = stream_of(spark, positions(spark, sf), "static")
+    done(J.static_table_stream(stream, f"{home}/out", f"{home}/c", trigger=J.ONCE))
+    return spark.read.parquet(f"{home}/out").select("mmsi", "ship_name", *S.DIMS, epoch("update_time"))
+
+
 @query(  # ST8 (A9, J4 once per batch)
     "latest_state_stream", LIVE + " SELECT id, round(cpa, 6) AS cpa, round(tcpa, 6) AS tcpa FROM live"
 )
@@ -133,17 +161,13 @@ def messages_stream(spark, sf):
 
 @query(  # S1, K5: feed files to published messages, through the keyed state
     "feed_stream",
-    """, good AS (SELECT * FROM vp WHERE event_id % 41 <> 0 AND event_id % 47 <> 0 AND sog >= 2)
-    SELECT count(*) AS n, count(DISTINCT mmsi) AS ships FROM good""",
+    INGESTED, rounded=("latitude", "longitude"),
 )
 def feed_stream(spark, sf):
     home = work_path(spark, "feed")
     X.envelopes(spark, sf).write.text(f"{home}/in")
-    reports, statics = P.route_by_type(R.read_feed(spark, f"{home}/in"))
     now = F.timestamp_seconds(F.lit(1704067140))
-    good = P.valid_coordinate(P.under_way(P.flatten_position(reports, now)))
-    out = T.enrich_stream(good, P.flatten_static(statics, now))
-    done(W.publish_messages(out, f"{home}/out", f"{home}/c", trigger=J.ONCE))
+    done(J.ingest_stream(R.read_feed(spark, f"{home}/in"), f"{home}/out", f"{home}/c", now, trigger=J.ONCE))
     back = P.parse_message(spark.read.text(f"{home}/out"))
-    return back.agg(F.count("*").alias("n"), F.countDistinct("mmsi").alias("ships"))
+    return back.select("mmsi", "latitude", "longitude", "sog", "cog", "heading", epoch(), "ship_name", *S.DIMS)
 

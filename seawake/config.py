@@ -16,7 +16,7 @@ NO_CPA = 9999.0                       # sentinel pair returned when there is no
 NO_TCPA = -1.0                        # closest approach ahead
 NO_DISTANCE = 999999.0                # closest distance when a pair never meets
 
-# --- message rules -----------------------------------------------------------
+# --- message rules (fixed values) -----------------------------------------------------------
 UNKNOWN_NAME = "Unknown"
 NO_GEOHASH = "none"
 HEADING_NOT_AVAILABLE = 511.0
@@ -32,7 +32,7 @@ SERVING_BOXES = [
     [[20.0, -80.0], [40.0, -60.0]],
 ]
 
-# --- encounters --------------------------------------------------------------
+# --- encounters (default values) --------------------------------------------------------------
 MAX_CPA_NM = 0.5
 MAX_TCPA_MIN = 10.0
 LIVE_MAX_TCPA = 30.0
@@ -68,7 +68,7 @@ HISTORY_MINUTES = 60
 SHIPS_HELD = 100
 VECTOR_MINUTES = 15
 
-# --- replay ------------------------------------------------------------------
+# --- replay (fixed values) ------------------------------------------------------------------
 FRAME_STEP_S = 60
 WIDE_BEFORE_S, WIDE_AFTER_S = 20 * 60, 10 * 60
 FINAL_BEFORE_S, FINAL_AFTER_S = 15 * 60, 5 * 60
@@ -82,7 +82,11 @@ REFRESH_S = 15
 
 # --- physical design ---------------------------------------------------------
 SLICE_S = 3600            # a ship's series is cut into slices of this length
+SLICE_ROWS = 1_000_000                # rows of a ship that one task puts in order
 JOIN_BUCKET_S = 300       # time bucket of the position range join
 HOT_CELL_SHIPS = 2000     # ships per grid cell beyond which the cell is salted
 BROADCAST_ROWS = 200_000  # rows up to which a dimension is broadcast
 COMPONENT_SALTS = 16
+
+# --- versioned tables (default values) ---------------------------------------
+VERSION_KEPT_S = 3600                 # old versions stay this long for those who read them

@@ -12,11 +12,11 @@ from seawake.operators.series import last_known, newest, tumbling
 from seawake.session import broadcast_if_small
 
 
-def enrich_asof(positions: DataFrame, statics: DataFrame, slice_seconds: int = C.SLICE_S) -> DataFrame:
+def enrich_asof(positions: DataFrame, statics: DataFrame, slice_seconds: int = C.SLICE_S, slice_rows: int = C.SLICE_ROWS) -> DataFrame:
     """Each position with the ship's newest static data known by then."""
     fields = ["ship_name", *S.DIMS]
     bare = positions.drop(*fields)
-    found = last_known(bare, statics.select("mmsi", "timestamp", *fields), "mmsi", fields, slice_seconds=slice_seconds)
+    found = last_known(bare, statics.select("mmsi", "timestamp", *fields), "mmsi", fields, slice_seconds=slice_seconds, slice_rows=slice_rows)
     return found.withColumn("ship_name", F.coalesce("ship_name", F.lit(C.UNKNOWN_NAME)))
 
 

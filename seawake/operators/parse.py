@@ -216,10 +216,12 @@ def in_boxes(df: DataFrame, boxes=None) -> DataFrame:
     def degree(column) -> Column:
         return F.floor(F.col(column)).cast("long")
 
-    cells = (
-        boxes.withColumn("_by", F.explode(F.sequence(degree("lat_min"), degree("lat_max"))))
-        .withColumn("_bx", F.explode(F.sequence(degree("lon_min"), degree("lon_max"))))
-    )
+    def degrees(low: str, high: str) -> Column:
+        """Whole degrees a box touches; bounds beyond the globe add none."""
+        from_, to = (F.greatest(F.lit(-181), F.least(F.lit(181), degree(c))) for c in (low, high))
+        return F.explode(F.when(from_ <= to, F.sequence(from_, to)))
+
+    cells = boxes.withColumn("_by", degrees("lat_min", "lat_max")).withColumn("_bx", degrees("lon_min", "lon_max"))
     cells = broadcast_if_small(cells)
     inside = (
         (degree("latitude") == F.col("_by"))

@@ -19,9 +19,9 @@ def most_recent(ships: DataFrame, n: int = C.SHIPS_HELD) -> DataFrame:
     return ships.orderBy(F.desc("timestamp"), "mmsi").limit(n)
 
 
-def current_and_history(positions: DataFrame) -> DataFrame:
+def current_and_history(positions: DataFrame, slice_rows: int = C.SLICE_ROWS) -> DataFrame:
     """History newest first of ships with at least two points; ``recency`` 1 is the current one."""
-    return ranked_newest_first(positions, "mmsi", ties=("latitude", "longitude")).where("n_points >= 2")
+    return ranked_newest_first(positions, "mmsi", ties=("latitude", "longitude"), slice_rows=slice_rows).where("n_points >= 2")
 
 
 def predict_current(ships: DataFrame, history: DataFrame) -> DataFrame:

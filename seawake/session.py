@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,14 +61,30 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+_STORED: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows written as a table below the shared folder and read back: cuts the
-    lineage, survives lost executors, and later readers take only their columns."""
+    lineage, survives lost executors, and later readers take only their columns.
+    ``release_stored`` removes such tables."""
     path = work_path(df.sparkSession, name)
+    _STORED.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def release_stored(spark: SparkSession, since: int = 0) -> None:
+    """Removes the tables that ``stored`` wrote in this process, from number ``since`` on
+    (``stored_count`` before a job). For the end of a job, when its results are written."""
+    while len(_STORED) > since:
+        delete_path(spark, _STORED.pop())
+
+
+def stored_count() -> int:
+    return len(_STORED)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = C.BROADCAST_ROWS) -> DataFrame:
     """Broadcast a stored dimension after counting it; beyond ``max_rows`` it is left to
     a shuffled join, where AQE may split a hot key on the other side. Derived tables,
@@ -95,6 +112,12 @@ def child_names(spark: SparkSession, path: str) -> list[str]:
     return sorted(status.getPath().getName() for status in fs.listStatus(hadoop_path))
 
 
+def child_ages(spark: SparkSession, path: str) -> dict[str, float]:
+    """Seconds since each child of a folder was last changed."""
+    hadoop_path, fs = path_of(spark, path)
+    return {s.getPath().getName(): time.time() - s.getModificationTime() / 1000 for s in fs.listStatus(hadoop_path)}
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     hadoop_path, fs = path_of(spark, path)
     fs.delete(hadoop_path, True)

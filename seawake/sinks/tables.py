@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seawake import config as C
 from seawake import schema as S
 from seawake.operators.enrich import merge_static
-from seawake.session import child_names, delete_path
+from seawake.session import child_ages, child_names, delete_path
 from seawake.sources.files import SNAPSHOT_PREFIX, read_static_snapshot, snapshot_versions
 
 
@@ -55,16 +56,19 @@ def write_static(df: DataFrame, path: str, batch_id: int | None = None) -> None:
         ).partitionBy("batch_id").parquet(path)
 
 
-def write_static_snapshot(batch: DataFrame, path: str, version: int, keep: int = 3) -> DataFrame:
+def write_static_snapshot(batch: DataFrame, path: str, version: int, keep: int = 3, keep_s: int = C.VERSION_KEPT_S) -> DataFrame:
     """Merges ``batch`` into the newest version below ``version`` and writes the whole
     as ``version``. A reader sees a version once its success marker is there, and a
-    repeated batch rewrites its own version only. ``batch`` without rows writes nothing."""
+    repeated batch rewrites its own version only. ``batch`` without rows writes nothing. Older
+    versions than the last ``keep`` go once they are older than ``keep_s``."""
     spark = batch.sparkSession
     if not batch.isEmpty():
         known = read_static_snapshot(spark, path, before=version)
         merge_static(known, batch).write.mode("overwrite").parquet(f"{path}/{SNAPSHOT_PREFIX}{version}")
+        ages = child_ages(spark, path)
         for old in [v for v in snapshot_versions(spark, path) if v < version][: -keep or None]:
-            delete_path(spark, f"{path}/{SNAPSHOT_PREFIX}{old}")
+            if ages[f"{SNAPSHOT_PREFIX}{old}"] > keep_s:
+                delete_path(spark, f"{path}/{SNAPSHOT_PREFIX}{old}")
     return read_static_snapshot(spark, path)
 
 

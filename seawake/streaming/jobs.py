@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -19,8 +19,8 @@ from seawake.operators import views as V
 from seawake.operators.series import newest
 from seawake.sinks import tables as W
 from seawake.sources.files import read_static_snapshot, snapshot_versions
-from seawake.session import child_names, delete_path, path_exists
-from seawake.streaming.state import track_stream
+from seawake.session import child_ages, child_names, delete_path, path_exists
+from seawake.streaming.state import enrich_stream, track_stream
 
 ONCE = {"availableNow": True}
 
@@ -92,20 +92,63 @@ def encounters_stream(
     seconds: int = C.ENCOUNTER_WINDOW_S,
     delay: str = "0 seconds",
     trigger: dict | None = None,
+    statics_path: str | None = None,
     **limits,
 ) -> StreamingQuery:
     """Appends the encounters of each closed window to the table at ``path``.
 
     A window closes in exactly one micro-batch, which therefore holds all of its ships.
+    Unknown names are filled from the static table at ``statics_path``, as it is when the
+    batch runs: one row per ship, the earliest.
     """
     closed = latest_per_window(P.long_enough(positions), seconds, delay)
 
     def each(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        if statics_path is not None and path_exists(spark, statics_path):
+            table = spark.read.schema("mmsi long, ship_name string, update_time timestamp").parquet(statics_path)
+            known = newest(table, ["mmsi"], ["update_time"], oldest=True)
+            batch = N.fill_names(batch, known)
         W.write_encounters(E.encounters_among(batch, ["window_start", "window_end"], **limits), path, batch_id)
 
     return _start(closed, checkpoint, each, trigger)
 
 
+def static_table_stream(
+    messages: DataFrame, path: str, checkpoint: str, seconds: int = C.STATIC_WINDOW_S, delay: str = "0 seconds", trigger: dict | None = None
+) -> StreamingQuery:
+    """Appends a static row for every ship that the table at ``path`` does not have yet.
+
+    The rows with dimensions are reduced to the newest of each ship and window, and a
+    closed window to the first of each ship, before a ship meets the table: a ship that
+    sends very much is combined where its rows are read.
+    """
+    closed = latest_static_stream(messages, seconds, delay)
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        first = newest(batch.drop("window_end"), ["mmsi"], ["window_start", "timestamp"], oldest=True)
+        rows = P.project_static(first, F.col("timestamp"))
+        if path_exists(spark, path):
+            table = spark.read.schema("mmsi long, batch_id long").parquet(path)  # a first batch may have left it without rows
+            others = table.where(~F.col("batch_id").eqNullSafe(batch_id)).select("mmsi").distinct()
+            rows = rows.join(others, "mmsi", "left_anti")
+        W.write_static(rows, path, batch_id)
+
+    return _start(closed, checkpoint, each, trigger)
+
+
+def ingest_stream(
+    feed: DataFrame, path: str, checkpoint: str, ingest_time: Column | None = None, boxes=None, trigger: dict | None = None
+) -> StreamingQuery:
+    """Feed to published messages: routed, valid, under way, with the ship's last static data."""
+    reports, statics = P.route_by_type(feed)
+    positions = P.valid_coordinate(P.under_way(P.flatten_position(reports, ingest_time)))
+    if boxes is not None:
+        positions = P.in_boxes(positions, boxes)
+    return W.publish_messages(enrich_stream(positions, P.flatten_static(statics, ingest_time)), path, checkpoint, trigger=trigger)
+
+
 # --- static snapshot ---------------------------------------------------------
 def snapshot_stream(statics: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Merges new static rows into the versioned snapshot every ten minutes."""
@@ -155,11 +198,15 @@ def read_state(spark, folder: str, before: int | None = None) -> DataFrame | Non
     return spark.read.parquet(f"{folder}/{VERSION}{versions[-1]}") if versions else None
 
 
-def _write_state(df: DataFrame, folder: str, version: int, keep: int = 3) -> None:
+def _write_state(df: DataFrame, folder: str, version: int, keep: int = 3, keep_s: int = C.VERSION_KEPT_S) -> None:
+    """Writes a version; older ones than the last ``keep`` go once they are older than
+    ``keep_s``, when no reader that picked them can still be at work."""
     spark = df.sparkSession
     df.write.mode("overwrite").parquet(f"{folder}/{VERSION}{version}")
+    ages = child_ages(spark, folder)
     for old in [v for v in _versions(spark, folder) if v < version][:-keep]:
-        delete_path(spark, f"{folder}/{VERSION}{old}")
+        if ages[f"{VERSION}{old}"] > keep_s:
+            delete_path(spark, f"{folder}/{VERSION}{old}")
 
 
 def latest_state_stream(

@@ -153,3 +153,32 @@ def test_dedupe_and_rank(spark):
     assert [tuple(r) for r in kept] == [(3, 1.0), (2, 4.0)]
     assert E.filter_encounters(df, 0.2, 4.0).count() == 1
     assert F.col("x") is not None
+
+
+def _visitors_per_window(df):
+    boxes = E._boxes(E._usable(df.select("window", *E.STATE)), "local", 0.5, 1 / 6)
+    rows = E._visited(boxes, ["window"]).groupBy("window").count().collect()
+    return {r["window"]: r["count"] for r in rows}
+
+
+def test_one_bad_speed_changes_no_other_window(spark):
+    rows = [(w, m, "x", 50 + m / 1e3, 1.0, 90.0, float(m % 15 + 2), None) for w in range(4) for m in range(40)]
+    schema = "window int, mmsi long, ship_name string, latitude double, longitude double, cog double, sog double, timestamp timestamp"
+    before = _visitors_per_window(spark.createDataFrame(rows, schema))
+    after = _visitors_per_window(spark.createDataFrame([*rows, (2, 99, "bad", 50.0, 1.0, 0.0, 1e6, None)], schema))
+    assert {w: n for w, n in after.items() if w != 2} == {w: n for w, n in before.items() if w != 2}
+    assert after[2] == before[2] + 41  # each ship visits the one new tier
+
+
+def test_every_crowded_cell_is_salted(spark):
+    """More crowded cells than any list of them could be cut at: same pairs with and without salt."""
+    rows = [(c, c * 10 + k, "x", 50.0 + k / 1e4, c / 10, 90.0 + 180 * (k % 2), 10.0, None) for c in range(30) for k in range(6)]
+    schema = "window int, mmsi long, ship_name string, latitude double, longitude double, cog double, sog double, timestamp timestamp"
+    df = spark.createDataFrame(rows, schema)
+
+    def pairs(hot):
+        return {(r["a"]["mmsi"], r["b"]["mmsi"]) for r in E.candidate_pairs(df, ["window"], "local", 0.5, 10, hot).select("a", "b").collect()}
+
+    assert pairs(1) == pairs(None) and len(pairs(1)) >= 30 * 9
+    plan = E.candidate_pairs(df, ["window"], "local", 0.5, 10, 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Limit" not in plan and "broadcast" not in plan.lower()

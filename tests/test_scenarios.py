@@ -238,3 +238,17 @@ def test_hour_bounds(spark):
     )
     got = S.read_encounters(met, F.lit(T0), F.lit(T0 + timedelta(hours=1))).orderBy("timestamp").collect()
     assert [r.collision_id for r in got] == ["1_2_20240101100000", "1_2_20240101105900"]
+
+
+def test_positions_are_pruned_before_they_are_shuffled(spark, positions):
+    """The scan is bounded in time, and other ships' rows go before the exchange."""
+    from pyspark.sql import functions as F
+
+    members = spark.createDataFrame([(0, 1, 200000001)], "hour int, component long, mmsi long").withColumn("hour", F.timestamp_seconds(F.lit(1704067200)))
+    at = 1704067200_000000 + 900_000000
+    moments = members.select("hour", "component", F.lit(at).alias("t_us"))
+    out = S.positions_for_encounters(moments, members, positions)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("bucket") :]
+    assert "LeftSemi" in below and "timestamp#" in below and ">=" in below and "<" in below
+    assert {r["mmsi"] for r in out.select("mmsi").distinct().collect()} <= {200000001}

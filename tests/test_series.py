@@ -119,3 +119,14 @@ def test_lookup_and_region(spark):
     assert sorted(r.mmsi for r in V.replace_region(ships, batch, (1.2, 0.0), 0.2).collect()) == [2, 3]
     assert [r.mmsi for r in V.replace_region(ships, batch, (1.2, 0.0), 0.2, keep=1).collect()] == [3]
     assert [r.mmsi for r in V.removed_vessels(ships, batch).orderBy("mmsi").collect()] == [1, 2]
+
+
+def test_busy_slices_are_cut(spark):
+    """A ship with a third of all rows: windows hold a bounded number of its rows."""
+    rows = [(1, i / 10) for i in range(3000)] + [(2 + i % 50, float(i)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "mmsi long, s double").selectExpr("mmsi", "timestamp_micros(CAST(1704067200000000 + s * 1000000 AS LONG)) AS timestamp")
+    busy = Q.busy_slices(df, "mmsi", "timestamp", 3600, 100)
+    sliced = Q.with_slices(df, busy, "mmsi", "timestamp", 3600)
+    assert busy.count() == 1 and sliced.groupBy("mmsi", "_slice").count().agg({"count": "max"}).first()[0] <= 100
+    ranks = Q.ranked_newest_first(df, "mmsi", slice_rows=100).where("mmsi = 1").orderBy("timestamp").select("recency").collect()
+    assert [r["recency"] for r in ranks] == list(range(3000, 0, -1))
