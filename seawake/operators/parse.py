@@ -108,10 +108,6 @@ def drop_rejects(df: DataFrame, required=REQUIRED) -> DataFrame:
     return df.where(_all_present(required))
 
 
-def rejects(df: DataFrame, required=REQUIRED) -> DataFrame:
-    return df.where(~_all_present(required))
-
-
 # --- feed envelopes ----------------------------------------------------------
 POSITION_REPORT, SHIP_STATIC = "PositionReport", "ShipStaticData"
 

@@ -99,7 +99,3 @@ def _as_struct(columns: str) -> str:
     import re
 
     return re.sub(r"(^|, )(\w+) ", r"\1\2:", columns)
-
-
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)

@@ -1,21 +1,14 @@
-"""Registered queries against their SQL on the smallest data. All of them with
-``SEAWAKE_ALL=1``; otherwise the quick ones, as the others have tests of their own."""
-
-import os
+"""Registered queries against their SQL on the smallest data."""
 
 import pytest
 
 import __spark_entry__ as entry
+from seawake.checks import registry
 from seawake.checks.run import compare, connect
 from tests.conftest import SF
 
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
-QUICK = [
-    "parse_message", "parse_positions", "parse_static", "flatten_position", "flatten_static", "ingest", "enrich_asof",
-    "fill_names", "latest_static", "cpa_tcpa_local", "cpa_tcpa_flat", "risk_factors", "hull_polygon",
-    "encounters_windowed", "encounters_live", "risk_heatmap", "predict_track", "current_and_history", "replays", "replay_frames",
-]
-NAMES = list(QUERIES) if os.environ.get("SEAWAKE_ALL") else QUICK
+NAMES = [n for n in QUERIES if n in registry.QUERIES]
 
 
 @pytest.fixture(scope="module")
