@@ -19,13 +19,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seawake.llm.common import NOT_ALNUM, batch, map_arrow, mix, slices, word_hashes
+from seawake.session import stored
 
 SPACE = 1 << 18
 #: Labelled documents that the models are fitted on, at most.
 SAMPLE_ROWS = 10_000
 #: Features that a model keeps, at most.
 KEPT_FEATURES = 512
-LEAST_Z = 5.0
+LEAST_Z = 3.0
 LEAST_DOCUMENTS = 4
 FOLDS = 3
 RIDGE = 1.0
@@ -117,17 +118,16 @@ def fit_linear(x: Rows, dense: np.ndarray, y: np.ndarray, use: np.ndarray) -> tu
     return w[:k], w[k:]
 
 
-def telling(feature: np.ndarray, row: np.ndarray, value: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The features whose values differ most between the classes, in standard errors."""
-    terms, seen = 0.0, np.bincount(feature, minlength=SPACE)
-    difference = np.zeros(SPACE)
-    for of, sign in ((y, 1), (1 - y, -1)):
-        n = max(1, of.sum())
-        mean = np.bincount(feature, value * of[row], SPACE) / n
-        square = np.bincount(feature, value * value * of[row], SPACE) / n
-        terms = terms + (square - mean * mean + 1e-3) / n
-        difference += sign * mean
-    z = np.abs(difference) / np.sqrt(terms)
+def telling(seen: np.ndarray, sums: np.ndarray, squares: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The features whose values differ most between two classes, in standard errors.
+
+    ``seen`` counts the texts of a feature; ``sums`` and ``squares`` have a row per class with
+    the sums of the features' values and of their squares, ``sizes`` the texts of a class.
+    """
+    n = np.maximum(1, sizes)[:, None]
+    mean = sums / n
+    errors = ((squares / n - mean * mean + 1e-3) / n).sum(axis=0)
+    z = np.abs(mean[1] - mean[0]) / np.sqrt(errors)
     z[seen < LEAST_DOCUMENTS] = 0
     best = np.argsort(-z, kind="stable")[:KEPT_FEATURES]
     return np.sort(best[z[best] > LEAST_Z])
@@ -154,14 +154,10 @@ class Chain:
         return sigmoid(before)
 
 
-def fit_chain(row: np.ndarray, feature: np.ndarray, value: np.ndarray, labels: np.ndarray, fold: np.ndarray) -> Chain:
-    """``labels`` has a column per category, in the order of the chain."""
+def fit_chain(x: Rows, labels: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Weights of the sparse columns, and of the earlier categories with the intercept, for each
+    category. ``labels`` has a column per category, in the order of the chain."""
     n, k = labels.shape
-    kept = np.unique(np.concatenate([telling(feature, row, value, labels[:, c]) for c in range(k)])) if len(row) else np.zeros(0, np.int64)
-    place = np.full(SPACE, -1, np.int32)
-    place[kept] = np.arange(len(kept))
-    keep = place[feature] >= 0
-    x = Rows(row[keep], place[feature[keep]], value[keep], n, len(kept))
     before, sparse, dense = np.zeros((n, 0)), [], []
     for c in range(k):
         y = labels[:, c].astype(float)
@@ -174,7 +170,7 @@ def fit_chain(row: np.ndarray, feature: np.ndarray, value: np.ndarray, labels: n
         sparse.append(a)
         dense.append(b)
         before = np.column_stack([before, logit(sigmoid(out_of_fold))])
-    return Chain(place, np.array(sparse).reshape(k, len(kept)), dense)
+    return np.array(sparse).reshape(k, x.n_columns), dense
 
 
 def _has_word(words: tuple[str, ...]) -> Column:
@@ -190,32 +186,71 @@ def toxic_categories(labelled: DataFrame) -> DataFrame:
     )
 
 
-SAMPLED = pa.schema([("doc_id", pa.int64()), ("feature", pa.binary()), ("value", pa.binary()), ("labels", pa.list_(pa.int32()))])
+def choose_features(labelled: DataFrame, categories: list[str]) -> np.ndarray:
+    """The features that tell most about any category, from sums that the tasks take over their
+    texts; what is gathered has at most ``SPACE`` rows."""
+    names = [f"{part}_{c}" for c in categories for part in ("sum", "square")]
+    schema = pa.schema([("feature", pa.int32()), ("seen", pa.int64()), *[(n, pa.float64()) for n in ("sum", "square", *names)]])
+
+    def add_up(batches):
+        seen, totals = np.zeros(SPACE, np.int64), np.zeros((2 + len(names), SPACE))
+        for part, texts in slices(batches):
+            labels = np.array(part.column(1).to_pylist(), float).reshape(-1, len(categories))
+            row, feature, value = features(texts)
+            seen += np.bincount(feature, minlength=SPACE)
+            for k, of in enumerate([np.ones(len(texts)), *labels.T]):
+                totals[2 * k] += np.bincount(feature, value * of[row], SPACE)
+                totals[2 * k + 1] += np.bincount(feature, value * value * of[row], SPACE)
+        some = np.flatnonzero(seen)
+        yield batch(schema, some, seen[some], *totals[:, some])
+
+    sums = map_arrow(labelled.select("text", "labels"), add_up, schema).groupBy("feature")
+    found = sums.agg(*[F.sum(f.name).alias(f.name) for f in schema][1:]).toArrow().to_pandas()
+    at = found["feature"].to_numpy(np.int64)
+    seen = np.zeros(SPACE)
+    seen[at] = found["seen"]
+    sizes = labelled.agg(F.count("*"), *[F.sum(F.col("labels")[k]) for k in range(len(categories))]).first()
+    chosen = [np.zeros(0, np.int64)]
+    for k, c in enumerate(categories):
+        sums, squares = np.zeros((2, SPACE)), np.zeros((2, SPACE))
+        sums[1, at], squares[1, at] = found[f"sum_{c}"], found[f"square_{c}"]
+        sums[0, at], squares[0, at] = found["sum"] - found[f"sum_{c}"], found["square"] - found[f"square_{c}"]
+        positive = sizes[k + 1] or 0
+        chosen.append(telling(seen, sums, squares, np.array([sizes[0] - positive, positive])))
+    return np.unique(np.concatenate(chosen))
+
+
+SAMPLED = pa.schema([("doc_id", pa.int64()), ("column", pa.binary()), ("value", pa.binary()), ("labels", pa.list_(pa.int32()))])
 
 
 def train(labelled: DataFrame, categories: list[str]) -> Chain:
     """Fits the chain on labelled documents (doc_id, text and a 0/1 column per category). The
-    caller bounds their number, see ``sample_labels``."""
+    caller bounds their number, see ``sample_labels``; of each the chosen features are gathered."""
+    rows = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.array(*[F.col(c).cast("int") for c in categories]).alias("labels"))
+    rows = stored(rows, "labelled")
+    chosen = choose_features(rows, categories)
+    place = np.full(SPACE, -1, np.int32)
+    place[chosen] = np.arange(len(chosen))
+    held = labelled.sparkSession.sparkContext.broadcast(place)
 
     def emit(batches):
         for part, texts in slices(batches):
             row, feature, value = features(texts)
+            column = held.value[feature]
+            keep = column >= 0
+            row, column, value = row[keep], column[keep], value[keep]
             cut = np.searchsorted(row, np.arange(len(texts) + 1))
             spans = list(zip(cut[:-1], cut[1:], strict=True))
-            yield batch(
-                SAMPLED, part.column(0),
-                [feature[lo:hi].astype(np.int32).tobytes() for lo, hi in spans], [value[lo:hi].tobytes() for lo, hi in spans], part.column(2),
-            )
+            yield batch(SAMPLED, part.column(0), *[[x[lo:hi].tobytes() for lo, hi in spans] for x in (column, value)], part.column(2))
 
-    rows = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.array(*[F.col(c).cast("int") for c in categories]).alias("labels"))
     found = map_arrow(rows, emit, SAMPLED).toArrow().sort_by("doc_id")
-    parts = [np.frombuffer(b, np.int32) for b in found["feature"].to_pylist()]
+    parts = [np.frombuffer(b, np.int32) for b in found["column"].to_pylist()]
     labels = np.array(found["labels"].to_pylist(), np.int64).reshape(-1, len(categories))
+    value = np.concatenate([np.frombuffer(b, np.float32) for b in found["value"].to_pylist()] + [np.zeros(0, np.float32)])
     row = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    feature = np.concatenate([*parts, np.zeros(0, np.int32)]).astype(np.int64)
-    value = np.concatenate([*[np.frombuffer(b, np.float32) for b in found["value"].to_pylist()], np.zeros(0, np.float32)])
-    ids = found["doc_id"].to_numpy().astype(np.uint64)
-    return fit_chain(row, feature, value, labels, (mix(ids) % np.uint64(FOLDS)).astype(np.int64))
+    x = Rows(row, np.concatenate([*parts, np.zeros(0, np.int32)]), value, len(parts), len(chosen))
+    fold = (mix(found["doc_id"].to_numpy().astype(np.uint64)) % np.uint64(FOLDS)).astype(np.int64)
+    return Chain(place, *fit_chain(x, labels, fold))
 
 
 def sample_labels(labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
