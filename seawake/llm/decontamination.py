@@ -127,7 +127,7 @@ def _item_blocks(spark: SparkSession, items: DataFrame) -> list[DataFrame]:
 
 def _matches(docs: DataFrame, block: DataFrame, least_score: float) -> DataFrame:
     spark = docs.sparkSession
-    found = block.distinct().toPandas()  # BLOCK_CHARS at most
+    found = block.distinct().toArrow().to_pandas()  # BLOCK_CHARS at most
     seeds = Seeds(found["item_id"].to_numpy(), hashed_words(found["text"].tolist()))
     all_seeds = spark.sparkContext.broadcast(seeds)
 
@@ -140,7 +140,7 @@ def _matches(docs: DataFrame, block: DataFrame, least_score: float) -> DataFrame
         some = np.flatnonzero(total)
         yield batch(COUNTS, some, total[some])
 
-    counts = map_arrow(docs.select("text"), count, COUNTS).groupBy("seed").agg(F.sum("documents").alias("documents")).toPandas()
+    counts = map_arrow(docs.select("text"), count, COUNTS).groupBy("seed").agg(F.sum("documents").alias("documents")).toArrow().to_pandas()
     documents = np.zeros(len(seeds.grams), np.int64)
     documents[counts["seed"].to_numpy(np.int64)] = counts["documents"].to_numpy(np.int64)
     rare_seeds = spark.sparkContext.broadcast(seeds.keep_rare(documents))

@@ -51,7 +51,7 @@ def log_ratios(docs: DataFrame, targets: DataFrame) -> np.ndarray:
         yield batch(COUNTS, some, raw[some], target[some])
 
     totals = map_arrow(marked.select("text", "target"), count, COUNTS).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-    found = totals.toPandas()  # BUCKETS rows at most
+    found = totals.toArrow().to_pandas()  # BUCKETS rows at most
     counts = np.ones((2, BUCKETS))
     counts[:, found["bucket"].to_numpy(np.int64)] += found[["target", "raw"]].to_numpy(float).T
     shares = np.log(counts) - np.log(counts.sum(axis=1, keepdims=True))
