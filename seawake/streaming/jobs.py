@@ -16,11 +16,11 @@ from seawake.operators import enrich as N
 from seawake.operators import parse as P
 from seawake.operators import tracks as K
 from seawake.operators import views as V
-from seawake.operators.series import newest
+from seawake.operators.series import newest, recent
 from seawake.sinks import tables as W
 from seawake.sources.files import read_static_snapshot, snapshot_versions
 from seawake.session import child_ages, child_names, delete_path, path_exists
-from seawake.streaming.state import enrich_stream, track_stream
+from seawake.streaming.state import enrich_stream
 
 ONCE = {"availableNow": True}
 
@@ -230,21 +230,39 @@ def latest_state_stream(
     return _start(positions, checkpoint, each, trigger)
 
 
+MOVE = ("latitude", "longitude", "sog", "cog")
+
+
+def recent_history(known: DataFrame | None, batch: DataFrame, minutes: int = C.HISTORY_MINUTES) -> DataFrame:
+    """``(mmsi, timestamp, n, state)``: each ship's reports of the last ``minutes`` before its
+    newest one, with equal times counted together and the greatest state kept. The rows
+    of a ship are combined per instant where they are read and spread over tasks."""
+    rows = batch.groupBy("mmsi", "timestamp").agg(F.count("*").alias("n"), F.max(F.struct(*MOVE)).alias("state"))
+    if known is not None:
+        rows = known.unionByName(rows).groupBy("mmsi", "timestamp").agg(F.sum("n").alias("n"), F.max("state").alias("state"))
+    return recent(rows, minutes)
+
+
+def current_of(history: DataFrame) -> DataFrame:
+    """Newest state and number of reports of each ship in its history."""
+    found = history.groupBy("mmsi").agg(F.max(F.struct("timestamp", "state")).alias("_s"), F.sum("n").alias("n_points"))
+    return found.select("mmsi", "_s.timestamp", "_s.state.*", "n_points")
+
+
 def refresh_stream(positions: DataFrame, folder: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Rebuilds predicted tracks and risks every fifteen seconds: from the stream's own
-    recent history and from the encounters that latest_state_stream keeps in ``folder``."""
+    recent history and from the encounters that latest_state_stream keeps in ``folder``.
+    The history is a versioned table like the others, so no row passes through Python."""
     spark = positions.sparkSession
 
     def each(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        known = read_state(spark, f"{folder}/current", before=batch_id)
-        rows = batch if known is None else known.unionByName(batch)
-        _write_state(newest(rows, ["mmsi"], ["timestamp"]), f"{folder}/current", batch_id)
-        current = spark.read.parquet(f"{folder}/current/{VERSION}{batch_id}")
-        _write_state(K.project_track(current), f"{folder}/tracks", batch_id)
+        _write_state(recent_history(read_state(spark, f"{folder}/history", before=batch_id), batch), f"{folder}/history", batch_id)
+        history = spark.read.parquet(f"{folder}/history/{VERSION}{batch_id}")
+        _write_state(K.project_track(current_of(history)), f"{folder}/tracks", batch_id)
         met = read_state(spark, f"{folder}/encounters")
         if met is not None:
             _write_state(V.assess_risk(met), f"{folder}/risks", batch_id)
 
-    return _start(track_stream(positions), checkpoint, each, trigger or {"processingTime": f"{C.REFRESH_S} seconds"}, "update")
+    return _start(positions, checkpoint, each, trigger or {"processingTime": f"{C.REFRESH_S} seconds"})

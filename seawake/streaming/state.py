@@ -1,9 +1,8 @@
-"""Keyed state of the streams: a ship's static data and its recent track.
+"""Keyed state of the streams: a ship's last static data.
 
-These two small processors are the only Python in the engine's data path. The
-geometry stays outside, in Column expressions. A micro-batch holds one ship's rows
-in memory while they are put in time order; ``maxFilesPerTrigger`` or the queue's
-offset limit bounds that.
+This small processor is the only Python in the engine's data path. A micro-batch holds
+one ship's rows in memory while they are put in time order; ``maxFilesPerTrigger`` or the
+queue's offset limit bounds that.
 """
 
 from __future__ import annotations
@@ -32,10 +31,8 @@ _L, _S, _D = T.LongType(), T.StringType(), T.DoubleType()
 _MOVE = _fields(*[(c, _D) for c in ("latitude", "longitude", "sog", "cog")])
 _FACT = T.StructType(_fields(("ship_name", _S), *[(d, _D) for d in S.DIMS]))
 # times travel as epoch microseconds: exact, and the same in any worker's time zone
-_POINT = T.StructType([*_fields(("ts_us", _L)), *_MOVE])
 _REPORT = T.StructType([*_fields(("ts_us", _L)), *_MOVE, *_fields(("heading", _D))])
 _ENRICHED = T.StructType([*_fields(("mmsi", _L)), *_REPORT.fields, *_FACT.fields])
-_CURRENT = T.StructType([*_fields(("mmsi", _L)), *_POINT.fields, *_fields(("n_points", _L))])
 _NO_FACT = (C.UNKNOWN_NAME, *[None] * len(S.DIMS))
 
 # The processors travel to the Python workers whole, so workers need not have this package.
@@ -75,28 +72,6 @@ class StaticMemory(StatefulProcessor):
         pass
 
 
-class RecentTrack(StatefulProcessor):
-    """The ship's points of the last hour of its own event time; gives its current
-    state and point count once per micro-batch."""
-
-    def __init__(self, minutes: int = C.HISTORY_MINUTES) -> None:
-        self._span_us = minutes * 60_000_000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._points = handle.getListState("points", _POINT)
-
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        names = _POINT.fieldNames()
-        points = [tuple(p) for p in self._points.get()] + [tuple(r[n] for n in names) for r in rows]
-        newest = max(points, key=lambda p: [float("-inf") if v is None else v for v in p])
-        kept = [p for p in points if p[0] >= newest[0] - self._span_us]
-        self._points.put(kept)
-        yield Row(mmsi=key[0], **dict(zip(names, newest)), n_points=len(kept))
-
-    def close(self) -> None:
-        pass
-
-
 def enrich_stream(positions: DataFrame, statics: DataFrame) -> DataFrame:
     """Streaming :func:`seawake.operators.enrich.enrich_asof`."""
     use_state_store(positions.sparkSession)
@@ -113,17 +88,3 @@ def enrich_stream(positions: DataFrame, statics: DataFrame) -> DataFrame:
             statefulProcessor=StaticMemory(), outputStructType=_ENRICHED, outputMode="Append", timeMode="None"
         )
     )
-
-
-def track_stream(positions: DataFrame, minutes: int = C.HISTORY_MINUTES) -> DataFrame:
-    """Current state of each reporting ship with the size of its recent history; feed it
-    to :func:`seawake.operators.tracks.project_track`."""
-    use_state_store(positions.sparkSession)
-    return _with_timestamp(
-        _with_us(positions)
-        .select("mmsi", *_POINT.fieldNames())
-        .groupBy("mmsi")
-        .transformWithState(
-            statefulProcessor=RecentTrack(minutes), outputStructType=_CURRENT, outputMode="Update", timeMode="None"
-        )
-    )

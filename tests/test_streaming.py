@@ -72,20 +72,15 @@ def test_enrich_stream_equals_batch(spark, positions, statics, tmp_path):
 
 def test_track_stream_equals_batch(spark, positions, tmp_path):
     stream = stream_of(spark, in_time_order(positions, f"{tmp_path}/in"))
-    seen = []
+    history = [None]
 
-    def each(batch, _):
-        seen.extend(map(tuple, batch.select("mmsi", "timestamp", "n_points").collect()))
+    def each(batch, k):
+        J.recent_history(history[-1], batch, minutes=5).write.parquet(f"{tmp_path}/history/{k}")
+        history.append(spark.read.parquet(f"{tmp_path}/history/{k}"))
 
-    finish(
-        T.track_stream(stream, minutes=5).writeStream.outputMode("update").foreachBatch(each)
-        .option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
-    )
-    final = {}
-    for mmsi, ts, n in seen:
-        final[mmsi] = max(final.get(mmsi, (ts, n)), (ts, n))
-    want = {r.mmsi: (r.timestamp, r.n_points) for r in K.current_states(series.recent(positions, 5)).collect()}
-    assert final == want
+    finish(stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start())
+    cols = ["mmsi", "timestamp", "latitude", "longitude", "sog", "cog", "n_points"]
+    assert len(history) == 4 and rows(J.current_of(history[-1]), *cols) == rows(K.current_states(series.recent(positions, 5)), *cols)
 
 
 def test_encounters_stream_equals_batch(spark, positions, tmp_path):
