@@ -279,19 +279,22 @@ def encounter_summary(spark, sf):
     )
 
 
-@query(  # F20 for encounters
+def _vector_sql(side):
+    return f"""round(latitude_{side} + sog_{side} * mins / 60 / 60 * cos(radians(cog_{side})), 6) AS end_lat_{side},
+      round(longitude_{side} + sog_{side} * mins / 60 / 60 * sin(radians(cog_{side})) / cos(radians(latitude_{side})), 6) AS end_lon_{side}"""
+
+
+@query(  # F20 for encounters, both ships
     "encounter_vectors",
-    ENCOUNTERS + """, m AS (SELECT *, greatest(1e0, floor(tcpa + 5e-1)) AS mins FROM enc)
-    SELECT mmsi_a, mmsi_b, epoch_s, mins AS minutes, round(latitude_a + sog_a * mins / 60 / 60 * cos(radians(cog_a)), 6) AS end_lat,
-      round(longitude_a + sog_a * mins / 60 / 60 * sin(radians(cog_a)) / cos(radians(latitude_a)), 6) AS end_lon FROM m""",
+    ENCOUNTERS + f""", m AS (SELECT *, greatest(1e0, floor(tcpa + 5e-1)) AS mins FROM enc)
+    SELECT mmsi_a, mmsi_b, epoch_s, mins AS minutes, {_vector_sql("a")}, {_vector_sql("b")} FROM m""",
 )
 def encounter_vectors(spark, sf):
-    ships = positions(spark, sf).select(F.col("mmsi").alias("mmsi_a"), F.col("cog").alias("cog_a"), F.col("sog").alias("sog_a")).distinct()
-    out = encounters(spark, sf).join(ships, "mmsi_a").withColumn("minutes", geo.encounter_vector_minutes(F.col("tcpa")))
-    out = out.withColumn("v", geo.course_vector(geo.motion("_a"), F.col("minutes")))
-    return out.select(
-        "mmsi_a", "mmsi_b", epoch(), "minutes", F.round("v.lat", 6).alias("end_lat"), F.round("v.lon", 6).alias("end_lon")
-    )
+    out = E.detect_encounters_windowed(P.under_way(positions(spark, sf)), carry=("cog", "sog"))
+    out = out.withColumn("minutes", geo.encounter_vector_minutes(F.col("tcpa")))
+    out = out.withColumns({f"v_{side}": geo.course_vector(geo.motion(f"_{side}"), F.col("minutes")) for side in "ab"})
+    ends = [F.round(f"v_{side}.{c}", 6).alias(f"end_{c}_{side}") for side in "ab" for c in ("lat", "lon")]
+    return out.select("mmsi_a", "mmsi_b", epoch(), "minutes", *ends)
 
 
 # --- history and tracks ------------------------------------------------------

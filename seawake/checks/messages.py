@@ -74,23 +74,25 @@ def parse_static(spark, sf):
 
 @query(  # P6
     "rejected_messages",
-    MESSAGES + " SELECT count(*) AS rejected, count(DISTINCT event_id // 17 % 3) AS kinds FROM msg WHERE event_id % 17 = 0",
+    MESSAGES + " SELECT event_id // 17 % 3 AS kind, count(*) AS rejected FROM msg WHERE event_id % 17 = 0 GROUP BY 1",
 )
 def rejected_messages(spark, sf):
     bad = P.parse_message_rejects(X.messages(spark, sf))
     kind = F.when(~F.col("value").endswith("}"), 2).when(F.col("value").contains('"latitude":null'), 1).otherwise(0)
-    return bad.agg(F.count("*").alias("rejected"), F.countDistinct(kind).alias("kinds"))
+    return bad.groupBy(kind.cast("long").alias("kind")).agg(F.count("*").alias("rejected"))
 
 
 @query(  # S1, P20
     "route_by_type",
-    """ SELECT 'position' AS branch, count(*) AS n FROM vp UNION ALL
-    SELECT 'static', count(*) FROM vp WHERE event_id % 5 = 0""",
+    """, routed AS (SELECT CASE WHEN event_id % 41 = 0 THEN 0 ELSE mmsi END AS mmsi,
+      CASE WHEN event_id % 43 = 0 THEN '' ELSE strftime(make_timestamp(epoch_s * 1000000), '%Y-%m-%dT%H:%M:%S+00:00') END AS received, event_id FROM vp)
+    SELECT 'position' AS branch, mmsi, received FROM routed UNION ALL
+    SELECT 'static', mmsi, received FROM routed WHERE event_id % 5 = 0""",
 )
 def route_by_type(spark, sf):
     positions, statics = P.route_by_type(_envelopes(spark, sf))
-    both = positions.select(F.lit("position").alias("branch")).unionAll(statics.select(F.lit("static")))
-    return both.groupBy("branch").agg(F.count("*").alias("n"))
+    fields = [F.col("MetaData.MMSI").alias("mmsi"), F.col("MetaData.TimeReceived").alias("received")]
+    return positions.select(F.lit("position").alias("branch"), *fields).unionAll(statics.select(F.lit("static"), *fields))
 
 
 @query("flatten_position", REPORTS + " SELECT * FROM rep", rounded=("latitude", "longitude"))  # P4, P9, P10

@@ -202,10 +202,11 @@ def detect_encounters_windowed(
     max_tcpa: float = C.MAX_TCPA_MIN,
     min_length: float = C.MIN_LENGTH_M,
     hot_cell_ships: int | None = C.HOT_CELL_SHIPS,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Encounter rows per window among ships longer than ``min_length``."""
     states = latest_in_window(long_enough(positions, min_length), seconds)
-    return encounters_among(states, ["window_start", "window_end"], max_cpa, max_tcpa, hot_cell_ships)
+    return encounters_among(states, ["window_start", "window_end"], max_cpa, max_tcpa, hot_cell_ships, carry)
 
 
 def encounters_among(
@@ -214,8 +215,10 @@ def encounters_among(
     max_cpa: float = C.MAX_CPA_NM,
     max_tcpa: float = C.MAX_TCPA_MIN,
     hot_cell_ships: int | None = C.HOT_CELL_SHIPS,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Encounters in the local plane among ``states``, one row per ship and group ``by``."""
+    """Encounters in the local plane among ``states``, one row per ship and group ``by``.
+    ``carry`` names more state columns that both ships keep, such as course and speed."""
     pairs = _sides(candidate_pairs(states, by, "local", max_cpa, max_tcpa, hot_cell_ships), by)
     a, b = geo.motion("_a"), geo.motion("_b")
     moving = geo.computed(pairs, geo.relative_local(a, b))
@@ -240,6 +243,7 @@ def encounters_among(
         "longitude_a",
         "latitude_b",
         "longitude_b",
+        *[f"{c}_{side}" for side in "ab" for c in carry],
     )
 
 
