@@ -74,11 +74,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def release_stored(spark: SparkSession, since: int = 0) -> None:
+def release_stored(spark: SparkSession, since: int = 0, keep_last: int = 0) -> None:
     """Removes the tables that ``stored`` wrote in this process, from number ``since`` on
-    (``stored_count`` before a job). For the end of a job, when its results are written."""
-    while len(_STORED) > since:
-        delete_path(spark, _STORED.pop())
+    (``stored_count`` before a job) but for the last ones. For the end of a job, when its
+    results are written."""
+    for path in _STORED[since : len(_STORED) - keep_last]:
+        delete_path(spark, path)
+        _STORED.remove(path)
 
 
 def stored_count() -> int:

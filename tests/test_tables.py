@@ -61,6 +61,8 @@ def test_snapshot_versions(spark, tmp_path):
     assert R.snapshot_versions(spark, path) == [0, 1]
     for v in range(3, 8):
         W.write_static_snapshot(batch((v, "N", 1.0, 1.0, 1.0, 1.0, None)), path, v)
+    assert R.snapshot_versions(spark, path) == [0, 1, 3, 4, 5, 6, 7]  # young versions stay for their readers
+    W.write_static_snapshot(batch((7, "N", 1.0, 1.0, 1.0, 1.0, None)), path, 7, keep_s=-1)
     assert R.snapshot_versions(spark, path) == [4, 5, 6, 7]
     assert R.read_static_snapshot(spark, path).count() == 7
 
@@ -112,3 +114,15 @@ def test_messages_round_trip(spark, positions, tmp_path):
     W.publish_messages(positions, f"{tmp_path}/m")
     (line,) = spark.read.text(f"{tmp_path}/m").limit(1).collect()
     assert list(json.loads(line.value)) == S.MESSAGE.fieldNames()
+
+
+def test_stored_tables_are_removed(spark):
+    from seawake import session
+
+    first = session.stored_count()
+    a, b = (session.stored(spark.range(3), name) for name in "ab")
+    paths = list(session._STORED[first:])
+    session.release_stored(spark, first, keep_last=1)
+    assert [session.path_exists(spark, p) for p in paths] == [False, True] and b.count() == 3
+    session.release_stored(spark, first)
+    assert session.stored_count() == first and not session.path_exists(spark, paths[1])
