@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from seawake.llm import decontamination, ngram_join, packing, pii, toxicity
 from seawake.llm.common import read
 from seawake.llm.queries import tokenizer_file
-from seawake.session import stored
+from seawake.session import release_stored, stored, stored_count
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -58,8 +58,10 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages applied to ``documents``, each written as a table and read by the next."""
-    docs = read(spark, sf_dir, "documents")
+    """All stages applied to ``documents``, each written as a table and read by the next. What
+    a stage has read or stored itself is removed once its own table is there."""
+    docs, first = read(spark, sf_dir, "documents"), stored_count()
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        release_stored(spark, first, keep_last=1)
     return STAGES[-1][1](spark, docs, sf_dir)
