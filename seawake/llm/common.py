@@ -81,13 +81,13 @@ WHITE = np.isin(np.arange(256), [32, *range(9, 14)])
 NOT_ALNUM = ~np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
 
 
-def word_hashes(texts: list[bytes], parts: np.ndarray = WHITE, lower: bool = True, spans: bool = False):
+def word_hashes(texts: list[bytes], parts: np.ndarray = WHITE, lower: bool = True, spans: bool = False, first_bytes: int = 0):
     """64-bit hashes of the words of all texts and the bounds of each text in them.
 
     A word's hash is a sum of byte values times position values, all from fixed random
     streams, scrambled. Returns ``(hashes, bounds)``: the words of text i are
-    ``hashes[bounds[i]:bounds[i + 1]]``. With ``spans`` also the words' byte offsets in
-    their texts.
+    ``hashes[bounds[i]:bounds[i + 1]]``. With ``first_bytes`` only so much of each word
+    counts; with ``spans`` the words' byte offsets in their texts are returned too.
     """
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     ends_of_texts = np.cumsum([len(t) + 1 for t in texts])
@@ -105,6 +105,9 @@ def word_hashes(texts: list[bytes], parts: np.ndarray = WHITE, lower: bool = Tru
     first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     place = np.arange(lengths.sum()) - np.repeat(first, lengths)
     terms = values[data[inside]] * _stream(int(lengths.max()), 2)[place]
+    if first_bytes:
+        terms[place >= first_bytes] = 0
+        lengths = np.minimum(lengths, first_bytes)
     hashes = mix(np.add.reduceat(terms, first) + lengths.astype(np.uint64))
     if not spans:
         return hashes, bounds
