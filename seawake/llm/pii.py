@@ -36,7 +36,7 @@ LOOK_ALIKES = {
     "У": "Y", "Х": "X",
     "α": "a", "ο": "o", "ν": "v", "ι": "i", "κ": "k", "ρ": "p", "υ": "u", "χ": "x", "ϲ": "c", "ϳ": "j",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y",
-    "Χ": "X", "ı": "i", "ɑ": "a", "ɡ": "g", "․": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-", " ": " ", " ": " ", " ": " ",
+    "Χ": "X", "ı": "i", "ɑ": "a", "ɡ": "g", "․": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-", "\u00a0": " ", "\u202f": " ", "\u2009": " ",
 }
 DIGIT_WORDS = {
     "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
@@ -51,7 +51,7 @@ _WORD = "(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + ")"
 _OPEN, _CLOSE = r"[ \t]?[\[({<][ \t]?", r"[ \t]?[\])}>][ \t]?"
 _DOT = rf"(?:[ \t]+dot[ \t]+|{_OPEN}(?:dot|\.){_CLOSE})"
 _RULES = {
-    "hidden": r"[​‌‍⁠﻿­]+",
+    "hidden": r"[\u200b\u200c\u200d\u2060\ufeff\u00ad]+",
     "at": rf"{_OPEN}(?:at|@){_CLOSE}|(?<=[a-z0-9_%+-])[ \t]+at[ \t]+(?=[a-z0-9-]+(?:{_DOT}[a-z0-9-]+)+)",
     "dot": rf"(?<=[\w]){_DOT}(?=\w)",
     "plus": rf"(?:\bplus[ \t]+|\+[ \t]?)(?:{_WORD}\b|(?=[0-9(]))",

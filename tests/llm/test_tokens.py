@@ -12,7 +12,7 @@ from tests.llm.helpers import documents, prose, with_clashes
 BYTE, WORD = tokenizer_file("byte_bpe_50k.json"), tokenizer_file("word_bpe_49k.json")
 ODD = [
     "", " ", "a  b", " a", "a ", "a\n b", "a \n b", "a\n \n b", "x<|endoftext|>y", "<|startoftext|>", " \n ", "a's 's", "é é", "a\tb c", "\x1c a \x1c b", "don't  stop\n\n  ok",
-    "a  d　　e", "x \t y\x85z", "İstanbul İ.", "É. Émile, ǅ!", "ﬁn n²x ½", "ΌΣΟΣ. Σ", "日本語。 日本語.", "क्ष. ١٢٣ x١", "a_b _", " ...", ".", "a" * 500, "Å Å",
+    "a\u00a0 d\u3000\u3000e", "x \t y\x85z", "İstanbul İ.", "É. Émile, ǅ!", "ﬁn n²x ½", "ΌΣΟΣ. Σ", "日本語。 日本語.", "क्ष. ١٢٣ x١", "a_b _", " ...", ".", "a" * 500, "Å Å",
 ]
 
 
