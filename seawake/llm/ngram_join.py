@@ -7,14 +7,15 @@ the similarity are discarded.
 
 * Sizes alone bound the columns that matter: if a set of n n-grams reaches similarity s
   with another, they share one of its first ``n - ceil(s n) + 1`` n-grams in any fixed
-  order of all columns. The order is by hash, with columns of many documents last, so
+  order of all columns. Columns of many documents come last, else the order is by hash, so
   that a passage shared by many documents does not bring them together.
 * A first product links documents only with the first document of each column; the
   groups of copies found in this way count as one afterwards, so that a group's pairs
   are never listed. A second product takes the columns that still hold several groups
   and accumulates, for pairs of different groups, overlaps within the leading columns:
   count plus what can follow must reach the bound that the sizes give.
-* Pairs that remain get their exact overlap from the whole sets.
+* Pairs that remain get their exact overlap from the whole sets, after sketches of the
+  sets have ruled out most. Long columns are multiplied in blocks of whole sets instead.
 
 Every text, column and pair is covered. Counting columns only decides their order.
 """
@@ -33,16 +34,19 @@ from seawake.llm.common import batch, group_count, map_arrow, mix, slices, tidy_
 from seawake.operators.scenarios import connected_components
 from seawake.session import stored
 
-#: Columns that are moved to the end of the order: this many at most, 4 MB.
-MAX_FREQUENT = 1 << 20
-FREQUENT_FROM = 32
+#: Columns of so many documents are moved to the end of the order, those of most documents
+#: last: ``MAX_FREQUENT`` at most, 10 MB with the logarithms of their counts.
+FREQUENT_FROM = 4
+MAX_FREQUENT = 1 << 21
 #: Size of the filter of document numbers, in bits: 512 KB.
 FILTER_BITS = 4_194_301
 RECORD = 24
 BLOBS = pa.schema([("bucket", pa.int64()), ("blob", pa.binary())])
-SETS = pa.schema([("doc_id", pa.int64()), ("grams", pa.binary())])
-#: Rows of a column that one task takes together.
-COLUMN_BLOCK = 20_000
+SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set", pa.binary())])
+#: Columns of so many documents are multiplied family by family, see ``family_links``.
+LONG_COLUMN = 32
+#: N-grams in a block of a family's rows; a task multiplies two blocks, of 8 MB each.
+BLOCK_GRAMS = 1_000_000
 
 
 def gram_sets(texts: list[str], width: int = 5) -> list[np.ndarray]:
@@ -66,12 +70,13 @@ def lead(n, percent: int):
 
 def _scatter(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
     """One row per bucket with its part of the columns, one after the other."""
+    if not len(bucket):
+        return
     order = np.argsort(bucket, kind="stable")
     keys, first = np.unique(bucket[order], return_index=True)
     sorted_columns = [c[order] for c in columns]
     blobs = [b"".join(c[lo:hi].tobytes() for c in sorted_columns) for lo, hi in zip(first, [*first[1:], len(order)], strict=True)]
-    if len(keys):
-        yield batch(BLOBS, keys, blobs)
+    yield batch(BLOBS, keys, blobs)
 
 
 def _gather(blobs) -> list[np.ndarray]:
@@ -86,10 +91,10 @@ def _gather(blobs) -> list[np.ndarray]:
     return [np.concatenate(p) for p in parts]
 
 
-def frequent_grams(docs: DataFrame, buckets: int, width: int) -> np.ndarray:
-    """Upper halves of the hashes of n-grams with the most documents, ``MAX_FREQUENT`` at
-    most. Counted are the first half of each set in hash order: the others get into
-    the leading part only of sets most of which is frequent."""
+def frequent_grams(docs: DataFrame, buckets: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Upper halves of the hashes of the n-grams of most documents, ``MAX_FREQUENT`` at most,
+    and the logarithms of their counts. Counted are the first half of each set in hash order:
+    the others get into the leading part only of sets most of which is frequent."""
 
     def emit(batches):
         held, size = [], 0
@@ -119,12 +124,14 @@ def frequent_grams(docs: DataFrame, buckets: int, width: int) -> np.ndarray:
             break
         power = row["power"]
     if power is None:
-        return np.zeros(0, np.uint32)
-    grams = counts.where(F.col("documents") >= 2**power).select("gram").toPandas()["gram"]
-    return np.sort(grams.to_numpy().astype(np.uint32))
+        return np.zeros(0, np.uint32), np.zeros(0, np.uint8)
+    found = counts.where(F.col("documents") >= 2**power).select("gram", F.floor(F.log2("documents")).cast("byte").alias("power")).toArrow().to_pandas()
+    grams, powers = found["gram"].to_numpy().astype(np.uint32), found["power"].to_numpy().astype(np.uint8)
+    order = np.argsort(grams)
+    return grams[order], powers[order]
 
 
-def columns_of(docs: DataFrame, frequent: np.ndarray, buckets: int, width: int, percent: int) -> DataFrame:
+def columns_of(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], buckets: int, width: int, percent: int) -> DataFrame:
     """The leading columns that hold two documents or more, one row per document in
     them (``kind`` 0: gram, doc, n, place, the column's first document as hub, and its
     size m); and one row per document (``kind`` 1: doc, n, a hash of its set as gram)."""
@@ -146,11 +153,11 @@ def columns_of(docs: DataFrame, frequent: np.ndarray, buckets: int, width: int,
                 n = len(grams)
                 sets.append((int(mix(np.array([np.bitwise_xor.reduce(mix(grams + np.uint64(n))) if n else 0], np.uint64))[0]), doc, n))
                 if n:
-                    if len(late.value):
+                    known, powers = late.value
+                    if len(known):
                         top = (grams >> np.uint64(32)).astype(np.uint32)
-                        at = np.minimum(np.searchsorted(late.value, top), len(late.value) - 1)
-                        is_late = late.value[at] == top
-                        grams = np.concatenate([grams[~is_late], grams[is_late]])
+                        at = np.minimum(np.searchsorted(known, top), len(known) - 1)
+                        grams = grams[np.argsort(np.where(known[at] == top, powers[at], 0), kind="stable")]
                     k = lead(n, percent)
                     rows.append((grams[:k], np.full(k, doc, np.int64), np.full(k, n, np.int32), np.arange(k, dtype=np.int32)))
                     size += k
@@ -195,15 +202,33 @@ def id_filter(ids: DataFrame) -> np.ndarray:
     bits = ids.select(F.pmod("id", F.lit(FILTER_BITS)).alias("bit"))
     words = bits.groupBy(F.expr("bit DIV 32").alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(bit % 32 AS INT)))").alias("bits"))
     out = np.zeros(FILTER_BITS // 32 + 1, np.uint32)
-    found = words.toPandas()
+    found = words.toArrow().to_pandas()
     out[found["word"].to_numpy()] = found["bits"].to_numpy().astype(np.uint32)
     return out
 
 
-def overlaps(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """``pairs`` of (a, b) with the exact overlap and sizes of their sets. The filter keeps
-    texts of other documents from being shuffled; what it lets through the joins drop."""
-    wanted = docs.sparkSession.sparkContext.broadcast(id_filter(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))))
+def sketch(grams: np.ndarray) -> bytes:
+    """Parities of the set's counts in power-of-two many cells, at least four per n-gram: half
+    a byte per n-gram."""
+    cells = 1 << max(6, int(4 * len(grams) - 1).bit_length())
+    odd = np.bincount((grams & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """A lower bound of the number of n-grams in one of two sets only, from their sketches:
+    cells whose parities differ. The longer sketch is folded to the shorter."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    if len(x) != len(y):
+        x, y = (x, y) if len(x) < len(y) else (y, x)
+        y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _sets(docs: DataFrame, ids: DataFrame, width: int, of_set, name: str) -> DataFrame:
+    """``(doc_id, n, set)`` with what ``of_set`` makes of the sets of the documents in ``ids``.
+    The filter keeps other texts from being written; what it lets through joins drop."""
+    wanted = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
 
     def emit(batches):
         for part, texts in slices(batches):
@@ -211,24 +236,81 @@ def overlaps(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
             bit = ids % FILTER_BITS
             take = np.flatnonzero((wanted.value[bit // 32] >> (bit % 32).astype(np.uint32)) & 1)
             if len(take):
-                yield batch(SETS, ids[take], [g.tobytes() for g in gram_sets([texts[i] for i in take], width)])
+                grams = gram_sets([texts[i] for i in take], width)
+                yield batch(SETS, ids[take], [len(g) for g in grams], [of_set(g) for g in grams])
+
+    return stored(map_arrow(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), emit, SETS), name)
+
+
+def _with_sets(docs: DataFrame, pairs: DataFrame, width: int, of_set, name: str) -> DataFrame:
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
+    sets = _sets(docs, ids, width, of_set, name)
+    return pairs.join(sets.toDF("b", "n_b", "set_b"), "b").join(sets.toDF("a", "n_a", "set_a"), "a")
+
+
+def family_links(docs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between different groups among documents that share a long column.
+
+    Documents of the columns with the same hub are a family; two that share a column share
+    its hub. A family's rows of the matrix are dealt to blocks by size, and a task
+    multiplies two blocks: overlaps are accumulated n-gram by n-gram, for all documents
+    outside the largest group at once with all others. Only links leave the task.
+    """
+    members = rows.groupBy("hub", "doc").agg(F.max("n").alias("n"), F.max("group").alias("group"))
+    sizes = members.groupBy("hub").agg(F.sum("n").alias("grams"), F.min("group").alias("lo"), F.max("group").alias("hi"))
+    sizes = sizes.where("lo <> hi").select("hub", F.ceil(F.col("grams") / BLOCK_GRAMS).alias("blocks"))
+    members = stored(members.join(sizes, "hub"), "families")
+    sets = _sets(docs, members.select(F.col("doc").alias("id")), width, np.ndarray.tobytes, "family-sets").toDF("doc", "n", "set")
+    dealt = members.select("hub", "doc", "group", "blocks", F.pmod(F.xxhash64("doc"), F.col("blocks")).alias("own"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("hub", "doc", "group", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+
+    def multiply(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        doc, label, own = (group[c].to_numpy() for c in ("doc", "group", "own"))
+        grams = [np.frombuffer(b, np.uint64) for b in group["set"]]
+        n = np.array([len(g) for g in grams])
+        every, row = np.concatenate(grams), np.repeat(np.arange(len(n)), n)
+        order = np.argsort(every, kind="stable")
+        every, row = every[order], row[order]
+        names, counts = np.unique(label, return_counts=True)
+        found = []
+        for i in np.flatnonzero(label != names[counts.argmax()]):
+            lo, hi = np.searchsorted(every, grams[i], "left"), np.searchsorted(every, grams[i], "right")
+            size = hi - lo
+            at = np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+            shared = np.bincount(row[at], minlength=len(n))
+            linked = (100 * shared >= percent * (n[i] + n - shared)) & (label != label[i])
+            if key[1] != key[2]:
+                linked &= own != own[i]
+            found += [(doc[i], doc[j]) for j in np.flatnonzero(linked)]
+        return pd.DataFrame([(min(p), max(p)) for p in found], columns=["a", "b"], dtype=np.int64)
+
+    return dealt.join(sets.drop("n"), "doc").groupBy("hub", "low", "high").applyInPandas(multiply, "a long, b long")
 
-    def common(batches):
+
+def _counted(pairs: DataFrame, count) -> DataFrame:
+    def each(batches):
         for b in batches:
-            counts, sizes_a, sizes_b = [], [], []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                counts.append(len(np.intersect1d(x, y, assume_unique=True)))
-                sizes_a.append(len(x))
-                sizes_b.append(len(y))
-            yield batch(OVERLAP, b.column(0), b.column(1), counts, sizes_a, sizes_b)
+            values = [count(x.as_buffer(), y.as_buffer()) for x, y in zip(b.column(4), b.column(5), strict=True)]
+            yield batch(COUNTED, *b.columns[:4], values)
+
+    return map_arrow(pairs.select("a", "b", "n_a", "n_b", "set_a", "set_b"), each, COUNTED)
+
 
-    sets = map_arrow(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), emit, SETS)
-    both = pairs.join(sets.toDF("b", "grams_b"), "b").join(sets.toDF("a", "grams_a"), "a")
-    return map_arrow(both.select("a", "b", "grams_a", "grams_b"), common, OVERLAP)
+def overlaps(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """``pairs`` of (a, b) with the exact overlap of their sets, less those that sketches
+    show to differ too much."""
 
+    def common(x: bytes, y: bytes) -> int:
+        return len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
 
-OVERLAP = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("overlap", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64())])
+    both = F.col("n_a") + F.col("n_b")
+    near = _counted(_with_sets(docs, pairs, width, sketch, "sketches"), least_difference)
+    near = stored(near.where((both - F.col("count")) / 2 >= size_bound(F.col("n_a"), F.col("n_b"), percent)).select("a", "b"), "near-pairs")
+    return _counted(_with_sets(docs, near, width, np.ndarray.tobytes, "sets"), common).withColumnRenamed("count", "overlap")
+
+
+COUNTED = pa.schema([(c, pa.int64()) for c in ("a", "b", "n_a", "n_b", "count")])
 
 
 def similar(pairs: DataFrame, percent: int) -> DataFrame:
@@ -244,24 +326,21 @@ PAIR_COLUMNS = ("a", "b", "n_a", "n_b", "shared", "place_a", "place_b")
 PAIRS_DDL = "a long, b long, n_a int, n_b int, shared long, place_a int, place_b int"
 
 
-def cross_pairs(columns: DataFrame, groups: DataFrame, buckets: int, percent: int) -> DataFrame:
-    """Pairs of different groups that share a leading column, with the overlap counted in
-    leading columns and the last places where they meet. A column of more than
-    ``COLUMN_BLOCK`` rows is dealt out by pairs of blocks."""
+def mixed_columns(columns: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of columns that hold several groups, with each document's ``group``."""
     rows = columns.join(groups, "doc", "left").withColumn("group", F.coalesce("group", "doc"))
     mixed = rows.groupBy("gram").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("gram")
-    rows = rows.join(mixed, "gram", "left_semi")
-    blocks = F.ceil(F.col("m") / COLUMN_BLOCK)
-    own = F.pmod(F.xxhash64("doc"), blocks)
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    rows = rows.select(
-        "gram", "doc", "n", "place", "group", "own",
-        F.pmod(F.col("gram"), F.lit(buckets)).alias("bucket"), F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
-    )
+    return rows.join(mixed, "gram", "left_semi")
 
-    def pair(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+
+def cross_pairs(rows: DataFrame, buckets: int, percent: int) -> DataFrame:
+    """Pairs of different groups that share one of these columns, with the overlap counted in
+    leading columns and the last places where they meet. The columns are short."""
+    rows = rows.select("gram", "doc", "n", "place", "group", F.pmod(F.col("gram"), F.lit(buckets)).alias("bucket"))
+
+    def pair(group: pd.DataFrame) -> pd.DataFrame:
         order = np.lexsort((group["doc"].to_numpy(), group["n"].to_numpy(), group["gram"].to_numpy()))
-        gram, doc, n, place, label, own = (group[c].to_numpy()[order] for c in ("gram", "doc", "n", "place", "group", "own"))
+        gram, doc, n, place, label = (group[c].to_numpy()[order] for c in ("gram", "doc", "n", "place", "group"))
         n, place = n.astype(np.int64), place.astype(np.int64)
         found, i, step = [], np.arange(len(gram)), 1
         while len(i := i[i + step < len(gram)]):
@@ -270,8 +349,6 @@ def cross_pairs(columns: DataFrame, groups: DataFrame, buckets: int, percent: in
             j = i + step
             need = -(-percent * (n[i] + n[j]) // (100 + percent))
             ok = (label[i] != label[j]) & (place[i] <= n[i] - need) & (place[j] <= n[j] - need)
-            if key[1] != key[2]:
-                ok &= own[i] != own[j]
             found.append(np.stack([i[ok], j[ok]]))
             step += 1
         i, j = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
@@ -288,7 +365,7 @@ def cross_pairs(columns: DataFrame, groups: DataFrame, buckets: int, percent: in
         )
         return pd.DataFrame(dict(zip(PAIR_COLUMNS, out, strict=True)))
 
-    found = rows.groupBy("bucket", "low", "high").applyInPandas(pair, PAIRS_DDL)
+    found = rows.groupBy("bucket").applyInPandas(pair, PAIRS_DDL)
     found = found.groupBy("a", "b").agg(
         *[F.max(c).alias(c) for c in ("n_a", "n_b", "place_a", "place_b")], F.sum("shared").alias("shared")
     )
@@ -329,9 +406,10 @@ def _similar_groups(docs: DataFrame, percent: int, width: int) -> DataFrame:
         .agg(F.max_by("hub", F.struct("shared", -F.col("hub"))).alias("hub"))
     )
     digests = sets.select("doc", "digest").distinct()
+    # Stored, so that a join with a large group of equal sets can be split.
+    firsts = stored(sets.where("n > 0").groupBy("digest", "n").agg(F.min("doc").alias("a")), "first-of-sets")
     same = (
-        sets.where("n > 0").groupBy("digest", "n").agg(F.min("doc").alias("a"))
-        .join(sets.where("n > 0").select("digest", "n", F.col("doc").alias("b")), ["digest", "n"]).where("a <> b").select("a", "b").distinct()
+        firsts.join(sets.where("n > 0").select("digest", "n", F.col("doc").alias("b")), ["digest", "n"]).where("a <> b").select("a", "b").distinct()
     )
     same = stored(same, "same-sets")
     stars = (
@@ -339,11 +417,13 @@ def _similar_groups(docs: DataFrame, percent: int, width: int) -> DataFrame:
         .join(digests.toDF("a", "digest_a"), "a").join(digests.toDF("b", "digest_b"), "b")
         .where("digest_a <> digest_b").select("a", "b").distinct()
     )
-    links = stored(same.union(similar(overlaps(docs, stored(stars, "star-pairs"), width), percent)), "star-links")
+    links = stored(same.union(similar(overlaps(docs, stored(stars, "star-pairs"), width, percent), percent)), "star-links")
     groups = stored(_groups(spark, links), "star-groups")
     # Second product: pairs of different groups.
-    pairs = stored(cross_pairs(columns, groups, buckets, percent), "cross-pairs")
-    more = stored(similar(overlaps(docs, pairs, width), percent), "cross-links")
+    mixed = stored(mixed_columns(columns, groups), "mixed-columns")
+    pairs = stored(cross_pairs(mixed.where(F.col("m") < LONG_COLUMN), buckets, percent), "cross-pairs")
+    more = similar(overlaps(docs, pairs, width, percent), percent)
+    more = stored(more.union(family_links(docs, mixed.where(F.col("m") >= LONG_COLUMN), width, percent)).distinct(), "cross-links")
     groups = _groups(spark, links.union(more))
     return sets.join(groups, "doc", "left").select(
         F.col("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.coalesce("group", "doc").alias("component_id")

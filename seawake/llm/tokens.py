@@ -16,7 +16,7 @@ import numpy as np
 
 from seawake.llm.common import process_cache
 
-MEMO_UNITS = 1_000_000
+MEMO_UNITS = 400_000
 LONG_UNIT = 64
 _UNIT = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: Separators that Python counts as white space and the tokenizers do not.
