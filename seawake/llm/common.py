@@ -127,6 +127,12 @@ def windows(hashes: np.ndarray, width: int) -> np.ndarray:
     return mix(total)
 
 
+def pair_hashes(hashes: np.ndarray, apart: int) -> np.ndarray:
+    """Hashes of all pairs of words that lie ``apart``; equal pairs are equal at any distance."""
+    factors = _stream(2, 3) | np.uint64(1)
+    return mix(hashes[:-apart] * factors[0] + hashes[apart:] * factors[1])
+
+
 def group_count(docs: DataFrame, per_group: int, bytes_per_unit: float) -> int:
     """Number of groups for work on ``docs`` in which a group gets about ``per_group`` units,
     with one unit per ``bytes_per_unit`` characters of text."""

@@ -169,3 +169,28 @@ def test_copies_and_edited_copies_are_found(spark, monkeypatch, blocks):
     assert decontamination.contaminated(docs, bench.limit(0)).count() == 0
     assert decontamination.contaminated(docs.limit(0), bench).count() == 0
     assert decontamination.contaminated(docs, bench.where("item_id > 40")).count() == 0
+
+
+def test_spread_edits_are_found_as_by_all_pairs(spark):
+    rng = random.Random(5)
+    items = [prose(rng, n) for n in (20, 20, 30, 30, 31, 24, 24, 40, 12)]
+    texts = []
+    for k in range(160):
+        body, copy = prose(rng, 60).split(), items[k % len(items)].split()
+        edits = 3 + k % 6
+        for e in range(edits):  # spread over the item: changed, left out or added words
+            at = (e * len(copy) + len(copy) // 2) // edits
+            copy[at : at + 1] = ([prose(rng, 1)], [], [copy[at], prose(rng, 1)])[(k // 54 + (e if k % 5 == 0 else 0)) % 3]
+        body[30:30] = copy
+        texts.append(" ".join(body))
+    # every third word edited, and a word added after every other one: no three words in a row are left
+    every_third = " ".join("other" if i % 3 == 2 else w for i, w in enumerate(items[5].split()))
+    added = " ".join(w + " x" if i % 2 else w for i, w in enumerate(items[7].split()))
+    texts += [every_third, added, items[0], items[2]]
+    hashed, others = decontamination.hashed_words(texts), decontamination.hashed_words(items)
+    pairs = [(i, j) for i in range(len(texts)) for j in range(len(items))]
+    scores = decontamination._by_size([others[j] for _, j in pairs], [hashed[i] for i, _ in pairs])
+    want = {p: s / (2 * len(others[p[1]])) for p, s in zip(pairs, scores.tolist(), strict=True) if s >= len(others[p[1]])}
+    assert (160, 5) in want and (161, 7) in want and 100 < len(want) < len(texts)
+    got = decontamination.contaminated(documents(spark, texts), spark.createDataFrame([*enumerate(items)], "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]): r["score"] for r in got} == want
