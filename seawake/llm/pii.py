@@ -36,7 +36,7 @@ LOOK_ALIKES = {
     "У": "Y", "Х": "X",
     "α": "a", "ο": "o", "ν": "v", "ι": "i", "κ": "k", "ρ": "p", "υ": "u", "χ": "x", "ϲ": "c", "ϳ": "j",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y",
-    "Χ": "X", "ı": "i", "ɑ": "a", "ɡ": "g", "․": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-", "\u00a0": " ", "\u202f": " ", "\u2009": " ",
+    "Χ": "X", "ı": "i", "İ": "I", "ſ": "s", "\u212a": "K", "ɑ": "a", "ɡ": "g", "․": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-", "\u00a0": " ", "\u202f": " ", "\u2009": " ",
 }
 DIGIT_WORDS = {
     "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
@@ -59,16 +59,20 @@ _RULES = {
     "letter": r"(?<![^\W\d])[oil]+(?=[0-9])|(?<=[0-9])[oil]+(?![^\W\d])",
 }
 REWRITE = re.compile("|".join(f"(?P<{k}>{v})" for k, v in _RULES.items()), re.IGNORECASE)
-#: A text without any of these, and with fewer than ``LEAST_WORDS`` digit words, has nothing to rewrite.
+#: What the rules need in a text for a change: every match that changes it holds one of these, or
+#: is of rule ``digits`` and holds ``LEAST_WORDS`` digit words between characters of no word.
 HINTS = tuple(
     re.compile(x)
     for x in (
         _RULES["hidden"],
         r"[\[({<][ \t]?(?:at|dot|[@.])[ \t]?[\])}>]",
-        r"\+(?:[ \t]?[^\W\d]|[ \t]\(?[0-9])",
-        r"[0-9](?:[oil]+(?![^\W\d])|(?<=\W[oil][0-9])|(?<=[0-9][oil][0-9]))",
+        r"[ \t]dot[ \t]",
+        rf"plus[ \t]+(?:{_WORD}|[0-9(])",
+        rf"\+[ \t]?{_WORD}|\+[ \t][0-9(]",  # a + right before a digit stays as it is
+        r"[oil][0-9]|[0-9][oil]",
     )
 )
+_TOKENS = re.compile(r"\w+")
 _ITEMS = re.compile(rf"{_WORD}|[0-9]+|dot|point", re.IGNORECASE)
 _SIGNS = {**DIGIT_WORDS, "dot": ".", "point": "."}
 LETTER_DIGITS = {"o": "0", "i": "1", "l": "1"}
@@ -144,10 +148,11 @@ def _digits(text: str) -> str:
 
 
 def has_hint(lower: str) -> bool:
-    """Whether a text, in lower case, can hold a disguise; cheap to answer for most."""
-    if " dot " in lower or "plus" in lower or any(h.search(lower) for h in HINTS):
+    """Whether the rules can change a folded text, given in lower case: true for every text
+    that they do change, cheap to answer for most others."""
+    if any(h.search(lower) for h in HINTS):
         return True
-    words = lower.replace("-", " ").replace(",", " ").split()
+    words = _TOKENS.findall(lower)
     return not DIGIT_WORDS.keys().isdisjoint(words) and sum(w in DIGIT_WORDS for w in words) >= LEAST_WORDS
 
 

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -71,3 +72,30 @@ def test_mask_keeps_columns(spark):
     got = pii.mask_personal_data(df)
     assert got.columns == df.columns
     assert [(r["text"], r["n_chars"]) for r in got.orderBy("doc_id").collect()] == [("mail [EMAIL] now", 16), (None, None), ("", 0)]
+
+
+@pytest.mark.parametrize(
+    "text, kind",
+    [
+        ("+1 (four one five) 555-2671", "phone"), ("(four five three nine) 1488 0343 6467", None), ("ll4.oo7.1.2", "ip"), ("o4539 1488 0343 646", None),
+        ("a@b\tdot\tcom", "email"), ("a@b \tdot \tcom", "email"), ("four/five", None), ("plus\tfour one five five five five two six seven one", "phone"),
+        ("ſeven seven seven dot one dot one dot one", None), ("1.1.1.5İ", "ip"), ("ſix dot one one dot one dot one", "ip"), ("\"one nine two dot one dot one dot one\"", None),
+    ],
+)
+def test_hints_do_not_depend_on_other_text(text, kind):
+    def found(t):
+        return [(pii.KINDS[k], t[s:e]) for s, k, e in pii.disguised_spans(t, pii.find_spans(t))]
+
+    assert found(text) == found(text + "\n. dot .") and (kind is None or found(text)[0][0] == kind)
+
+
+def test_texts_without_hint_are_not_rewritten():
+    rng = random.Random(6)
+    parts = [*"+([{<>}])@.,-/\"'_ \t\n\u200b", *"oiOIlL0715xı", " ", " ", " ", ", ", "dot", "DOT", "at", "At", "plus", "Plus", "point", "one", "Two", "fünf", "FÜNF", "zéro", "ſeven", "İ", "\u212a", "é", "word"]
+    without = 0
+    for _ in range(60_000):
+        text = pii.fold("".join(rng.choices(parts, k=rng.randint(1, 9))))
+        if not pii.has_hint(text.lower()):
+            without += 1
+            assert pii.normalise(text)[0] == text
+    assert without > 10_000
