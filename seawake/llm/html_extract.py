@@ -3,7 +3,8 @@
 Every page scores its containers; the scores of a generalised tag-class path are added
 up over the pages of its host, and the path with most of them is the host's. Each page is
 then extracted again from the elements at that path, or from its own best container where
-it has none there.
+it has none there: from the articles that they are parts of, so that titles, leads and
+further parts stay.
 """
 
 from __future__ import annotations
@@ -186,16 +187,65 @@ class Page:
             inside[n] = n in roots or node[0] >= 0 and inside[node[0]]
         return "\n".join(text for node, text, _ in self.blocks if inside[node])
 
+    def _above(self, node: int) -> list[int]:
+        """The element and those around it, from the inside."""
+        out = []
+        while node > 0:
+            out.append(node)
+            node = self.nodes[node][0]
+        return out
+
+    def whole(self, roots: set[int]) -> set[int]:
+        """For each element with text the article that it is part of: the nearest article or main
+        around it, and a main around the only article in it. Without any, the
+        smallest element below the body that adds text outside links."""
+        plain, articles = [0] * len(self.nodes), [0] * len(self.nodes)
+        some = [0] * len(self.nodes)
+        for node, text, linked in self.blocks:
+            plain[node] += max(0, len(text) - linked)
+            some[node] += len(text)
+        for n in range(len(self.nodes) - 1, 0, -1):  # children have greater numbers
+            articles[n] += self.nodes[n][1] == "article" and some[n] > 0
+            for count in (plain, articles, some):
+                count[self.nodes[n][0]] += count[n]
+        out = set()
+        for root in roots:
+            if not some[root]:
+                continue
+            above = self._above(root)
+            found = next((n for n in above if self.nodes[n][1] in ("article", "main")), None)
+            if found is not None:
+                around = next((n for n in self._above(found) if self.nodes[n][1] == "main"), found)
+                found = around if articles[around] == 1 else found
+            elif self.nodes[root][1] not in ("body", "html"):
+                below = [n for n in above if self.nodes[n][1] not in ("body", "html")]
+                found = next((n for n in below if plain[n] > plain[root]), None)
+            out.add(root if found is None else found)
+        return out
+
+    def parts_of(self, roots: set[int]) -> str:
+        """The text of the whole articles of the elements. What lies right in the body, in no
+        container, belongs to elements that no other one is around."""
+        roots = self.whole(roots)
+        body = {self.nodes[n][0] for n in roots if self.nodes[self.nodes[n][0]][1] == "body" and self.nodes[n][1] not in ("article", "main")}
+        inside = [False] * len(self.nodes)
+        for n, node in enumerate(self.nodes):
+            inside[n] = n in roots or node[0] >= 0 and inside[node[0]]
+        return "\n".join(text for node, text, linked in self.blocks if inside[node] or 2 * linked < len(text) and self._container(node) in body)
+
+    def _container(self, node: int) -> int:
+        return next((n for n in self._above(node) if self.nodes[n][1] in CONTAINER), 0)
+
     def extract(self, path: str | None) -> str:
         best = self.best()
         if best is None:
             return ""
         own = self.text_of({best})
         if path is not None and self.nodes[best][2] != path:
-            shared = self.text_of({n for n, node in enumerate(self.nodes) if node[2] == path and node[1] in CONTAINER})
-            if len(shared) >= LEAST_SHARE * len(own):
-                return shared
-        return self.text_of({n for n, node in enumerate(self.nodes) if node[2] == self.nodes[best][2] and node[1] == self.nodes[best][1]})
+            shared = {n for n, node in enumerate(self.nodes) if node[2] == path and node[1] in CONTAINER}
+            if len(self.text_of(shared)) >= LEAST_SHARE * len(own):
+                return self.parts_of(shared)
+        return self.parts_of({n for n, node in enumerate(self.nodes) if node[2] == self.nodes[best][2] and node[1] == self.nodes[best][1]})
 
 
 VOTES = pa.schema([("host", pa.string()), ("path", pa.string()), ("score", pa.float64())])

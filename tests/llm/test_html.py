@@ -51,3 +51,28 @@ def test_hosts_agree_on_a_path(spark):
     assert all(by_id[k]["text"] == ("main words " * 20).strip() and by_id[k]["n_chars"] == 219 for k in range(9))
     assert (by_id[9]["text"], by_id[10]["text"], by_id[None]["text"]) == ("alone", "", "")
     assert H.main_texts(df.limit(0)).count() == 0
+
+
+LONG = "long body of words " * 60
+
+
+@pytest.mark.parametrize(
+    "body, want",
+    [
+        ("<article><h1>Head</h1><p class=lead>Lead.</p><div class=txt><p>{}</p></div><div class=conclusion>End.</div></article>", "Head\nLead.\n{}\nEnd."),
+        ("<main><h1>Head</h1><article><div class=txt>{}</div><section>More.</section></article></main>", "Head\n{}\nMore."),
+        ("<div id=page><div class=top><a href=x>all of it a link</a></div><div class=box><h1>Head</h1><div class=txt>{}</div><div class=more>End.</div></div></div>", "Head\n{}\nEnd."),
+        ("<h1>Head</h1><p>Lead.</p><p><a href=x>links</a></p><div class=txt>{}</div><div class=teaser>Other.</div>", "Head\nLead.\n{}"),
+        ("<main><article class=a><h2>One</h2><div class=txt>{}</div></article><section><article class=b>Teaser.</article></section></main>", "One\n{}"),
+    ],
+)
+def test_the_whole_article_stays(body, want):
+    assert text(body.format(LONG)) == want.format(LONG.strip())
+    path = next(n[2] for n in H.Page(PAGE.format(body.format(LONG))).nodes if n[2].endswith("div.txt"))
+    assert text(body.format(LONG), path) == want.format(LONG.strip())
+
+
+def test_whole_articles_of_a_host(spark):
+    page = "<article><h1>Head {0}</h1><p class=lead>Lead {0}.</p><div class=txt><p>{1}</p></div><div class=conclusion>End {0}.</div></article>"
+    df = spark.createDataFrame([(k, f"http://a.example/{k}", PAGE.format(page.format(k, LONG))) for k in range(5)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in H.main_texts(df).collect()} == {k: f"Head {k}\nLead {k}.\n{LONG.strip()}\nEnd {k}." for k in range(5)}
