@@ -37,6 +37,17 @@ DROPPED_WORDS = frozenset(
     "pager pagination paywall popup privacy promo promos promotion recommendations recommended related replies reply respond rss search share sharing "
     "sidebar sidenav signup social sponsor sponsored subscribe subscription tags toolbar tooltip topbar widget widgets".split()
 )
+#: Those that name notices, advertisements and remarks rather than parts of a layout.
+CERTAIN_WORDS = frozenset(
+    "ad ads advert advertisement adverts advertising adsense comment comments consent cookie cookies copyright disclaimer disqus gdpr modal newsletter "
+    "outbrain pager pagination paywall popup replies reply respond sponsor sponsored tooltip".split()
+)
+#: Of the text outside links that is not in elements of these: other words drop no element with more
+#: than the share ``MOST``, and none at all where less than ``LEAST_LEFT`` would be left.
+MOST = 2 / 3
+LEAST_LEFT = 0.2
+#: A page with so many characters is not dropped as a whole.
+LONG_PAGE = 1000
 #: Elements that a class never drops.
 ALWAYS = frozenset("html body main article".split())
 GOOD_WORDS = frozenset("article body content entry main post story text".split())
@@ -60,12 +71,14 @@ KEPT_PATHS = 5
 class Page:
     """Elements of a page and its text in blocks.
 
-    ``nodes`` are ``(parent, tag, path, dropped, good)`` with the parent's number, -1 for none;
+    ``nodes`` are ``(parent, tag, path, dropped, good)`` with the parent's number, -1 for none, and
+    dropped for a tag, role or style (what class words drop is judged when all text is known);
     ``blocks`` are ``[node, text, characters in links]`` in page order.
     """
 
     def __init__(self, source: str) -> None:
         self.nodes, self.blocks = [(-1, "", "", False, False)], []
+        self.worded = [0]  # whether the element's own class or id speaks against it: 0, 1, or 2 if for certain
         self.stack, self.links, self.fresh = [0], 0, True
         at = 0
         for m in TAG.finditer(source):
@@ -81,9 +94,41 @@ class Page:
                     self._open(name, m["rest"])
         if at < len(source):
             self._text(source[at:])
-        self.blocks = [[n, " ".join(html.unescape("".join(parts)).split()), k] for n, parts, k in self.blocks]
+        dropped = self._dropped_by_words() if any(self.worded) else [False] * len(self.nodes)
+        self.blocks = [self._joined(node, [p for p in parts if not dropped[p[0]]]) for node, parts in self.blocks]
         self.blocks = [b for b in self.blocks if b[1]]
 
+    @staticmethod
+    def _joined(node: int, parts: list[tuple[int, str, bool]]) -> list:
+        text = " ".join(html.unescape("".join(raw for _, raw, _ in parts)).split())
+        return [node, text, sum(len(raw) for _, raw, linked in parts if linked)]
+
+    def _dropped_by_words(self) -> list[bool]:
+        """Of each element, whether it or one around it is dropped for its class or id. One that
+        holds the page's largest article or main, or most of the page's text outside links, is not."""
+        n = len(self.nodes)
+        own, plain = [0] * n, [0] * n
+        for _, parts in self.blocks:
+            for node, raw, linked in parts:
+                own[node] += 0 if linked else len("".join(raw.split()))
+        plain[:] = own
+        for k in range(n - 1, 0, -1):  # children have greater numbers
+            plain[self.nodes[k][0]] += plain[k]
+        articles = [k for k in range(1, n) if self.nodes[k][1] in ("article", "main") and plain[k] and not self.worded[k]]
+        around = set(self._above(max(articles, key=lambda k: (plain[k], k), default=0)))
+
+        def dropped(is_bad) -> tuple[list[bool], int]:
+            out = [False] * n
+            for k in range(1, n):
+                out[k] = out[self.nodes[k][0]] or self.worded[k] and self.nodes[k][1] not in ALWAYS and k not in around and is_bad(k)
+            return out, sum(c for c, gone in zip(own, out, strict=True) if not gone)
+
+        certain, total = dropped(lambda k: self.worded[k] == 2)
+        out, left = dropped(lambda k: self.worded[k] == 2 or plain[k] <= MOST * total)
+        if left < LEAST_LEFT * total:
+            out, left = certain, total
+        return out if left or plain[0] < LONG_PAGE else [False] * n
+
     def _text(self, raw: str) -> None:
         node = self.stack[-1]
         if self.nodes[node][3]:
@@ -91,10 +136,9 @@ class Page:
         if self.fresh:
             if raw.isspace():
                 return
-            self.blocks.append([self._holder(), [], 0])
+            self.blocks.append((self._holder(), []))
             self.fresh = False
-        self.blocks[-1][1].append(raw)
-        self.blocks[-1][2] += len(raw) if self.links else 0
+        self.blocks[-1][1].append((node, raw, self.links > 0))
 
     def _holder(self) -> int:
         """The nearest block element that is open."""
@@ -133,23 +177,27 @@ class Page:
         if name in VOID or rest.endswith("/") and name not in BLOCK:
             return
         parent = self.stack[-1]
-        self.nodes.append((parent, name, *self._judge(parent, name, rest)))
+        *judged, worded = self._judge(parent, name, rest)
+        self.nodes.append((parent, name, *judged))
+        self.worded.append(worded)
         self.stack.append(len(self.nodes) - 1)
         self.links += name == "a"
 
-    def _judge(self, parent: int, name: str, rest: str) -> tuple[str, bool, bool]:
-        """Path, whether the element's text is dropped, and whether its names speak for it."""
+    def _judge(self, parent: int, name: str, rest: str) -> tuple[str, bool, bool, int]:
+        """Path, whether the element's text is dropped, and whether its names speak for it or against it."""
         found = {a[0].lower() or "hidden": a[1] or a[2] or a[3] for a in ATTRIBUTE.findall(rest)} if rest else {}
         names = (found.get("class", "") + " " + found.get("id", "")).split()
         _, tag, path, dropped, _ = self.nodes[parent]
         words = {w.lower() for n in names if not n.startswith(("has-", "with-", "no-", "is-")) for w in WORDS.findall(n)}
         hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-        bad = name in DROPPED or hidden or found.get("role", "").lower() in DROPPED_ROLES or name not in ALWAYS and not words.isdisjoint(DROPPED_WORDS)
+        bad = name in DROPPED or hidden or found.get("role", "").lower() in DROPPED_ROLES
         if name in HEADINGS and dropped and tag == "header" and not bad:
             dropped = not self._within_article(parent)
+        good = not words.isdisjoint(GOOD_WORDS)
+        worded = 0 if words.isdisjoint(DROPPED_WORDS) else 1 if good or words.isdisjoint(CERTAIN_WORDS) else 2
         classes = ".".join(sorted(re.sub(r"[0-9]+", "#", c.lower()) for c in found.get("class", "").split()))
         step = name + ("." + classes if classes else "")
-        return f"{path}/{step}" if name in CONTAINER else path, dropped or bad, not words.isdisjoint(GOOD_WORDS)
+        return f"{path}/{step}" if name in CONTAINER else path, dropped or bad, good, worded
 
     def _within_article(self, node: int) -> bool:
         while node > 0:

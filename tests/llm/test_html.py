@@ -76,3 +76,19 @@ def test_whole_articles_of_a_host(spark):
     page = "<article><h1>Head {0}</h1><p class=lead>Lead {0}.</p><div class=txt><p>{1}</p></div><div class=conclusion>End {0}.</div></article>"
     df = spark.createDataFrame([(k, f"http://a.example/{k}", PAGE.format(page.format(k, LONG))) for k in range(5)], "page_id long, url string, html string")
     assert {r["page_id"]: r["text"] for r in H.main_texts(df).collect()} == {k: f"Head {k}\nLead {k}.\n{LONG.strip()}\nEnd {k}." for k in range(5)}
+
+
+@pytest.mark.parametrize(
+    "body, want",
+    [
+        ("<div id=content-sidebar-wrap><main><p>{}</p></main><div class=sidebar>Side.</div></div>", "{}"),
+        ("<div class='layout right-sidebar'><div class=txt>{}</div><div class=related>Other.</div></div>", "{}"),
+        ("<div class=elementor-widget-text-editor><p>{}</p></div>", "{}"),
+        ("<div class='widget Blog'><div class=post>{}</div></div><div class='widget Profile'>About.</div>", "{}"),
+        ("<div class='page social-enabled'><article>Short.</article></div><div class=comments><article class=comment>A reader.</article></div>", "Short."),
+        ("<div class='widget a'>One half of it is here.</div><div class='widget a'>The other half is here.</div>", "One half of it is here.\nThe other half is here."),
+        ("<article><p>Text <span class=share>share this</span>goes on.</p><div class=tags>tags</div></article>", "Text goes on."),
+    ],
+)
+def test_class_words_do_not_drop_the_article(body, want):
+    assert text(body.format(LONG)) == want.format(LONG.strip())
