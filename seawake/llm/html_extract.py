@@ -63,9 +63,10 @@ TAG = re.compile(
 )
 ATTRIBUTE = re.compile(r"([a-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b", re.IGNORECASE)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-#: A host's path counts on a page if it holds this share of the text of the page's best container.
+#: A host's path outside the page's best container counts if it holds this share of its text.
 LEAST_SHARE = 0.2
-KEPT_PATHS = 5
+#: Sums of votes that a task holds before it hands them on.
+HELD_VOTES = 100_000
 
 
 class Page:
@@ -224,6 +225,14 @@ class Page:
                 total[up] = total.get(up, 0) + score / 2
         return {n: s * (1.25 if self.nodes[n][1] in ("article", "main") or self.nodes[n][4] else 1) for n, s in total.items()}
 
+    def votes(self) -> dict[str, int]:
+        """Millionths of the page's vote for each path, from all containers at it."""
+        scores = self.containers()
+        total, paths = sum(scores.values()) or 1.0, {}
+        for n in sorted(scores):
+            paths[self.nodes[n][2]] = paths.get(self.nodes[n][2], 0.0) + scores[n] / total
+        return {path: round(share * 1e6) for path, share in paths.items()}
+
     def best(self) -> int | None:
         scores = self.containers()
         return max(scores, key=lambda n: (scores[n], -n)) if scores else None
@@ -291,12 +300,14 @@ class Page:
         own = self.text_of({best})
         if path is not None and self.nodes[best][2] != path:
             shared = {n for n, node in enumerate(self.nodes) if node[2] == path and node[1] in CONTAINER}
-            if len(self.text_of(shared)) >= LEAST_SHARE * len(own):
+            size = len(self.text_of(shared))
+            # Elements within the own container are a part of it, and it is the larger one.
+            if size and size >= LEAST_SHARE * len(own) and len(self.text_of({best, *shared})) > len(own):
                 return self.parts_of(shared)
         return self.parts_of({n for n, node in enumerate(self.nodes) if node[2] == self.nodes[best][2] and node[1] == self.nodes[best][1]})
 
 
-VOTES = pa.schema([("host", pa.string()), ("path", pa.string()), ("score", pa.float64())])
+VOTES = pa.schema([("host", pa.string()), ("path", pa.string()), ("votes", pa.int64())])
 TEXTS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
 
@@ -310,19 +321,25 @@ def host_paths(pages: DataFrame) -> DataFrame:
     A page's votes add up to one at most, so long pages do not outvote the others."""
 
     def vote(batches):
+        held = {}
+
+        def handed_on():
+            rows = [(host, path, n) for (host, path), n in held.items()]
+            held.clear()
+            return batch(VOTES, *map(list, zip(*rows, strict=True)))
+
         for part, sources in slices(batches, "html"):
-            rows = []
             for host, source in zip(part.column(0).to_pylist(), sources, strict=True):
-                page = Page(source)
-                scores = sorted(page.containers().items(), key=lambda x: (-x[1], x[0]))
-                total = sum(s for _, s in scores) or 1.0
-                rows += [(host, page.nodes[n][2], s / total) for n, s in scores[:KEPT_PATHS]]
-            if rows:
-                yield batch(VOTES, *map(list, zip(*rows, strict=True)))
+                for path, n in Page(source).votes().items():
+                    held[host, path] = held.get((host, path), 0) + n
+                if len(held) >= HELD_VOTES:
+                    yield handed_on()
+        if held:
+            yield handed_on()
 
     votes = map_arrow(with_host(pages).where("host IS NOT NULL").select("host", "html"), vote, VOTES)
-    # Rounded sums do not depend on the order in which they are added.
-    summed = votes.groupBy("host", "path").agg(F.sum(F.round(F.col("score") * 1e6).cast("long")).alias("votes"))
+    # Sums of whole numbers do not depend on the order in which they are added.
+    summed = votes.groupBy("host", "path").agg(F.sum("votes").alias("votes"))
     return summed.groupBy("host").agg(F.min(F.struct(-F.col("votes"), F.col("path").alias("path"))).alias("first")).select("host", "first.path")
 
 

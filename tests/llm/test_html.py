@@ -92,3 +92,24 @@ def test_whole_articles_of_a_host(spark):
 )
 def test_class_words_do_not_drop_the_article(body, want):
     assert text(body.format(LONG)) == want.format(LONG.strip())
+
+
+def test_a_part_does_not_replace_the_container_around_it():
+    body = "<div class=wide>{}<div class=mid><p>Few.</p><div class=text>Boxed {}</div></div></div>"
+    page = H.Page(PAGE.format(body.format("<p>Own words of the page.</p>" * 40, "words " * 50)))
+    path = next(n[2] for n in page.nodes if n[2].endswith("div.text"))
+    assert page.nodes[page.best()][2] == path.removesuffix("/div.mid/div.text")
+    assert page.extract(path) == "\n".join(["Own words of the page."] * 40 + ["Few.", "Boxed " + ("words " * 50).strip()])
+    both = H.Page(PAGE.format("<main>{}<div class=text>Boxed {}</div></main>".format("<p>Own words of the page.</p>" * 40, "words " * 50)))
+    assert both.extract(next(n[2] for n in both.nodes if n[2].endswith("div.text"))).startswith("Own words")
+
+
+def test_votes_add_up_over_all_containers(spark, monkeypatch):
+    # 60 small parts of the story outweigh six larger boxes, whose classes differ, and half of all, which the body gets
+    page = "".join(f"<div class='b{c}'>{'box ' * 20}</div>" for c in "uvwxyz") + "<div class=part>words of a part</div>" * 60
+    df = spark.createDataFrame([(k, "http://a.example/x", PAGE.format(page)) for k in range(4)], "page_id long, url string, html string")
+    for held in (H.HELD_VOTES if hasattr(H, "HELD_VOTES") else 1, 1):
+        monkeypatch.setattr(H, "HELD_VOTES", held, raising=False)
+        assert H.host_paths(df).first()["path"].endswith("/div.part")
+    votes = H.Page(PAGE.format(page)).votes()
+    assert sum(p.rsplit("/", 1)[-1].startswith("div.") for p in votes) == 7 and abs(sum(votes.values()) - 1_000_000) < 10
