@@ -16,6 +16,7 @@ from seawake.llm import (
     ngram_join,
     packing,
     pii,
+    prefix_trie,
     token_files,
     toxicity,
 )
@@ -117,3 +118,41 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_importance_resampling")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query(
+    "op12_prefix_trie",
+    """
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS at
+  FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base,
+    xor(list_reduce([CAST(ascii(c) AS BIGINT) FOR c IN string_split(CAST(conv_id AS VARCHAR), '')],
+      lambda a, b: list_reduce(range(8), lambda p, q: CASE WHEN p & 1 = 1 THEN xor(p >> 1, 3988292384) ELSE p >> 1 END, xor(a, b)),
+      4294967295), 4294967295) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)
+), turns AS (
+  SELECT i.conv_id, t.at, t.role, t.text FROM ids i JOIN t ON t.conv_id = i.base AND t.at <= i.h
+  UNION ALL SELECT i.conv_id, t.at, t.role, t.text FROM ids i JOIN t ON t.conv_id = i.conv_id AND t.at > i.h
+), paths AS (
+  SELECT conv_id, row_number() OVER w AS depth, string_agg(md5(concat(length(role), ':', role, text)), '') OVER w AS path, strlen(text) AS bytes
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY at)
+  UNION ALL SELECT conv_id, 0, '', 0 FROM ids
+), nodes AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(bytes) AS bytes FROM paths GROUP BY path, depth),
+kids AS (SELECT left(path, length(path) - 32) AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+below AS (
+  SELECT a.path, sum((u.n_convs - 1) * u.bytes) AS saved_tokens, count(*) FILTER (WHERE k.n IS NULL) AS n_leaves
+  FROM nodes u LEFT JOIN kids k USING (path) JOIN paths a ON a.conv_id = u.conv_id AND a.depth <= u.depth GROUP BY a.path
+), ends AS (
+  SELECT path, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids
+  FROM (SELECT conv_id, max_by(path, depth) AS path FROM paths GROUP BY conv_id) GROUP BY path
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children, b.n_leaves,
+  CAST(b.saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM nodes n LEFT JOIN nodes p ON n.depth > 0 AND p.path = left(n.path, length(n.path) - 32)
+  LEFT JOIN kids k ON k.path = n.path JOIN below b ON b.path = n.path LEFT JOIN ends e ON e.path = n.path""",
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations"))
