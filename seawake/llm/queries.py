@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from seawake.llm import (
     chat,
+    collocations,
     compression,
     decontamination,
     html_extract,
@@ -125,7 +126,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 WITH t AS (
   SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
-    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS at
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS place
   FROM conversations WHERE conv_id IS NOT NULL
 ), ids AS (
   SELECT conv_id, conv_id - conv_id % 5 AS base,
@@ -134,11 +135,11 @@ WITH t AS (
       4294967295), 4294967295) % 9 AS h
   FROM (SELECT DISTINCT conv_id FROM t)
 ), turns AS (
-  SELECT i.conv_id, t.at, t.role, t.text FROM ids i JOIN t ON t.conv_id = i.base AND t.at <= i.h
-  UNION ALL SELECT i.conv_id, t.at, t.role, t.text FROM ids i JOIN t ON t.conv_id = i.conv_id AND t.at > i.h
+  SELECT i.conv_id, t.place, t.role, t.text FROM ids i JOIN t ON t.conv_id = i.base AND t.place <= i.h
+  UNION ALL SELECT i.conv_id, t.place, t.role, t.text FROM ids i JOIN t ON t.conv_id = i.conv_id AND t.place > i.h
 ), paths AS (
   SELECT conv_id, row_number() OVER w AS depth, string_agg(md5(concat(length(role), ':', role, text)), '') OVER w AS path, strlen(text) AS bytes
-  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY at)
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY place)
   UNION ALL SELECT conv_id, 0, '', 0 FROM ids
 ), nodes AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(bytes) AS bytes FROM paths GROUP BY path, depth),
 kids AS (SELECT left(path, length(path) - 32) AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
@@ -156,3 +157,37 @@ FROM nodes n LEFT JOIN nodes p ON n.depth > 0 AND p.path = left(n.path, length(n
 )
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations"))
+
+
+@query(
+    "op13_collocations",
+    r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM (
+    SELECT lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+]')) AS piece
+    FROM documents)
+), f AS (
+  SELECT lang, k, phrase, count(*) AS f FROM (
+    SELECT lang, k, unnest([array_to_string(w[i : i + k - 1], ' ') FOR i IN range(1, len(w) - k + 2)]) AS phrase
+    FROM pieces, (SELECT unnest([1, 2, 3]) AS k)) GROUP BY ALL
+), cuts AS (
+  SELECT p.lang, p.k, p.phrase, p.f AS a, c.c, array_to_string(string_split(p.phrase, ' ')[: c.c], ' ') AS head,
+    array_to_string(string_split(p.phrase, ' ')[c.c + 1 :], ' ') AS rest
+  FROM f p JOIN (SELECT unnest([1, 2]) AS c) c ON c.c < p.k WHERE p.f >= 10
+), scored AS (
+  SELECT x.*, h.f AS l, t.f AS r, CAST(1000000 * CAST(a AS HUGEINT) * a // (CAST(h.f AS HUGEINT) * t.f) AS BIGINT) AS score
+  FROM cuts x JOIN f h ON h.lang = x.lang AND h.phrase = x.head JOIN f t ON t.lang = x.lang AND t.phrase = x.rest
+), candidates AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+longer AS (
+  SELECT lang, part, max(a) AS a FROM (
+    SELECT lang, a, unnest([array_to_string(string_split(phrase, ' ')[: 2], ' '), array_to_string(string_split(phrase, ' ')[2 :], ' ')]) AS part
+    FROM candidates WHERE k = 3) GROUP BY ALL
+), kept AS (
+  SELECT c.* FROM candidates c LEFT JOIN longer g ON g.lang = c.lang AND g.part = c.phrase WHERE g.a IS NULL OR 100 * g.a < 50 * c.a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang) USING (lang) QUALIFY rank <= 2000""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.best_phrases(read(spark, sf_dir, "documents"))
