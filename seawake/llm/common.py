@@ -71,7 +71,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _stream(n: int, seed: int) -> np.ndarray:
+def random_words(n: int, seed: int) -> np.ndarray:
     return mix((np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed << 32)) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -98,13 +98,13 @@ def word_hashes(texts: list[bytes], parts: np.ndarray = WHITE, lower: bool = Tru
     if not len(starts):
         empty = np.zeros(0, np.uint64)
         return (empty, bounds, starts, ends) if spans else (empty, bounds)
-    values = _stream(256, 1)
+    values = random_words(256, 1)
     if lower:
         values[65:91] = values[97:123]
     lengths = ends - starts
     first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     place = np.arange(lengths.sum()) - np.repeat(first, lengths)
-    terms = values[data[inside]] * _stream(int(lengths.max()), 2)[place]
+    terms = values[data[inside]] * random_words(int(lengths.max()), 2)[place]
     if first_bytes:
         terms[place >= first_bytes] = 0
         lengths = np.minimum(lengths, first_bytes)
@@ -120,7 +120,7 @@ def windows(hashes: np.ndarray, width: int) -> np.ndarray:
     n = len(hashes) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    factors = _stream(width, 3) | np.uint64(1)
+    factors = random_words(width, 3) | np.uint64(1)
     total = hashes[:n] * factors[0]
     for k in range(1, width):
         total += hashes[k : n + k] * factors[k]
@@ -129,10 +129,32 @@ def windows(hashes: np.ndarray, width: int) -> np.ndarray:
 
 def pair_hashes(hashes: np.ndarray, apart: int) -> np.ndarray:
     """Hashes of all pairs of words that lie ``apart``; equal pairs are equal at any distance."""
-    factors = _stream(2, 3) | np.uint64(1)
+    factors = random_words(2, 3) | np.uint64(1)
     return mix(hashes[:-apart] * factors[0] + hashes[apart:] * factors[1])
 
 
+#: Bits of a filter of ids: sixteen per id, within these bounds (8 KB and 16 MB).
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """Bits of the hashed numbers in the column ``id``, as many as their count asks for. No
+    number is missed; beyond ``MOST_BITS`` more others pass."""
+    size = 1 << max(0, 16 * ids.count() - 1).bit_length()
+    size = min(max(size, LEAST_BITS), MOST_BITS)
+    bit = F.pmod("id", F.lit(size))
+    words = ids.select(F.shiftright(bit, 5).alias("word"), F.expr(f"shiftleft(1L, CAST(pmod(id, {size}) & 31 AS INT))").alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow().to_pandas()
+    out = np.zeros(size // 32, np.uint32)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy().astype(np.uint32)
+    return out
+
+
+def in_filter(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    bit = ids % (len(bits) * 32)
+    return (bits[bit >> 5] >> (bit & 31).astype(np.uint32)) & 1
+
+
 def group_count(docs: DataFrame, per_group: int, bytes_per_unit: float) -> int:
     """Number of groups for work on ``docs`` in which a group gets about ``per_group`` units,
     with one unit per ``bytes_per_unit`` characters of text."""

@@ -14,6 +14,7 @@ from seawake.llm import (
     decontamination,
     html_extract,
     importance,
+    minhash,
     ngram_join,
     packing,
     pii,
@@ -165,7 +166,8 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM (
     SELECT lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
-]')) AS piece
+
+]')) AS piece
     FROM documents)
 ), f AS (
   SELECT lang, k, phrase, count(*) AS f FROM (
@@ -191,3 +193,8 @@ FROM kept JOIN (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROU
 )
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.best_phrases(read(spark, sf_dir, "documents"))
+
+
+@query("op11_minhash")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.similar_groups(read(spark, sf_dir, "documents"), percent=80, width=4)

@@ -42,8 +42,8 @@ def shingles(text: str | None, width: int = 5) -> set:
     return {tuple(words)} if len(words) < width else {tuple(words[k : k + width]) for k in range(len(words) - width + 1)}
 
 
-def components(sets: list[tuple[int, set]]) -> dict[int, int]:
-    """Smallest id reachable by links of Jaccard 0.75, by comparing all pairs."""
+def components(sets: list[tuple[int, set]], percent: int = 75) -> dict[int, int]:
+    """Smallest id reachable by links of this Jaccard similarity, by comparing all pairs."""
     root = {i: i for i, _ in sets}
 
     def find(x):
@@ -53,7 +53,7 @@ def components(sets: list[tuple[int, set]]) -> dict[int, int]:
 
     for k, (i, a) in enumerate(sets):
         for j, b in sets[:k]:
-            if a and b and 100 * len(a & b) >= 75 * len(a | b):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
                 x, y = find(i), find(j)
                 root[max(x, y)] = min(x, y)
     return {i: find(i) for i in root}
