@@ -4,9 +4,11 @@
   ``ROWS`` minima. Two sets of similarity 0.8 share no band once in 3 million pairs.
 * A first round compares each set with one other of its buckets, the first set of the
   bucket that it shares most bands with: copies become groups before pairs are looked at.
-* A second round compares the sets of different groups that share a bucket, all of them.
-  A bucket's largest group is compared with the others only, within tasks that take blocks
-  of the bucket; a pair is looked at in the first band that both share.
+* Two more rounds compare the sets of different groups that share a bucket, all of them,
+  within tasks that take blocks of the bucket. A bucket's largest group is compared with the
+  others only, and a pair is looked at in the first band that both share. The first of
+  these rounds brings each set to its most similar one of another group, so that a large
+  group of near copies has become one before the last round takes all pairs that are left.
 * Signatures are compared batch by batch. After m equal minima of n the posterior of the
   similarity (uniform prior) says how likely it still reaches the threshold; a pair goes
   when that falls below ``MISS``. What is left is counted exactly, on the whole sets.
@@ -16,6 +18,7 @@ No bucket, candidate or text is cut.
 
 from __future__ import annotations
 
+from itertools import islice
 from math import comb
 
 import numpy as np
@@ -25,19 +28,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seawake.llm.common import batch, id_filter, in_filter, map_arrow, mix, slices, tidy_shuffles, random_words
-from seawake.llm.ngram_join import _groups, gram_sets, without_id
+from seawake.llm.ngram_join import _groups, gram_sets, least_difference, sketch, without_id
 from seawake.session import stored
 
 BANDS, ROWS = 28, 4
 HASHES = BANDS * ROWS
 BATCH = 16
-MISS = 1e-9
+MISS = 1e-6
 #: Rows of a bucket that a task compares with as many others.
 BLOCK = 1000
 #: Small buckets that share a task.
 LOTS = 512
 
-SIGNED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("signature", pa.binary())])
+SIGNED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("signature", pa.binary()), ("sketch", pa.binary())])
 BANDED = pa.schema([("key", pa.int64()), ("band", pa.int32()), ("doc", pa.int64()), ("n", pa.int64())])
 SETS = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("set", pa.binary())])
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -79,12 +82,18 @@ def least_matches(percent: int, miss: float = MISS) -> np.ndarray:
 
 
 def passes(equal: np.ndarray, least: np.ndarray) -> np.ndarray:
-    """Which rows of equal minima come through all batches."""
+    """Which rows of equal minima come through all batches, those of most matches first."""
     alive, matches = np.arange(len(equal)), np.zeros(len(equal), np.int64)
     for k, needed in enumerate(least):
         matches = matches + equal[alive, k * BATCH : (k + 1) * BATCH].sum(axis=1)
         alive, matches = alive[matches >= needed], matches[matches >= needed]
-    return alive
+    return alive[np.argsort(-matches, kind="stable")]
+
+
+def may_link(n: int, m: int, x: bytes, y: bytes, percent: int) -> bool:
+    """Whether two sets can overlap enough, by a lower bound of their difference."""
+    most = (n + m - least_difference(x, y)) // 2
+    return 100 * most >= percent * (n + m - most)
 
 
 def _matrix(signatures) -> np.ndarray:
@@ -99,7 +108,7 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
             sets = gram_sets(texts, width)
             digests = [(np.bitwise_xor.reduce(mix(g)), np.bitwise_xor.reduce(mix(g ^ np.uint64(0x5BD1E995)))) if len(g) else (0, 0) for g in sets]
             d1, d2 = (np.array(d, np.uint64).view(np.int64) for d in zip(*digests, strict=True))
-            yield batch(SIGNED, part.column(0), [len(g) for g in sets], d1, d2, [signature(g).tobytes() for g in sets])
+            yield batch(SIGNED, part.column(0), [len(g) for g in sets], d1, d2, [signature(g).tobytes() for g in sets], [sketch(g) for g in sets])
 
     return map_arrow(docs, sign, SIGNED)
 
@@ -126,6 +135,7 @@ def screened(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 alive = passes(x == y, least)
                 yield batch(PAIRS, b.column(0).take(pa.array(alive)), b.column(1).take(pa.array(alive)))
 
+    sets = sets.select("doc_id", "n", "signature")
     both = pairs.join(sets.toDF("b", "n_b", "y"), "b").join(sets.toDF("a", "n_a", "x"), "a")
     both = both.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     return map_arrow(both.select("a", "b", "x", "y"), screen, PAIRS)
@@ -169,8 +179,9 @@ def star_pairs(buckets: DataFrame) -> DataFrame:
     return shared.groupBy(F.col("doc").alias("b")).agg(F.max_by("hub", F.struct("shared", -F.col("hub"))).alias("a")).select("a", "b")
 
 
-def cross_pairs(buckets: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs of different groups in one bucket that pass the screen, each once."""
+def cross_pairs(buckets: DataFrame, groups: DataFrame, sets: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """The pairs of different groups in one bucket that pass the screen, each once; with
+    ``nearest`` only the best one of each set outside a bucket's largest group."""
     least = least_matches(percent)
     rows = buckets.select("key", "band", "doc").join(groups, "doc", "left").withColumn("group", F.coalesce("group", "doc"))
     per_group = rows.groupBy("key", "group").agg(F.count("*").alias("c"))
@@ -193,12 +204,12 @@ def cross_pairs(buckets: DataFrame, groups: DataFrame, sets: DataFrame, percent:
     common = ["lot", "key", "band", "doc", "group", "out"]
     inside = rows.select(*common, upto("outsiders").alias("i"), F.pmod(spread, F.col("members")).alias("j"), F.lit(False).alias("asks"))
     outside = rows.where("out").select(*common, F.pmod(spread, F.col("outsiders")).alias("i"), upto("members").alias("j"), F.lit(True).alias("asks"))
-    dealt = inside.union(outside).join(sets.toDF("doc", "n", "signature"), "doc")
+    dealt = inside.union(outside).join(sets.toDF("doc", "n", "signature", "sketch"), "doc")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["key", "asks", "doc"], kind="stable")
         key, doc, n, group, out, asks, band = (rows[c].to_numpy() for c in ("key", "doc", "n", "group", "out", "asks", "band"))
-        marks, found = _matrix(rows["signature"]), []
+        marks, sketches, found = _matrix(rows["signature"]), rows["sketch"].to_numpy(), []
         bounds = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
         for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
             middle = lo + int((~asks[lo:hi]).sum())
@@ -210,7 +221,8 @@ def cross_pairs(buckets: DataFrame, groups: DataFrame, sets: DataFrame, percent:
                     equal = marks[m] == marks[o]
                     alike = equal.reshape(len(m), BANDS, ROWS).all(axis=2)
                     first = np.flatnonzero(alike.any(axis=1) & (alike.argmax(axis=1) == band[o]))
-                    found += [(min(doc[o], d), max(doc[o], d)) for d in doc[m[first[passes(equal[first], least)]]].tolist()]
+                    close = (k for k in m[first[passes(equal[first], least)]] if may_link(n[o], n[k], sketches[o], sketches[k], percent))
+                    found += [(min(doc[o], doc[k]), max(doc[o], doc[k])) for k in (islice(close, 1) if nearest else close)]
         return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
     return dealt.groupBy("lot", "i", "j").applyInPandas(compare, "a long, b long").distinct()
@@ -237,16 +249,17 @@ def similar_groups(docs: DataFrame, percent: int = 80, width: int = 4) -> DataFr
         equal = ["d1", "d2", "n"]
         firsts = stored(own.where("n > 0").groupBy(*equal).agg(F.min("doc_id").alias("first")), "first-of-sets")
         of_first = firsts.withColumnRenamed("first", "doc_id")
-        sets = own.join(of_first, ["doc_id", *equal], "left_semi").dropDuplicates(["doc_id", *equal]).select("doc_id", "n", "signature")
+        sets = own.join(of_first, ["doc_id", *equal], "left_semi").dropDuplicates(["doc_id", *equal]).select("doc_id", "n", "signature", "sketch")
         sets = stored(sets, "distinct-sets")
         bands = stored(banded(sets), "bands")
         shared = bands.groupBy("key").agg(F.count("*").alias("_m"), F.min("doc").alias("hub")).where("_m > 1").drop("_m")
         buckets = stored(bands.join(shared, "key"), "buckets")
         near = stored(screened(star_pairs(buckets), sets, percent), "star-pairs")
         links = stored(exact_links(known, near, width, percent), "star-links")
-        groups = stored(_groups(docs.sparkSession, links), "star-groups")
-        more = stored(cross_pairs(buckets, groups, sets, percent), "cross-pairs")
-        links = links.union(stored(exact_links(known, more, width, percent), "cross-links"))
+        for nearest in (True, False):
+            groups = stored(_groups(docs.sparkSession, links), "groups")
+            more = stored(cross_pairs(buckets, groups, sets, percent, nearest), "cross-pairs")
+            links = links.union(stored(exact_links(known, more, width, percent), "cross-links"))
         # Every document belongs to the first one with its set; a repeated doc_id with several
         # sets ties them together.
         members = own.select("doc_id", *equal).join(firsts, equal, "left")
