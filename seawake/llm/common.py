@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -21,8 +22,22 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def map_arrow(df: DataFrame, fn: Callable, schema: pa.Schema) -> DataFrame:
-    """``mapInArrow`` with an Arrow schema."""
-    return df.mapInArrow(fn, from_arrow_schema(schema))
+    """``mapInArrow`` with an Arrow schema. Workers live on after a task, so that each task hands
+    the memory it has freed back to the system."""
+
+    def tidy(batches):
+        yield from fn(batches)
+        give_back()
+
+    return df.mapInArrow(tidy, from_arrow_schema(schema))
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        return  # not this C library: it keeps what it has freed
 
 
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:

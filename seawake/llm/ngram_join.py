@@ -30,16 +30,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seawake.llm.common import batch, group_count, map_arrow, mix, slices, tidy_shuffles, windows, word_hashes
+from seawake.llm.common import batch, give_back, group_count, id_filter, in_filter, map_arrow, mix, slices, tidy_shuffles, windows, word_hashes
 from seawake.operators.scenarios import connected_components
-from seawake.session import stored
+from seawake.session import release_stored, stored, stored_count
 
 #: Columns of so many documents are moved to the end of the order, those of most documents
 #: last: ``MAX_FREQUENT`` at most, 10 MB with the logarithms of their counts.
 FREQUENT_FROM = 4
 MAX_FREQUENT = 1 << 21
-#: Size of the filter of document numbers, in bits: 512 KB.
-FILTER_BITS = 4_194_301
+#: Columns of more than two to this power documents are parted, so that a part has about as many.
+COLUMN_POWER = 17
 RECORD = 24
 BLOBS = pa.schema([("bucket", pa.int64()), ("blob", pa.binary())])
 SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set", pa.binary())])
@@ -98,21 +98,31 @@ def frequent_grams(docs: DataFrame, buckets: int, width: int) -> tuple[np.ndarra
 
     def emit(batches):
         held, size = [], 0
+
+        def flush():
+            grams, n = np.unique(np.concatenate(held), return_counts=True)
+            yield from _scatter((grams % np.uint32(buckets)).astype(np.int64), grams, n.astype(np.uint32))
+
         for _, texts in slices(batches):
             for grams in gram_sets(texts, width):
                 held.append((grams[: (len(grams) + 1) // 2] >> np.uint64(32)).astype(np.uint32))
                 size += len(held[-1])
             if size > 2_000_000:
-                every, held, size = np.concatenate(held), [], 0
-                yield from _scatter((every % np.uint32(buckets)).astype(np.int64), every)
-        if held:
-            every = np.concatenate(held)
-            yield from _scatter((every % np.uint32(buckets)).astype(np.int64), every)
+                yield from flush()
+                held, size = [], 0
+        if size:
+            yield from flush()
 
     def count(group: pd.DataFrame) -> pd.DataFrame:
-        grams, counts = np.unique(np.concatenate([np.frombuffer(b, np.uint32) for b in group["blob"]]), return_counts=True)
-        many = counts >= FREQUENT_FROM
-        return pd.DataFrame({"gram": grams[many].astype(np.int64), "documents": counts[many].astype(np.int64)})
+        parts = [np.frombuffer(b, np.uint32).reshape(2, -1) for b in group["blob"]]
+        every, n = np.concatenate(parts, axis=1)
+        order = np.argsort(every, kind="stable")
+        every, n = every[order], n[order].astype(np.int64)
+        first = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+        total = np.add.reduceat(n, first)
+        many = total >= FREQUENT_FROM
+        give_back()
+        return pd.DataFrame({"gram": every[first][many].astype(np.int64), "documents": total[many]})
 
     counts = stored(
         map_arrow(docs.select("text"), emit, BLOBS).groupBy("bucket").applyInPandas(count, "gram long, documents long"), "gram-counts"
@@ -132,9 +142,11 @@ def frequent_grams(docs: DataFrame, buckets: int, width: int) -> tuple[np.ndarra
 
 
 def columns_of(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], buckets: int, width: int, percent: int) -> DataFrame:
-    """The leading columns that hold two documents or more, one row per document in
+    """The leading columns that hold documents of fitting sizes, one row per such document in
     them (``kind`` 0: gram, doc, n, place, the column's first document as hub, and its
-    size m); and one row per document (``kind`` 1: doc, n, a hash of its set as gram)."""
+    size m); and one row per document (``kind`` 1: doc, n, a hash of its set as gram). Columns of
+    very many documents are dealt to several tasks by document (``kind`` 2: hub and m are
+    those of a part, see ``whole_columns``)."""
     late = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def emit(batches):
@@ -142,24 +154,22 @@ def columns_of(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], buckets
 
         def flush():
             if rows:
-                gram, doc, n, place = (np.concatenate(c) for c in zip(*rows, strict=True))
-                yield from _scatter(((gram >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64), gram, doc, n, place)
+                gram, doc, n, place, power = (np.concatenate(c) for c in zip(*rows, strict=True))
+                part = mix(doc.view(np.uint64)) & (np.uint64(1) << np.maximum(power.astype(np.int64) - COLUMN_POWER, 0).astype(np.uint64)) - np.uint64(1)
+                yield from _scatter((((gram >> np.uint64(20)) + mix(part)) % np.uint64(buckets)).astype(np.int64), gram, doc, n, place)
             if sets:
                 digest, doc, n = (np.array(c, k) for c, k in zip(zip(*sets, strict=True), (np.uint64, np.int64, np.int32), strict=True))
-                yield from _scatter(-1 - (digest % np.uint64(buckets)).astype(np.int64), digest, doc, n, np.zeros(len(n), np.int32))
+                yield from _scatter(-1 - (mix(doc.view(np.uint64)) % np.uint64(buckets)).astype(np.int64), digest, doc, n, np.zeros(len(n), np.int32))
 
         for part, texts in slices(batches):
             for doc, grams in zip(part.column(0).to_pylist(), gram_sets(texts, width), strict=True):
                 n = len(grams)
                 sets.append((int(mix(np.array([np.bitwise_xor.reduce(mix(grams + np.uint64(n))) if n else 0], np.uint64))[0]), doc, n))
                 if n:
-                    known, powers = late.value
-                    if len(known):
-                        top = (grams >> np.uint64(32)).astype(np.uint32)
-                        at = np.minimum(np.searchsorted(known, top), len(known) - 1)
-                        grams = grams[np.argsort(np.where(known[at] == top, powers[at], 0), kind="stable")]
-                    k = lead(n, percent)
-                    rows.append((grams[:k], np.full(k, doc, np.int64), np.full(k, n, np.int32), np.arange(k, dtype=np.int32)))
+                    power = powers_of(grams, late.value)
+                    order, k = np.argsort(power, kind="stable"), lead(n, percent)
+                    order = order[:k]
+                    rows.append((grams[order], np.full(k, doc, np.int64), np.full(k, n, np.int32), np.arange(k, dtype=np.int32), power[order]))
                     size += k
             if size > 400_000 or len(sets) > 50_000:
                 yield from flush()
@@ -172,18 +182,44 @@ def columns_of(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], buckets
             zero = np.zeros(len(doc), np.int64)
             out = (zero + 1, gram.view(np.int64), doc, n, place, doc, n, place, zero)
         else:
-            order = np.lexsort((doc, gram))
+            # Of a column only documents that some other one fits in size; in the order of sizes
+            # that is a neighbour.
+            order = np.lexsort((n, gram))
             gram, doc, n, place = gram[order], doc[order], n[order], place[order]
-            first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.zeros(0, np.int64)
+            close = (gram[1:] == gram[:-1]) & (100 * n[:-1].astype(np.int64) >= percent * n[1:].astype(np.int64))
+            parted = powers_of(gram, late.value) > COLUMN_POWER
+            kept = np.flatnonzero(np.append(close, False) | np.append(False, close)[: len(gram)] | parted)
+            kept = kept[np.lexsort((doc[kept], gram[kept]))]
+            gram, doc, n, place, parted = gram[kept], doc[kept], n[kept], place[kept], parted[kept]
+            first = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])[: len(gram)])
             size = np.diff(np.append(first, len(gram)))
             hub, m = np.repeat(first, size), np.repeat(size, size)
-            out = [x[m > 1] for x in (np.zeros(len(doc), np.int64), gram.view(np.int64), doc, n, place, doc[hub], n[hub], place[hub], m)]
+            out = (2 * parted.astype(np.int64), gram.view(np.int64), doc, n, place, doc[hub], n[hub], place[hub], m)
+        give_back()
         return pd.DataFrame(dict(zip(COLUMNS, out, strict=True)))
 
     blobs = map_arrow(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), emit, BLOBS)
     return blobs.groupBy("bucket").applyInPandas(multiply, COLUMNS_DDL)
 
 
+def powers_of(grams: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Logarithms of the n-grams' counts; 0 for those not known as frequent."""
+    known, powers = frequent
+    if not len(known):
+        return np.zeros(len(grams), np.uint8)
+    top = (grams >> np.uint64(32)).astype(np.uint32)
+    at = np.minimum(np.searchsorted(known, top), len(known) - 1)
+    return np.where(known[at] == top, powers[at], 0).astype(np.uint8)
+
+
+def whole_columns(table: DataFrame) -> DataFrame:
+    """The columns, parted ones with the hub and size of all their parts."""
+    parted = table.where("kind = 2")
+    whole = parted.groupBy("gram").agg(F.min(F.struct("hub", "hub_n", "hub_place")).alias("first"), F.count("*").alias("m")).where("m > 1")
+    parted = parted.drop("hub", "hub_n", "hub_place", "m").join(whole.select("gram", "first.*", "m"), "gram").select(table.columns)
+    return table.where("kind = 0").union(parted).drop("kind")
+
+
 COLUMNS = ("kind", "gram", "doc", "n", "place", "hub", "hub_n", "hub_place", "m")
 COLUMNS_DDL = "kind long, gram long, doc long, n int, place int, hub long, hub_n int, hub_place int, m long"
 
@@ -197,16 +233,6 @@ def fits(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def id_filter(ids: DataFrame) -> np.ndarray:
-    """A bit per residue of the numbers in ``ids``: fixed size, no number is missed."""
-    bits = ids.select(F.pmod("id", F.lit(FILTER_BITS)).alias("bit"))
-    words = bits.groupBy(F.expr("bit DIV 32").alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(bit % 32 AS INT)))").alias("bits"))
-    out = np.zeros(FILTER_BITS // 32 + 1, np.uint32)
-    found = words.toArrow().to_pandas()
-    out[found["word"].to_numpy()] = found["bits"].to_numpy().astype(np.uint32)
-    return out
-
-
 def sketch(grams: np.ndarray) -> bytes:
     """Parities of the set's counts in power-of-two many cells, at least four per n-gram: half
     a byte per n-gram."""
@@ -228,18 +254,19 @@ def least_difference(a: bytes, b: bytes) -> int:
 def _sets(docs: DataFrame, ids: DataFrame, width: int, of_set, name: str) -> DataFrame:
     """``(doc_id, n, set)`` with what ``of_set`` makes of the sets of the documents in ``ids``.
     The filter keeps other texts from being written; what it lets through joins drop."""
-    wanted = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
+    wanted = docs.sparkSession.sparkContext.broadcast(id_filter(ids.distinct()))
 
     def emit(batches):
         for part, texts in slices(batches):
             ids = part.column(0).to_numpy()
-            bit = ids % FILTER_BITS
-            take = np.flatnonzero((wanted.value[bit // 32] >> (bit % 32).astype(np.uint32)) & 1)
+            take = np.flatnonzero(in_filter(wanted.value, ids))
             if len(take):
                 grams = gram_sets([texts[i] for i in take], width)
                 yield batch(SETS, ids[take], [len(g) for g in grams], [of_set(g) for g in grams])
 
-    return stored(map_arrow(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), emit, SETS), name)
+    out = stored(map_arrow(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), emit, SETS), name)
+    wanted.destroy()
+    return out
 
 
 def _with_sets(docs: DataFrame, pairs: DataFrame, width: int, of_set, name: str) -> DataFrame:
@@ -252,40 +279,49 @@ def family_links(docs: DataFrame, rows: DataFrame, width: int, percent: int) ->
     """Links between different groups among documents that share a long column.
 
     Documents of the columns with the same hub are a family; two that share a column share
-    its hub. A family's rows of the matrix are dealt to blocks by size, and a task
-    multiplies two blocks: overlaps are accumulated n-gram by n-gram, for all documents
-    outside the largest group at once with all others. Only links leave the task.
+    its hub. A family's rows of the matrix are dealt to blocks by size, those outside its
+    largest group to blocks of their own, and a task multiplies one of these with one of
+    all: overlaps are accumulated n-gram by n-gram. Only links leave the task.
     """
     members = rows.groupBy("hub", "doc").agg(F.max("n").alias("n"), F.max("group").alias("group"))
-    sizes = members.groupBy("hub").agg(F.sum("n").alias("grams"), F.min("group").alias("lo"), F.max("group").alias("hi"))
-    sizes = sizes.where("lo <> hi").select("hub", F.ceil(F.col("grams") / BLOCK_GRAMS).alias("blocks"))
-    members = stored(members.join(sizes, "hub"), "families")
+    grams = members.groupBy("hub", "group").agg(F.sum("n").alias("grams"))
+    sizes = grams.groupBy("hub").agg(
+        F.max_by("group", F.struct("grams", "group")).alias("top"), F.sum("grams").alias("all"), F.max("grams").alias("most"), F.count("*").alias("kinds")
+    )
+    sizes = sizes.where("kinds > 1").select(
+        "hub", "top", F.ceil(F.col("all") / BLOCK_GRAMS).alias("blocks"), F.ceil((F.col("all") - F.col("most")) / BLOCK_GRAMS).alias("outside")
+    )
+    members = stored(members.join(sizes, "hub").withColumn("out", F.col("group") != F.col("top")), "families")
     sets = _sets(docs, members.select(F.col("doc").alias("id")), width, np.ndarray.tobytes, "family-sets").toDF("doc", "n", "set")
-    dealt = members.select("hub", "doc", "group", "blocks", F.pmod(F.xxhash64("doc"), F.col("blocks")).alias("own"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("hub", "doc", "group", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
 
-    def multiply(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        doc, label, own = (group[c].to_numpy() for c in ("doc", "group", "own"))
+    def upto(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
+    spread, common = F.xxhash64("doc"), ["hub", "doc", "group", "out"]
+    inside = members.select(*common, upto("outside").alias("i"), F.pmod(spread, F.col("blocks")).alias("j"), F.lit(False).alias("asks"))
+    outside = members.where("out").select(*common, F.pmod(spread, F.col("outside")).alias("i"), upto("blocks").alias("j"), F.lit(True).alias("asks"))
+
+    def multiply(group: pd.DataFrame) -> pd.DataFrame:
+        asking, group = group[group["asks"]], group[~group["asks"]]
+        doc, label, out = (group[c].to_numpy() for c in ("doc", "group", "out"))
         grams = [np.frombuffer(b, np.uint64) for b in group["set"]]
-        n = np.array([len(g) for g in grams])
-        every, row = np.concatenate(grams), np.repeat(np.arange(len(n)), n)
+        n = np.array([len(g) for g in grams], np.int64)
+        every, row = np.concatenate([*grams, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(n)), n)
         order = np.argsort(every, kind="stable")
         every, row = every[order], row[order]
-        names, counts = np.unique(label, return_counts=True)
         found = []
-        for i in np.flatnonzero(label != names[counts.argmax()]):
-            lo, hi = np.searchsorted(every, grams[i], "left"), np.searchsorted(every, grams[i], "right")
+        for own, of, raw in zip(asking["doc"], asking["group"], asking["set"], strict=True):
+            mine = np.frombuffer(raw, np.uint64)
+            lo, hi = np.searchsorted(every, mine, "left"), np.searchsorted(every, mine, "right")
             size = hi - lo
-            at = np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+            at = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
             shared = np.bincount(row[at], minlength=len(n))
-            linked = (100 * shared >= percent * (n[i] + n - shared)) & (label != label[i])
-            if key[1] != key[2]:
-                linked &= own != own[i]
-            found += [(doc[i], doc[j]) for j in np.flatnonzero(linked)]
-        return pd.DataFrame([(min(p), max(p)) for p in found], columns=["a", "b"], dtype=np.int64)
+            linked = (100 * shared >= percent * (n + len(mine) - shared)) & (label != of) & (~out | (doc > own))
+            found += [(min(own, d), max(own, d)) for d in doc[linked].tolist()]
+        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
-    return dealt.join(sets.drop("n"), "doc").groupBy("hub", "low", "high").applyInPandas(multiply, "a long, b long")
+    dealt = inside.union(outside).join(sets.drop("n"), "doc")
+    return dealt.groupBy("hub", "i", "j").applyInPandas(multiply, "a long, b long")
 
 
 def _counted(pairs: DataFrame, count) -> DataFrame:
@@ -305,8 +341,10 @@ def overlaps(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Dat
         return len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
 
     both = F.col("n_a") + F.col("n_b")
+    first = stored_count()
     near = _counted(_with_sets(docs, pairs, width, sketch, "sketches"), least_difference)
     near = stored(near.where((both - F.col("count")) / 2 >= size_bound(F.col("n_a"), F.col("n_b"), percent)).select("a", "b"), "near-pairs")
+    release_stored(docs.sparkSession, first, keep_last=1)
     return _counted(_with_sets(docs, near, width, np.ndarray.tobytes, "sets"), common).withColumnRenamed("count", "overlap")
 
 
@@ -328,7 +366,7 @@ PAIRS_DDL = "a long, b long, n_a int, n_b int, shared long, place_a int, place_b
 
 def mixed_columns(columns: DataFrame, groups: DataFrame) -> DataFrame:
     """The rows of columns that hold several groups, with each document's ``group``."""
-    rows = columns.join(groups, "doc", "left").withColumn("group", F.coalesce("group", "doc"))
+    rows = columns.drop("hub_n", "hub_place").join(groups, "doc", "left").withColumn("group", F.coalesce("group", "doc"))
     mixed = rows.groupBy("gram").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("gram")
     return rows.join(mixed, "gram", "left_semi")
 
@@ -394,8 +432,12 @@ def _similar_groups(docs: DataFrame, percent: int, width: int) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     buckets = group_count(docs, 200_000, 25)
-    table = stored(columns_of(docs, frequent_grams(docs, buckets, width), buckets, width, percent), "gram-columns")
-    columns, sets = table.where("kind = 0").drop("kind"), table.where("kind = 1").select("doc", "n", F.col("gram").alias("digest"))
+    first = stored_count()
+    frequent = frequent_grams(docs, buckets, width)
+    table = stored(columns_of(docs, frequent, buckets, width, percent), "gram-columns")
+    release_stored(spark, first, keep_last=1)
+    columns, sets = whole_columns(table), table.where("kind = 1").select("doc", "n", F.col("gram").alias("digest"))
+    first = stored_count()
     # First product: each document with the first documents of its columns.
     stars = (
         columns.where(F.col("doc") != F.col("hub"))
@@ -418,12 +460,15 @@ def _similar_groups(docs: DataFrame, percent: int, width: int) -> DataFrame:
         .where("digest_a <> digest_b").select("a", "b").distinct()
     )
     links = stored(same.union(similar(overlaps(docs, stored(stars, "star-pairs"), width, percent), percent)), "star-links")
+    release_stored(spark, first, keep_last=1)
     groups = stored(_groups(spark, links), "star-groups")
     # Second product: pairs of different groups.
+    first = stored_count()
     mixed = stored(mixed_columns(columns, groups), "mixed-columns")
     pairs = stored(cross_pairs(mixed.where(F.col("m") < LONG_COLUMN), buckets, percent), "cross-pairs")
     more = similar(overlaps(docs, pairs, width, percent), percent)
     more = stored(more.union(family_links(docs, mixed.where(F.col("m") >= LONG_COLUMN), width, percent)).distinct(), "cross-links")
+    release_stored(spark, first, keep_last=1)
     groups = _groups(spark, links.union(more))
     return sets.join(groups, "doc", "left").select(
         F.col("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.coalesce("group", "doc").alias("component_id")

@@ -22,7 +22,7 @@ def corpus():
 @pytest.mark.parametrize("small_blocks", [False, True])
 def test_same_as_all_pairs(spark, monkeypatch, small_blocks):
     if small_blocks:
-        for name, value in (("MAX_FREQUENT", 300), ("LONG_COLUMN", 6), ("BLOCK_GRAMS", 400)):
+        for name, value in (("MAX_FREQUENT", 300), ("LONG_COLUMN", 6), ("BLOCK_GRAMS", 400), ("COLUMN_POWER", 2)):
             monkeypatch.setattr(N, name, value)
     texts = corpus()
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in N.similar_groups(with_clashes(documents(spark, texts))).collect()}
