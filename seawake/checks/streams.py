@@ -15,7 +15,6 @@ from seawake.session import child_names, work_path
 from seawake.sinks import tables as W
 from seawake.sources import files as R
 from seawake.streaming import jobs as J
-from seawake.streaming import state as T
 
 def stream_of(spark, df, name, at="timestamp"):
     """A stream over ``df`` that reads two time-ordered parts in two batches, and a
@@ -66,8 +65,12 @@ def enrich_stream(spark, sf):
     statics = X.vessel_static(spark, sf).withColumn("is_static", F.lit(True))
     bare = positions(spark, sf).drop("ship_name", *S.DIMS)
     stream, home = stream_of(spark, bare.unionByName(statics, allowMissingColumns=True), "enrich")
-    out = to_files(T.enrich_stream(stream.where("is_static is null"), stream.where("is_static")), home)
-    return out.select("mmsi", epoch(), "ship_name", *S.DIMS)
+
+    def write(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{home}/out/batch_id={batch_id}")
+
+    done(J.enrich_stream(stream.where("is_static is null").drop("is_static"), stream.where("is_static"), f"{home}/facts", f"{home}/c", write, J.ONCE))
+    return spark.read.parquet(f"{home}/out").select("mmsi", epoch(), "ship_name", *S.DIMS)
 
 
 @query(  # ST4, ST9: tracks from the stream's own history
@@ -168,6 +171,6 @@ def feed_stream(spark, sf):
     X.envelopes(spark, sf).write.text(f"{home}/in")
     now = F.timestamp_seconds(F.lit(1704067140))
     done(J.ingest_stream(R.read_feed(spark, f"{home}/in"), f"{home}/out", f"{home}/c", now, trigger=J.ONCE))
-    back = P.parse_message(spark.read.text(f"{home}/out"))
+    back = P.parse_message(spark.read.text(f"{home}/out").select("value"))
     return back.select("mmsi", "latitude", "longitude", "sog", "cog", "heading", epoch(), "ship_name", *S.DIMS)
 

@@ -89,4 +89,6 @@ BROADCAST_ROWS = 200_000  # rows up to which a dimension is broadcast
 COMPONENT_SALTS = 16
 
 # --- versioned tables (default values) ---------------------------------------
+STATE_BUCKETS = 64                    # buckets by ship of the tables that streams change
+FACTS_KEPT_S = 24 * 3600              # older static data than this are kept as the last one per ship
 VERSION_KEPT_S = 3600                 # old versions stay this long for those who read them

@@ -26,6 +26,7 @@ from seawake.functions import geo
 from seawake.functions.display import collision_id, pair_id
 from seawake.operators.parse import long_enough
 from seawake.operators.series import newest, tumbling
+from seawake.session import broadcast_if_small
 
 STATE = ("mmsi", "ship_name", "latitude", "longitude", "cog", "sog", "timestamp")
 LOCAL_NM_PER_DEGREE = C.METRES_PER_DEGREE / C.METRES_PER_NM
@@ -133,14 +134,22 @@ def candidate_pairs(
     max_cpa: float,
     max_tcpa_min: float,
     hot_cell_ships: int | None = C.HOT_CELL_SHIPS,
+    changed: DataFrame | None = None,
 ) -> DataFrame:
     """Pairs of ships of the same group ``by`` that could meet: structs ``a`` and ``b``
-    of the state columns with ``a.mmsi < b.mmsi``. ``states`` has one row per ship and group."""
+    of the state columns with ``a.mmsi < b.mmsi``. ``states`` has one row per ship and group.
+    With ``changed`` (mmsi, no repeats) only pairs of a ship in it: other ships are dropped
+    before they are shuffled unless a changed one is in their cell."""
     hours = max_tcpa_min / 60
     boxes = _boxes(_usable(states.select(*by, *STATE)), plane, max_cpa, hours)
     cell = [*by, "_g", "_cy", "_cx"]
     visitors = _visitors(boxes, by, plane, max_cpa, hours)
     hosts = _hosts(boxes, plane, max_cpa, hours)
+    if changed is not None:
+        ids = broadcast_if_small(changed.select("mmsi"))
+        touched = [rows.join(ids, "mmsi", "left_semi").select(*cell) for rows in (visitors, hosts)]
+        cells = broadcast_if_small(touched[0].union(touched[1]).distinct())
+        visitors, hosts = (rows.join(cells, cell, "left_semi") for rows in (visitors, hosts))
     keys = cell
     if hot_cell_ships:
         hot = (
@@ -158,11 +167,15 @@ def candidate_pairs(
         return df.select(
             *[F.col(k) for k in keys],
             F.struct(*STATE).alias(name),
-            F.struct("_tier", "_yc", "_hy", "_xc", "_wx").alias(f"_{name}"),
+            F.struct("_tier", "_yc", "_hy", "_xc", "_wx", *(["_new"] if changed is not None else [])).alias(f"_{name}"),
         )
 
     v, h = F.col("_v"), F.col("_h")
     once = (v["_tier"] < h["_tier"]) | (F.col("v.mmsi") < F.col("h.mmsi"))
+    if changed is not None:
+        new = ids.withColumn("_new", F.lit(True))
+        visitors, hosts = (rows.join(new, "mmsi", "left") for rows in (visitors, hosts))
+        once &= F.coalesce(v["_new"], h["_new"], F.lit(False))
     touch = (F.abs(v["_yc"] - h["_yc"]) <= v["_hy"] + h["_hy"]) & (
         F.abs(v["_xc"] - h["_xc"]) <= v["_wx"] + h["_wx"]
     )
@@ -253,15 +266,17 @@ def detect_encounters_live(
     max_tcpa: float = C.LIVE_MAX_TCPA,
     tcpa_unit: str = "minutes",
     hot_cell_ships: int | None = C.HOT_CELL_SHIPS,
+    changed: DataFrame | None = None,
 ) -> DataFrame:
-    """Encounters among the latest ship states, one row per ship, in the flat plane.
+    """Encounters among the latest ship states, one row per ship, in the flat plane; with
+    ``changed`` (mmsi, no repeats) those of the ships in it.
 
     ``tcpa_unit="hours"`` applies the threshold to hours, as older clients expect. It is for
     compatibility alone: with hours of look-ahead cells are hundreds of miles wide, and
     candidates come near to all pairs.
     """
     minutes = max_tcpa * 60 if tcpa_unit == "hours" else max_tcpa
-    pairs = _sides(candidate_pairs(ships, [], "flat", max_cpa, minutes, hot_cell_ships), [])
+    pairs = _sides(candidate_pairs(ships, [], "flat", max_cpa, minutes, hot_cell_ships, changed), [])
     moving = geo.computed(pairs, geo.relative_flat(geo.motion("_a"), geo.motion("_b")))
     r = {n: F.col(n) for n in ("dx", "dy", "ux", "uy")}
     timed = geo.computed(moving, {"_hours": geo.not_negative(geo.time_to_closest(r))})

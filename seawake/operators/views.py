@@ -55,11 +55,13 @@ def flat_view(encounters: DataFrame) -> DataFrame:
     return encounters.select("id", *sides, "cpa", "tcpa", "risk", "timestamp")
 
 
-def assess_risk(encounters: DataFrame) -> DataFrame:
+def assess_risk(encounters: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Risk of each encounter with its factors; ``carry`` names columns to keep."""
     factors = R.risk_factors(*[F.col(c) for c in ("cpa", "tcpa", "sog_a", "sog_b", "cog_a", "cog_b")])
     scored = geo.computed(encounters, {"risk_factors": factors})
     f = F.col("risk_factors")
     return scored.select(
+        *carry,
         F.col("id").alias("collision_id"),
         R.overall_risk(f).alias("overall_risk"),
         f,

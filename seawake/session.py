@@ -117,6 +117,8 @@ def child_names(spark: SparkSession, path: str) -> list[str]:
 def child_ages(spark: SparkSession, path: str) -> dict[str, float]:
     """Seconds since each child of a folder was last changed."""
     hadoop_path, fs = path_of(spark, path)
+    if not fs.exists(hadoop_path):
+        return {}
     return {s.getPath().getName(): time.time() - s.getModificationTime() / 1000 for s in fs.listStatus(hadoop_path)}
 
 

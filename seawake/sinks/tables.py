@@ -9,8 +9,9 @@ from pyspark.sql import types as T
 from seawake import config as C
 from seawake import schema as S
 from seawake.operators.enrich import merge_static
-from seawake.session import child_ages, child_names, delete_path
-from seawake.sources.files import SNAPSHOT_PREFIX, read_static_snapshot, snapshot_versions
+from seawake.session import child_names, delete_path
+from seawake.sinks import segments as G
+from seawake.sources.files import read_static_snapshot
 
 
 def _conform(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -57,18 +58,14 @@ def write_static(df: DataFrame, path: str, batch_id: int | None = None) -> None:
 
 
 def write_static_snapshot(batch: DataFrame, path: str, version: int, keep: int = 3, keep_s: int = C.VERSION_KEPT_S) -> DataFrame:
-    """Merges ``batch`` into the newest version below ``version`` and writes the whole
-    as ``version``. A reader sees a version once its success marker is there, and a
-    repeated batch rewrites its own version only. ``batch`` without rows writes nothing. Older
-    versions than the last ``keep`` go once they are older than ``keep_s``."""
+    """Merges ``batch`` into the newest version below ``version`` and commits the result as
+    ``version``. Ships are dealt to buckets, and only those that the batch touches are
+    written; the others are carried over by name. A repeated batch writes its own version
+    anew. ``batch`` without rows writes nothing. Older versions than the last ``keep`` go once
+    they are older than ``keep_s``."""
     spark = batch.sparkSession
-    if not batch.isEmpty():
-        known = read_static_snapshot(spark, path, before=version)
-        merge_static(known, batch).write.mode("overwrite").parquet(f"{path}/{SNAPSHOT_PREFIX}{version}")
-        ages = child_ages(spark, path)
-        for old in [v for v in snapshot_versions(spark, path) if v < version][: -keep or None]:
-            if ages[f"{SNAPSHOT_PREFIX}{old}"] > keep_s:
-                delete_path(spark, f"{path}/{SNAPSHOT_PREFIX}{old}")
+    rows = batch.where("mmsi IS NOT NULL")
+    G.upsert(rows, path, version, S.SNAPSHOT, merge_static, ["mmsi"], keep=keep, keep_s=keep_s)
     return read_static_snapshot(spark, path)
 
 
@@ -95,6 +92,15 @@ def publish_messages(messages: DataFrame, path: str | None, checkpoint: str | No
     return writer.start(path) if path else writer.start()
 
 
+def publish_batch(messages: DataFrame, path: str | None, batch_id: int, fmt: str = "text", **options) -> None:
+    """Messages of a micro-batch: a part of the folder that a repeated batch replaces, or a queue."""
+    text = to_message_text(messages).write.format(fmt).options(**options)
+    if path is None:
+        text.save()
+    else:
+        text.mode("overwrite").save(f"{path}/batch_id={batch_id}")
+
+
 def write_scenarios(documents: DataFrame, path: str) -> None:
     """Scenario documents as JSON lines in one folder per hour, ``hour=yyyyMMdd_HH``.
     Writing an hour again replaces that hour only."""

@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from seawake import schema as S
 from seawake.operators.parse import read_envelopes
 from seawake.operators.series import newest
-from seawake.session import child_names, path_exists
-
-SNAPSHOT_PREFIX = "version="
+from seawake.session import path_exists
+from seawake.sinks import segments as G
 
 
 def read_values(spark: SparkSession, path: str | None, fmt: str = "text", stream: bool = True, **options) -> DataFrame:
@@ -33,9 +32,7 @@ def read_messages(spark: SparkSession, path: str | None, fmt: str = "text", stre
 
 def snapshot_versions(spark: SparkSession, folder: str) -> list[int]:
     """Complete versions of a snapshot folder, oldest first."""
-    names = [n for n in child_names(spark, folder) if n.startswith(SNAPSHOT_PREFIX)]
-    done = [n for n in names if path_exists(spark, f"{folder}/{n}/_SUCCESS")]
-    return sorted(int(n[len(SNAPSHOT_PREFIX):]) for n in done)
+    return G.manifest_versions(spark, folder)
 
 
 def read_static_snapshot(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
@@ -44,15 +41,10 @@ def read_static_snapshot(spark: SparkSession, path: str, before: int | None = No
     ``path`` is a versioned folder (the newest complete version is read, or the newest
     one below ``before``) or a JSON array file, in which the later entry of a ship wins.
     """
-    empty = spark.createDataFrame([], S.SNAPSHOT)
+    if not path.endswith(".json"):
+        return G.read_newest(spark, path, S.SNAPSHOT, before)
     if not path_exists(spark, path):
-        return empty
-    versions = snapshot_versions(spark, path)
-    if versions or not path.endswith(".json"):
-        versions = [v for v in versions if before is None or v < before]
-        if not versions:
-            return empty
-        return spark.read.schema(S.SNAPSHOT).parquet(f"{path}/{SNAPSHOT_PREFIX}{versions[-1]}")
+        return spark.createDataFrame([], S.SNAPSHOT)
     entries = spark.read.option("multiLine", True).schema(S.SNAPSHOT).json(path)
     # one array file is read by one task, in order
     numbered = entries.withColumn("_at", F.monotonically_increasing_id()).where("mmsi is not null")

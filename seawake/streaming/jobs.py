@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from seawake import config as C
@@ -17,10 +18,11 @@ from seawake.operators import parse as P
 from seawake.operators import tracks as K
 from seawake.operators import views as V
 from seawake.operators.series import newest, recent
+from seawake.session import broadcast_if_small, path_exists
+from seawake.sinks import segments as G
 from seawake.sinks import tables as W
 from seawake.sources.files import read_static_snapshot, snapshot_versions
-from seawake.session import child_ages, child_names, delete_path, path_exists
-from seawake.streaming.state import enrich_stream
+from seawake.streaming.state import with_facts
 
 ONCE = {"availableNow": True}
 
@@ -138,15 +140,53 @@ def static_table_stream(
     return _start(closed, checkpoint, each, trigger)
 
 
+def enrich_stream(
+    positions: DataFrame,
+    statics: DataFrame,
+    facts: str,
+    checkpoint: str,
+    write: Callable[[DataFrame, int], None],
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Streaming :func:`seawake.operators.enrich.enrich_asof`: ``write`` gets each batch of
+    positions with the static data known at their times. ``facts`` is the folder of what is
+    remembered of all ships."""
+    fields = ["mmsi", "timestamp", "ship_name", *S.DIMS]
+    bare = positions.drop("ship_name", *S.DIMS)
+    both = bare.withColumn("_static", F.lit(False)).unionByName(statics.select(*fields, F.lit(True).alias("_static")), allowMissingColumns=True)
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        write(with_facts(batch.where("NOT _static").select(bare.columns), batch.where("_static").select(fields), facts, batch_id), batch_id)
+
+    return _start(both, checkpoint, each, trigger)
+
+
 def ingest_stream(
-    feed: DataFrame, path: str, checkpoint: str, ingest_time: Column | None = None, boxes=None, trigger: dict | None = None
+    feed: DataFrame,
+    path: str | None,
+    checkpoint: str,
+    ingest_time: Column | None = None,
+    boxes=None,
+    trigger: dict | None = None,
+    facts: str | None = None,
+    fmt: str = "text",
+    **options,
 ) -> StreamingQuery:
-    """Feed to published messages: routed, valid, under way, with the ship's last static data."""
+    """Feed to published messages: routed, valid, under way, with the ship's last static data.
+
+    A folder gets a part per batch, which a repeated batch replaces; a queue (``fmt`` and its
+    options) gets the messages of a repeated batch again. ``facts`` is where static data is
+    remembered, beside the checkpoint by default.
+    """
     reports, statics = P.route_by_type(feed)
     positions = P.valid_coordinate(P.under_way(P.flatten_position(reports, ingest_time)))
     if boxes is not None:
         positions = P.in_boxes(positions, boxes)
-    return W.publish_messages(enrich_stream(positions, P.flatten_static(statics, ingest_time)), path, checkpoint, trigger=trigger)
+
+    def write(messages: DataFrame, batch_id: int) -> None:
+        W.publish_batch(messages, path, batch_id, fmt, **options)
+
+    return enrich_stream(positions, P.flatten_static(statics, ingest_time), facts or f"{checkpoint.rstrip('/')}-facts", checkpoint, write, trigger)
 
 
 # --- static snapshot ---------------------------------------------------------
@@ -184,48 +224,70 @@ def messages_stream(
 
 
 # --- latest state and periodic refresh ---------------------------------------
-VERSION = "version="
+def read_state(spark, folder: str) -> DataFrame | None:
+    """The newest version of a state table, or None where there are no rows yet; a pair of
+    encounters is one row here."""
+    folders = [f"{folder}/{s.folder}" for s in G.segments_of(spark, folder) if s.rows]
+    rows = spark.read.parquet(*folders) if folders else None
+    return rows.where("owner = mmsi_a").drop("owner") if rows is not None and "owner" in rows.columns else rows
+
 
+def _table(df: DataFrame) -> T.StructType:
+    return T.StructType([T.StructField(f.name, f.dataType) for f in df.schema])
 
-def _versions(spark, folder: str) -> list[int]:
-    names = [n for n in child_names(spark, folder) if n.startswith(VERSION) and path_exists(spark, f"{folder}/{n}/_SUCCESS")]
-    return sorted(int(n[len(VERSION):]) for n in names)
 
+def _owned(pairs: DataFrame) -> DataFrame:
+    """A pair once under each of its ships, so that a changed ship finds its pairs in its bucket."""
+    return pairs.withColumn("owner", F.explode(F.array("mmsi_a", "mmsi_b")))
 
-def read_state(spark, folder: str, before: int | None = None) -> DataFrame | None:
-    """Newest complete state table of a folder, or None."""
-    versions = [v for v in _versions(spark, folder) if before is None or v < before]
-    return spark.read.parquet(f"{folder}/{VERSION}{versions[-1]}") if versions else None
 
+def update_encounters(ships: DataFrame, changed: DataFrame, path: str, version: int) -> list[G.Segment]:
+    """Brings the encounters up to date after some ships have changed: only pairs of a changed
+    ship are dropped, and only such pairs are looked for. ``ships`` is the new state of all,
+    ``changed`` (mmsi) has no repeats."""
+    spark = ships.sparkSession
+    found = _owned(E.detect_encounters_live(ships, changed=changed)).persist()
+    try:
+        schema, ids = _table(found), broadcast_if_small(changed)
+        own = G.read_buckets(spark, path, schema, G.buckets_of(changed, "mmsi"), before=version)
+        former = own.join(ids.withColumnRenamed("mmsi", "owner"), "owner", "left_semi")
+        partners = former.select(F.when(F.col("owner") == F.col("mmsi_a"), F.col("mmsi_b")).otherwise(F.col("mmsi_a")).alias("owner"))
 
-def _write_state(df: DataFrame, folder: str, version: int, keep: int = 3, keep_s: int = C.VERSION_KEPT_S) -> None:
-    """Writes a version; older ones than the last ``keep`` go once they are older than
-    ``keep_s``, when no reader that picked them can still be at work."""
-    spark = df.sparkSession
-    df.write.mode("overwrite").parquet(f"{folder}/{VERSION}{version}")
-    ages = child_ages(spark, folder)
-    for old in [v for v in _versions(spark, folder) if v < version][:-keep]:
-        if ages[f"{VERSION}{old}"] > keep_s:
-            delete_path(spark, f"{folder}/{VERSION}{old}")
+        def merge(known: DataFrame, rows: DataFrame) -> DataFrame:
+            for side in "ab":
+                known = known.join(ids.withColumnRenamed("mmsi", f"mmsi_{side}"), f"mmsi_{side}", "left_anti")
+            return known.select(rows.columns).union(rows)
+
+        also = G.buckets_of(former, "owner") | G.buckets_of(partners, "owner")
+        return G.upsert(found, path, version, schema, merge, ["owner"], also=also)
+    finally:
+        found.unpersist()
 
 
 def latest_state_stream(
     positions: DataFrame, folder: str, checkpoint: str, trigger: dict | None = None, ships_held: int | None = None
 ) -> StreamingQuery:
-    """Upserts the latest state per ship and finds the encounters among them once per
-    batch. State and encounters are versioned tables ``ships`` and ``encounters``.
-    ``ships_held=100`` keeps the newest hundred ships, as the serving view does."""
-    spark = positions.sparkSession
+    """Upserts the latest state per ship and keeps the encounters among them, table ``ships``
+    and ``encounters`` of ``folder``. A batch writes the buckets of its ships, and only they
+    are paired anew. ``ships_held=100`` keeps encounters of the newest hundred ships alone, as
+    the serving view does; these few are paired as a whole."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        known = read_state(spark, f"{folder}/ships", before=batch_id)
-        rows = batch if known is None else known.unionByName(batch)
-        ships = newest(rows, ["mmsi"], ["timestamp"])
-        _write_state(ships if ships_held is None else K.most_recent(ships, ships_held), f"{folder}/ships", batch_id)
-        stored = spark.read.parquet(f"{folder}/ships/{VERSION}{batch_id}")
-        _write_state(E.detect_encounters_live(stored), f"{folder}/encounters", batch_id)
+        spark, schema = batch.sparkSession, _table(batch)
+        rows = newest(batch.where("mmsi IS NOT NULL"), ["mmsi"], ["timestamp"]).persist()
+        try:
+            def merge(known: DataFrame, new: DataFrame) -> DataFrame:
+                return newest(known.unionByName(new), ["mmsi"], ["timestamp"])
+
+            G.upsert(rows, f"{folder}/ships", batch_id, schema, merge, ["mmsi"])
+            ships = G.read_newest(spark, f"{folder}/ships", schema, before=batch_id + 1)
+            if ships_held is None:
+                update_encounters(ships, rows.select("mmsi"), f"{folder}/encounters", batch_id)
+            else:
+                met = _owned(E.detect_encounters_live(K.most_recent(ships, ships_held))).withColumn(G.BUCKET, G.bucket_of("owner"))
+                G.commit(spark, f"{folder}/encounters", batch_id, G.write_segments(met, f"{folder}/encounters", batch_id))
+        finally:
+            rows.unpersist()
 
     return _start(positions, checkpoint, each, trigger)
 
@@ -233,14 +295,14 @@ def latest_state_stream(
 MOVE = ("latitude", "longitude", "sog", "cog")
 
 
-def recent_history(known: DataFrame | None, batch: DataFrame, minutes: int = C.HISTORY_MINUTES) -> DataFrame:
-    """``(mmsi, timestamp, n, state)``: each ship's reports of the last ``minutes`` before its
-    newest one, with equal times counted together and the greatest state kept. The rows
-    of a ship are combined per instant where they are read and spread over tasks."""
-    rows = batch.groupBy("mmsi", "timestamp").agg(F.count("*").alias("n"), F.max(F.struct(*MOVE)).alias("state"))
-    if known is not None:
-        rows = known.unionByName(rows).groupBy("mmsi", "timestamp").agg(F.sum("n").alias("n"), F.max("state").alias("state"))
-    return recent(rows, minutes)
+def instants(batch: DataFrame) -> DataFrame:
+    """``(mmsi, timestamp, n, state)``: reports of one instant counted together, the greatest kept."""
+    return batch.groupBy("mmsi", "timestamp").agg(F.count("*").alias("n"), F.max(F.struct(*MOVE)).alias("state"))
+
+
+def recent_history(rows: DataFrame, minutes: int = C.HISTORY_MINUTES) -> DataFrame:
+    """Instants of several batches: each ship's of the last ``minutes`` before its newest one."""
+    return recent(rows.groupBy("mmsi", "timestamp").agg(F.sum("n").alias("n"), F.max("state").alias("state")), minutes)
 
 
 def current_of(history: DataFrame) -> DataFrame:
@@ -249,20 +311,53 @@ def current_of(history: DataFrame) -> DataFrame:
     return found.select("mmsi", "_s.timestamp", "_s.state.*", "n_points")
 
 
+def add_history(rows: DataFrame, path: str, version: int, minutes: int = C.HISTORY_MINUTES, fold: int = 16) -> DataFrame:
+    """Appends the instants of a batch as a segment of the history and returns the whole history.
+
+    A segment is dropped whole once its last row is older than ``minutes`` before the newest
+    report; ``fold`` of them at a time, as ships that have been silent since keep their last
+    reports: these few rows are carried into one segment.
+    """
+    spark, schema = rows.sparkSession, _table(rows)
+    known = G.segments_of(spark, path, before=version)
+    new = G.append_segment(rows, path, version, "timestamp", ["mmsi", "timestamp"])
+    live = known + new
+    limit = max((s.high for s in live), default=0) - minutes * 60_000_000
+    old = [s for s in live if s.high < limit]
+    if len(old) >= fold:
+        newest_of = G.read_segments(spark, path, live, schema).groupBy("mmsi").agg(F.max("timestamp").alias("_latest"))
+        since = F.col("_latest") - F.expr(f"INTERVAL {minutes} MINUTES")
+        kept = G.read_segments(spark, path, old, schema).join(newest_of, "mmsi").where(F.col("timestamp") >= since)
+        live = [s for s in live if s not in old] + G.append_segment(kept.select(rows.columns), path, version, "timestamp", ["mmsi", "timestamp"], "-carried")
+    G.commit(spark, path, version, live)
+    return G.read_segments(spark, path, live, schema)
+
+
 def refresh_stream(positions: DataFrame, folder: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Rebuilds predicted tracks and risks every fifteen seconds: from the stream's own
-    recent history and from the encounters that latest_state_stream keeps in ``folder``.
-    The history is a versioned table like the others, so no row passes through Python."""
-    spark = positions.sparkSession
+    """Renews predicted tracks and risks every fifteen seconds: tracks of the ships that have
+    reported, from the stream's own recent history, and risks of the encounters that
+    latest_state_stream has found since, in tables of ``folder``. A batch appends its own
+    reports; nothing that has not changed is written again."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        _write_state(recent_history(read_state(spark, f"{folder}/history", before=batch_id), batch), f"{folder}/history", batch_id)
-        history = spark.read.parquet(f"{folder}/history/{VERSION}{batch_id}")
-        _write_state(K.project_track(current_of(history)), f"{folder}/tracks", batch_id)
-        met = read_state(spark, f"{folder}/encounters")
-        if met is not None:
-            _write_state(V.assess_risk(met), f"{folder}/risks", batch_id)
+        spark = batch.sparkSession
+        rows = instants(batch.where("mmsi IS NOT NULL AND timestamp IS NOT NULL")).persist()
+        try:
+            history = add_history(rows, f"{folder}/history", batch_id)
+            ids = broadcast_if_small(rows.select("mmsi").distinct())
+            tracks = K.project_track(current_of(recent_history(history.join(ids, "mmsi", "left_semi"))))
+
+            def merge(known: DataFrame, new: DataFrame) -> DataFrame:
+                return known.join(ids, "mmsi", "left_anti").select(new.columns).union(new)
+
+            G.upsert(tracks, f"{folder}/tracks", batch_id, _table(tracks), merge, ["mmsi"], also=G.buckets_of(rows, "mmsi"))
+            met = read_state(spark, f"{folder}/encounters")
+            if met is not None:
+                def assessed(pairs: DataFrame) -> DataFrame:
+                    return V.assess_risk(pairs.where("owner = mmsi_a"), carry=(G.BUCKET,))
+
+                G.derive(spark, f"{folder}/encounters", _table(_owned(met)), f"{folder}/risks", batch_id, assessed)
+        finally:
+            rows.unpersist()
 
     return _start(positions, checkpoint, each, trigger or {"processingTime": f"{C.REFRESH_S} seconds"})

@@ -1,90 +1,46 @@
-"""Keyed state of the streams: a ship's last static data.
+"""What streams remember of the ships' static data: a log of facts by ship and time.
 
-This small processor is the only Python in the engine's data path. A micro-batch holds
-one ship's rows in memory while they are put in time order; ``maxFilesPerTrigger`` or the
-queue's offset limit bounds that.
+Each micro-batch merges its static rows into the log, which is dealt to buckets by ship, and
+its positions read the log as of their own times, by the same as-of join as in a batch job.
+So rows of a micro-batch need no order, a loud ship spreads over tasks by time, and the
+result does not depend on which batch or file a row came in, but for static rows that
+arrive after the positions they would have told of.
 """
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator
-from typing import Any
-
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from seawake import config as C
 from seawake import schema as S
-
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-def _fields(*pairs) -> list[T.StructField]:
-    return [T.StructField(name, kind) for name, kind in pairs]
-
-
-_L, _S, _D = T.LongType(), T.StringType(), T.DoubleType()
-_MOVE = _fields(*[(c, _D) for c in ("latitude", "longitude", "sog", "cog")])
-_FACT = T.StructType(_fields(("ship_name", _S), *[(d, _D) for d in S.DIMS]))
-# times travel as epoch microseconds: exact, and the same in any worker's time zone
-_REPORT = T.StructType([*_fields(("ts_us", _L)), *_MOVE, *_fields(("heading", _D))])
-_ENRICHED = T.StructType([*_fields(("mmsi", _L)), *_REPORT.fields, *_FACT.fields])
-_NO_FACT = (C.UNKNOWN_NAME, *[None] * len(S.DIMS))
-
-# The processors travel to the Python workers whole, so workers need not have this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-
-def use_state_store(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-
-
-def _with_us(df: DataFrame) -> DataFrame:
-    return df.withColumn("ts_us", F.unix_micros("timestamp"))
-
-
-def _with_timestamp(df: DataFrame) -> DataFrame:
-    return df.withColumn("timestamp", F.timestamp_micros("ts_us")).drop("ts_us")
-
-
-class StaticMemory(StatefulProcessor):
-    """Last static data of a ship, written by static rows and read by positions."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._fact = handle.getValueState("fact", _FACT)
-
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        names = _FACT.fieldNames()
-        fact = tuple(self._fact.get()) if self._fact.exists() else None
-        for row in sorted(rows, key=lambda r: (r.ts_us, not r.is_static)):
-            if row.is_static:
-                fact = tuple(row[n] for n in names)
-                self._fact.update(fact)
-            else:
-                known = dict(zip(names, fact or _NO_FACT))
-                yield Row(**{n: known[n] if n in known else row[n] for n in _ENRICHED.fieldNames()})
-
-    def close(self) -> None:
-        pass
-
-
-def enrich_stream(positions: DataFrame, statics: DataFrame) -> DataFrame:
-    """Streaming :func:`seawake.operators.enrich.enrich_asof`."""
-    use_state_store(positions.sparkSession)
-    both = (
-        _with_us(positions)
-        .select("mmsi", *_REPORT.fieldNames(), F.lit(False).alias("is_static"))
-        .unionByName(
-            _with_us(statics).select("mmsi", "ts_us", *_FACT.fieldNames(), F.lit(True).alias("is_static")),
-            allowMissingColumns=True,
-        )
-    )
-    return _with_timestamp(
-        both.groupBy("mmsi").transformWithState(
-            statefulProcessor=StaticMemory(), outputStructType=_ENRICHED, outputMode="Append", timeMode="None"
-        )
-    )
+from seawake.operators.enrich import enrich_asof
+from seawake.sinks import segments as G
+
+_FIELDS = ["ship_name", *S.DIMS]
+FACTS = T.StructType(
+    [T.StructField("mmsi", T.LongType()), T.StructField("timestamp", T.TimestampType()), T.StructField("ship_name", T.StringType()), *[T.StructField(d, T.DoubleType()) for d in S.DIMS]]
+)
+
+
+def merge_facts(known: DataFrame, rows: DataFrame, kept_s: int = C.FACTS_KEPT_S) -> DataFrame:
+    """All facts of both, one per ship and instant: the greatest. Those of more than ``kept_s``
+    before a ship's newest one are reduced to the last of them."""
+    names = FACTS.fieldNames()
+    both = known.select(names).union(rows.select(names)).where("mmsi IS NOT NULL AND timestamp IS NOT NULL")
+    facts = both.groupBy("mmsi", "timestamp").agg(F.max(F.struct(*_FIELDS)).alias("_fact"))
+    newest = facts.groupBy("mmsi").agg((F.max("timestamp") - F.make_dt_interval(secs=F.lit(float(kept_s)))).alias("_from"))
+    aged = facts.join(newest, "mmsi")
+    last = aged.where(F.col("timestamp") < F.col("_from")).groupBy("mmsi").agg(F.max(F.struct("timestamp", "_fact")).alias("_l"))
+    recent = aged.where(F.col("timestamp") >= F.col("_from")).select("mmsi", "timestamp", "_fact")
+    return recent.union(last.select("mmsi", "_l.timestamp", "_l._fact")).select("mmsi", "timestamp", "_fact.*")
+
+
+def with_facts(positions: DataFrame, statics: DataFrame, path: str, batch_id: int) -> DataFrame:
+    """Positions of a micro-batch with the static data known at their times. The batch's own
+    static rows are in the log by then; only buckets of its ships are read."""
+    spark = positions.sparkSession
+    G.upsert(statics.where("mmsi IS NOT NULL AND timestamp IS NOT NULL"), path, batch_id, FACTS, merge_facts, ["mmsi"])
+    facts = G.read_buckets(spark, path, FACTS, G.buckets_of(positions, "mmsi"), before=batch_id + 1)
+    return enrich_asof(positions, facts)

@@ -11,10 +11,10 @@ from seawake.operators import enrich as N
 from seawake.operators import parse as P
 from seawake.operators import series
 from seawake.operators import tracks as K
+from seawake.sinks import segments as G
 from seawake.sinks import tables as W
 from seawake.sources import files as R
 from seawake.streaming import jobs as J
-from seawake.streaming import state as T
 
 T0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
@@ -55,15 +55,52 @@ def statics(positions):
     return early.unionByName(late)
 
 
+def enriched(stream, tmp_path):
+    def write(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{tmp_path}/out/batch_id={batch_id}")
+
+    finish(
+        J.enrich_stream(stream.where("is_static is null").drop("is_static"), stream.where("is_static"), f"{tmp_path}/facts", f"{tmp_path}/c", write, J.ONCE)
+    )
+
+
+def test_equal_instants_take_the_greatest_fact(spark, tmp_path):
+    """Ties within a batch and across batches, whatever file they come in; null times; the batch join agrees."""
+    ddl = "mmsi long, ship_name string, dim_a double, dim_b double, dim_c double, dim_d double, timestamp timestamp, latitude double, is_static boolean"
+
+    def fact(ship, name, second):
+        return (ship, name, 1.0, 1.0, 1.0, 1.0, None if second is None else T0 + timedelta(seconds=second), None, True)
+
+    def report(ship, second):
+        return (ship, None, None, None, None, None, T0 + timedelta(seconds=second), 50.0, None)
+
+    files = [
+        [fact(1, "M", 5), fact(1, "Z", 5), fact(1, "A", 5), report(1, 5), report(1, 4), fact(2, "B", 7), fact(3, "X", None)],
+        [fact(2, "C", 7), report(2, 8), report(1, 9), report(3, 9)],
+        [fact(2, "A", 7), report(2, 9), fact(1, "Q", 9), report(1, 9)],
+    ]
+    for rows_of in files:
+        spark.createDataFrame(rows_of, ddl).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    enriched(stream_of(spark, f"{tmp_path}/in"), tmp_path)
+    got = sorted((r.mmsi, int((r.timestamp.replace(tzinfo=timezone.utc) - T0).total_seconds()), r.ship_name) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == [(1, 4, "Unknown"), (1, 5, "Z"), (1, 9, "Q"), (1, 9, "Z"), (2, 8, "C"), (2, 9, "C"), (3, 9, "Unknown")]
+
+
+def test_old_facts_are_folded(spark):
+    from seawake.streaming import state
+
+    def facts(*seconds):
+        return spark.createDataFrame([(1, T0 + timedelta(seconds=s), f"N{s}", None, None, None, None) for s in seconds], state.FACTS)
+
+    kept = state.merge_facts(facts(1, 2, 3, 50), facts(100, 101), kept_s=60)
+    assert sorted(r.ship_name for r in kept.collect()) == ["N100", "N101", "N3", "N50"]
+
+
 def test_enrich_stream_equals_batch(spark, positions, statics, tmp_path):
     bare = positions.drop("ship_name", *S.DIMS)
     both = bare.unionByName(statics.withColumn("is_static", F.lit(True)), allowMissingColumns=True)
     stream = stream_of(spark, in_time_order(both, f"{tmp_path}/in"))
-    out = T.enrich_stream(stream.where("is_static is null"), stream.where("is_static"))
-    finish(
-        out.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c")
-        .trigger(availableNow=True).start(f"{tmp_path}/out")
-    )
+    enriched(stream, tmp_path)
     cols = ["mmsi", "timestamp", "ship_name", *S.DIMS]
     got = rows(spark.read.parquet(f"{tmp_path}/out"), *cols)
     want = rows(N.enrich_asof(positions, statics), *cols)
@@ -71,16 +108,39 @@ def test_enrich_stream_equals_batch(spark, positions, statics, tmp_path):
 
 
 def test_track_stream_equals_batch(spark, positions, tmp_path):
-    stream = stream_of(spark, in_time_order(positions, f"{tmp_path}/in"))
-    history = [None]
+    stream, sizes = stream_of(spark, in_time_order(positions, f"{tmp_path}/in", 4)), []
 
     def each(batch, k):
-        J.recent_history(history[-1], batch, minutes=5).write.parquet(f"{tmp_path}/history/{k}")
-        history.append(spark.read.parquet(f"{tmp_path}/history/{k}"))
+        history = J.add_history(J.instants(batch), f"{tmp_path}/history", k, minutes=5, fold=2)
+        seen = J.current_of(J.recent_history(history, 5))
+        sizes.append(sum(s.rows for s in G.segments_of(spark, f"{tmp_path}/history")))
+        seen.write.mode("overwrite").parquet(f"{tmp_path}/seen/{k}")
 
     finish(stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start())
     cols = ["mmsi", "timestamp", "latitude", "longitude", "sog", "cog", "n_points"]
-    assert len(history) == 4 and rows(J.current_of(history[-1]), *cols) == rows(K.current_states(series.recent(positions, 5)), *cols)
+    last = spark.read.parquet(f"{tmp_path}/seen/{len(sizes) - 1}")
+    assert rows(last, *cols) == rows(K.current_states(series.recent(positions, 5)), *cols)
+    assert len(sizes) == 4
+
+
+def test_history_segments_are_dropped_whole(spark, tmp_path):
+    """A batch appends a segment; old ones go, but for the last reports of silent ships."""
+
+    def batch(*reports):
+        data = [(m, T0 + timedelta(minutes=t), 50.0, 0.0, 5.0, 0.0) for m, t in reports]
+        return J.instants(spark.createDataFrame(data, "mmsi long, timestamp timestamp, latitude double, longitude double, sog double, cog double"))
+
+    path = f"{tmp_path}/h"
+    for k in range(6):
+        more = [(7, 0), (7, 1)] if k == 0 else []
+        history = J.add_history(batch((1, 2 * k), (2, 2 * k), *more), path, k, minutes=3, fold=2)
+    found = G.segments_of(spark, path)
+    assert [s.folder for s in found if s.folder.endswith("-carried")] and len(found) < 6
+    got = {r.mmsi: r.n for r in J.recent_history(history, 3).groupBy("mmsi").agg(F.sum("n").alias("n")).collect()}
+    assert got == {1: 2, 2: 2, 7: 2}
+    before = rows(history, "mmsi", "timestamp", "n")
+    repeated = J.add_history(batch((1, 10), (2, 10)), path, 5, minutes=3, fold=2)
+    assert rows(repeated, "mmsi", "timestamp", "n") == before
 
 
 def test_encounters_stream_equals_batch(spark, positions, tmp_path):
@@ -158,3 +218,23 @@ def test_latest_state_and_refresh(spark, positions, tmp_path):
     tracks = K.predict_track(series.recent(positions))
     assert rows(J.read_state(spark, f"{folder}/tracks"), "mmsi", "step", "latitude") == rows(tracks, "mmsi", "step", "latitude")
     assert J.read_state(spark, f"{folder}/risks").count() == met.count()
+
+
+def test_encounters_follow_changed_ships(spark, positions, tmp_path):
+    """After every batch the table is what a whole recomputation gives, and a batch of few ships
+    writes the buckets of these and of their partners only."""
+    folder, parts = f"{tmp_path}/state", 4
+    second = F.unix_timestamp("timestamp")
+    lo, hi = positions.agg(F.min(second), F.max(second)).first()
+    one, total = positions.agg(F.max("mmsi")).first()[0], None
+    for k in range(parts):
+        at = positions.where((second >= lo + k * (hi - lo) // parts) & (second <= lo + (k + 1) * (hi - lo) // parts))
+        batch = series.newest(at if k < parts - 1 else at.where(F.col("mmsi") == one), ["mmsi"], ["timestamp"]).persist()
+        schema = J._table(batch)
+        G.upsert(batch, f"{folder}/ships", k, schema, lambda old, new: series.newest(old.unionByName(new), ["mmsi"], ["timestamp"]), ["mmsi"])
+        ships = G.read_newest(spark, f"{folder}/ships", schema)
+        written = J.update_encounters(ships, batch.select("mmsi"), f"{folder}/encounters", k)
+        whole = E.detect_encounters_live(ships)
+        assert rows(J.read_state(spark, f"{folder}/encounters"), *whole.columns) == rows(whole, *whole.columns)
+        total = total or len(written)
+    assert len(written) < total
