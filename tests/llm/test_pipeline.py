@@ -49,6 +49,20 @@ def test_stages(spark, folder):
     assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Repeated rows, rows without doc_id, clashing columns, an empty table."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(2)
+    a, b, c = (prose(rng, 40) for _ in "abc")
+    rows = [(5, a), (5, a), (9, a + " more"), (None, a), (None, b), (None, b), (7, None), (8, ""), (None, None), (3, c), (3, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"component_id": F.lit(1), "_rows_": F.lit("x")})
+    got = corpus_pipeline.one_of_each_group(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(5, a), (7, None), (8, ""), (None, None), (3, max(b, c))], key=str)
+    assert corpus_pipeline.one_of_each_group(spark, docs.limit(0), "").count() == 0
+
+
 @pytest.fixture(scope="module")
 def con():
     return connect(SF)
@@ -61,7 +75,7 @@ def test_queries_with_sql(spark, con, name):
 
 def test_all_are_registered():
     names = set(entry.queries())
-    assert {f"op{n}" for n in range(1, 11)} <= {x.split("_")[0] for x in names} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} <= {x.split("_")[0] for x in names} and "pipeline" in names
     assert set(entry.oracle_sql()) <= names
 
 
