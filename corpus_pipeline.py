@@ -22,11 +22,17 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest doc_id.
-    Documents without doc_id stay, and all rows of a doc_id that stays."""
-    groups = ngram_join.similar_groups(docs, percent=75, width=5)
-    drop = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
+    """One row of each group of near copies stays: of the document with the smallest doc_id, and
+    of its repeated rows the greatest. Rows without doc_id take part with a number made of
+    their text, above those of all others, so that they go before documents with one."""
+    own = F.expr("coalesce(doc_id, (xxhash64(text) & 2305843009213693951L) | 4611686018427387904L)")
+    keyed = docs.withColumn("_key", own)
+    groups = ngram_join.similar_groups(keyed.select(F.col("_key").alias("doc_id"), "text"), percent=75, width=5)
+    found = groups.groupBy(F.col("doc_id").alias("_key")).agg(F.min("component_id").alias("_first"), F.count("*").alias("_rows"))
+    found = found.where("_rows > 1 OR _first <> _key")
+    left = keyed.join(found, "_key", "left").where("_first IS NULL OR _first = _key")
+    again = left.where("_rows > 1").groupBy("_key").agg(F.max(F.struct(docs.columns)).alias("_row")).select("_row.*")
+    return left.where("_rows IS NULL OR _rows = 1").select(docs.columns).union(again)
 
 
 def without_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +65,11 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages applied to ``documents``, each written as a table and read by the next. What
-    a stage has read or stored itself is removed once its own table is there."""
+    a stage has read or stored itself is removed once its own table is there.
+
+    Null or empty texts pass the filters and are packed as one token; rows without doc_id are
+    judged by their text alone; an empty table gives no rows; extra columns stay up to the
+    last stage, whatever their names."""
     docs, first = read(spark, sf_dir, "documents"), stored_count()
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
