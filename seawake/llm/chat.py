@@ -91,7 +91,7 @@ def parsed(formatted: Column) -> Column:
     def turn(t: Column) -> Column:
         kind = F.substring(t, 2, 3)
         role = F.when(kind == "INS", "user").when(kind == "ANS", "assistant").otherwise(
-            unescape(F.substring_index(F.substr(t, F.lit(len("[ROLE]") + 1)), "[TEXT", 1))
+            unescape(F.regexp_extract(t, r"(?s)^\[ROLE\](.*?)\[TEXT\*?\]", 1))
         )
         head = (
             F.when(kind == "INS", F.length(F.substring_index(t, "]", 1)) + 1)

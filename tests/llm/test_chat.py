@@ -10,7 +10,7 @@ PIECES = ["[INST]", "[/INST]", "[INST*]", "[ANS]", "[ANS*]", "</s>", "<s>", "[RO
 
 def rows():
     rng = random.Random(4)
-    roles = ["user", "assistant", "system", "tool [TEXT] \\(", "", None]
+    roles = ["user", "assistant", "system", "tool [TEXT] \\(", "a[TEXT", "x [TEXT y", "[TEXT*", "[ROLE", "[/ROLE]", "[", "", None]
     out = [(c, t, rng.choice(roles), "".join(rng.choices(PIECES, k=rng.randint(0, 9)))) for c in range(60) for t in range(rng.randint(1, 6))]
     return [*out, (60, None, "user", None), (60, 1, "assistant", "b"), (60, 1, "assistant", "a"), (60, 1, "assistant", "a"), (None, 0, "user", "x")]
 
