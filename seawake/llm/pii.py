@@ -13,6 +13,7 @@ import re
 import sys
 import unicodedata
 from bisect import bisect_right
+from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -59,6 +60,7 @@ _RULES = {
     "letter": r"(?<![^\W\d])[oil]+(?=[0-9])|(?<=[0-9])[oil]+(?![^\W\d])",
 }
 REWRITE = re.compile("|".join(f"(?P<{k}>{v})" for k, v in _RULES.items()), re.IGNORECASE)
+DOT = re.compile(_RULES["dot"], re.IGNORECASE)
 #: What the rules need in a text for a change: every match that changes it holds one of these, or
 #: is of rule ``digits`` and holds ``LEAST_WORDS`` digit words between characters of no word.
 HINTS = tuple(
@@ -169,21 +171,29 @@ def _rewritten(m: re.Match) -> str | None:
     return {"hidden": "", "at": "@", "dot": "."}[kind]
 
 
+def _rewrites(text: str) -> Iterator[tuple[int, int, str]]:
+    """Start, end and meaning of the disguises. In a run of plain numbers that is no spelled one
+    the dots between them still are dots."""
+    for m in REWRITE.finditer(text):
+        new = _rewritten(m)
+        if new is not None:
+            yield m.start(), m.end(), new
+        else:
+            yield from ((d.start(), d.end(), ".") for d in DOT.finditer(text, m.start(), m.end()))
+
+
 def normalise(text: str) -> tuple[str, list[int], list[int], list[int], list[int]]:
     """Normalised text and its alignment: where rewritten parts start and end in the
     normalised text, and where they start and end in the source."""
     parts, at, size = [], 0, 0
     norm_from, norm_to, from_, to = [], [], [], []
-    for m in REWRITE.finditer(text):
-        new = _rewritten(m)
-        if new is None:
-            continue
-        parts += [text[at : m.start()], new]
-        norm_from.append(size + m.start() - at)
+    for start, end, new in _rewrites(text):
+        parts += [text[at:start], new]
+        norm_from.append(size + start - at)
         size = norm_from[-1] + len(new)
         norm_to.append(size)
-        from_.append(m.start())
-        to.append(at := m.end())
+        from_.append(start)
+        to.append(at := end)
     return "".join([*parts, text[at:]]), norm_from, norm_to, from_, to
 
 

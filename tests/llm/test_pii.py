@@ -37,7 +37,7 @@ def test_base_is_what_the_patterns_say(text):
     "text, kind",
     [
         ("john (at) example (dot) com", "email"), ("john dot doe at example dot org", "email"), ("jоhn@exаmple.com", "email"), ("a\u200bb@c\u200b.com", "email"),
-        ("192[.]168[.]1[.]1", "ip"), ("one nine two dot one six eight dot one dot one", "ip"), ("４５３９ 1488 0343 6467", "card"), ("4539 l488 O343 6467", "card"),
+        ("192[.]168[.]1[.]1", "ip"), ("192 dot 168 dot 1 dot 1", "ip"), ("10 dot 0 dot 0 dot 7", "ip"), ("one nine two dot one six eight dot one dot one", "ip"), ("４５３９ 1488 0343 6467", "card"), ("4539 l488 O343 6467", "card"),
         ("four five three nine one four eight eight zero three four three six four six seven", "card"),
         ("plus one five five five one two three four five six seven", "phone"),
     ],
