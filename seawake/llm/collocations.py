@@ -37,7 +37,7 @@ FIRST_WAVE, WIDER = 6000, 8
 #: Cells of a filter: eight per key at least, 32 MB at most; a full one only saves less.
 MAX_CELLS = 1 << 25
 #: Occurrences that a task holds before it counts them.
-HELD = 3_000_000
+HELD = 2_000_000
 
 SPACE = np.isin(np.arange(256), [32, 9])
 STOP = np.isin(np.arange(256), [10, 11, 12, 13, *b".,;:!?"])

@@ -46,17 +46,24 @@ def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     )
 
 
+#: Rows of an Arrow batch while an operator works: texts of some thousand characters each.
+BATCH_ROWS = "2000"
+
+
 @contextmanager
 def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
     """Within this, the shuffle files of a query go when it has ended, not when the driver
-    next collects garbage. What later steps read is a table by then."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
+    next collects garbage, and Arrow batches are small. What later steps read is a table by
+    then. The session's settings are as before afterwards."""
+    held = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS}
+    before = {k: spark.conf.get(k, None) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def process_cache(name: str) -> dict:

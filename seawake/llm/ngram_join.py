@@ -107,7 +107,7 @@ def frequent_grams(docs: DataFrame, buckets: int, width: int) -> tuple[np.ndarra
             for grams in gram_sets(texts, width):
                 held.append((grams[: (len(grams) + 1) // 2] >> np.uint64(32)).astype(np.uint32))
                 size += len(held[-1])
-            if size > 2_000_000:
+            if size > 1_000_000:
                 yield from flush()
                 held, size = [], 0
         if size:
@@ -171,7 +171,7 @@ def columns_of(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], buckets
                     order = order[:k]
                     rows.append((grams[order], np.full(k, doc, np.int64), np.full(k, n, np.int32), np.arange(k, dtype=np.int32), power[order]))
                     size += k
-            if size > 400_000 or len(sets) > 50_000:
+            if size > 200_000 or len(sets) > 50_000:
                 yield from flush()
                 rows, sets, size = [], [], 0
         yield from flush()
@@ -318,6 +318,7 @@ def family_links(docs: DataFrame, rows: DataFrame, width: int, percent: int) ->
             shared = np.bincount(row[at], minlength=len(n))
             linked = (100 * shared >= percent * (n + len(mine) - shared)) & (label != of) & (~out | (doc > own))
             found += [(min(own, d), max(own, d)) for d in doc[linked].tolist()]
+        give_back()
         return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
     dealt = inside.union(outside).join(sets.drop("n"), "doc")
@@ -401,6 +402,7 @@ def cross_pairs(rows: DataFrame, buckets: int, percent: int) -> DataFrame:
             doc[i][first], doc[j][first], n[i][first], n[j][first], np.diff(np.append(first, len(i))),
             np.maximum.reduceat(place[i], first), np.maximum.reduceat(place[j], first),
         )
+        give_back()
         return pd.DataFrame(dict(zip(PAIR_COLUMNS, out, strict=True)))
 
     found = rows.groupBy("bucket").applyInPandas(pair, PAIRS_DDL)
