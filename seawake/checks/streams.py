@@ -105,7 +105,7 @@ def first_per_ship_stream(spark, sf):
 def encounters_stream(spark, sf):
     stream, home = stream_of(spark, P.under_way(positions(spark, sf)), "encounters")
     done(J.encounters_stream(stream, f"{home}/out", f"{home}/c", trigger=J.ONCE))
-    return spark.read.parquet(f"{home}/out").select("mmsi_a", "mmsi_b", epoch(), *r6("cpa", "tcpa"))
+    return W.read_table(spark, f"{home}/out", S.ENCOUNTERS).select("mmsi_a", "mmsi_b", epoch(), *r6("cpa", "tcpa"))
 
 
 @query(  # ST7 with its static side
@@ -121,7 +121,7 @@ def encounters_stream_named(spark, sf):
     known = rows.groupBy("mmsi").agg(*[F.max(d).alias(d) for d in S.DIMS], F.max("timestamp").alias("update_time"))
     W.write_static(known.withColumn("ship_name", F.concat(F.lit("N_"), F.col("mmsi").cast("string"))), f"{home}/static")
     done(J.encounters_stream(stream, f"{home}/out", f"{home}/c", trigger=J.ONCE, statics_path=f"{home}/static"))
-    return spark.read.parquet(f"{home}/out").select("mmsi_a", "mmsi_b", epoch(), "ship_name_a", "ship_name_b")
+    return W.read_table(spark, f"{home}/out", S.ENCOUNTERS).select("mmsi_a", "mmsi_b", epoch(), "ship_name_a", "ship_name_b")
 
 
 @query(  # K2, ST6: newest per window, first per ship, appended
@@ -146,20 +146,57 @@ def latest_state_stream(spark, sf):
     return J.read_state(spark, f"{home}/state/encounters").select("id", *r6("cpa", "tcpa"))
 
 
-@query(  # ST10: one queue, two branches; names come from the snapshot of the same queue
+@query(  # ST10: one queue, two branches; a ship's name comes from the snapshot of the same queue
     "messages_stream",
-    MESSAGES + """, named AS (SELECT DISTINCT mmsi FROM msg WHERE NOT (event_id % 17 = 0 AND (event_id // 17) % 3 = 2)
-      AND event_id % 29 <> 3 AND lower(trim(ship_name)) <> 'unknown' AND dim_a IS NOT NULL)
-    SELECT 'positions' AS branch, count(*) AS n FROM good UNION ALL SELECT 'snapshot', count(*) FROM named""",
+    MESSAGES + f""", told AS (SELECT mmsi, ship_name, {DIMS}, epoch_s FROM msg
+      WHERE NOT (event_id % 17 = 0 AND (event_id // 17) % 3 = 2) AND event_id % 29 <> 3 AND event_id % 31 <> 4 AND event_id % 37 <> 5
+        AND lower(trim(ship_name)) <> 'unknown' AND dim_a IS NOT NULL)
+    , snap AS (SELECT * FROM told QUALIFY row_number() OVER (PARTITION BY mmsi ORDER BY epoch_s DESC) = 1)
+    SELECT 'positions' AS branch, g.mmsi, g.epoch_s,
+      CASE WHEN g.ship_name IS NULL OR lower(trim(g.ship_name)) = 'unknown' THEN coalesce(s.ship_name, g.ship_name) ELSE g.ship_name END AS ship_name, NULL::DOUBLE AS dim_a
+    FROM good g LEFT JOIN snap s USING (mmsi) UNION ALL SELECT 'snapshot', mmsi, NULL, ship_name, dim_a FROM snap""",
 )
 def messages_stream(spark, sf):
     home = work_path(spark, "messages")
     X.messages(spark, sf).select("value").write.text(f"{home}/in")
     stream = R.read_messages(spark, f"{home}/in")
     done(J.messages_stream(stream, f"{home}/positions", f"{home}/snapshot", f"{home}/c", trigger=J.ONCE))
-    stored = spark.read.parquet(f"{home}/positions").select(F.lit("positions").alias("branch"))
-    ships = R.read_static_snapshot(spark, f"{home}/snapshot").select(F.lit("snapshot").alias("branch"))
-    return stored.unionAll(ships).groupBy("branch").agg(F.count("*").alias("n"))
+    stored = W.read_table(spark, f"{home}/positions", S.POSITIONS)
+    ships = R.read_static_snapshot(spark, f"{home}/snapshot")
+    return stored.select(F.lit("positions").alias("branch"), "mmsi", epoch(), "ship_name", F.lit(None).cast("double").alias("dim_a")).unionAll(
+        ships.select(F.lit("snapshot"), "mmsi", F.lit(None).cast("long"), "ship_name", "dim_a")
+    )
+
+
+def _live_table(spark, sf, batches=6):
+    """A table of positions as a stream leaves it: a segment per batch."""
+    vp, path = positions(spark, sf), work_path(spark, "live")
+    first, last = vp.agg(F.min("epoch_s"), F.max("epoch_s")).first()
+    step = (last - first) // batches + 1
+    for k in range(batches):
+        W.write_positions(vp.where(F.floor((F.col("epoch_s") - first) / step) == k), path, k)
+    return path, last
+
+
+@query(  # K1: segments of a stream's table merged by ship, a part of it read
+    "compact_positions",
+    " SELECT mmsi, epoch_s, ship_name, heading FROM vp WHERE epoch_s >= (SELECT max(epoch_s) - 5000 FROM vp)",
+)
+def compact_positions(spark, sf):
+    path, last = _live_table(spark, sf)
+    before = W.read_table(spark, path, S.POSITIONS).count()
+    gone, merged = W.maintain(spark, path, S.POSITIONS)
+    assert (gone, merged) == (0, 6) and W.read_table(spark, path, S.POSITIONS).count() == before
+    return W.read_table(spark, path, S.POSITIONS, low=(last - 5000) * 1_000_000).select("mmsi", epoch(), "ship_name", "heading")
+
+
+@query(  # K8: rows older than 10 minutes are gone from the files, by the spans in the manifest
+    "expire_rows", " SELECT mmsi, epoch_s FROM vp WHERE epoch_s >= (SELECT max(epoch_s) - 600 FROM vp)"
+)
+def expire_rows(spark, sf):
+    path, last = _live_table(spark, sf)
+    W.maintain(spark, path, S.POSITIONS, C.ENCOUNTERS_TTL_S, last * 1_000_000, keep=0, keep_s=-1)
+    return spark.read.schema(S.POSITIONS).option("recursiveFileLookup", True).parquet(f"{path}/data").select("mmsi", epoch())
 
 
 @query(  # S1, K5: feed files to published messages, through the keyed state

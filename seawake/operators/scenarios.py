@@ -10,6 +10,13 @@ that instant.
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +26,9 @@ from seawake.functions import geo
 from seawake.operators.encounters import with_collision_id
 from seawake.session import broadcast_if_small, cut_lineage
 
+# What runs in Python workers travels to them whole, so workers need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SCENARIO = ["hour", "component"]
 MOMENT = [*SCENARIO, "t_us"]
 ENCOUNTER = [*MOMENT, "mmsi_a", "mmsi_b"]
@@ -67,18 +77,18 @@ def with_hour(encounters: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, by: list[str] = (), max_rounds: int = 60) -> DataFrame:
     """Component of each ship: ``(*by, mmsi, component)``, component = smallest ship number.
 
-    Alternates two star contractions until the edges no longer change: each node is
-    linked to the smallest of its neighbourhood, first for the larger neighbours, then
-    for the smaller ones. The smallest neighbour is a partial aggregation and comes
-    back by an equi-join, so a ship with a third of all edges is neither gathered in
-    one task nor multiplied. Every round is checkpointed to the shared folder. Too many
+    Each task first joins what its own edges connect and passes on a star per part: a
+    forest of at most one edge per node. Then two star contractions alternate until the
+    edges no longer change: each node is linked to the smallest of its neighbourhood, first
+    for the larger neighbours, then for the smaller ones. The smallest neighbour is a partial
+    aggregation; it comes back by an equi-join, in which the edges of a hub that different
+    tasks have passed on meet. Every round is checkpointed to the shared folder. Too many
     rounds raise; partial labels are never returned.
     """
     by = list(by)
     u, v = F.col("u"), F.col("v")
-    current, mark = _settled(
-        edges.select(*by, F.least("mmsi_a", "mmsi_b").alias("v"), F.greatest("mmsi_a", "mmsi_b").alias("u")).distinct(), by
-    )
+    ends = edges.select(*by, F.least("mmsi_a", "mmsi_b").cast("long").alias("v"), F.greatest("mmsi_a", "mmsi_b").cast("long").alias("u"))
+    current, mark = _settled(ends.mapInArrow(_stars, ends.schema).distinct(), by)
     nodes = current.select(*by, u.alias("mmsi")).union(current.select(*by, v.alias("mmsi"))).distinct()
     for _ in range(max_rounds):
         both = current.where("u <> v").select(*by, "u", "v")
@@ -104,6 +114,53 @@ def connected_components(edges: DataFrame, by: list[str] = (), max_rounds: int =
     return nodes.join(roots, [*by, "mmsi"], "left").withColumn("component", F.coalesce("component", "mmsi"))
 
 
+#: Edges that a task joins at a time.
+EDGES_AT_ONCE = 1_000_000
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges ``(*by, v, u)`` of a task as stars: each node with the smallest that it is connected
+    to by the edges at hand; a node alone with itself."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.num_rows
+        if size >= EDGES_AT_ONCE:
+            yield from _joined(pa.Table.from_batches(held))
+            held, size = [], 0
+    if size:
+        yield from _joined(pa.Table.from_batches(held))
+
+
+def _joined(edges: pa.Table) -> Iterator[pa.RecordBatch]:
+    group, table = np.zeros(len(edges), np.int64), edges.combine_chunks()
+    for name in table.column_names[:-2]:
+        codes = pa.compute.dictionary_encode(table.column(name).combine_chunks(), "encode").indices.to_numpy()
+        group = np.unique(np.stack([group, codes]), axis=1, return_inverse=True)[1].ravel()
+    v, u = (table.column(c).to_numpy() for c in table.column_names[-2:])
+    both = np.concatenate([v, u])
+    if group.any():
+        nodes, where = np.unique(np.stack([np.tile(group, 2), both]), axis=1, return_inverse=True)
+    else:
+        nodes, where = np.unique(both, return_inverse=True)
+        nodes = np.stack([np.zeros_like(nodes), nodes])
+    a, b = where.ravel().reshape(2, -1)
+    root, before = np.arange(nodes.shape[1]), None
+    while before is None or not np.array_equal(before, root):
+        before = root
+        low, root = np.minimum(root[a], root[b]), root.copy()
+        np.minimum.at(root, before[a], low)
+        np.minimum.at(root, before[b], low)
+        while not np.array_equal(root, root[root]):
+            root = root[root]
+    row = np.zeros(len(root), np.int64)
+    row[np.concatenate([a, b])] = np.tile(np.arange(len(a)), 2)
+    kept = np.flatnonzero((root != np.arange(len(root))) | (np.bincount(root, minlength=len(root)) == 1))
+    own = table.select(table.column_names[:-2]).take(pa.array(row[kept]))
+    out = pa.table([*own.columns, pa.array(nodes[1][root[kept]]), pa.array(nodes[1][kept])], names=table.column_names)
+    yield from out.to_batches()
+
+
 def _settled(edges: DataFrame, by: list[str]) -> tuple[DataFrame, tuple]:
     """The checkpointed edges and a mark of them, observed while they are written."""
     h = F.xxhash64(*by, "u", "v")

@@ -104,11 +104,14 @@ def append_segment(rows: DataFrame, path: str, version: int, ts: str, cluster: l
     return [Segment(folder, -1, seen.get["low"], seen.get["high"], seen.get["rows"])] if seen.get["rows"] else []
 
 
-def write_segments(rows: DataFrame, path: str, version: int, ts: str | None = None, cluster: list[str] = (), by: str = BUCKET, part: str = "") -> list[Segment]:
-    """Writes rows as segments of a version, one per value of the integer column ``by``, whose
-    rows come together in one task at most per file. What was written is counted where it lies."""
+def write_segments(
+    rows: DataFrame, path: str, version: int, ts: str | None = None, cluster: list[str] = (), by: str = BUCKET, part: str = "", spread: bool = False
+) -> list[Segment]:
+    """Writes rows as segments of a version, one per value of the integer column ``by``: a file
+    each, or with ``spread`` files of ranges of ``cluster``, so that no value meets in one
+    task. What was written is counted where it lies."""
     spark, folder = rows.sparkSession, f"{DATA}/{version:012d}{part}"
-    dealt = rows.repartition(by).sortWithinPartitions(by, *cluster)
+    dealt = (rows.repartitionByRange(by, *cluster) if spread else rows.repartition(by)).sortWithinPartitions(by, *cluster)
     dealt.write.mode("overwrite").partitionBy(by).parquet(f"{path}/{folder}")
     if not [n for n in child_names(spark, f"{path}/{folder}") if n.startswith(f"{by}=")]:
         return []
@@ -170,3 +173,71 @@ def derive(spark: SparkSession, source: str, schema: T.StructType, path: str, ve
         written += [found.get(b, Segment(f"{DATA}/{own}{part}/{BUCKET}={b}", b, -1, -1, 0)) for b in some]
     commit(spark, path, version, kept + written)
     return written
+
+
+# --- tables in time ------------------------------------------------------------
+#: Versions of a table in time count batches in these steps; maintenance takes the numbers between.
+STEP = 1000
+
+
+def append_batch(rows: DataFrame, path: str, batch_id: int, ts: str, cluster: list[str]) -> None:
+    """Adds the rows of a micro-batch as a segment. A repeated batch writes the same segment and
+    manifest again; segments that maintenance has merged meanwhile stay merged."""
+    spark, version = rows.sparkSession, (batch_id + 1) * STEP
+    known = segments_of(spark, path, before=version)
+    commit(spark, path, version, known + append_segment(rows, path, version, ts, cluster))
+
+
+def read_span(spark: SparkSession, path: str, schema: T.StructType, ts: str, low: int | None = None, high: int | None = None) -> DataFrame:
+    """Rows from ``low`` to before ``high``, in microseconds. Segments outside are not opened, and
+    of the others the bounds reach the scan."""
+    segments = segments_of(spark, path)
+    if low is not None:
+        segments = [s for s in segments if s.high >= low]
+    if high is not None:
+        segments = [s for s in segments if s.low < high]
+    rows = read_segments(spark, path, segments, schema)
+    if low is not None:
+        rows = rows.where(F.col(ts) >= F.timestamp_micros(F.lit(low)))
+    return rows if high is None else rows.where(F.col(ts) < F.timestamp_micros(F.lit(high)))
+
+
+def _next(spark: SparkSession, path: str) -> int:
+    version = manifest_versions(spark, path)[-1] + 1
+    if version % STEP == 0:
+        raise RuntimeError(f"maintenance of {path} has run {STEP - 1} times since its last batch")
+    return version
+
+
+def compact(
+    spark: SparkSession, path: str, schema: T.StructType, ts: str, cluster: list[str], slice_s: int = C.SLICE_S, small_rows: int = C.SMALL_SEGMENT_ROWS, **options
+) -> int:
+    """Merges small segments into one per time slice, in files clustered by ``cluster``, so that a
+    reader of few ships skips most row groups. One manifest swaps them: a reader sees the
+    table before or after. If a batch commits meanwhile, its manifest wins and the merge is
+    without effect. Returns the number of segments merged."""
+    known = segments_of(spark, path)
+    small = [s for s in known if s.rows < small_rows]
+    if len(small) < 2:
+        return 0
+    version, part = _next(spark, path), F.floor(F.unix_micros(ts) / (slice_s * 1_000_000)).cast("int")
+    rows = read_segments(spark, path, small, schema).withColumn("slice", part)
+    merged = write_segments(rows, path, version, ts, cluster, by="slice", spread=True)
+    commit(spark, path, version, [s for s in known if s not in small] + [s._replace(bucket=-1) for s in merged], **options)
+    return len(small)
+
+
+def expire(spark: SparkSession, path: str, schema: T.StructType, ts: str, limit: int, cluster: list[str], keep: int = 0, keep_s: int = C.VERSION_KEPT_S) -> int:
+    """Removes rows older than ``limit`` (microseconds). Segments that end before it are dropped as
+    a whole; what is left of those around it is written anew, which is little, as segments
+    are short. Files go when the manifests that list them do. Returns the segments gone."""
+    known = segments_of(spark, path)
+    around = [s for s in known if s.low < limit <= s.high]
+    gone = [s for s in known if s.high < limit]
+    if not gone and not around:
+        return 0
+    version = _next(spark, path)
+    rest = read_segments(spark, path, around, schema).where(F.col(ts) >= F.timestamp_micros(F.lit(limit)))
+    new = append_segment(rest, path, version, ts, cluster) if around else []
+    commit(spark, path, version, [s for s in known if s.high >= limit and s not in around] + new, keep, keep_s)
+    return len(gone) + len(around)

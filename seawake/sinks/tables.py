@@ -19,32 +19,38 @@ def _conform(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def _append(df: DataFrame, path: str, cluster: list[str], batch_id: int | None) -> None:
-    """Day partitions, rows clustered by ``cluster`` so that row groups can be skipped.
-
-    A streaming batch owns its ``batch_id`` partitions and overwrites only them, so a
-    repeated batch leaves no duplicates.
-    """
+    """Rows clustered by ``cluster`` so that row groups can be skipped: in day partitions, or from
+    a stream as a segment per batch, which ``read_table`` reads and maintenance merges and
+    drops. A repeated batch leaves no duplicates."""
+    if batch_id is not None:
+        G.append_batch(df, path, batch_id, "timestamp", cluster)
+        return
     out = df.withColumn("event_date", F.to_date("timestamp"))
-    parts = ["event_date"]
-    if batch_id is None:
-        writer = out.sortWithinPartitions("event_date", *cluster).write.mode("append")
-    else:
-        out = out.withColumn("batch_id", F.lit(batch_id).cast("long"))
-        parts.append("batch_id")
-        writer = (
-            out.sortWithinPartitions("event_date", *cluster)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-        )
-    writer.partitionBy(*parts).parquet(path)
+    out.sortWithinPartitions("event_date", *cluster).write.mode("append").partitionBy("event_date").parquet(path)
+
+
+POSITIONS_CLUSTER, ENCOUNTERS_CLUSTER = ["mmsi", "timestamp"], ["mmsi_a", "mmsi_b", "timestamp"]
 
 
 def write_positions(df: DataFrame, path: str, batch_id: int | None = None) -> None:
-    _append(_conform(df, S.POSITIONS), path, ["mmsi", "timestamp"], batch_id)
+    _append(_conform(df, S.POSITIONS), path, POSITIONS_CLUSTER, batch_id)
 
 
 def write_encounters(df: DataFrame, path: str, batch_id: int | None = None) -> None:
-    _append(_conform(df, S.ENCOUNTERS), path, ["mmsi_a", "mmsi_b", "timestamp"], batch_id)
+    _append(_conform(df, S.ENCOUNTERS), path, ENCOUNTERS_CLUSTER, batch_id)
+
+
+def read_table(spark: SparkSession, path: str, schema: T.StructType, low: int | None = None, high: int | None = None) -> DataFrame:
+    """A table of positions or encounters that a stream writes, between two times in microseconds."""
+    return G.read_span(spark, path, schema, "timestamp", low, high)
+
+
+def maintain(spark: SparkSession, path: str, schema: T.StructType, ttl_seconds: int | None = None, as_of: int | None = None, **options) -> tuple[int, int]:
+    """Drops what is older than ``ttl_seconds`` before ``as_of`` (microseconds) and merges small
+    segments of a table that a stream writes. Returns how many were dropped and merged."""
+    cluster = ENCOUNTERS_CLUSTER if "mmsi_a" in schema.fieldNames() else POSITIONS_CLUSTER
+    gone = 0 if ttl_seconds is None else G.expire(spark, path, schema, "timestamp", as_of - ttl_seconds * 1_000_000, cluster, **options)
+    return gone, G.compact(spark, path, schema, "timestamp", cluster, **options)
 
 
 def write_static(df: DataFrame, path: str, batch_id: int | None = None) -> None:

@@ -151,7 +151,7 @@ def test_encounters_stream_equals_batch(spark, positions, tmp_path):
     cols = ["mmsi_a", "mmsi_b", "timestamp", "cpa", "tcpa"]
     newest = source.agg(F.max("timestamp")).first()[0]
     batch = E.detect_encounters_windowed(source).where(F.col("window_end") <= F.lit(newest))
-    assert rows(spark.read.parquet(out), *cols) == rows(batch, *cols)
+    assert rows(W.read_table(spark, out, S.ENCOUNTERS), *cols) == rows(batch, *cols)
     assert batch.count() > 0
 
 
@@ -192,7 +192,7 @@ def test_messages_stream_two_branches(spark, positions, tmp_path):
     messages.repartition(2).write.text(f"{tmp_path}/in")
     stream = R.read_messages(spark, f"{tmp_path}/in", maxFilesPerTrigger=1)
     finish(J.messages_stream(stream, f"{tmp_path}/pos", f"{tmp_path}/snap", f"{tmp_path}/c", trigger=J.ONCE))
-    stored = spark.read.parquet(f"{tmp_path}/pos")
+    stored = W.read_table(spark, f"{tmp_path}/pos", S.POSITIONS)
     assert stored.count() == positions.count()
     snapshot = R.read_static_snapshot(spark, f"{tmp_path}/snap")
     complete = positions.where("dim_a is not null and ship_name <> 'Unknown'")

@@ -9,6 +9,7 @@ from seawake import schema as S
 from seawake.operators import encounters as E
 from seawake.operators import scenarios as C
 from seawake.plans import history as H
+from seawake.sinks import segments as G
 from seawake.sinks import tables as W
 from seawake.sources import files as R
 
@@ -29,7 +30,7 @@ def test_repeated_batch_leaves_no_duplicates(spark, positions, tmp_path):
     path = f"{tmp_path}/p"
     for batch in (0, 1, 1, 0):
         W.write_positions(positions, path, batch)
-    assert spark.read.parquet(path).count() == 2 * positions.count()
+    assert W.read_table(spark, path, S.POSITIONS).count() == 2 * positions.count()
 
 
 def test_encounters_reach_the_scan(spark, positions, tmp_path):
@@ -126,3 +127,61 @@ def test_stored_tables_are_removed(spark):
     assert [session.path_exists(spark, p) for p in paths] == [False, True] and b.count() == 3
     session.release_stored(spark, first)
     assert session.stored_count() == first and not session.path_exists(spark, paths[1])
+
+
+def test_segments_of_a_stream_are_merged_and_expire(spark, positions, tmp_path):
+    """Repeated batches leave no duplicates, before or after a merge; a merge changes no row and lets
+    a reader of one ship skip files; old rows are gone from the disk, and expiring again
+    changes nothing."""
+    path, second = f"{tmp_path}/live", F.unix_timestamp("timestamp")
+    lo, hi = positions.agg(F.min(second), F.max(second)).first()
+    step = (hi - lo) // 5 + 1
+
+    def batch(k):
+        return positions.where(F.floor((second - lo) / step) == k)
+
+    def stored(**bounds):
+        return sorted(map(tuple, W.read_table(spark, path, S.POSITIONS, **bounds).select("mmsi", second).collect()))
+
+    whole = sorted(map(tuple, positions.select("mmsi", second).collect()))
+    for k in (0, 1, 2, 2, 3, 4):
+        W.write_positions(batch(k), path, k)
+    assert stored() == whole and len(G.segments_of(spark, path)) == 5
+    assert W.maintain(spark, path, S.POSITIONS) == (0, 5) and stored() == whole
+    W.write_positions(batch(4), path, 4)  # the stream repeats a batch that is merged already
+    assert stored() == whole and W.maintain(spark, path, S.POSITIONS)[1] in (0, 2)
+    W.write_positions(batch(0), path, 5)  # and goes on
+    assert len(stored()) == len(whole) + batch(0).count()
+    since = (lo + 2 * step) * 1_000_000
+    assert stored(low=since) == [r for r in whole if r[1] >= lo + 2 * step]
+    assert "PushedFilters: [IsNotNull(timestamp), GreaterThanOrEqual" in W.read_table(spark, path, S.POSITIONS, low=since)._jdf.queryExecution().executedPlan().toString()
+    for _ in range(2):
+        W.maintain(spark, path, S.POSITIONS, 60, hi * 1_000_000, keep=0, keep_s=-1)
+        left = spark.read.schema(S.POSITIONS).option("recursiveFileLookup", True).parquet(f"{path}/data")
+        assert sorted(map(tuple, left.select("mmsi", second).collect())) == [r for r in whole if r[1] >= hi - 60] == stored()
+
+
+def test_a_merge_that_a_batch_overtakes_is_without_effect(spark, positions, tmp_path, monkeypatch):
+    path = f"{tmp_path}/live"
+    for k in range(2):
+        W.write_positions(positions.where(f"mmsi % 2 = {k}"), path, k)
+    write = G.write_segments
+
+    def overtaken(*args, **kwargs):
+        out = write(*args, **kwargs)
+        W.write_positions(positions.limit(3), path, 2)
+        return out
+
+    monkeypatch.setattr(G, "write_segments", overtaken)
+    G.compact(spark, path, S.POSITIONS, "timestamp", ["mmsi", "timestamp"])
+    assert W.read_table(spark, path, S.POSITIONS).count() == positions.count() + 3
+
+
+def test_one_changed_ship_writes_one_bucket(spark, positions, tmp_path):
+    statics = positions.select("mmsi", "ship_name", *S.DIMS, "timestamp")
+    W.write_static_snapshot(statics, f"{tmp_path}/s", 0)
+    before = {s.folder for s in G.segments_of(spark, f"{tmp_path}/s")}
+    one = statics.limit(1).withColumn("ship_name", F.lit("NEW"))
+    W.write_static_snapshot(one, f"{tmp_path}/s", 1)
+    after = {s.folder for s in G.segments_of(spark, f"{tmp_path}/s")}
+    assert len(before) > 5 and len(after - before) == len(before - after) == 1
