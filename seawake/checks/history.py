@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from seawake import fixtures as X
 from seawake.checks.live import encounters, positions
 from seawake.checks.registry import ENCOUNTERS, epoch, haversine, query, r6
 from seawake.operators import scenarios as S
@@ -180,6 +181,39 @@ def resample(spark, sf):
     return S.resample(vp, ["mmsi", "hour"]).select("mmsi", "frame_s", *r6("latitude", "longitude"))
 
 
+#: Ships that turn at every report; segments between reports, and the start of each ship's hour.
+TURNING = """, turning AS MATERIALIZED (SELECT * REPLACE (CAST(event_id * 37 % 360 AS DOUBLE) AS cog) FROM vp)
+    , seg AS MATERIALIZED (SELECT *, lead(epoch_s) OVER g AS s2, lead(cog) OVER g AS cog2, lead(latitude) OVER g AS lat2,
+      min(epoch_s) OVER (PARTITION BY mmsi, epoch_s // 3600) AS s0 FROM turning WINDOW g AS (PARTITION BY mmsi, epoch_s // 3600 ORDER BY epoch_s))"""
+
+
+def _turning(spark, sf):
+    vp = X.vessel_positions(spark, sf).withColumn("cog", (F.col("event_id") * 37 % 360).cast("double"))
+    return vp.withColumn("ts_us", F.unix_micros("timestamp")).withColumn("hour", F.date_trunc("hour", "timestamp"))
+
+
+@query(  # W2, courses the short way round
+    "resample_circular",
+    TURNING + """, pt AS MATERIALIZED (SELECT seg.*, k, CASE WHEN s0 + 60 * k = epoch_s THEN 0e0 ELSE (s0 + 60 * k - epoch_s) / (s2 - epoch_s)::DOUBLE END AS q
+      FROM seg, range(0, 61) AS grid(k) WHERE (k = 0 AND epoch_s = s0) OR (s0 + 60 * k > epoch_s AND s0 + 60 * k <= s2))
+    SELECT mmsi, s0 + 60 * k AS frame_s, round((cog + ((coalesce(cog2, cog) - cog + 540) % 360e0 - 180) * q + 360) % 360e0, 6) AS cog FROM pt""",
+)
+def resample_circular(spark, sf):
+    return S.resample(_turning(spark, sf), ["mmsi", "hour"], circular=True).select("mmsi", "frame_s", *r6("cog"))
+
+
+@query(  # W2, all grids at whole minutes
+    "resample_aligned",
+    TURNING + """, pt AS MATERIALIZED (SELECT seg.*, t, CASE WHEN t = epoch_s THEN 0e0 ELSE (t - epoch_s) / (s2 - epoch_s)::DOUBLE END AS q
+      FROM (SELECT *, unnest([(s0 + 59) // 60 * 60 + 60 * k FOR k IN range(0, 61)]) AS t FROM seg) seg
+      WHERE (epoch_s = s0 AND t = epoch_s) OR (t > epoch_s AND t <= s2))
+    SELECT mmsi, t AS frame_s, round(latitude + (coalesce(lat2, latitude) - latitude) * q, 6) AS latitude,
+      round(cog + (coalesce(cog2, cog) - cog) * q, 6) AS cog FROM pt""",
+)
+def resample_aligned(spark, sf):
+    return S.resample(_turning(spark, sf), ["mmsi", "hour"], align=True).select("mmsi", "frame_s", *r6("latitude", "cog"))
+
+
 @query(  # W2 per encounter
     "resample_windows",
     FRAMES + """ SELECT h, component, t, mmsi, k, frame_s, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude,

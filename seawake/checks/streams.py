@@ -91,10 +91,19 @@ def snapshot_stream(spark, sf):
     return R.read_static_snapshot(spark, f"{home}/snapshot")
 
 
-@query("first_per_ship_stream", " SELECT DISTINCT mmsi FROM vp")  # ST6
+FIRST_ROWS = f" SELECT DISTINCT mmsi, ship_name, {DIMS} FROM vp"  # the same for all rows of a ship
+
+
+@query("first_per_ship_stream", FIRST_ROWS)  # ST6
 def first_per_ship_stream(spark, sf):
     stream, home = stream_of(spark, positions(spark, sf), "first")
-    return to_files(J.first_per_ship_stream(stream, forever=True), home).select("mmsi")
+    return to_files(J.first_per_ship_stream(stream, forever=True), home).select("mmsi", "ship_name", *S.DIMS)
+
+
+@query("first_per_ship_stream_bounded", FIRST_ROWS)  # ST6 with bounded state: no ship is silent for that long
+def first_per_ship_stream_bounded(spark, sf):
+    stream, home = stream_of(spark, positions(spark, sf), "first")
+    return to_files(J.first_per_ship_stream(stream, delay="30 days"), home).select("mmsi", "ship_name", *S.DIMS)
 
 
 @query(  # ST7 (J5 on a stream)

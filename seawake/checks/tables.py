@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seawake import fixtures as X
 from seawake import schema as S
-from seawake.checks.history import COMPONENTS, FOCUS
+from seawake.checks.history import COMPONENTS, FOCUS, LABELS
 from seawake.checks.live import encounters, positions
 from seawake.checks.messages import DIMS, NEWEST_STATIC, STATICS, now
 from seawake.checks.registry import ENCOUNTERS, epoch, query, r6
@@ -69,21 +69,32 @@ def _documents(spark, sf):
     return path
 
 
-@query(  # K6, S7
+@query(  # K6, S7: what is read back, one row per document, frame and ship
     "history_documents",
-    FOCUS + """, counted AS (SELECT h, component, count(*) AS replays FROM placed GROUP BY 1, 2)
-    , shots AS (SELECT h, component, sum(copies) AS frames FROM focus GROUP BY 1, 2)
-    SELECT scenario_id, collisions_count, n_ships, replays, frames::BIGINT AS frames FROM parent
-    JOIN counted ON parent.h = counted.h AND parent.component = counted.component
-    JOIN shots ON parent.h = shots.h AND parent.component = shots.component""",
+    FOCUS + LABELS + """ SELECT parent.scenario_id, concat_ws('_', f.mmsi_a, f.mmsi_b, strftime(make_timestamp(f.t * 1000000), '%Y%m%d%H%M%S')) AS collision_id,
+      f.frame_s, f.delta_minutes, round(f.focus_dist, 6) AS focus_dist, x.mmsi, l.name, l.ship_length,
+      round(x.latitude, 6) AS lat, round(x.longitude, 6) AS lon, round(x.sog, 6) AS sog, round(x.cog, 6) AS cog
+    FROM focus f JOIN parent ON parent.h = f.h AND parent.component = f.component
+    JOIN fill x ON x.h = f.h AND x.component = f.component AND x.t = f.t AND x.frame_s = f.frame_s
+    JOIN lab l ON l.h = x.h AND l.component = x.component AND l.t = x.t AND l.mmsi = x.mmsi, range(0, f.copies)""",
 )
 def history_documents(spark, sf):
-    docs = R.read_history(spark, _documents(spark, sf))
-    parents = docs.where("_parent").select("scenario_id", "collisions_count", F.size("ships_involved").cast("long").alias("n_ships"))
-    children = docs.where("not _parent").groupBy("scenario_id").agg(
-        F.count("*").alias("replays"), F.sum(F.size("frames")).alias("frames")
-    )
-    return parents.join(children, "scenario_id")
+    children = R.read_history(spark, _documents(spark, sf)).where("not _parent")
+    frames = children.select("scenario_id", "collision_id", F.explode("frames").alias("f")).select("scenario_id", "collision_id", "f.*")
+    ships = frames.withColumn("s", F.explode("shipPositions"))
+    return ships.select(
+        "scenario_id", "collision_id", F.unix_timestamp(F.to_timestamp("time")).alias("frame_s"), "delta_minutes", *r6("focus_dist"),
+        "s.mmsi", "s.name", "s.ship_length", *[F.round(f"s.{c}", 6).alias(c) for c in ("lat", "lon", "sog", "cog")],
+    )
+
+
+@query(  # K6, S7: the parents of the documents
+    "history_parents", COMPONENTS + " SELECT scenario_id, n_ships, collisions_count, min_s, max_s FROM parent"
+)
+def history_parents(spark, sf):
+    parents = R.read_history(spark, _documents(spark, sf)).where("_parent")
+    times = [F.unix_timestamp(F.to_timestamp(c)).alias(n) for c, n in (("min_ts", "min_s"), ("max_ts", "max_s"))]
+    return parents.select("scenario_id", F.size("ships_involved").cast("long").alias("n_ships"), "collisions_count", *times)
 
 
 @query(  # S6
@@ -103,14 +114,14 @@ def ensure_table(spark, sf):
     assert W.ensure_table(spark, name, S.POSITIONS, path) and not W.ensure_table(spark, name, S.POSITIONS, path)
     columns = S.POSITIONS.fieldNames()
     rows = positions(spark, sf).select(*columns, F.to_date("timestamp").alias("event_date"))
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    rows.write.insertInto(name, overwrite=True)
-    return spark.table(name).select("mmsi", "ship_name", epoch())
+    rows.write.insertInto(name)
+    spark.sql(f"DROP TABLE {name}")  # its files stay where they are
+    return spark.read.parquet(path).select("mmsi", "ship_name", epoch())
 
 
 @query(  # K8: day partitions that ended before the retention limit are dropped
     "drop_expired",
-    " SELECT mmsi, epoch_s FROM vp WHERE epoch_s // 86400 * 86400 > 1704067200 - 86400 AND event_id >= 0",
+    " SELECT mmsi, epoch_s FROM vp WHERE epoch_s // 86400 * 86400 > 1704067200 - 86400",
 )
 def drop_expired(spark, sf):
     path = work_path(spark, "expiring")
