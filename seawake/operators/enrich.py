@@ -20,14 +20,14 @@ def enrich_asof(positions: DataFrame, statics: DataFrame, slice_seconds: int = C
     return found.withColumn("ship_name", F.coalesce("ship_name", F.lit(C.UNKNOWN_NAME)))
 
 
-def fill_names(positions: DataFrame, snapshot: DataFrame) -> DataFrame:
+def fill_names(positions: DataFrame, snapshot: DataFrame, stored: bool = True) -> DataFrame:
     """Names from the snapshot, only where the position has none and the snapshot has one.
 
-    ``snapshot`` has one row per ship. It is broadcast when its counted size allows.
+    ``snapshot`` has one row per ship. It is broadcast when its counted size allows; a derived
+    one (``stored=False``) is not counted but left to AQE.
     """
-    names = broadcast_if_small(
-        snapshot.select("mmsi", present(F.col("ship_name")).alias("_known")).where("_known is not null")
-    )
+    names = snapshot.select("mmsi", present(F.col("ship_name")).alias("_known")).where("_known is not null")
+    names = broadcast_if_small(names) if stored else names
     filled = F.when(is_unknown_name(F.col("ship_name")), F.coalesce("_known", "ship_name")).otherwise(F.col("ship_name"))
     return positions.join(names, "mmsi", "left").withColumn("ship_name", filled).select(*positions.columns)
 

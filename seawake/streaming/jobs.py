@@ -110,7 +110,7 @@ def encounters_stream(
         if statics_path is not None and path_exists(spark, statics_path):
             table = spark.read.schema("mmsi long, ship_name string, update_time timestamp").parquet(statics_path)
             known = newest(table, ["mmsi"], ["update_time"], oldest=True)
-            batch = N.fill_names(batch, known)
+            batch = N.fill_names(batch, known, stored=False)
         W.write_encounters(E.encounters_among(batch, ["window_start", "window_end"], **limits), path, batch_id)
 
     return _start(closed, checkpoint, each, trigger)
