@@ -26,6 +26,15 @@ def test_positions_layout_and_pruning(spark, positions, tmp_path):
     assert spark.read.parquet(path).count() == positions.count()
 
 
+def test_expired_copy_of_a_long_table_goes_whole(spark, tmp_path):
+    """The query's repeated rows are all expired, however many days its table spans."""
+    from seawake.checks.tables import drop_expired
+
+    spark.range(0, 6 * 86400, 3600).selectExpr("id AS event_id", "id % 7 AS user_id").write.parquet(f"{tmp_path}/sf/events.parquet")
+    kept = drop_expired(spark, f"{tmp_path}/sf")
+    assert kept.count() == 6 * 24 and kept.agg(F.min("epoch_s")).first()[0] == 1704067200
+
+
 def test_repeated_batch_leaves_no_duplicates(spark, positions, tmp_path):
     path = f"{tmp_path}/p"
     for batch in (0, 1, 1, 0):
