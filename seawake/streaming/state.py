@@ -24,12 +24,17 @@ FACTS = T.StructType(
 )
 
 
+def _all_facts(known: DataFrame, rows: DataFrame) -> DataFrame:
+    """All facts of both, one per ship and instant: the greatest."""
+    names = FACTS.fieldNames()
+    both = known.select(names).union(rows.select(names)).where("mmsi IS NOT NULL AND timestamp IS NOT NULL")
+    return both.groupBy("mmsi", "timestamp").agg(F.max(F.struct(*_FIELDS)).alias("_fact"))
+
+
 def merge_facts(known: DataFrame, rows: DataFrame, kept_s: int = C.FACTS_KEPT_S) -> DataFrame:
     """All facts of both, one per ship and instant: the greatest. Those of more than ``kept_s``
     before a ship's newest one are reduced to the last of them."""
-    names = FACTS.fieldNames()
-    both = known.select(names).union(rows.select(names)).where("mmsi IS NOT NULL AND timestamp IS NOT NULL")
-    facts = both.groupBy("mmsi", "timestamp").agg(F.max(F.struct(*_FIELDS)).alias("_fact"))
+    facts = _all_facts(known, rows)
     newest = facts.groupBy("mmsi").agg((F.max("timestamp") - F.make_dt_interval(secs=F.lit(float(kept_s)))).alias("_from"))
     aged = facts.join(newest, "mmsi")
     last = aged.where(F.col("timestamp") < F.col("_from")).groupBy("mmsi").agg(F.max(F.struct("timestamp", "_fact")).alias("_l"))
@@ -38,9 +43,10 @@ def merge_facts(known: DataFrame, rows: DataFrame, kept_s: int = C.FACTS_KEPT_S)
 
 
 def with_facts(positions: DataFrame, statics: DataFrame, path: str, batch_id: int) -> DataFrame:
-    """Positions of a micro-batch with the static data known at their times. The batch's own
-    static rows are in the log by then; only buckets of its ships are read."""
+    """Positions of a micro-batch with the static data known at their times: by the log before
+    the batch and all of the batch's own static rows, as a batch may span more time than the
+    log keeps. Only buckets of its ships are read."""
     spark = positions.sparkSession
     G.upsert(statics.where("mmsi IS NOT NULL AND timestamp IS NOT NULL"), path, batch_id, FACTS, merge_facts, ["mmsi"])
-    facts = G.read_buckets(spark, path, FACTS, G.buckets_of(positions, "mmsi"), before=batch_id + 1)
-    return enrich_asof(positions, facts)
+    known = G.read_buckets(spark, path, FACTS, G.buckets_of(positions, "mmsi"), before=batch_id)
+    return enrich_asof(positions, _all_facts(known, statics).select("mmsi", "timestamp", "_fact.*"))

@@ -86,6 +86,22 @@ def test_equal_instants_take_the_greatest_fact(spark, tmp_path):
     assert got == [(1, 4, "Unknown"), (1, 5, "Z"), (1, 9, "Q"), (1, 9, "Z"), (2, 8, "C"), (2, 9, "C"), (3, 9, "Unknown")]
 
 
+def test_a_batch_of_days_knows_all_its_facts(spark, tmp_path):
+    """Reports of a batch see its facts even where the log folds them afterwards."""
+    from seawake.streaming import state
+
+    def at(hour):
+        return T0 + timedelta(hours=hour)
+
+    facts = spark.createDataFrame([(1, at(h), f"N{h}", None, None, None, None) for h in (0, 10, 60)], state.FACTS)
+    reports = spark.createDataFrame([(1, at(h)) for h in (1, 11, 61)], "mmsi long, timestamp timestamp")
+    named = state.with_facts(reports, facts, f"{tmp_path}/facts", 0)
+    assert sorted(r.ship_name for r in named.collect()) == ["N0", "N10", "N60"]
+    later = state.with_facts(reports.where("hour(timestamp) = 13"), facts.limit(0), f"{tmp_path}/facts", 1)
+    assert [r.ship_name for r in later.collect()] == ["N60"]
+    assert sorted(r.ship_name for r in G.read_newest(spark, f"{tmp_path}/facts", state.FACTS).collect()) == ["N10", "N60"]
+
+
 def test_old_facts_are_folded(spark):
     from seawake.streaming import state
 
