@@ -116,7 +116,12 @@ def test_texts(spark):
     assert one(spark, D.age_text(F.lit(None).cast("long"), F.lit(1))) == ""
     title = one(spark, D.replay_title(F.lit("A"), F.lit("B"), F.lit(0.12345)))
     assert title == "A – B, realMinDist=0.123 nm"
+    numbers = (0.125, 1.005, -0.375, 1234567.0, 0.0, float("nan"), float("inf"), -float("inf"))
+    assert [one(spark, D.fixed(F.lit(v), 2)) for v in numbers] == ["%.2f" % v for v in numbers]
+    assert one(spark, D.fixed(F.lit(None).cast("double"), 2)) is None
+    assert one(spark, D.replay_title(F.lit("A"), F.lit("B"), F.lit(0.0625))) == "A – B, realMinDist=0.062 nm"
     f = R.risk_factors(*lits(0.1, 12, 10, 8, 90, 200))
+    assert one(spark, R.risk_explanation(f, *lits(1.005, 12.125, 18, 110))).tcpa_factor == "TCPA of 12.12 min contributes 0.60 to risk"
     e = one(spark, R.risk_explanation(f, *lits(0.1, 12, 18, 110)))
     assert e.cpa_factor == "CPA of 0.10 nm contributes 0.80 to risk"
     assert e.tcpa_factor == "TCPA of 12.00 min contributes 0.60 to risk"
