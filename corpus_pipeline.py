@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seawake.llm import decontamination, ngram_join, packing, pii, toxicity
-from seawake.llm.common import read
+from seawake.llm.common import read, tidy_shuffles
 from seawake.llm.queries import tokenizer_file
 from seawake.session import release_stored, stored, stored_count
 
@@ -71,7 +71,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged by their text alone; an empty table gives no rows; extra columns stay up to the
     last stage, whatever their names."""
     docs, first = read(spark, sf_dir, "documents"), stored_count()
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-        release_stored(spark, first, keep_last=1)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with tidy_shuffles(spark):
+        for name, stage in STAGES[:-1]:
+            docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            release_stored(spark, first, keep_last=1)
+        return STAGES[-1][1](spark, docs, sf_dir)

@@ -36,6 +36,8 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST_SCORE = 0.5
 #: Candidates aligned together.
 ALIGNED_AT_ONCE = 512
+#: Bytes of text hashed at a time.
+TEXT_BYTES = 1 << 18
 
 ITEMS_DDL = "item_id long, words binary"
 COUNTS = pa.schema([("seed", pa.int64()), ("documents", pa.int64())])
@@ -179,20 +181,21 @@ def _matches(docs: DataFrame, block: DataFrame, least_score: float) -> DataFrame
 
     def count(batches):
         total = np.zeros(len(all_seeds.value.keys), np.int64)
-        for _, texts in slices(batches):
+        for _, texts in slices(batches, max_bytes=TEXT_BYTES):
             for words in hashed_words(texts):
                 total[np.unique(all_seeds.value.find(words)[0])] += 1
         some = np.flatnonzero(total)
         yield batch(COUNTS, some, total[some])
 
     counts = map_arrow(docs.select("text"), count, COUNTS).groupBy("seed").agg(F.sum("documents").alias("documents")).toArrow().to_pandas()
+    all_seeds.destroy()
     documents = np.zeros(len(seeds.keys), np.int64)
     documents[counts["seed"].to_numpy(np.int64)] = counts["documents"].to_numpy(np.int64)
     rare_seeds = spark.sparkContext.broadcast(seeds.keep_rare(documents))
 
     def look(batches):
         rare = rare_seeds.value
-        for part, texts in slices(batches):
+        for part, texts in slices(batches, max_bytes=TEXT_BYTES):
             rows = []
             for doc_id, words in zip(part.column(0).to_pylist(), hashed_words(texts), strict=True):
                 for item, lo, hi in rare.passages(words):
@@ -212,7 +215,9 @@ def _matches(docs: DataFrame, block: DataFrame, least_score: float) -> DataFrame
 
     words = [w.tobytes() for w in hashed_words(found["text"].tolist())]
     texts = spark.createDataFrame(pd.DataFrame({"item_id": found["item_id"], "words": words}), ITEMS_DDL)
-    passages = map_arrow(docs.select("doc_id", "text"), look, PASSAGES)
+    # A table between the two steps: a task that looked and aligned at once would hold two Python workers.
+    passages = stored(map_arrow(docs.select("doc_id", "text"), look, PASSAGES), "passages")
+    rare_seeds.destroy()
     pairs = passages.join(F.broadcast(texts), "item_id").select("doc_id", "item_id", "first_word", "passage", "words")
     best = map_arrow(pairs, align, SCORES).where(F.col("score") >= least_score)
     return best.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", -F.col("first_word"), "n_words")).alias("best")).select(

@@ -193,8 +193,8 @@ class Memo:
             self.known, self.fresh = _by_key(self.known, self.fresh), _no_units()
 
     def trim(self, most: int) -> None:
-        """Forgets the later half if there are more units than that, or very long ones."""
-        if len(self) > most or self.n_ids > LONG_UNIT * most:
+        """Forgets the later half while there are more units than that, or very long ones."""
+        while len(self) and (len(self) > most or self.n_ids > LONG_UNIT * most):
             keys, at, n = _by_key(self.known, self.fresh)
             limit = np.partition(at, len(at) // 2)[len(at) // 2]
             early = at < limit

@@ -194,3 +194,20 @@ def test_spread_edits_are_found_as_by_all_pairs(spark):
     assert (160, 5) in want and (161, 7) in want and 100 < len(want) < len(texts)
     got = decontamination.contaminated(documents(spark, texts), spark.createDataFrame([*enumerate(items)], "item_id long, text string")).collect()
     assert {(r["doc_id"], r["item_id"]): r["score"] for r in got} == want
+
+
+def test_no_task_holds_two_python_workers(spark, monkeypatch):
+    """Passages are a table before they are aligned: a plan that looks and aligns in one stage needs twice the workers' memory."""
+    plans, write = [], decontamination.stored
+
+    def watched(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(decontamination, "stored", watched)
+    rng = random.Random(3)
+    items = [prose(rng, 30) for _ in range(3)]
+    docs = documents(spark, [prose(rng, 40) + " " + x for x in items])
+    got = decontamination.contaminated(docs, spark.createDataFrame([*enumerate(items)], "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(0, 0), (1, 1), (2, 2)]
+    assert plans and all(p.count("MapInArrow") == 1 for p in plans)
