@@ -84,6 +84,14 @@ def attach_risk(encounters: DataFrame, risks: DataFrame) -> DataFrame:
     ).drop("_risk")
 
 
+def with_risk(encounters: DataFrame) -> DataFrame:
+    """Encounters with their own risk: what :func:`attach_risk` finds when all are assessed,
+    without assessing them apart and joining the two by id."""
+    factors = R.risk_factors(*[F.col(c) for c in ("cpa", "tcpa", "sog_a", "sog_b", "cog_a", "cog_b")])
+    scored = geo.computed(encounters, {"_factors": factors})
+    return scored.withColumn("risk", F.coalesce(R.overall_risk(F.col("_factors")), F.lit(C.DEFAULT_RISK))).drop("_factors")
+
+
 def risk_heatmap(ships: DataFrame, encounters: DataFrame, cell_degrees: float | None = None) -> DataFrame:
     """Weighted points of ships and encounter midpoints; with ``cell_degrees`` summed per grid cell."""
     spots = ships.select(

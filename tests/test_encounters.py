@@ -182,3 +182,20 @@ def test_every_crowded_cell_is_salted(spark):
     assert pairs(1) == pairs(None) and len(pairs(1)) >= 30 * 9
     plan = E.candidate_pairs(df, ["window"], "local", 0.5, 10, 1)._jdf.queryExecution().optimizedPlan().toString()
     assert "Limit" not in plan and "broadcast" not in plan.lower()
+
+
+def test_collisions_take_their_own_risk(spark, positions):
+    """The same rows as when risks are assessed apart and joined by id, without that join."""
+    from seawake.operators import tracks, views
+    from seawake.plans import serving
+
+    met = E.detect_encounters_live(tracks.last_per_key(positions))
+    cols = ("id", "cpa", "tcpa", "risk")
+    want = views.attach_risk(met, views.assess_risk(met)).select(*cols)
+    got = serving.collisions(positions).select(*cols)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 0
+
+    def joins(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+
+    assert joins(got) == joins(met.select("id")) < joins(want)
