@@ -130,7 +130,7 @@ def connected_components(spark, sf):
 
 @query("edges_in_component", COMPONENTS + " SELECT h, component, collision_id FROM placed")  # J8
 def edges_in_component(spark, sf):
-    met = chosen(spark, sf)
+    met = stored(chosen(spark, sf).select("hour", "mmsi_a", "mmsi_b", "collision_id"), "chosen")  # detected once, read twice
     return S.edges_in_component(met, S.scenario_members(met)).select(hour(), "component", "collision_id")
 
 
