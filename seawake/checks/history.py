@@ -138,8 +138,8 @@ def edges_in_component(spark, sf):
     "scenario_summary", COMPONENTS + " SELECT scenario_id, n_ships, collisions_count, min_s, max_s FROM parent"
 )
 def scenario_summary(spark, sf):
-    met = chosen(spark, sf)
-    members = S.scenario_members(met)
+    met = stored(chosen(spark, sf).select("hour", "mmsi_a", "mmsi_b", "timestamp"), "chosen")  # detected once, read twice
+    members = stored(S.scenario_members(met), "members")
     return S.scenario_summary(S.edges_in_component(met, members), members).select(
         "scenario_id", F.size("ships_involved").cast("long").alias("n_ships"), "collisions_count",
         epoch("min_ts", "min_s"), epoch("max_ts", "max_s"),

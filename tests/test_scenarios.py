@@ -252,3 +252,14 @@ def test_positions_are_pruned_before_they_are_shuffled(spark, positions):
     below = plan[plan.index("bucket") :]
     assert "LeftSemi" in below and "timestamp#" in below and ">=" in below and "<" in below
     assert {r["mmsi"] for r in out.select("mmsi").distinct().collect()} <= {200000001}
+
+
+def test_queries_over_components_detect_once(spark, monkeypatch):
+    """Encounters are read from a table where they are grouped and where they are placed."""
+    from seawake.checks import history
+
+    seen, members = [], history.S.scenario_members
+    monkeypatch.setattr(history.S, "scenario_members", lambda met: seen.append(met) or members(met))
+    for query in (history.edges_in_component, history.scenario_summary):
+        assert query(spark, "/root/testdata/sf0.001").count() > 0
+    assert len(seen) == 2 and all("/chosen-" in f for met in seen for f in met.inputFiles())
