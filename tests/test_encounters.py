@@ -199,3 +199,10 @@ def test_collisions_take_their_own_risk(spark, positions):
         return df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
 
     assert joins(got) == joins(met.select("id")) < joins(want)
+
+
+def test_attach_risk_query_detects_once(spark):
+    from seawake.checks import live
+
+    out = live.attach_risk(spark, "/root/testdata/sf0.001")
+    assert out.count() > 0 and all("/met-" in f for f in out.inputFiles())
