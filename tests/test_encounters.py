@@ -206,3 +206,34 @@ def test_attach_risk_query_detects_once(spark):
 
     out = live.attach_risk(spark, "/root/testdata/sf0.001")
     assert out.count() > 0 and all("/met-" in f for f in out.inputFiles())
+
+
+def test_live_pairs_share_one_scan_and_do_not_wait_for_one_task(spark):
+    """States are read once for all branches; their pairs, many for few bytes, are dealt by a shuffle."""
+    from seawake.checks import live
+
+    out = live.live(spark, "/root/testdata/sf0.001", "hours")
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("FileScan") == 1 and "SortMergeJoin" in plan and "BroadcastHashJoin [_g" not in plan
+
+
+@pytest.mark.parametrize("name", ["channel", "fast and bad speeds", "equator"])
+def test_hours_of_look_ahead_equal_all_pairs(spark, name):
+    """The bound on paths drops no pair that the exact test takes, ships of equal motion among them."""
+    rows = ships(*CASES[name])
+    rows += [(r[0] + 5000, r[1], r[2] + 1e-3, *r[3:]) for r in rows[:20]]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = E.detect_encounters_live(df, tcpa_unit="hours", hot_cell_ships=20)
+    pairs = [(r.mmsi_a, r.mmsi_b) for r in got.select("mmsi_a", "mmsi_b").collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == brute(rows, flat, 0.5, 30.0)
+
+
+def test_parts_of_a_crowded_cell_repeat_rows_by_their_root(spark):
+    """Ninety ships in one cell in parts of ten: three by three parts, so a host is there three times, not nine."""
+    rows = [(1000 + k, "x", 50.0, k / 1e5, 90.0, 10.0, T0, 100.0, 50.0, 1) for k in range(90)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    pairs = E.candidate_pairs(df, [], "flat", 0.5, 10, 10)
+    assert pairs.count() == 90 * 89 // 2
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "_part_v" in plan and "_part_h" in plan
