@@ -194,3 +194,13 @@ def test_one_changed_ship_writes_one_bucket(spark, positions, tmp_path):
     W.write_static_snapshot(one, f"{tmp_path}/s", 1)
     after = {s.folder for s in G.segments_of(spark, f"{tmp_path}/s")}
     assert len(before) > 5 and len(after - before) == len(before - after) == 1
+
+
+def test_scenario_files_do_not_grow_with_tasks(spark, tmp_path):
+    """Forty hours in each of sixteen tasks: a file per hour, not one per hour and task."""
+    hours = spark.range(3200).repartition(16).selectExpr(
+        "timestamp_seconds(1704067200 + id % 40 * 3600) AS hour", "true AS _parent", "concat('scenario_', id) AS scenario_id"
+    )
+    W.write_scenarios(hours, str(tmp_path / "s"))
+    assert len(list((tmp_path / "s").rglob("*.json"))) == 40
+    assert R.read_history(spark, str(tmp_path / "s")).select("scenario_id").distinct().count() == 3200
