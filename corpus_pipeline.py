@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seawake.llm import decontamination, ngram_join, packing, pii, toxicity
-from seawake.llm.common import read, tidy_shuffles
+from seawake.llm.common import read, small_batches, tidy_shuffles
 from seawake.llm.queries import tokenizer_file
 from seawake.session import release_stored, stored, stored_count
 
@@ -51,12 +51,23 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"), end_id=0, capacity=2048)
 
 
+def _thrifty(stage: Stage) -> Stage:
+    """The stage in small Arrow batches. Its rows are asked for after it has returned, so that its
+    caller's session keeps the setting, unless that is ``run``."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("toxicity", without_toxic),
-    ("n-gram Jaccard join", one_of_each_group),
-    ("benchmark decontamination", without_test_items),
-    ("PII", without_personal_data),
-    ("best-fit packing", packed),
+    ("toxicity", _thrifty(without_toxic)),
+    ("n-gram Jaccard join", _thrifty(one_of_each_group)),
+    ("benchmark decontamination", _thrifty(without_test_items)),
+    ("PII", _thrifty(without_personal_data)),
+    ("best-fit packing", _thrifty(packed)),
 ]
 
 #: SQL cannot express the stages; tests hold them against plain versions.

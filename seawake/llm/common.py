@@ -13,23 +13,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
+from pyspark.sql.types import StructType
 
-SLICE_BYTES = 1 << 20
+#: Text that a task works on at a time; the arrays made of it are some fifty times as large.
+SLICE_BYTES = 1 << 18
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_arrow(df: DataFrame, fn: Callable, schema: pa.Schema) -> DataFrame:
-    """``mapInArrow`` with an Arrow schema. Workers live on after a task, so that each task hands
-    the memory it has freed back to the system."""
+def map_arrow(df: DataFrame, fn: Callable, schema: pa.Schema | StructType) -> DataFrame:
+    """``mapInArrow`` with an Arrow schema, or Spark's. Workers live on after a task, so that each
+    task hands the memory it has freed back to the system."""
 
     def tidy(batches):
         yield from fn(batches)
         give_back()
 
-    return df.mapInArrow(tidy, from_arrow_schema(schema))
+    return df.mapInArrow(tidy, schema if isinstance(schema, StructType) else from_arrow_schema(schema))
 
 
 def give_back() -> None:
@@ -50,6 +52,13 @@ def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
 BATCH_ROWS = "2000"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Small Arrow batches from now on, for rows that a caller asks for later. Results are the
+    same with any size; batches of Spark's 10,000 texts are held several times per task, in the
+    JVM and in its Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 @contextmanager
 def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
     """Within this, the shuffle files of a query go when it has ended, not when the driver

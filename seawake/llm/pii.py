@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seawake.llm.common import batch, map_arrow, process_cache, slices
+from seawake.llm.common import batch, give_back, map_arrow, process_cache, slices
 
 # --- fixed values ------------------------------------------------------------
 KINDS = ("email", "ip", "card", "phone")
@@ -279,8 +279,10 @@ def mask_personal_data(docs: DataFrame) -> DataFrame:
     there; all other columns and all rows stay. A null text stays null."""
 
     @F.pandas_udf("string")
-    def mask(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else masked(t))
+    def mask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(lambda t: None if t is None else masked(t))
+        give_back()
 
     out = docs.withColumn("text", mask("text"))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

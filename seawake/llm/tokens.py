@@ -182,8 +182,8 @@ class Memo:
         return at, n
 
     def add(self, keys: np.ndarray, ids: list[bytes]) -> None:
-        n, more = np.array([len(x) // 4 for x in ids], np.int64), np.frombuffer(b"".join(ids), np.uint32)
-        at = self.n_ids + np.cumsum(n) - n
+        n, more = np.array([len(x) // 4 for x in ids], np.int32), np.frombuffer(b"".join(ids), np.uint32)
+        at = (self.n_ids + np.cumsum(n) - n).astype(np.int32)  # ``trim`` keeps them far below 2 ** 31
         if self.n_ids + len(more) > len(self.ids):
             self.ids = np.concatenate([self.ids[: self.n_ids], np.zeros(len(more) + self.n_ids // 2, np.uint32)])
         self.ids[self.n_ids : self.n_ids + len(more)] = more
@@ -208,7 +208,7 @@ class Memo:
 
 
 def _no_units() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
 
 def _by_key(some: tuple, more: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

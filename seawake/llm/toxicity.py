@@ -306,7 +306,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
                 kept = part.filter(pa.array(own.probabilities(texts)[:, -1] <= threshold))
                 yield pa.RecordBatch.from_arrays(kept.columns, schema=b.schema)
 
-    return docs.mapInArrow(choose, docs.schema)
+    return map_arrow(docs, choose, docs.schema)
 
 
 JUDGED = pa.schema([("doc_id", pa.int64()), *[(f"p_{c}", pa.float64()) for c in CATEGORIES], ("toxic", pa.bool_()), ("kept", pa.bool_())])

@@ -49,6 +49,22 @@ def test_stages(spark, folder):
     assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
 
 
+def test_stages_work_in_small_batches(spark, folder):
+    """A stage that is called by itself, and its rows asked for later, holds few texts at a time."""
+    docs, size = spark.read.parquet(f"{folder[0]}/documents.parquet"), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            spark.conf.set(size, "10000")
+            stage(spark, docs, folder[0])
+            assert int(spark.conf.get(size)) <= 2000
+        spark.conf.set(size, "10000")
+        corpus_pipeline.run(spark, folder[0])
+        assert spark.conf.get(size) == "10000"
+    finally:
+        spark.conf.set(size, before)
+
+
 def test_one_row_of_each_group_stays(spark):
     """Repeated rows, rows without doc_id, clashing columns, an empty table."""
     from pyspark.sql import functions as F

@@ -37,6 +37,15 @@ def test_memory_of_units_is_bounded(monkeypatch):
     assert len(tokens._loaded(BYTE)["memo"]) <= 50
 
 
+def test_units_are_kept_in_sixteen_bytes():
+    """Apart from their ids: a worker keeps very many."""
+    memo = tokens.Memo()
+    memo.add(np.arange(1, 9, dtype=np.uint64), [bytes(4 * k) for k in range(8)])
+    assert sum(c.itemsize for c in memo.known) == 16
+    at, n = memo.find(np.array([8, 3, 99], np.uint64))
+    assert at[:2].tolist() == [21, 1] and n.tolist() == [7, 2, -1]
+
+
 def test_fullest_is_the_best_sum():
     rng = random.Random(6)
     for _ in range(60):
