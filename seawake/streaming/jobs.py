@@ -17,7 +17,7 @@ from seawake.operators import enrich as N
 from seawake.operators import parse as P
 from seawake.operators import tracks as K
 from seawake.operators import views as V
-from seawake.operators.series import newest, recent
+from seawake.operators.series import newest, recent, tumbling
 from seawake.session import broadcast_if_small, path_exists
 from seawake.sinks import segments as G
 from seawake.sinks import tables as W
@@ -33,8 +33,9 @@ def _start(
     each: Callable[[DataFrame, int], None],
     trigger: dict | None,
     mode: str = "append",
+    keep: bool = True,
 ) -> StreamingQuery:
-    """Runs ``each`` per batch. It reads the batch more than once, so the batch is kept
+    """Runs ``each`` per batch. If it reads the batch more than once, the batch is kept
     meanwhile: keyed state is then worked through once per batch."""
 
     def kept(batch: DataFrame, batch_id: int) -> None:
@@ -44,7 +45,7 @@ def _start(
         finally:
             batch.unpersist()
 
-    writer = stream.writeStream.foreachBatch(kept).outputMode(mode).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.foreachBatch(kept if keep else each).outputMode(mode).option("checkpointLocation", checkpoint)
     if trigger:
         writer = writer.trigger(**trigger)
     return writer.start()
@@ -116,28 +117,74 @@ def encounters_stream(
     return _start(closed, checkpoint, each, trigger)
 
 
+#: A ship's first static row while its window is open.
+WAITING = T.StructType([*S.STATIC.fields[:-1], *[T.StructField(n, T.TimestampType()) for n in ("timestamp", "window_start", "window_end")]])
+
+
+def _with_ticks(stream: DataFrame) -> DataFrame:
+    """The rows of a stream with a watermark, ``_tick`` false, and beside them a row per hour that has
+    closed. Nobody reads these: a stream that keeps state has one batch more when its watermark
+    has moved and no rows come, in which windows close."""
+    hours = stream.groupBy(F.window("timestamp", "1 hour")).agg(F.count("*").alias("n"))
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in stream.schema]
+    return stream.withColumn("_tick", F.lit(False)).unionByName(hours.select(*nothing, F.lit(True).alias("_tick")))
+
+
 def static_table_stream(
-    messages: DataFrame, path: str, checkpoint: str, seconds: int = C.STATIC_WINDOW_S, delay: str = "0 seconds", trigger: dict | None = None
+    messages: DataFrame,
+    path: str,
+    checkpoint: str,
+    seconds: int = C.STATIC_WINDOW_S,
+    delay: str = "0 seconds",
+    trigger: dict | None = None,
+    waiting: str | None = None,
 ) -> StreamingQuery:
-    """Appends a static row for every ship that the table at ``path`` does not have yet.
-
-    The rows with dimensions are reduced to the newest of each ship and window, and a
-    closed window to the first of each ship, before a ship meets the table: a ship that
-    sends very much is combined where its rows are read.
+    """Appends a static row for every ship that the table at ``path`` does not have yet: the newest
+    of its first window, when that has closed.
+
+    A batch is reduced to a row per ship where it is read, so a ship that sends very much is
+    combined there. What is remembered, in ``waiting``, beside the checkpoint by default, is a
+    row per ship whose first window is open, not one per ship and window. Windows close as in
+    Spark's own aggregations: those that end ``delay`` before the newest time of the batches
+    before, and rows of windows that had closed by the batch before that are late.
     """
-    closed = latest_static_stream(messages, seconds, delay)
+    folder = waiting or f"{checkpoint.rstrip('/')}-waiting"
+    row = ["timestamp", "ship_name", *S.DIMS]
+    # the first field is greatest for the earliest window; within it the newest row is
+    first = F.max(F.struct(-F.unix_micros("window_start"), *row, "window_start", "window_end")).alias("_row")
+
+    def ended(us: int) -> Column:
+        return F.col("window_end") <= F.timestamp_micros(F.lit(us)) - F.expr(f"INTERVAL {delay}")
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        first = newest(batch.drop("window_end"), ["mmsi"], ["window_start", "timestamp"], oldest=True)
-        rows = P.project_static(first, F.col("timestamp"))
-        if path_exists(spark, path):
-            table = spark.read.schema("mmsi long, batch_id long").parquet(path)  # a first batch may have left it without rows
-            others = table.where(~F.col("batch_id").eqNullSafe(batch_id)).select("mmsi").distinct()
-            rows = rows.join(others, "mmsi", "left_anti")
-        W.write_static(rows, path, batch_id)
+        known = G.segments_of(spark, folder, before=batch_id)
+        before, newest_time = (known[0].low, known[0].high) if known else (None, None)
+        rows = tumbling(batch.where("NOT _tick").drop("_tick"), seconds)
+        rows = rows if before is None or before < 0 else rows.where(~ended(before))
+        found = rows.groupBy("mmsi").agg(first, F.max("timestamp").alias("_last")).persist()
+        try:
+            last = found.agg(F.max(F.unix_micros("_last"))).first()[0]
+            ships = found.select("mmsi", "_row.*").select(WAITING.fieldNames())
+            if known and known[0].rows:
+                both = ships.union(G.read_segments(spark, folder, known, WAITING))
+                ships = both.groupBy("mmsi").agg(first).select("mmsi", "_row.*").select(WAITING.fieldNames())
+            if path_exists(spark, path):
+                table = spark.read.schema("mmsi long, batch_id long").parquet(path)  # a first batch may have left it without rows
+                others = table.where(~F.col("batch_id").eqNullSafe(batch_id)).select("mmsi").distinct()
+                ships = ships.join(others, "mmsi", "left_anti")
+            closed = F.lit(False) if newest_time is None else ended(newest_time)
+            W.write_static(P.project_static(ships.where(closed), F.col("timestamp")), path, batch_id)
+            latest = max((t for t in (newest_time, last) if t is not None), default=None)
+            if latest is not None:
+                held = G.append_segment(ships.where(~closed), folder, batch_id, "timestamp", ["mmsi"]) or [G.Segment(f"{G.DATA}/{batch_id:012d}", -1, -1, -1, 0)]
+                # of the span only the times up to this batch and the one before are of use
+                G.commit(spark, folder, batch_id, [held[0]._replace(low=-1 if newest_time is None else newest_time, high=latest)])
+        finally:
+            found.unpersist()
 
-    return _start(closed, checkpoint, each, trigger)
+    stream = with_lateness(P.has_dimensions(messages).select("mmsi", *row), delay)
+    return _start(_with_ticks(stream), checkpoint, each, trigger, keep=False)
 
 
 def enrich_stream(

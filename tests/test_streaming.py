@@ -254,3 +254,23 @@ def test_encounters_follow_changed_ships(spark, positions, tmp_path):
         assert rows(J.read_state(spark, f"{folder}/encounters"), *whole.columns) == rows(whole, *whole.columns)
         total = total or len(written)
     assert len(written) < total
+
+
+def test_static_table_remembers_a_row_per_ship(spark, tmp_path):
+    """Not one per ship and window; a file that comes a batch late counts, one of two batches does not."""
+    schema = "mmsi long, timestamp timestamp, ship_name string, dim_a double, dim_b double, dim_c double, dim_d double"
+    parts = [range(0, 100), range(200, 300), range(100, 200), range(0, 1), range(300, 306)]  # seconds of the files, a batch each
+    new_at = {1: 0, 2: 250, 3: 150, 4: 301, 5: 298}  # ship 6 is only in the fourth file, which is two batches late
+    for n, seconds in enumerate(parts):
+        found = [(s, T0 + timedelta(seconds=t), f"{s}-{t}", 9.0, None, 0.0, 1.0) for t in seconds for s, first in new_at.items() if t >= first and n != 3]
+        found += [(6, T0, "late", 9.0, 1.0, 1.0, 1.0)] if n == 3 else []
+        spark.createDataFrame(found, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    query = J.static_table_stream(stream_of(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/c", seconds=10, trigger=J.ONCE)
+    finish(query)
+    got = rows(spark.read.parquet(f"{tmp_path}/out"), "mmsi", "ship_name")
+    # the newest row of each ship's first window; that of ship 4 has not closed
+    assert got == [(1, "1-9"), (2, "2-259"), (3, "3-159"), (5, "5-299")]
+    held = [sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in query.recentProgress]
+    assert max(held) <= len(new_at)
+    waiting = G.segments_of(spark, f"{tmp_path}/c-waiting")
+    assert sum(s.rows for s in waiting) == 1
