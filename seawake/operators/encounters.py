@@ -104,15 +104,21 @@ def _across(df: DataFrame, plane: str, hours: float) -> DataFrame:
     )
 
 
+def _hosted(boxes: DataFrame, by: list[str]) -> DataFrame:
+    """The tiers of the ships of each group, and their number ``_ships``. There are few tiers, as
+    each doubles the box size."""
+    return boxes.groupBy(*by).agg(F.collect_set("_tier").alias("_hosted"), F.count("*").alias("_ships"))
+
+
 def _visited(boxes: DataFrame, by: list[str]) -> DataFrame:
     """Each ship with the tiers ``_g`` it visits: those of ships of its own group that are not
-    finer than its own. There are few tiers, as each doubles the box size."""
-    hosted = boxes.groupBy(*by).agg(F.collect_set("_tier").alias("_hosted"))
-    if by:
-        same = [F.col(f"b.{c}").eqNullSafe(F.col(f"t.{c}")) for c in by]
-        both = boxes.alias("b").join(hosted.alias("t"), same).select("b.*", "t._hosted")
+    finer than its own. Groups that come with their tiers in ``_hosted`` keep them."""
+    if "_hosted" in boxes.columns:
+        both = boxes
+    elif by:
+        both = boxes.join(_hosted(boxes, by).drop("_ships"), by)
     else:
-        both = boxes.withColumn("_hosted", hosted.scalar())
+        both = boxes.withColumn("_hosted", _hosted(boxes, by).select("_hosted").scalar())
     coarser = F.filter("_hosted", lambda t: t >= F.col("_tier"))
     return both.withColumn("_g", F.explode(coarser)).drop("_hosted")
 
@@ -124,6 +130,8 @@ def _visitors(boxes: DataFrame, by: list[str], plane: str, max_cpa: float, hours
 
 
 def _hosts(boxes: DataFrame, plane: str, max_cpa: float, hours: float) -> DataFrame:
+    if "_hosted" in boxes.columns:  # asked here too, so that both sides share what made it
+        boxes = boxes.where(F.array_contains("_hosted", F.col("_tier"))).drop("_hosted")
     own = geo.computed(boxes.withColumn("_g", F.col("_tier")), {"_bound": _bound(max_cpa)})
     rows = own.withColumn("_cy", _span(F.col("_yc"), F.col("_hy")))
     return _across(rows, plane, hours).withColumn("_cx", _span(F.col("_xc"), F.col("_wx")))
@@ -155,6 +163,22 @@ def candidate_pairs(
     # rows without keys meet nobody; dropped here, not by the joins, all branches below share one shuffle of the states
     keyed = states.select(*by, *STATE).where(reduce(and_, [F.col(k).isNotNull() for k in (*by, "mmsi")]))
     boxes = _boxes(_usable(keyed), plane, max_cpa, hours)
+    if not (hot_cell_ships and by):
+        return _meeting(boxes, by, plane, max_cpa, hours, hot_cell_ships, changed)
+    # A cell has no more visitors than its group has ships, so only large groups can have hot cells. Where there is no
+    # large group, which one number says, cells are neither counted nor dealt out a second time.
+    groups = _hosted(boxes, by)
+    marked, is_large = boxes.join(groups, by), F.col("_ships") > hot_cell_ships
+    most = F.max(F.when(F.size("_hosted") > 0, F.col("_ships")))  # of the same rows as the join, so that both share their shuffle
+    some = groups.agg(F.coalesce(most > hot_cell_ships, F.lit(False))).scalar()
+    few, many = marked.where(~is_large).drop("_ships"), marked.where(some).where(is_large).drop("_ships")
+    return _meeting(few, by, plane, max_cpa, hours, None, changed).union(_meeting(many, by, plane, max_cpa, hours, hot_cell_ships, changed))
+
+
+def _meeting(
+    boxes: DataFrame, by: list[str], plane: str, max_cpa: float, hours: float, hot_cell_ships: int | None, changed: DataFrame | None
+) -> DataFrame:
+    """The pairs of ``candidate_pairs`` among boxes; cells of more than ``hot_cell_ships`` are salted."""
     cell = [*by, "_g", "_cy", "_cx"]
     visitors = _visitors(boxes, by, plane, max_cpa, hours)
     hosts = _hosts(boxes, plane, max_cpa, hours)

@@ -237,3 +237,29 @@ def test_parts_of_a_crowded_cell_repeat_rows_by_their_root(spark):
     assert pairs.count() == 90 * 89 // 2
     plan = pairs._jdf.queryExecution().optimizedPlan().toString()
     assert "_part_v" in plan and "_part_h" in plan
+
+
+def test_cells_of_small_groups_are_dealt_out_once(spark):
+    """Without a large group there are no hot cells to count; a large one beside small ones is salted alone."""
+
+    def met(sizes, hot):
+        ships = [(m, f"S{m}", 50 + (m % 7) * 1e-3, (m % 5) * 1e-3, (m * 40.0) % 360, 8.0, g) for g, n in enumerate(sizes) for m in range(1, n + 1)]
+        columns = "mmsi long, ship_name string, latitude double, longitude double, cog double, sog double, g int"
+        states = spark.createDataFrame(ships, columns).withColumn("timestamp", F.lit(datetime(2024, 1, 1)))
+        out = E.encounters_among(states, ["g"], hot_cell_ships=hot).select("g", "mmsi_a", "mmsi_b")
+        found = sorted(map(tuple, out.collect()))
+        plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        return found, sum("Exchange hashpartitioning(" in line and "_cy" in line for line in plan.splitlines())
+
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        plain, exchanges = met([12, 12], None)
+        assert plain and exchanges == 2
+        assert met([12, 12], 20) == (plain, 2)
+        plain, _ = met([12, 90, 12], None)
+        found, exchanges = met([12, 90, 12], 20)
+        assert found == plain and exchanges > 2
+    finally:
+        spark.conf.set(threshold, before)
