@@ -164,7 +164,7 @@ def candidate_pairs(
     keyed = states.select(*by, *STATE).where(reduce(and_, [F.col(k).isNotNull() for k in (*by, "mmsi")]))
     boxes = _boxes(_usable(keyed), plane, max_cpa, hours)
     if not (hot_cell_ships and by):
-        return _meeting(boxes, by, plane, max_cpa, hours, hot_cell_ships, changed)
+        return _in_order(_meeting(boxes, by, plane, max_cpa, hours, hot_cell_ships, changed), by)
     # A cell has no more visitors than its group has ships, so only large groups can have hot cells. Where there is no
     # large group, which one number says, cells are neither counted nor dealt out a second time.
     groups = _hosted(boxes, by)
@@ -172,13 +172,20 @@ def candidate_pairs(
     most = F.max(F.when(F.size("_hosted") > 0, F.col("_ships")))  # of the same rows as the join, so that both share their shuffle
     some = groups.agg(F.coalesce(most > hot_cell_ships, F.lit(False))).scalar()
     few, many = marked.where(~is_large).drop("_ships"), marked.where(some).where(is_large).drop("_ships")
-    return _meeting(few, by, plane, max_cpa, hours, None, changed).union(_meeting(many, by, plane, max_cpa, hours, hot_cell_ships, changed))
+    met = _meeting(few, by, plane, max_cpa, hours, None, changed).union(_meeting(many, by, plane, max_cpa, hours, hot_cell_ships, changed))
+    return _in_order(met, by)
+
+
+def _in_order(met: DataFrame, by: list[str]) -> DataFrame:
+    forward = F.col("v.mmsi") < F.col("h.mmsi")
+    return met.select(*by, F.when(forward, F.col("v")).otherwise(F.col("h")).alias("a"), F.when(forward, F.col("h")).otherwise(F.col("v")).alias("b"))
 
 
 def _meeting(
     boxes: DataFrame, by: list[str], plane: str, max_cpa: float, hours: float, hot_cell_ships: int | None, changed: DataFrame | None
 ) -> DataFrame:
-    """The pairs of ``candidate_pairs`` among boxes; cells of more than ``hot_cell_ships`` are salted."""
+    """The pairs of ``candidate_pairs`` among boxes as visitor ``v`` and host ``h``, with the cell in
+    which they meet; cells of more than ``hot_cell_ships`` are salted."""
     cell = [*by, "_g", "_cy", "_cx"]
     visitors = _visitors(boxes, by, plane, max_cpa, hours)
     hosts = _hosts(boxes, plane, max_cpa, hours)
@@ -220,17 +227,7 @@ def _meeting(
     if plane == "flat":
         # few bytes but very many pairs: a broadcast would leave them to the few tasks that have the ships
         touch, met = touch & _paths_near(v, h, max_cpa), met.hint("merge")
-    forward = v["mmsi"] < h["mmsi"]
-    return (
-        side(visitors, "v")
-        .join(met, keys)
-        .where((v["mmsi"] != h["mmsi"]) & once & touch)
-        .select(
-            *by,
-            F.when(forward, F.col("v")).otherwise(F.col("h")).alias("a"),
-            F.when(forward, F.col("h")).otherwise(F.col("v")).alias("b"),
-        )
-    )
+    return side(visitors, "v").join(met, keys).where((v["mmsi"] != h["mmsi"]) & once & touch).select(*cell, "v", "h")
 
 
 def _sides(pairs: DataFrame, by: list[str], columns: tuple[str, ...] = STATE) -> DataFrame:
@@ -318,13 +315,20 @@ def detect_encounters_live(
     """
     minutes = max_tcpa * 60 if tcpa_unit == "hours" else max_tcpa
     pairs = _sides(candidate_pairs(ships, [], "flat", max_cpa, minutes, hot_cell_ships, changed), [], (*STATE, *MOVE))
-    moving = geo.computed(pairs, {n: F.col(f"{c}_a") - F.col(f"{c}_b") for n, c in zip(("dx", "dy", "ux", "uy"), MOVE, strict=True)})
+    return _live_rows(_closest(pairs, "ab", tcpa_unit).where((F.col("cpa") < max_cpa) & (F.col("tcpa") < max_tcpa)))
+
+
+def _closest(pairs: DataFrame, sides: str, tcpa_unit: str = "minutes") -> DataFrame:
+    """Adds ``cpa`` and ``tcpa`` to pairs of ships with their ``MOVE``; which side is which does not matter."""
+    moving = geo.computed(pairs, {n: F.col(f"{c}_{sides[0]}") - F.col(f"{c}_{sides[1]}") for n, c in zip(("dx", "dy", "ux", "uy"), MOVE, strict=True)})
     r = {n: F.col(n) for n in ("dx", "dy", "ux", "uy")}
     timed = geo.computed(moving, {"_hours": geo.not_negative(geo.time_to_closest(r))})
-    scored = geo.computed(
-        timed, {"cpa": geo.separation_at(r, F.col("_hours")), "tcpa": geo.in_unit(F.col("_hours"), tcpa_unit)}
-    )
-    return scored.where((F.col("cpa") < max_cpa) & (F.col("tcpa") < max_tcpa)).select(
+    return geo.computed(timed, {"cpa": geo.separation_at(r, F.col("_hours")), "tcpa": geo.in_unit(F.col("_hours"), tcpa_unit)})
+
+
+def _live_rows(scored: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    return scored.select(
+        *carry,
         pair_id(F.col("mmsi_a"), F.col("mmsi_b")).alias("id"),
         *[f"{c}_{side}" for side in "ab" for c in ("mmsi", "ship_name", "latitude", "longitude", "cog", "sog")],
         "cpa",
@@ -333,6 +337,44 @@ def detect_encounters_live(
     )
 
 
+#: The cell in which two ships meet.
+CELL = ("_g", "_cy", "_cx")
+
+
+def meetings_live(
+    ships: DataFrame,
+    max_cpa: float = C.MAX_CPA_NM,
+    max_tcpa: float = C.LIVE_MAX_TCPA,
+    hot_cell_ships: int | None = C.HOT_CELL_SHIPS,
+    changed: DataFrame | None = None,
+) -> DataFrame:
+    """The encounters of :func:`detect_encounters_live` in the form in which they are kept: the cell
+    and the states of visitor (``_v``) and host (``_h``), from which all else follows.
+
+    Rows come as the join finds them, a visitor's hosts in a run, and hold nothing that is the
+    pair's own: in columns a pair takes little more than its host's number.
+    """
+    keyed = _usable(ships.select(*STATE).where("mmsi IS NOT NULL"))
+    met = _meeting(_boxes(keyed, "flat", max_cpa, max_tcpa / 60), [], "flat", max_cpa, max_tcpa / 60, hot_cell_ships, changed)
+    sides = {f"{c}_{side}": F.col(f"{side}.{c}") for side in "vh" for c in (*STATE, *MOVE)}
+    scored = _closest(met.select(*CELL, *[c.alias(name) for name, c in sides.items()]), "vh")
+    near = scored.where((F.col("cpa") < max_cpa) & (F.col("tcpa") < max_tcpa))
+    return near.select(*CELL, *[f"{c}_{side}" for side in "vh" for c in STATE])
+
+
+def encounters_of(meetings: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of :func:`detect_encounters_live` from kept meetings; ``carry`` names columns to keep."""
+    forward = F.col("mmsi_v") < F.col("mmsi_h")
+    first, last = ({c: F.when(forward, F.col(f"{c}_{x}")).otherwise(F.col(f"{c}_{y}")) for c in STATE} for x, y in ("vh", "hv"))
+    pairs = meetings.select(*carry, *[c.alias(f"{name}_a") for name, c in first.items()], *[c.alias(f"{name}_b") for name, c in last.items()])
+    moves = {}
+    for side in "ab":
+        ship = geo.motion(f"_{side}")
+        values = (*geo.flat_xy(ship.lat, ship.lon), *geo.velocity(ship.cog, ship.sog))
+        moves |= {f"{c}_{side}": value for c, value in zip(MOVE, values, strict=True)}
+    return _live_rows(_closest(geo.computed(pairs, moves), "ab"), carry)
+
+
 def with_collision_id(encounters: DataFrame) -> DataFrame:
     return encounters.withColumn(
         "collision_id", collision_id(F.col("mmsi_a"), F.col("mmsi_b"), F.col("timestamp"))

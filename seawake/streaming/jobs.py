@@ -3,6 +3,7 @@ over the same rows give the same result; batch ids make every write repeatable."
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -271,44 +272,54 @@ def messages_stream(
 
 
 # --- latest state and periodic refresh ---------------------------------------
-def read_state(spark, folder: str) -> DataFrame | None:
-    """The newest version of a state table, or None where there are no rows yet; a pair of
-    encounters is one row here."""
+def _stored_state(spark, folder: str) -> DataFrame | None:
     folders = [f"{folder}/{s.folder}" for s in G.segments_of(spark, folder) if s.rows]
-    rows = spark.read.parquet(*folders) if folders else None
-    return rows.where("owner = mmsi_a").drop("owner") if rows is not None and "owner" in rows.columns else rows
+    return spark.read.parquet(*folders) if folders else None
+
+
+def read_state(spark, folder: str) -> DataFrame | None:
+    """The newest version of a state table, or None where there are no rows yet; encounters are
+    made of the states of their ships that are kept."""
+    rows = _stored_state(spark, folder)
+    return E.encounters_of(rows) if rows is not None and "mmsi_v" in rows.columns else rows
 
 
 def _table(df: DataFrame) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType) for f in df.schema])
 
 
-def _owned(pairs: DataFrame) -> DataFrame:
-    """A pair once under each of its ships, so that a changed ship finds its pairs in its bucket."""
-    return pairs.withColumn("owner", F.explode(F.array("mmsi_a", "mmsi_b")))
+def _by_cell(meetings: DataFrame) -> DataFrame:
+    """Meetings with the bucket of their cell: the join that finds them has few cells in a task."""
+    return meetings.withColumn(G.BUCKET, G.bucket_of(*E.CELL)).drop(*E.CELL)
 
 
 def update_encounters(ships: DataFrame, changed: DataFrame, path: str, version: int) -> list[G.Segment]:
     """Brings the encounters up to date after some ships have changed: only pairs of a changed
     ship are dropped, and only such pairs are looked for. ``ships`` is the new state of all,
-    ``changed`` (mmsi) has no repeats."""
-    spark = ships.sparkSession
-    found = _owned(E.detect_encounters_live(ships, changed=changed)).persist()
-    try:
-        schema, ids = _table(found), broadcast_if_small(changed)
-        own = G.read_buckets(spark, path, schema, G.buckets_of(changed, "mmsi"), before=version)
-        former = own.join(ids.withColumnRenamed("mmsi", "owner"), "owner", "left_semi")
-        partners = former.select(F.when(F.col("owner") == F.col("mmsi_a"), F.col("mmsi_b")).otherwise(F.col("mmsi_a")).alias("owner"))
-
-        def merge(known: DataFrame, rows: DataFrame) -> DataFrame:
-            for side in "ab":
-                known = known.join(ids.withColumnRenamed("mmsi", f"mmsi_{side}"), f"mmsi_{side}", "left_anti")
-            return known.select(rows.columns).union(rows)
-
-        also = G.buckets_of(former, "owner") | G.buckets_of(partners, "owner")
-        return G.upsert(found, path, version, schema, merge, ["owner"], also=also)
-    finally:
-        found.unpersist()
+    ``changed`` (mmsi) has no repeats.
+
+    There may be very many pairs, so they do not move: new ones are written, once, by the tasks
+    that find them, as segments beside the known ones. Known buckets that have lost a pair, or
+    that consist of many segments, are written anew by the tasks that read them.
+    """
+    spark, ids = ships.sparkSession, broadcast_if_small(changed)
+    known, met = G.segments_of(spark, path, before=version), _by_cell(E.meetings_live(ships, changed=changed))
+    schema = _table(met.drop(G.BUCKET))
+    new = G.write_segments(met, path, version, dealt=True)
+    held = Counter(s.bucket for s in known)
+    worn = {b for b, n in held.items() if n >= C.BUCKET_SEGMENTS}
+    if known:
+        pairs = G.read_segments(spark, path, known, schema).select("mmsi_v", "mmsi_h", G.bucket_here().alias(G.BUCKET))
+        hit = [pairs.join(ids.withColumnRenamed("mmsi", f"mmsi_{side}"), f"mmsi_{side}", "left_semi").select(G.BUCKET) for side in "vh"]
+        worn |= {r[0] for r in hit[0].union(hit[1]).distinct().collect()}  # at most a number per bucket
+    if worn:
+        rest = G.read_segments(spark, path, [s for s in known if s.bucket in worn], schema).withColumn(G.BUCKET, G.bucket_here())
+        for side in "vh":
+            rest = rest.join(ids.withColumnRenamed("mmsi", f"mmsi_{side}"), f"mmsi_{side}", "left_anti")
+        new = new + G.write_segments(rest, path, version, part="-rest", dealt=True)
+    if new or worn:
+        G.commit(spark, path, version, [s for s in known if s.bucket not in worn] + new)
+    return new
 
 
 def latest_state_stream(
@@ -331,8 +342,8 @@ def latest_state_stream(
             if ships_held is None:
                 update_encounters(ships, rows.select("mmsi"), f"{folder}/encounters", batch_id)
             else:
-                met = _owned(E.detect_encounters_live(K.most_recent(ships, ships_held))).withColumn(G.BUCKET, G.bucket_of("owner"))
-                G.commit(spark, f"{folder}/encounters", batch_id, G.write_segments(met, f"{folder}/encounters", batch_id))
+                met = _by_cell(E.meetings_live(K.most_recent(ships, ships_held)))
+                G.commit(spark, f"{folder}/encounters", batch_id, G.write_segments(met, f"{folder}/encounters", batch_id, dealt=True))
         finally:
             rows.unpersist()
 
@@ -398,12 +409,12 @@ def refresh_stream(positions: DataFrame, folder: str, checkpoint: str, trigger:
                 return known.join(ids, "mmsi", "left_anti").select(new.columns).union(new)
 
             G.upsert(tracks, f"{folder}/tracks", batch_id, _table(tracks), merge, ["mmsi"], also=G.buckets_of(rows, "mmsi"))
-            met = read_state(spark, f"{folder}/encounters")
+            met = _stored_state(spark, f"{folder}/encounters")
             if met is not None:
                 def assessed(pairs: DataFrame) -> DataFrame:
-                    return V.assess_risk(pairs.where("owner = mmsi_a"), carry=(G.BUCKET,))
+                    return V.assess_risk(E.encounters_of(pairs, carry=(G.BUCKET,)), carry=(G.BUCKET,))
 
-                G.derive(spark, f"{folder}/encounters", _table(_owned(met)), f"{folder}/risks", batch_id, assessed)
+                G.derive(spark, f"{folder}/encounters", _table(met), f"{folder}/risks", batch_id, assessed)
         finally:
             rows.unpersist()
 

@@ -11,6 +11,7 @@ from seawake.operators import enrich as N
 from seawake.operators import parse as P
 from seawake.operators import series
 from seawake.operators import tracks as K
+from seawake.operators import views as V
 from seawake.sinks import segments as G
 from seawake.sinks import tables as W
 from seawake.sources import files as R
@@ -274,3 +275,43 @@ def test_static_table_remembers_a_row_per_ship(spark, tmp_path):
     assert max(held) <= len(new_at)
     waiting = G.segments_of(spark, f"{tmp_path}/c-waiting")
     assert sum(s.rows for s in waiting) == 1
+
+
+def crossing(spark, numbers, minute):
+    """Ships near two places that all meet: dense traffic, so many more pairs than ships."""
+    found = [(n, f"S{n}", 50.0 + n % 2 * 5 + n / 1e5, n % 7 / 1e3, 90.0 + 180 * (n % 3 % 2), 5.0 + n % 4, T0 + timedelta(minutes=minute)) for n in numbers]
+    return spark.createDataFrame(found, "mmsi long, ship_name string, latitude double, longitude double, cog double, sog double, timestamp timestamp")
+
+
+def test_pairs_are_kept_once_and_where_they_are_found(spark, tmp_path, monkeypatch):
+    """New pairs stand beside the known ones, which are written anew only where one is lost or
+    a bucket has many segments; no shuffle takes part in it."""
+    monkeypatch.setattr(J.C, "BUCKET_SEGMENTS", 2, raising=False)
+    folder, state, before = f"{tmp_path}/encounters", {}, []
+    for k, numbers in enumerate([range(40), range(40, 80), [3], [80]]):  # only ship 3 was there before
+        batch = crossing(spark, numbers, k)
+        state |= {r.mmsi: r for r in batch.collect()}
+        ships = spark.createDataFrame(list(state.values()), batch.schema)
+        J.update_encounters(ships, batch.select("mmsi"), folder, k)
+        whole, now = E.detect_encounters_live(ships), G.segments_of(spark, folder)
+        assert rows(J.read_state(spark, folder), *whole.columns) == rows(whole, *whole.columns)
+        assert sum(s.rows for s in now) == whole.count() > 5 * len(state)
+        assert k > 1 or set(before) <= set(now)
+        assert all(sum(s.bucket == b for s in now) <= 3 for b in {s.bucket for s in now})
+        before = now
+    plan = J._by_cell(E.meetings_live(ships, changed=batch.select("mmsi")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("SortMergeJoin") < plan.index("Exchange")
+
+
+def test_risks_follow_encounters_of_changed_ships(spark, tmp_path):
+    """Also those of pairs that were carried over when others of their bucket were lost."""
+    folder = f"{tmp_path}/state"
+    for k, numbers in enumerate([range(30), [3, 40]]):
+        crossing(spark, numbers, k).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = stream_of(spark, f"{tmp_path}/in")
+        finish(J.latest_state_stream(stream, folder, f"{tmp_path}/c1", trigger=J.ONCE))
+        finish(J.refresh_stream(stream, folder, f"{tmp_path}/c2", trigger=J.ONCE))
+        latest = K.last_per_key(spark.read.parquet(f"{tmp_path}/in"))
+        want = V.assess_risk(E.detect_encounters_live(latest))
+        assert rows(J.read_state(spark, f"{folder}/risks"), "collision_id", "overall_risk") == rows(want, "collision_id", "overall_risk")
+    assert any("-rest" in s.folder for s in G.segments_of(spark, f"{folder}/encounters") if s.rows)
