@@ -302,10 +302,14 @@ def update_encounters(ships: DataFrame, changed: DataFrame, path: str, version:
     that find them, as segments beside the known ones. Known buckets that have lost a pair, or
     that consist of many segments, are written anew by the tasks that read them.
     """
-    spark, ids = ships.sparkSession, broadcast_if_small(changed)
-    known, met = G.segments_of(spark, path, before=version), _by_cell(E.meetings_live(ships, changed=changed))
-    schema = _table(met.drop(G.BUCKET))
-    new = G.write_segments(met, path, version, dealt=True)
+    spark, ids = ships.sparkSession, broadcast_if_small(changed, C.BROADCAST_IDS)
+    blocks = E.blocks_live(ships, changed=changed).persist()
+    try:
+        known, met = G.segments_of(spark, path, before=version), _by_cell(E.meetings_of(blocks))
+        schema = _table(met.drop(G.BUCKET))
+        new = G.write_segments(met, path, version, dealt=True)
+    finally:
+        blocks.unpersist()
     held = Counter(s.bucket for s in known)
     worn = {b for b, n in held.items() if n >= C.BUCKET_SEGMENTS}
     if known:

@@ -263,3 +263,20 @@ def test_cells_of_small_groups_are_dealt_out_once(spark):
         assert found == plain and exchanges > 2
     finally:
         spark.conf.set(threshold, before)
+
+
+def test_ships_of_like_motion_are_compared_in_blocks(spark):
+    """Convoys, crossing ships and bad values: few blocks for many ships, and the pairs of all-pairs, each once."""
+    rows = [(1000 + k, "x", 50.0 + k % 3 * 1e-3, k / 1e5, 90.0, 10.0, T0, 100.0, 50.0, 1) for k in range(120)]
+    rows += [(2000 + k, "x", 50.05 + k / 1e5, 0.05, 180.0, 12.0, T0, 100.0, 50.0, 1) for k in range(80)]
+    rows += [(3000 + k, "x", 51.0, 1.0 + k / 1e5, 270.0, 11.0, T0, 100.0, 50.0, 1) for k in range(60)]
+    rows += [(4000 + k, "x", 50.0, 0.0, 37.0 * k, s, T0, 100.0, 50.0, 1) for k, s in enumerate((0.0, 1e3, 1e9, 1e120))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    boxes = E._boxes(E._usable(df.select(*E.STATE)), "flat", 0.5, 0.5)
+    for held, hot in ((64, None), (64, 50), (7, 20), (1, None)):
+        blocks = E._blocks(boxes, [], 0.5, 0.5, held)
+        assert held == 1 or blocks.count() < len(rows) / 3
+        pairs = [tuple(sorted(r)) for r in E.meetings_of(blocks, hot_cell_ships=hot).select("mmsi_v", "mmsi_h").collect()]
+        assert len(pairs) == len(set(pairs)) and set(pairs) == brute(rows, flat, 0.5, 30.0)
+    plan = E.meetings_live(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" in plan
