@@ -280,3 +280,23 @@ def test_ships_of_like_motion_are_compared_in_blocks(spark):
         assert len(pairs) == len(set(pairs)) and set(pairs) == brute(rows, flat, 0.5, 30.0)
     plan = E.meetings_live(df)._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" in plan
+
+
+def test_attach_risk_query_joins_where_encounters_lie(spark):
+    """Neither encounters nor risks are shuffled, and the rows are those of a join by id alone."""
+    from seawake.checks import live
+    from seawake.operators import views
+
+    folder, threshold = "/root/testdata/sf0.001", "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        out = live.attach_risk(spark, folder)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(threshold, before)
+    assert "Exchange" not in plan and plan.count("FileScan") == 2 and "SortMergeJoin" in plan
+    met = live.live(spark, folder)
+    want = views.attach_risk(met, views.assess_risk(met.where("tcpa > 0"))).select("id", F.round("risk", 6))
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
+    assert "met_" not in " ".join(t.name for t in spark.catalog.listTables())
